@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, mixing, sharding, substring_dedup, toxicity
+from . import decontamination, jaccard, lm, mixing, sharding, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under the unigram base and the maximum-entropy model."""
+    return lm.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every document without 13-word windows that start in an earlier one."""
     return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), with_text=False)
@@ -51,6 +56,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id", 5).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_mixing, op4_sharding, op8_ngram_jaccard_join, op9_decontamination, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_mixing, op4_sharding, op8_ngram_jaccard_join, op9_decontamination, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}

@@ -145,6 +145,18 @@ def prefix_hashes(words: Words, size: int, fold: bool = False) -> np.ndarray:
     return out
 
 
+def suffix_hashes(words: Words, size: int, fold: bool = False) -> np.ndarray:
+    """Hash of each word's last `size` bytes (of the whole word if it is no longer)."""
+    table = _RANDOM[_FOLD] if fold else _RANDOM
+    out = np.empty(len(words.starts), np.uint64)
+    for i in range(0, len(out), 1 << 17):
+        j = min(len(out), i + (1 << 17))
+        base, ends = words.starts[i], words.ends[i:j]
+        starts = np.maximum(ends - size, words.starts[i:j])
+        out[i:j] = range_hashes(table[words.data[base : words.ends[j - 1]]], starts - base, ends - base)
+    return out
+
+
 def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive words of one sequence; empty when it is shorter."""
     n = len(hashes) - k + 1
