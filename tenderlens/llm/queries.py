@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, lm, mixing, sharding, substring_dedup, topk, toxicity
+from . import decontamination, html_extraction, jaccard, line_dedup, lm, mixing, sharding, substring_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,16 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that align with an earlier one, and what is left."""
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extraction.extract(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector with all others."""
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -61,6 +71,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id", 5).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_mixing, op4_sharding, op7_exact_topk, op8_ngram_jaccard_join, op9_decontamination, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_mixing, op4_sharding, op5_line_dedup, op6_html_extraction, op7_exact_topk, op8_ngram_jaccard_join, op9_decontamination, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
