@@ -112,7 +112,7 @@ def json_object(body: Column) -> Column:
     """The first text that can be a JSON object: the whole answer, a fenced part, or from the first to the last brace; null if none parses."""
     fenced = F.regexp_extract_all(body, F.lit(r"(?s)```(?:json)?\s*(.+?)```"), 1)
     outer = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    candidates = F.concat(F.array(F.trim(body)), F.transform(fenced, F.trim), F.array(outer))
+    candidates = F.concat(F.array(F.trim(body)), F.transform(fenced, lambda x: F.trim(x)), F.array(outer))
     good = F.filter(candidates, lambda c: F.trim(c).startswith("{") & F.try_parse_json(c).isNotNull())
     return F.try_element_at(good, F.lit(1))
 

@@ -115,7 +115,7 @@ class Views:
     def pages(self) -> DataFrame:
         """Lines of documents as pages, numbered from 1."""
         rows = self.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "text"))
-        return rows.select("doc_id", (F.col("p") + 1).alias("page_no"), "text")
+        return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("page_no"), "text")
 
     @cached_property
     def quotes(self) -> DataFrame:

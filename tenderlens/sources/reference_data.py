@@ -33,5 +33,5 @@ def profiles(files: DataFrame) -> DataFrame:
     """(alias, text, sha256, sources, error) of files perfil_empresa_x.md."""
     letter = F.regexp_extract("name", r"^perfil_empresa_(\w+)\.md$", 1)
     section = F.regexp_extract("text", r"(?ms)^##\s*Fuentes[^\n]*\n(.*?)(?=^##|\z)", 1)
-    sources = F.transform(F.regexp_extract_all(section, F.lit(r"(?m)^[-*]\s+(.+)$"), 1), F.trim)
+    sources = F.transform(F.regexp_extract_all(section, F.lit(r"(?m)^[-*]\s+(.+)$"), 1), lambda x: F.trim(x))
     return files.where(letter != "").select(F.concat(F.lit("Empresa "), F.upper(letter)).alias("alias"), "text", F.sha2("text", 256).alias("sha256"), sources.alias("sources"), F.when(F.size(sources) == 0, "no sources").alias("error"))
