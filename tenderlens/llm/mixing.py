@@ -60,24 +60,32 @@ def uniform(seed: int, *ids: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+MADE = ("size", "source_size", "target", "copies")
+
+
+def _planned(docs: DataFrame, text: str, id_col: str, source: str, weight: Column | None, max_rate: int, seed: int) -> DataFrame:
+    """All columns of docs, and those of MADE behind `__mix_`."""
+    sized = docs.withColumn("__mix_size", word_count(text))
+    sizes = checkpointed(sized.groupBy(F.col(source).alias("source")).agg(F.sum("__mix_size").alias("source_size")))
+    targets = source_targets(sizes, cyclic_weights() if weight is None else weight, max_rate)
+    targets = targets.select(F.col("source").alias("__mix_source"), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"))
+    joined = sized.join(broadcast_within(targets, MAX_BROADCAST_SOURCES), sized[source].eqNullSafe(F.col("__mix_source"))).drop("__mix_source")
+    rate = F.coalesce(F.try_divide(F.col("__mix_target"), F.col("__mix_source_size")), F.lit(0.0))
+    drawn = (uniform(seed, id_col) < rate - F.floor(rate)).cast("long")
+    return joined.withColumn("__mix_copies", F.least(F.floor(rate) + drawn, F.lit(max_rate)).cast("long"))
+
+
 def mixing_plan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weight: Column | None = None, max_rate: int = 3, seed: int = 42) -> DataFrame:
     """docs with `size`, `source_size`, `target` and `copies` (replacing such columns of docs).
 
     weight may use the source's ordinal `__mix_ordinal`; default: 1, 2, 3, repeating.
     """
-    made = ("size", "source_size", "target", "copies")
-    sized = docs.drop(*made).withColumn("size", word_count(text))
-    sizes = checkpointed(sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size")))
-    targets = source_targets(sizes, cyclic_weights() if weight is None else weight, max_rate)
-    targets = targets.select(F.col("source").alias("__mix_source"), "source_size", "target")
-    joined = sized.join(broadcast_within(targets, MAX_BROADCAST_SOURCES), sized[source].eqNullSafe(F.col("__mix_source"))).drop("__mix_source")
-    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    drawn = (uniform(seed, id_col) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("copies", F.least(F.floor(rate) + drawn, F.lit(max_rate)).cast("long"))
+    plan = _planned(docs, text, id_col, source, weight, max_rate, seed)
+    return plan.drop(*MADE).withColumnsRenamed({f"__mix_{c}": c for c in MADE})
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weight: Column | None = None, max_rate: int = 3, seed: int = 42) -> DataFrame:
     """The mixed corpus: docs' own columns, each row as often as mixing_plan() says."""
-    plan = mixing_plan(docs, **options)
-    copies = F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))
+    plan = _planned(docs, text, id_col, source, weight, max_rate, seed)
+    copies = F.explode(F.array_repeat(F.lit(True), F.col("__mix_copies").cast("int")))
     return plan.select(*docs.columns, copies.alias("__mix_copy")).drop("__mix_copy")

@@ -32,7 +32,7 @@ BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
 START_BIAS = -6.0
 SENTENCE_ENDS = np.array([x in b".!?\n" for x in range(256)])
-SCORES = "score double, predicted int, offending array<string>, offending_scores array<double>"
+SCORES = ("score double", "predicted int", "offending array<string>", "offending_scores array<double>")
 
 
 def held_out(id_col: str, mod: int) -> Column:
@@ -160,9 +160,14 @@ def run_or_none(run):
     return guarded
 
 
-def score(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: list[str] | None = None, locate: float = 0.5) -> DataFrame:
-    """Columns `keep` (default: all) with score, predicted, and the sentences that score `locate` or more."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted", "offending", "offending_scores")]
+def score(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: list[str] | None = None, locate: float = 0.5, prefix: str = "") -> DataFrame:
+    """Columns `keep` (default: all) with score, predicted, and the sentences that score `locate` or more.
+
+    The new columns' names begin with prefix and replace columns of those names.
+    """
+    ddl = ", ".join(prefix + c for c in SCORES)
+    made = {c.split()[0] for c in ddl.split(", ")}
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def prepare():
@@ -182,7 +187,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: list[s
 
         return make
 
-    return map_texts(docs, text, keep, SCORES, prepare)
+    return map_texts(docs, text, keep, ddl, prepare)
 
 
 def located(texts: pa.Array, words: Words, number: np.ndarray, bad: np.ndarray, ranges: np.ndarray) -> list[str]:
@@ -204,10 +209,10 @@ def located(texts: pa.Array, words: Words, number: np.ndarray, bad: np.ndarray,
 _ENDS = {ord(c): "\n" for c in ".!?"}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", mod: int = 5, max_rows: int = 4000, keep: list[str] | None = None) -> DataFrame:
-    return score(docs, train(docs, labels, text, id_col, label, mod, max_rows), text, keep)
+def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", mod: int = 5, max_rows: int = 4000, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    return score(docs, train(docs, labels, text, id_col, label, mod, max_rows), text, keep, prefix=prefix)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs without those predicted toxic."""
-    return toxicity(docs, labels, text, **options).where("predicted = 0").select(*docs.columns)
+    return toxicity(docs, labels, text, prefix="__tox_", **options).where("__tox_predicted = 0").select(*docs.columns)
