@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, html_extraction, jaccard, line_dedup, lm, mixing, sharding, substring_dedup, topk, toxicity
+from .oracle import ORACLES  # noqa: F401  (the entry module reads it here)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +22,8 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every document without 13-word windows that start in an earlier one."""
-    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), with_text=False)
+    left = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), with_text=False)
+    return left.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +63,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark hits of every document."""
     found = decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"], clean=False)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +74,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_mixing, op4_sharding, op5_line_dedup, op6_html_extraction, op7_exact_topk, op8_ngram_jaccard_join, op9_decontamination, op10_toxicity)}
-
-ORACLES: dict[str, str] = {}
