@@ -18,6 +18,8 @@ candidates than k give shorter lists; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,57 +27,60 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
-DEPTHS = (0.125, 0.25, 0.375, 0.5, 0.7, 1.0)
+DEPTHS = (0.1, 0.25, 0.5, 1.0)
+RESOLVED = 50
 LISTED = "query_id long, vec_id long, score long"
 
 
 class SortedLists:
-    """One block of candidates: each dimension's rows in ascending order of component."""
+    """One block of candidates, and each row's place in every dimension's sorted list."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.order = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(self.vectors.T, self.order, 1)
-
-    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best candidates other than rows of the id `own`."""
-        n, dims = self.vectors.shape
-        down = query >= 0
-        total = np.zeros(n, np.int64)
-        seen = np.zeros((n, -(-dims // 8)), np.uint8)
-        worst = np.where(down, self.values[:, 0], self.values[:, -1]) * query
-        mine = self.ids == own
-        read = 0
+        self.ids, self.exact = ids[order], vectors[order]
+        self.vectors = self.exact.astype(np.float64)  # sums of products stay below 2**53, so they are exact
+        by = np.argsort(self.exact, axis=0, kind="stable")
+        self.place = np.empty_like(by)
+        np.put_along_axis(self.place, by, np.arange(len(by))[:, None], 0)
+        self.values = np.take_along_axis(self.vectors, by, 0)
+
+    def read(self, depth: int, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lower, upper) bounds of every row for every query when all lists are read to that depth.
+
+        up and down hold the queries' positive and negative components: the
+        former's lists are read from their large end, the latter's from the small one.
+        """
+        n = len(self.ids)
+        lower = upper = 0.0
+        for part, seen, front, worst in ((up, self.place >= n - depth, self.values[n - depth], self.values[0]), (down, self.place < depth, self.values[depth - 1], self.values[-1])):
+            known = (self.vectors * seen) @ part
+            unread = (~seen).astype(np.float64)
+            lower = lower + known + unread @ (part * worst[:, None])
+            upper = upper + known + unread @ (part * front[:, None])
+        return lower, upper
+
+    def best(self, own: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query id, ids, scores) of each query's k best rows other than its own."""
+        n = len(self.ids)
+        left = np.arange(len(own))
         for part in DEPTHS:
-            depth = max(read, int(np.ceil(n * part)))
-            for j in np.flatnonzero(query):
-                stretch = slice(n - depth, n - read) if down[j] else slice(read, depth)
-                at = self.order[j, stretch]
-                total[at] += query[j] * self.values[j, stretch]
-                seen[at, j >> 3] |= np.uint8(1 << (j & 7))
-            read = depth
-            front = np.where(down, self.values[:, n - depth], self.values[:, depth - 1]) * query
-            upper, lower = total + unread(seen, front), total + unread(seen, worst)
-            upper[mine] = lower[mine] = np.iinfo(np.int64).min
-            least = np.partition(lower, n - k)[n - k] if n > k else np.iinfo(np.int64).min
-            open_ = np.flatnonzero((upper >= least) & ~mine)
-            # outsiders cannot pass: the few that can, ties included, are resolved
-            if len(open_) <= 4 * k or part == 1.0:
-                break
-        scores = self.vectors[open_] @ query
-        first = np.lexsort((self.ids[open_], -scores))[:k]
-        return self.ids[open_[first]], scores[first]
-
-
-def unread(seen: np.ndarray, bound: np.ndarray) -> np.ndarray:
-    """Sum of the bounds of each row's dimensions not yet seen, by tables over eight dimensions at a time."""
-    out = np.zeros(len(seen), np.int64)
-    bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
-    for b in range(seen.shape[1]):
-        own = bound[8 * b : 8 * b + 8]
-        out += ((1 - bits[:, : len(own)]) @ own)[seen[:, b]]
-    return out
+            depth = max(1, int(np.ceil(n * part)))
+            q = queries[left].T.astype(np.float64)
+            lower, upper = self.read(depth, np.maximum(q, 0), np.minimum(q, 0))
+            mine = self.ids[:, None] == own[left][None, :]
+            lower[mine] = upper[mine] = -np.inf
+            least = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(left), -np.inf)
+            open_ = (upper >= least) & ~mine
+            # when few can still qualify, ties included, no outsider can: those few are resolved
+            done = (open_.sum(0) <= RESOLVED * k) | (part == 1.0)
+            for c in np.flatnonzero(done).tolist():
+                at = np.flatnonzero(open_[:, c])
+                scores = self.exact[at] @ queries[left[c]]
+                first = np.lexsort((self.ids[at], -scores))[:k]
+                yield int(own[left[c]]), self.ids[at[first]], scores[first]
+            left = left[~done]
+            if not len(left):
+                return
 
 
 def matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +93,8 @@ def matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def join_blocks(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
     out: list[list] = [[], [], []]
     if queries.num_rows and candidates.num_rows:
-        lists = SortedLists(*matrix(candidates))
-        for own, query in zip(*matrix(queries), strict=True):
-            ids, scores = lists.best(query, int(own), k)
-            out[0] += [int(own)] * len(ids)
+        for own, ids, scores in SortedLists(*matrix(candidates)).best(*matrix(queries), k):
+            out[0] += [own] * len(ids)
             out[1] += ids.tolist()
             out[2] += scores.tolist()
     return pa.table([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
