@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -20,11 +21,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """df, written once as Parquet into the shared folder and read back."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tenderlens-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, written once as Parquet into the shared folder and read back, and where; shuffle files that led to it may go."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_folder(spark).rstrip('/')}/tenderlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    del df
+    drop_shuffles(spark)
+    return spark.read.schema(schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    return written_at(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of written_at() whose every reader has been written itself."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the files of shuffles that no live DataFrame refers to; it acts on the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

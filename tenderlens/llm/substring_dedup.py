@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import column, emit_rows, lists, map_texts
-from .cluster import written
+from .cluster import discard, written, written_at
 from .tokens import SPACE_SEPARATED, Words, mix, range_hashes, whole_windows, window_hashes, words_of
 
 SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -144,25 +144,46 @@ def compact(distinct: DataFrame) -> DataFrame:
     return distinct.join(inner, "head", "left").withColumn("glued", F.coalesce("glued", F.lit(False)))
 
 
-def removals(docs: DataFrame, signed: DataFrame, text: str, id_col: str, k: int, m: int) -> DataFrame:
-    """(doc, text_key, windows, glued): the windows of each text to remove, and at which of them a path goes on from the one before."""
+def marked_grams(signed: DataFrame, id_col: str) -> DataFrame:
+    """(doc, grams): of the first document of each word sequence, the m-grams that another one holds too."""
     first = signed.groupBy("digest").agg(F.min(id_col).alias("doc"), F.first("grams").alias("grams")).where("doc is not null")
     grams = first.select("doc", F.explode("grams").alias("gram"))
     shared = grams.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("gram")
-    marked = grams.join(shared, "gram").groupBy("doc").agg(F.collect_list("gram").alias("grams"))
+    return grams.join(shared, "gram").groupBy("doc").agg(F.collect_list("gram").alias("grams"))
+
+
+def removals(docs: DataFrame, marked: DataFrame, text: str, id_col: str, k: int, m: int) -> DataFrame:
+    """(doc, text_key, windows, glued): the windows of each text to remove, and at which of them a path goes on from the one before.
+
+    Tables that only lead to the next one are deleted once that is written.
+    """
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("body")).join(marked, "doc")
-    paths = written(repeated_paths(texts, k, m))
+    paths, paths_at = written_at(repeated_paths(texts, k, m))
     distinct = paths.groupBy("path", "check").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first("head").alias("head"), F.first("tail").alias("tail"), F.first("windows").alias("windows"))
-    distinct = written(distinct)
-    edges = distinct.select("path", "check", "low", "high", F.posexplode("windows").alias("i", "window"))
-    firsts = edges.groupBy("window").agg(F.min("low").alias("source"), F.max("high").alias("high")).where("source < high").select("window", "source")
-    found = edges.join(firsts, "window").groupBy("path", "check").agg(F.collect_list(F.struct("i", "source")).alias("repeated"))
-    glued = compact(distinct.join(found.select("path", "check"), ["path", "check"], "left_semi").select("path", "check", "head", "tail")).select("path", "check", "glued")
-    found = found.join(glued, ["path", "check"])
-    hits = paths.select("doc", "text_key", "at", "path", "check").join(found, ["path", "check"])
-    later = F.filter("repeated", lambda x: x["source"] < F.col("doc"))
-    hits = hits.select("doc", "text_key", "at", "glued", F.transform(later, lambda x: F.col("at") + x["i"]).alias("windows")).where("size(windows) > 0")
-    return hits.groupBy("doc", "text_key").agg(F.flatten(F.collect_list("windows")).alias("windows"), F.collect_list(F.when(F.col("glued"), F.col("at"))).alias("glued"))
+    distinct, distinct_at = written_at(distinct.withColumn("number", F.xxhash64("path", "check")))
+    places, places_at = written_at(paths.select("doc", "text_key", "at", "path", "check", F.size("windows").alias("n")))
+    discard(spark, paths_at)
+    earlier, earlier_at = written_at(earlier_edges(distinct))
+    repeated = distinct.select("number", "path", "check", "low", "high", "head", "tail").join(earlier, "number", "left").where("low < high or inner is not null")
+    repeated, repeated_at = written_at(compact(repeated.select("path", "check", "low", "inner", "head", "tail")).drop("head", "tail"))
+    for at in (distinct_at, earlier_at):
+        discard(spark, at)
+    hits = places.join(repeated, ["path", "check"])
+    # later documents lose the whole path; its first one what starts in an earlier document by way of another path
+    inside = F.when(F.col("doc") > F.col("low"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.col("inner"))
+    hits = hits.select("doc", "text_key", "at", "glued", F.transform(inside, lambda i: F.col("at") + i).alias("windows")).where("size(windows) > 0")
+    hits = written(hits.groupBy("doc", "text_key").agg(F.flatten(F.collect_list("windows")).alias("windows"), F.collect_list(F.when(F.col("glued"), F.col("at"))).alias("glued")))
+    for at in (places_at, repeated_at):
+        discard(spark, at)
+    return hits
+
+
+def earlier_edges(distinct: DataFrame) -> DataFrame:
+    """(number, inner): places of a path's edges that another path has from an earlier first document."""
+    edges = distinct.select("number", "low", F.posexplode("windows").alias("i", "window"))
+    firsts = edges.groupBy("window").agg(F.min("low").alias("source"), F.max("low").alias("latest")).where("source < latest").select("window", "source")
+    return edges.join(firsts, "window").where("source < low").groupBy("number").agg(F.collect_list("i").alias("inner"))
 
 
 def cut(texts: DataFrame, k: int) -> DataFrame:
@@ -199,8 +220,12 @@ def substring_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     n_spans and longest_span (words) count removed stretches, n_glued the
     repeated paths that go on from another without a branch.
     """
-    signed = written(sign(docs, text, id_col, k, m))
-    gone = removals(docs, signed, text, id_col, k, m)
+    full, full_at = written_at(sign(docs, text, id_col, k, m))
+    marked, marked_at = written_at(marked_grams(full, id_col))
+    signed = written(full.drop("grams"))
+    discard(docs.sparkSession, full_at)
+    gone = removals(docs, marked, text, id_col, k, m)
+    discard(docs.sparkSession, marked_at)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("body")).join(gone, "doc")
     left = cut(texts, k).withColumnsRenamed({"n_removed": "cut"}).withColumnRenamed("kept_sha256", "cut_sha256")
     left = (left if with_text else left.drop("kept_text")).dropDuplicates(["doc", "text_key"])
