@@ -44,12 +44,17 @@ def stratified_sample(dossiers: DataFrame, won: DataFrame, companies: DataFrame,
     """(alias, entry_id, won): all a company won, and the first k of the rest by draw.
 
     The common draw is cut once to k plus the most wins of a company, which is
-    all that k rows beyond anyone's own wins can need.
+    all that k rows beyond anyone's own wins can need.  It is ranked without one
+    global sort: draws are dealt by their first four digits, and running sums
+    over these counts say which of them hold ranks that matter.
     """
     most = won.groupBy("alias").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))
-    order = Window.orderBy("d", "entry_id")
-    ranked = dossiers.select("entry_id", draw(seed, "entry_id").alias("d")).withColumn("r", F.row_number().over(order))
-    common = ranked.join(F.broadcast(most), F.col("r") <= k + F.col("most")).select("entry_id", "r")
+    drawn = dossiers.select("entry_id", draw(seed, "entry_id").alias("d")).withColumn("part", F.substring("d", 1, 4))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over 65,536 counts at most
+    parts = drawn.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    parts = parts.join(F.broadcast(most), F.col("first") < k + F.col("most")).select("part", "first", "most")
+    place = F.col("first") + F.row_number().over(Window.partitionBy("part").orderBy("d", "entry_id"))
+    common = drawn.join(parts, "part").withColumn("r", place).where(F.col("r") <= k + F.col("most")).select("entry_id", "r")
     pairs = common.join(F.broadcast(companies.select("alias")))
     rest = pairs.join(won.select("alias", "entry_id"), ["alias", "entry_id"], "left_anti")
     rest = rest.withColumn("n", F.row_number().over(Window.partitionBy("alias").orderBy("r"))).where(F.col("n") <= k)
