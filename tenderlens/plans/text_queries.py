@@ -425,3 +425,27 @@ def st5_late_versions(v: Views) -> DataFrame:
     from ..streaming.ingest import late_versions
 
     return late_versions(v.versions, v.versions).select("entry_id", "entry_updated")
+
+
+# -- streams over the tables ------------------------------------------------
+
+
+@query("versions", "SELECT DISTINCT entry_id, entry_updated FROM versions")
+def st2_dedupe_versions(v: Views) -> DataFrame:
+    from ..streaming.ingest import dedupe_versions
+    from ..streaming.replay import replay, table_stream
+
+    lines = table_stream(v.spark, f"{v.sf_dir}/lineitem.parquet")
+    stream = lines.select(F.col("l_orderkey").alias("entry_id"), (F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(mins=F.col("l_linenumber"))).alias("entry_updated"))
+    return replay(dedupe_versions(stream, "4000 days"), "append").drop("batch")
+
+
+@query("", "SELECT event_type AS alias, CAST(timezone('Europe/Madrid', timezone('UTC', ts)) AS DATE) AS day, count(*) AS calls, round(sum(value), 4) AS cost FROM events GROUP BY 1, 2")
+def st6_spend_stream(v: Views) -> DataFrame:
+    from ..streaming.ingest import spend_stream
+    from ..streaming.replay import replay, table_stream
+
+    calls = table_stream(v.spark, f"{v.sf_dir}/events.parquet").select(F.col("event_type").alias("alias"), F.col("ts").cast("timestamp").alias("called_at"), F.col("value").alias("cost"))
+    out = replay(spend_stream(calls), "update")
+    last = out.groupBy("alias", "day").agg(F.max_by(F.struct("calls", "cost"), "batch").alias("s"))
+    return last.select("alias", "day", "s.calls", F.round("s.cost", 4).alias("cost"))
