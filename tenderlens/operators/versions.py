@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _extreme(notices: DataFrame, pick, extra: list[Column]) -> DataFrame:
-    others = [c for c in notices.columns if c != "entry_id"]
-    chosen = pick(F.struct(*others), F.struct("entry_updated", "tie")).alias("v")
-    return notices.groupBy("entry_id").agg(chosen, *extra).select("entry_id", "v.*")
+def _extreme(notices: DataFrame, pick, bound) -> DataFrame:
+    """One version per dossier. The instant is an aggregate of its own, so callers that need no other column carry none."""
+    others = [c for c in notices.columns if c not in ("entry_id", "entry_updated")]
+    rows = notices.groupBy("entry_id").agg(bound("entry_updated").alias("entry_updated"), pick(F.struct(*others), F.struct("entry_updated", "tie")).alias("v"))
+    return rows.select(*(F.col(f"v.{c}") if c in others else F.col(c) for c in notices.columns))
 
 
 def latest_versions(notices: DataFrame) -> DataFrame:
     """The newest version of every dossier; equal instants by `tie`. One shuffle, no sort."""
-    return _extreme(notices, F.max_by, [])
+    return _extreme(notices, F.max_by, F.max)
 
 
 def as_published(notices: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
     """The earliest version of every dossier first published in [first, last)."""
-    rows = _extreme(notices, F.min_by, [])
+    rows = _extreme(notices, F.min_by, F.min)
     if first is not None:
         rows = rows.where(F.col("entry_updated") >= F.lit(first).cast("timestamp"))
     return rows.where(F.col("entry_updated") < F.lit(last).cast("timestamp")) if last is not None else rows
