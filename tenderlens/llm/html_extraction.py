@@ -38,6 +38,7 @@ NOT_ARTICLE = frozenset("head script style noscript template textarea title ifra
 NOT_ARTICLE_NAMES = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login menu nav navbar navigation newsletter notice notices pagination popup promo promotion related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
 CONTAINERS = frozenset("html body article center div main section table".split())
 ARTICLE_NAMES = frozenset("article main".split())
+MODIFIERS = frozenset("has no with without".split())
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -61,7 +62,9 @@ def named(attributes: str) -> tuple[str, set[str]]:
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "class" and value.split():
             first = value.split()[0]
-        words.update(re.split(r"[\s_-]+", value))
+        for name in value.split():
+            parts = re.split(r"[_-]+", name)
+            words.update(parts if parts[0] not in MODIFIERS else ())  # with-sidebar names the page, not the bar
     return first, words
 
 
@@ -121,7 +124,7 @@ def blocks(page: str) -> list[Block]:
         first, words = named(m[3])
         above = stack[-1] if stack else ("", "", 0, False, False)
         article = tag in ARTICLE_NAMES or "main" in words
-        excluded = above[3] or (tag in NOT_ARTICLE and not (tag == "header" and above[4])) or bool(words & NOT_ARTICLE_NAMES and not article_root(tag)) or bool(HIDDEN.search(m[3]))
+        excluded = above[3] or (tag in NOT_ARTICLE and not (tag == "header" and above[4])) or bool(words & NOT_ARTICLE_NAMES - ({"header"} if above[4] else set()) and not article_root(tag)) or bool(HIDDEN.search(m[3]))
         if tag not in INLINE or excluded and not above[3]:
             flush()
         number += 1

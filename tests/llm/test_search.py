@@ -101,6 +101,7 @@ PAGES = [
     ("<body><header>Site</header><div class='cookie-notice'>We use cookies, yes, we do.</div><main><h1>T</h1><p>One, two.</p><form><p>Your name</p></form><section class='comments'><p>A reader, with a long comment, says so.</p></section></main><aside>side</aside></body>", "T\nOne, two."),
     ("<div id=page><div class=menu><ul><li><a>x</a><li><a>y</a></ul></div><div class=story><h2>Title</h2><p>A long sentence, with commas. And more text here.</p><p>ok</p><div class=ad>Buy, now, this.</div></div><div class=sidebar><p>Other, things.</p></div></div>", "Title\nA long sentence, with commas. And more text here.\nok"),
     ("<article><p>a &lt;b&gt; &amp;amp; c</p><script>var t='</p>';</script><style>p{}</style><!-- <p>no</p> --><p>d e</p></article>", "a <b> &amp; c\nd e"),
+    ("<body><div class='content with-sidebar'><article><div class='article-header'><h1>H</h1></div><p>Some, text.</p></article></div></body>", "H\nSome, text."),
     ("", ""), (None, ""), ("plain text only", "plain text only"), ("<<<>>> <p", "<<<>>> <p"), ("<article><p>unclosed", "unclosed"), ("</p></div><article>x</article>", "x"),
 ]
 
