@@ -70,19 +70,21 @@ def noisy_or(z: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return -np.expm1(none), total[ranges[1:]] - total[ranges[:-1]]
 
 
-def telling(index: np.ndarray, rows: np.ndarray, labels: np.ndarray, weights: np.ndarray, least_z: float) -> np.ndarray:
-    """Features that occur in clearly more toxic rows than their frequency explains; rare chance companions of one label do not pass."""
+def telling(index: np.ndarray, rows: np.ndarray, labels: np.ndarray, least_z: float) -> np.ndarray:
+    """Features that occur in clearly more toxic rows than their frequency explains; rare chance companions of one label do not pass.
+
+    Counts are of sample rows without weights, since chance is the sample's: a row's weight is no further evidence.
+    """
     size = 1 << BITS
     seen, toxic = np.zeros(size), np.zeros(size)
-    share = (labels * weights).sum() / max(weights.sum(), 1e-9)
+    share = labels.mean() if len(labels) else 0.0
     for f in index:
         pair = np.unique(rows * np.int64(size) + f)
         row, feature = pair // size, pair % size
-        # counts of rows, as the error is of the sample; both labels at their true shares
-        seen += np.bincount(feature, weights[row], size)
-        toxic += np.bincount(feature, (labels * weights)[row], size)
+        seen += np.bincount(feature, minlength=size)
+        toxic += np.bincount(feature, labels[row], size)
     expected = seen * share
-    return np.flatnonzero((toxic - expected) / np.sqrt(expected + 0.5) >= least_z)
+    return np.flatnonzero((toxic - expected) / np.sqrt(expected * (1 - share) + 0.5) >= least_z)
 
 
 def fit(texts: pa.Array, labels: np.ndarray, weights: np.ndarray, epochs: int = 60, rate: float = 0.3, decay: float = 0.1, least_z: float = 5.0) -> np.ndarray:
@@ -91,7 +93,7 @@ def fit(texts: pa.Array, labels: np.ndarray, weights: np.ndarray, epochs: int =
     number, ranges = sentences_of(words)
     at = np.sort(distinct(words, number))
     index, owner = features(words)[:, at], number[at]
-    chosen = telling(index, words.rows()[at], labels, weights, least_z)
+    chosen = telling(index, words.rows()[at], labels, least_z)
     k, n = len(chosen), int(ranges[-1])
     place = np.full(1 << BITS, k)
     place[chosen] = np.arange(k)

@@ -76,6 +76,22 @@ def test_toxicity_learns_from_document_labels_and_finds_the_sentence(spark):
     assert all(out[1000 + i].score == 0 for i, r in enumerate(odd_documents()) if not words(r[1]))
 
 
+def test_toxicity_features_do_not_depend_on_the_weight_of_sample_rows():
+    """A word in four toxic sample rows and no clean one is chance, however many rows each of them stands for."""
+    rows, labels = labelled(400)
+    kind = np.array([t for _, t in labels])
+    texts = [r[1] for r in rows]
+    for i in np.flatnonzero(kind)[:4]:
+        texts[i] += " fortuitous"
+    plain, times_100 = (toxicity.fit(pa.array(texts), kind, np.full(len(texts), w)) for w in (1.0, 100.0))
+    assert np.flatnonzero(plain).tolist() == np.flatnonzero(times_100).tolist()
+
+    def weight(w, word):
+        return w[toxicity.features(toxicity.words_of(pa.array([word]), toxicity.ALPHANUMERIC))[0, 0]]
+
+    assert all(weight(w, "fortuitous") == 0 and weight(w, "moron") > 0 for w in (plain, times_100))
+
+
 def test_toxicity_filter_keeps_columns(spark):
     rows, labels = labelled(120)
     docs = clashing(spark.createDataFrame(rows, SCHEMA))
