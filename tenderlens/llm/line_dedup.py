@@ -8,6 +8,12 @@ that n documents share makes n - 1 pairs and no line is too frequent to count.
 So rarity needs no cut-off: a rare line and a frequent one both cost one pair
 for each later holder, and pairs that several lines make are one.
 
+Lines that such a pair leaves unaligned are paired on with their next earlier
+holders, first 1, then 2, 4, ... of them, until they are aligned or no earlier
+holder is left.  A holder can be passed over only where it cannot align the
+line: patience aligns a line that is unique in both texts, or one that has the
+same neighbour (past empty lines), above or below, in both.
+
 Each pair is aligned by patience diff: lines unique in both texts, in the
 longest common order, are fixed points, and blocks of equal lines grow from
 them in both directions; texts without such lines align between their equal
@@ -24,14 +30,17 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import column, map_texts
-from .cluster import written
+from .cluster import broadcast_within, written
+
+WANTED_KEYS = 1_000_000
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -112,16 +121,74 @@ def sign(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return map_texts(docs, text, [id_col], "lines array<long>, digest binary, whole binary", prepare)
 
 
+def link_keys(lines: list[int]) -> dict[int, tuple[int, ...]]:
+    """Per position of a line that is not empty: hashes of which an earlier text must share one to align it there."""
+    counts = Counter(lines)
+    at = [i for i, h in enumerate(lines) if h]
+    ends = [-1, *at, len(lines)]
+    joints = []  # two neighbours (0: the text's end) and the empty lines between them
+    for a, b in zip(ends, ends[1:], strict=False):
+        joints.append(hash((lines[a] if a >= 0 else 0, b - a, lines[b] if b < len(lines) else 0)))
+    return {i: (joints[k], joints[k + 1], *((hash((lines[i],)),) if counts[lines[i]] == 1 else ())) for k, i in enumerate(at)}
+
+
 def align(pairs: DataFrame, least_lines: int) -> DataFrame:
-    """Of (doc, early, late): (doc, gone), late positions that align with the earlier text."""
+    """Of (doc, early, late): (doc, gone, at, keys), late positions that align with the earlier text, and link keys of shared ones that do not."""
 
     def run(batches):
         for batch in batches:
             rows = batch.to_pydict()
-            gone = [aligned_blocks(a, b, least_lines) for a, b in zip(rows["early"], rows["late"], strict=True)]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc"), column(batch, "digest"), pa.array(gone, pa.list_(pa.int32()))], ["doc", "digest", "gone"])
+            gone, at, keys = [], [], []
+            for early, late in zip(rows["early"], rows["late"], strict=True):
+                aligned = aligned_blocks(early, late, least_lines)
+                shared, done = set(early), set(aligned)
+                rest = [j for j, h in enumerate(late) if h in shared and h and j not in done]
+                known = link_keys(late) if rest else {}
+                gone.append(aligned)
+                at.append([j for j in rest for _ in known[j]])
+                keys.append([k for j in rest for k in known[j]])
+            arrays = [pa.array(gone, pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc"), column(batch, "digest"), *arrays], ["doc", "digest", "gone", "at", "keys"])
+
+    return pairs.select("doc", "digest", "early", "late").mapInArrow(run, "doc long, digest binary, gone array<int>, at array<int>, keys array<long>")
 
-    return pairs.select("doc", "digest", "early", "late").mapInArrow(run, "doc long, digest binary, gone array<int>")
+
+def key_holders(firsts: DataFrame) -> DataFrame:
+    """(doc, key) of every text's link keys."""
+
+    def run(batches):
+        for batch in batches:
+            keys = [sorted({k for own in link_keys(x).values() for k in own}) for x in column(batch, "lines").to_pylist()]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc"), pa.array(keys, pa.list_(pa.int64()))], ["doc", "keys"])
+
+    return firsts.select("doc", "lines").mapInArrow(run, "doc long, keys array<long>").select("doc", F.explode("keys").alias("key"))
+
+
+def align_rest(firsts: DataFrame, pairs: DataFrame, found: DataFrame, with_lines: Callable[[DataFrame], DataFrame], least_lines: int) -> DataFrame:
+    """found, and what further pairs of its unaligned lines with their earlier holders align."""
+
+    def without_gone(left: DataFrame, of: DataFrame) -> DataFrame:
+        gone = of.select("doc", "digest", F.explode("gone").alias("at")).distinct()
+        return left.join(gone, ["doc", "digest", "at"], "left_anti")
+
+    zipped = found.where("size(at) > 0").select("doc", "digest", F.explode(F.arrays_zip("at", "keys")).alias("x"))
+    left = written(without_gone(zipped.select("doc", "digest", "x.at", F.col("x.keys").alias("key")).distinct(), found))
+    if left.isEmpty():
+        return found
+    wanted = broadcast_within(left.select("key").distinct(), WANTED_KEYS)
+    holders = key_holders(firsts).join(wanted, "key", "left_semi").distinct()
+    ranked = written(holders.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc")) - 1))
+    left = left.join(ranked.withColumnRenamed("rank", "before"), ["key", "doc"]).where("before > 0")
+    start, step = 0, 1
+    while not (left := written(left)).isEmpty():
+        ranks = F.explode(F.sequence(F.lit(start), F.least(F.lit(start + step), F.col("before")) - 1))
+        tried = left.select("doc", "digest", "key", ranks.alias("rank")).join(ranked.withColumnRenamed("doc", "owner"), ["key", "rank"])
+        fresh = written(tried.select("doc", "digest", "owner").distinct().join(pairs, ["doc", "digest", "owner"], "left_anti"))
+        new = written(align(with_lines(fresh), least_lines))
+        pairs, found = pairs.union(fresh), found.union(new)
+        start, step = start + step, 2 * step
+        left = without_gone(left.where(F.col("before") > start), new)
+    return found
 
 
 def line_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least_lines: int = 1, with_text: bool = True) -> DataFrame:
@@ -132,10 +199,14 @@ def line_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", leas
     held = firsts.select("doc", "digest", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
     owners = held.groupBy("line").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner <> last").select("line", "owner")
     owners = written(owners)  # a frequent line's rows can be split in a join of two plain tables
-    pairs = held.join(owners, "line").where("owner < doc").select("doc", "digest", "owner").distinct()
+    pairs = written(held.join(owners, "line").where("owner < doc").select("doc", "digest", "owner").distinct())
     late = firsts.select("doc", "digest", F.col("lines").alias("late"))
     early = firsts.select(F.col("doc").alias("owner"), F.col("lines").alias("early"))
-    found = align(pairs.join(late, ["doc", "digest"]).join(early, "owner"), least_lines)
+
+    def with_lines(chosen: DataFrame) -> DataFrame:
+        return chosen.join(late, ["doc", "digest"]).join(early, "owner")
+
+    found = align_rest(firsts, pairs, written(align(with_lines(pairs), least_lines)), with_lines, least_lines)
     gone = found.groupBy("doc", "digest").agg(F.count(F.lit(1)).alias("n_partners"), F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
     left = cut(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("body")).join(gone, "doc"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -155,5 +156,26 @@ def test_line_dedup_equals_brute_force(spark):
     assert Counter((r.doc_id, r.n_lines, r.n_removed, r.kept_sha256) for r in out) == lines_left(rows)
 
 
+def lines_gone_by_all_pairs(rows):
+    """Per id, positions of lines (not of empty ones) that align with any earlier text."""
+    hashed = [(i, [line_dedup.line_hash(x) for x in line_dedup.lines_of(t)]) for i, t, *_ in rows]
+    return {i: {j for k, early in hashed if k < i for j in line_dedup.aligned_blocks(early, late, 1) if late[j]} for i, late in hashed}
+
+
+def test_line_dedup_aligns_with_every_earlier_holder(spark):
+    """Lines that cross in the pair with their first holder, or that it repeats, align with a later holder."""
+    a, b, c, d = (prose(620 + i, 6) for i in range(4))
+    rows = [(i, "\n".join(x), "en", "a", 1) for i, x in enumerate([[a, "p", b], [b, "q", a], [c, "r", c], [b, "s", a, "t", c], [d, "", c, "", d], ["u", c, "v", c, "w"], ["x", d, "", c], [a, b], ["y", b, a, "z"]])]
+    pool = [prose(640 + i, 4) for i in range(8)]
+    rng = random.Random(4)
+    rows += [(20 + i, "\n".join([rng.choice([*pool, f"own {i} {j}", ""]) for j in range(9)] + [f"own {i}"]), "en", "a", 1) for i in range(40)]
+    out = {r.doc_id: r for r in line_dedup.line_dedup(documents(spark, rows)).collect()}
+    want = lines_gone_by_all_pairs(rows)
+    for i, text, *_ in rows:
+        kept = [x for j, x in enumerate(text.split("\n")) if x and j not in want[i]]
+        left = text if out[i].kept_text is None else out[i].kept_text
+        assert [x for x in left.split("\n") if x] == kept
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.line_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
