@@ -24,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import emit_rows, lists, map_texts
@@ -200,8 +200,8 @@ def tiles(blocks: DataFrame) -> DataFrame:
     return rows.select("node", "weight", block.alias("block"), side.alias("side"), group.alias("group"))
 
 
-def jaccard_join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = 5, threshold: float = 0.8, recall: float = 0.999, seed: int = 7) -> DataFrame:
-    """(id_col, class_id, n_links, n_copies) for every row of docs."""
+def labelled_nodes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = 5, threshold: float = 0.8, recall: float = 0.999, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(id_col, node) for every row of docs, and (node, rep, weight, links, label) for every set; sets of one label are a class."""
     bands, rows = band_plan(threshold, recall)
 
     def sign():
@@ -242,16 +242,32 @@ def jaccard_join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n:
     labels = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     merged = classes.select("node", "rep", "weight").join(links, "node", "left").join(labels, "node", "left")
-    merged = merged.withColumn("label", F.coalesce("label", "node"))
+    return members, merged.withColumn("label", F.coalesce("label", "node"))
+
+
+def jaccard_join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """(id_col, class_id, n_links, n_copies) for every row of docs; options are those of labelled_nodes()."""
+    members, merged = labelled_nodes(docs, text, id_col, **options)
     heads = merged.groupBy("label").agg(F.min("rep").alias("class_id"))
     merged = merged.join(heads, "label").select("node", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("weight").alias("n_copies"))
     return members.join(merged, "node").select(id_col, "class_id", "n_links", "n_copies")
 
 
-def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """docs with one row of each class: a row with the class's smallest id."""
-    joined = written(jaccard_join(docs, text, id_col, **options))
-    stay = joined.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    kept = docs.join(stay, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
-    repeated = joined.groupBy(id_col).count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col, text]) if repeated else kept
+def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = 5, **options) -> DataFrame:
+    """docs with one row of each class: of the rows with the class's smallest id and that id's smallest set, the first by its values."""
+    members, merged = labelled_nodes(docs, text, id_col, n=n, **options)
+    first = merged.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("x"))
+    first = written(first.select(F.col("x.node").alias("__node"), F.col("x.rep").alias("__rep")))
+
+    def sign():
+        def make(texts: pa.Array, _: pa.RecordBatch) -> list[pa.Array]:
+            return [pa.array(digests(*ngram_sets(words_of(texts, SPACE_SEPARATED), n)), pa.binary())]
+
+        return make
+
+    kept = map_texts(docs, text, docs.columns, "__node binary", sign).join(first, "__node").where(F.col(id_col).eqNullSafe(F.col("__rep")))
+    if members.groupBy("node", id_col).count().where("count > 1").limit(1).count():
+        others = F.to_json(F.struct(*(c for c in docs.columns if c != text))) if len(docs.columns) > 1 else F.lit("")
+        order = Window.partitionBy("__node").orderBy(text, others)
+        kept = kept.withColumn("__place", F.row_number().over(order)).where("__place = 1")
+    return kept.select(*docs.columns)

@@ -102,6 +102,17 @@ def test_keep_one_of_each_class(spark):
     assert set(got) == classes and got[12] == 2 and all(n == 1 for i, n in got.items() if i not in (12, None))
 
 
+def test_keep_one_of_classes_with_null_and_repeated_ids(spark):
+    """One row of each class, also where ids are null or stand for several texts."""
+    base, null_only = near_group(3, 30), near_group(4, 31)
+    rows = [(1, base[0]), (None, base[1]), (None, base[2]), *((None, t) for t in null_only), (None, null_only[0]), (7, prose(32, 60)), (7, base[0]), (8, prose(33, 60)), (8, prose(32, 60)), (None, prose(34, 60))]
+    rows = [(i, t, "en", "a", 1) for i, t in rows]
+    out = jaccard.keep_one(documents(spark, rows)).collect()
+    assert Counter(r.doc_id for r in out) == Counter([1, None, 7, 8, None])
+    assert {r.text for r in out if r.doc_id} == {base[0], prose(32, 60), prose(33, 60)}
+    assert sorted(r.text in null_only for r in out if r.doc_id is None) == [False, True]
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_join(spark.createDataFrame([], SCHEMA)).collect() == []
 
