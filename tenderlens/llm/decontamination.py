@@ -14,6 +14,8 @@ documents each, and hits are united per document.
 
 Defined results: null or empty texts have no words, no hits and are clean;
 an item without words matches nothing; repeated items count under each id;
+items without an id mark words like others, count as one item together, and are
+missing from item_ids and the hash of the ids;
 repeated documents are judged row by row; empty tables give empty results.
 """
 
@@ -120,7 +122,7 @@ class SuffixAutomaton:
 class Matcher:
     """The automaton with the tables that find the stretches worth walking."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int) -> None:
         self.ids = [i for i, _ in items]
         words = words_of(pa.array([t for _, t in items], pa.string()), ALPHANUMERIC, fold=True)
         self.vocabulary = np.unique(words.hashes)
@@ -154,7 +156,7 @@ class Matcher:
         keep = ends - starts >= self.least
         return numbers, starts[keep], ends[keep]
 
-    def scan(self, words: Words, items: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
+    def scan(self, words: Words, items: list[set[str | None]]) -> tuple[np.ndarray, np.ndarray]:
         """Word ranges (of the batch) that match; adds the items seen in each row to `items`."""
         numbers, starts, ends = self.stretches(words.hashes, words.bounds)
         first, last = [], []
@@ -189,14 +191,14 @@ def without(words: Words, row: int, hit: np.ndarray, longest: int, all_spans: bo
     return b"".join([*out, words.data[at : words.offsets[row + 1]].tobytes()]).decode()
 
 
-def reported(words: Words, first: np.ndarray, last: np.ndarray, items: list[set[str]], texts: pa.Array, longest: int, share: int, clean: bool) -> list[pa.Array]:
+def reported(words: Words, first: np.ndarray, last: np.ndarray, items: list[set[str | None]], texts: pa.Array, longest: int, share: int, clean: bool) -> list[pa.Array]:
     hit = hit_words(len(words.hashes), first, last)
     total = np.concatenate([[0], np.cumsum(hit)])
     n_words, n_hit = words.counts, total[words.bounds[1:]] - total[words.bounds[:-1]]
     bad = (n_hit > 0) & (share * n_hit >= n_words)
-    ids = [sorted(x) for x in items]
+    ids = [sorted(x - {None}) for x in items]
     digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]
-    out = [pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in ids], pa.int64()), pa.array(digest), pa.array(bad), pa.array(ids, pa.list_(pa.string()))]
+    out = [pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digest), pa.array(bad), pa.array(ids, pa.list_(pa.string()))]
     if clean:
         changed = [without(words, r, hit, longest, bool(bad[r])) if n_hit[r] else None for r in range(len(ids))]
         out.append(pc.if_else(pa.array(n_hit > 0), pa.array(changed, pa.string()), texts))
@@ -208,7 +210,7 @@ def item_groups(benchmark: DataFrame, id_col: str, text: str, max_words: int) ->
     size = F.octet_length(F.coalesce(F.col(text), F.lit("")))
     total = benchmark.agg(F.sum(size)).first()[0] or 0
     groups = 1 + total // (2 * max_words)  # a word and its separator take two bytes at least
-    items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text"))
+    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text"))
     return items.withColumn("group", F.pmod(F.xxhash64("id", "text"), F.lit(groups))), groups
 
 
@@ -242,7 +244,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                     return reported(words, first, last, seen, texts, longest, share, clean)
                 hit = hit_words(len(words.hashes), first, last)
                 ranges = [[int(x) for pair in zip(*spans(hit[a:b]), strict=True) for x in pair] for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
-                return [texts, pa.array([{"at": a, "ids": sorted(i)} for a, i in zip(ranges, seen, strict=True)], FOUND_TYPE)]
+                return [texts, pa.array([{"at": a, "ids": list(i)} for a, i in zip(ranges, seen, strict=True)], FOUND_TYPE)]
 
             return make
 

@@ -89,6 +89,20 @@ def test_decontamination_equals_brute_force(spark, max_words):
         assert (r.clean_text == r.text) if not r.n_hit else (not r.contaminated or len(ALNUM.findall(fold(r.clean_text))) <= r.n_words - r.n_hit + 1)
 
 
+@pytest.mark.parametrize("max_words", [200_000, 60])
+def test_items_without_id_contaminate(spark, max_words):
+    """As in the query's SQL: they mark words and count as one item, whose id is in no hash."""
+    items = [*ITEMS, (None, prose(55, 15)), (None, None)]
+    rows = [*contaminated_rows(), (930, f"{prose(54, 20)} {prose(55, 15)}", "en", "a", 1), (931, f"{prose(54, 20)} {ITEMS[1][1]}", "en", "a", 1)]
+    found = decontamination.decontaminate(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id string, text string"), max_words=max_words).collect()
+    out = {r.doc_id: r for r in found}
+    none, b = hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"b").hexdigest()
+    got = {i: (out[i].n_words, out[i].n_hit, out[i].n_items, out[i].items_sha256, out[i].item_ids, out[i].contaminated) for i in (922, 930, 931)}
+    assert got == {922: (20, 20, 1, none, [], True), 930: (35, 35, 1, none, [], True), 931: (33, 33, 2, b, ["b"], True)}
+    named = hits_by_force([r for r in rows if r[0] not in got], ITEMS)
+    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found if r.doc_id not in got) == named
+
+
 def test_decontamination_of_and_by_nothing(spark):
     docs, items = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "item_id string, text string")
     assert decontamination.decontaminate(docs, items).collect() == []
