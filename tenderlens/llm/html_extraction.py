@@ -4,9 +4,12 @@ Every text block (what stands between block-level tags) has a path of tags and
 first classes from the root.  Per path, text length and punctuation are
 aggregated over its blocks; both ratios are smoothed along the page, fused by
 multiplication, and paths above a share of the page's peak are content.  The
-deepest element that holds nearly all content text is the article; its blocks
-are the text, without elements whose tag or class names a page part that is not
-article (menus, footers, adverts, forms, reader comments, ...).
+outermost article or main element that holds all content text is the article, or
+without one the deepest container that does; all its blocks are the text,
+headlines and leads included, without elements whose tag, class, role or whole
+id names a page part that is not article (menus, footers, adverts, forms, reader
+comments, ...).  Parts of ids exclude nothing, nor do ids of headings: they are
+often made from the heading's words.
 
 Character references are decoded once, white space inside a block becomes one
 space, blocks are joined by one line end, nothing is cut by length.
@@ -38,6 +41,7 @@ NOT_ARTICLE = frozenset("head script style noscript template textarea title ifra
 NOT_ARTICLE_NAMES = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login menu nav navbar navigation newsletter notice notices pagination popup promo promotion related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
 CONTAINERS = frozenset("html body article center div main section table".split())
 ARTICLE_NAMES = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MODIFIERS = frozenset("has no with without".split())
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
@@ -47,31 +51,34 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
 class Block:
-    """A block's text, the path of its tags, and the containers (by number) that hold it."""
+    """A block's text, the path of its tags, and the containers and articles (by number) that hold it."""
 
-    __slots__ = ("path", "holders", "text", "inside")
+    __slots__ = ("path", "holders", "articles", "text", "inside")
 
-    def __init__(self, path: str, holders: tuple[int, ...], text: str, inside: bool) -> None:
-        self.path, self.holders, self.text, self.inside = path, holders, text, inside
+    def __init__(self, path: str, holders: tuple[int, ...], articles: tuple[int, ...], text: str, inside: bool) -> None:
+        self.path, self.holders, self.articles, self.text, self.inside = path, holders, articles, text, inside
 
 
-def named(attributes: str) -> tuple[str, set[str]]:
-    """The first class, and all words of class, id and role."""
-    first, words = "", set()
+def named(attributes: str) -> tuple[str, set[str], set[str], set[str]]:
+    """The first class, all words of class and role, whole ids, and words of ids."""
+    first, words, ids, id_words = "", set(), set(), set()
     for m in NAMES.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "class" and value.split():
             first = value.split()[0]
         for name in value.split():
             parts = re.split(r"[_-]+", name)
-            words.update(parts if parts[0] not in MODIFIERS else ())  # with-sidebar names the page, not the bar
-    return first, words
+            own = id_words if m[1].lower() == "id" else words
+            own.update(parts if parts[0] not in MODIFIERS else ())  # with-sidebar names the page, not the bar
+            if own is id_words:
+                ids.add(name)
+    return first, words, ids, id_words
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks outside excluded elements, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, int, bool, bool]] = []  # tag, path, number, excluded, within an article
+    stack: list[tuple[str, str, int, bool, bool, bool]] = []  # tag, path, number, excluded, within an article, an article element
     parts: list[str] = []
     number = at = 0
 
@@ -80,7 +87,7 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         if text and not (stack and stack[-1][3]):
             own = [s for s in stack if s[0] not in INLINE]
-            out.append(Block(own[-1][1] if own else "", tuple(s[2] for s in own if s[0] in CONTAINERS), text, bool(stack) and stack[-1][4]))
+            out.append(Block(own[-1][1] if own else "", tuple(s[2] for s in own if s[0] in CONTAINERS), tuple(s[2] for s in own if s[5]), text, bool(stack) and stack[-1][4]))
 
     def close(upto: int) -> None:
         if any(s[0] not in INLINE for s in stack[upto:]) or (stack and stack[-1][3]):
@@ -121,17 +128,18 @@ def blocks(page: str) -> list[Block]:
                 break
             if stack[i][0] in SCOPES:
                 break
-        first, words = named(m[3])
-        above = stack[-1] if stack else ("", "", 0, False, False)
-        article = tag in ARTICLE_NAMES or "main" in words
-        excluded = above[3] or (tag in NOT_ARTICLE and not (tag == "header" and above[4])) or bool(words & NOT_ARTICLE_NAMES - ({"header"} if above[4] else set()) and not article_root(tag)) or bool(HIDDEN.search(m[3]))
+        first, words, ids, id_words = named(m[3])
+        names = words if tag in HEADINGS else words | ids
+        above = stack[-1] if stack else ("", "", 0, False, False, False)
+        article = tag in ARTICLE_NAMES or "main" in words | id_words
+        excluded = above[3] or (tag in NOT_ARTICLE and not (tag == "header" and above[4])) or bool(names & NOT_ARTICLE_NAMES - ({"header"} if above[4] else set()) and not article_root(tag)) or bool(HIDDEN.search(m[3]))
         if tag not in INLINE or excluded and not above[3]:
             flush()
         number += 1
         path = above[1] if tag in INLINE else f"{above[1]}/{tag}.{first}"
         if m[3].endswith("/"):
             continue
-        stack.append((tag, path, number, excluded, above[4] or article and not excluded))
+        stack.append((tag, path, number, excluded, above[4] or article and not excluded, article and tag not in INLINE and not article_root(tag)))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             parts.clear()
@@ -175,20 +183,19 @@ def content_paths(found: list[Block], share: float) -> set[str]:
     return {p for p, s in fused.items() if s > 0 and s >= share * peak}
 
 
-def main_text(page: str | None, share: float = 0.5, held: float = 0.95) -> str:
-    """The article's blocks: those within the deepest element that holds `held` of the content paths' text."""
+def main_text(page: str | None, share: float = 0.5) -> str:
+    """The article's blocks: those within the outermost article, or else the deepest container, that holds all text of content paths."""
     found = blocks(page or "")
     paths = content_paths(found, share)
-    inside: dict[int, int] = {}
-    total = 0
-    for b in found:
-        if b.path in paths:
-            total += len(b.text)
-            for e in b.holders:
-                inside[e] = inside.get(e, 0) + len(b.text)
-    if not total:
+    content = [b for b in found if b.path in paths]
+    if not content:
         return ""
-    root = max((e for e, n in inside.items() if n >= held * total), default=None)  # numbers rise with depth
+    articles = set.intersection(*(set(b.articles) for b in content))
+    holders = set.intersection(*(set(b.holders) for b in content))
+    if articles:
+        root = min(articles)  # numbers rise with depth
+        return "\n".join(b.text for b in found if root in b.articles)
+    root = max(holders, default=None)
     return "\n".join(b.text for b in found if root is None or root in b.holders)
 
 

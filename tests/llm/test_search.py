@@ -127,6 +127,21 @@ def test_main_text_of_pages(spark):
     assert all(r.n_chars == len(r.text) and r.size == "kept" for r in out)
 
 
+LONG = " ".join(f"Sentence {i} of the body, long enough, ends here." for i in range(200))
+WHOLE_ARTICLES = [
+    (f"<body><nav>Menu</nav><article><h1>Title</h1><p class=lead>A lead.</p><div class=body><p>{LONG}</p></div></article></body>", f"Title\nA lead.\n{LONG}"),
+    (f"<main><h1>Title</h1><article><div class=body><p>{LONG}</p></div></article></main>", f"Title\n{LONG}"),
+    (f"<div class=page><div class=a><p>{LONG}</p></div><div class=a><p>{LONG[:300]}</p></div></div>", f"{LONG}\n{LONG[:300]}"),
+    (f"<article><h2 id=notice>Notice</h2><p>{LONG}</p><section id=related-work><h2>Related work</h2><p>Others, too.</p></section></article>", f"Notice\n{LONG}\nRelated work\nOthers, too."),
+    (f"<body><article><p>{LONG}</p><div id=comments><p>First, ha.</p></div><div class=related-posts><p>More, here.</p></div></article></body>", LONG),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), WHOLE_ARTICLES)
+def test_article_keeps_headline_lead_and_slugs(page, text):
+    assert html_extraction.main_text(page) == text
+
+
 def test_no_page(spark):
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
