@@ -12,7 +12,7 @@ with bounded input; scoring runs over every text, in Arrow batches.
 
 Defined results: null and empty texts have no sentence and score 0; labels
 that disagree on one id count as toxic, null labels are ignored; without any
-usable label all scores come from the starting bias; repeated rows score alike.
+usable label all scores are 0; repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     found = rows.mapInArrow(run_or_none(run), "w binary").collect()
     if not found:
         w = np.zeros((1 << BITS) + 1, np.float32)
-        w[-1] = START_BIAS
+        w[-1] = -np.inf  # nothing was learnt: no sentence is toxic
         return w
     return np.frombuffer(bytes(found[0][0]), np.float32)
 

@@ -104,3 +104,11 @@ def test_toxicity_without_labels_or_rows(spark):
     out = toxicity.toxicity(spark.createDataFrame(odd_documents(), SCHEMA), none).collect()
     assert all(r.predicted == 0 or len(words(r.text)) > 100 for r in out)
     assert toxicity.toxicity(spark.createDataFrame([], SCHEMA), none).collect() == []
+
+
+def test_toxicity_without_labels_scores_long_texts_zero(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(1, "A clean sentence. " * 5000, "en", "a", 1)], SCHEMA)
+    out = toxicity.toxicity(docs, none).collect()
+    assert [(r.score, r.predicted, r.offending) for r in out] == [(0, 0, [])]
+    assert toxicity.keep_clean(docs, none).count() == 1
