@@ -119,6 +119,22 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def row_hashes(values: np.ndarray, bounds: np.ndarray, stretch: int = 1 << 17) -> np.ndarray:
+    """Order-dependent 64-bit hash of every row's values; a row longer than a stretch is the sequence of its stretches' hashes."""
+    out = np.zeros(len(bounds) - 1, np.uint64)
+    i = 0
+    while i < len(out):
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + stretch, "right")) - 1)
+        own = values[bounds[i] : bounds[j]]
+        if len(own) > stretch:
+            parts = [range_hashes(p, np.array([0]), np.array([len(p)])) for p in np.split(own, range(stretch, len(own), stretch))]
+            out[i] = range_hashes(np.concatenate(parts), np.array([0]), np.array([len(parts)]))[0]
+        else:
+            out[i:j] = range_hashes(own, bounds[i:j] - bounds[i], bounds[i + 1 : j + 1] - bounds[i])
+        i = j
+    return out
+
+
 def words_of(column: pa.Array | pa.ChunkedArray, inside: np.ndarray = SPACE_SEPARATED, fold: bool = False) -> Words:
     """Words of every row; fold lower-cases A-Z, and only those."""
     data, offsets = text_buffer(column)

@@ -30,16 +30,93 @@ def test_lm_learns_what_follows_what(spark):
     assert out and all(r.score > r.base_score + 2 for r in out)
 
 
-def test_lm_probabilities_sum_to_one():
-    texts = pa.array(["the cat sat on the mat the cat ran", "dogs ran to the cat"])
-    t = lm.Tokens(texts)
-    h, at, c = np.unique(t.hashes, return_index=True, return_counts=True)
-    vocabulary = lm.Vocabulary(h[:4], c[:4])
+def mixed(x):
+    """The 64-bit finaliser, in plain integers."""
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % (1 << 64)
+    return x ^ (x >> 31)
+
+
+def plain_model(texts, counts, rows):
+    """Weight rows and class of each token, by plain Python over words: ranks by count and hash, suffix of two bytes."""
+    rank = {h: i for i, (h, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])))}
+    units, out = rows // lm.ROWS_PER_UNIT, []
+    for text in texts:
+        parts = [w for w in words(fold(text))]
+        hashes = [int(h) for h in lm.words_of(pa.array([" ".join(parts)]), lm.SPACE_SEPARATED, fold=True).hashes] + [int(lm.END)]
+        ends = [int(lm.words_of(pa.array([w.encode()[-2:].decode("latin1")]), lm.SPACE_SEPARATED).hashes[0]) % lm.SUFFIX_CLASSES for w in parts] + [lm.END_CLASS]
+        unit = [rank[h] if rank.get(h, units) < units else units + e for h, e in zip(hashes, ends)]
+        for i, (h, e) in enumerate(zip(hashes, ends)):
+            one, two, three = (unit[i - k] if i >= k else units + lm.SUFFIX_CLASSES for k in (1, 2, 3))
+            wide = 1 << 20
+            keys = (one, two + wide, three + 2 * wide, one * wide + two + wide * wide)
+            out.append(([mixed(k) % rows for k in keys], rank[h] if rank.get(h, lm.SINGLES) < lm.SINGLES else lm.SINGLES + e))
+    return out
+
+
+def test_lm_class_probabilities_equal_a_plain_model_with_given_weights():
+    texts = ["the cat sat on the mat the cat ran", "dogs ran to the cat", "", "A a b " * 700]
+    t = lm.Tokens(pa.array(texts))
+    h, c = np.unique(t.hashes, return_counts=True)
+    vocabulary = lm.Vocabulary(h[:9], c[:9], 1 << 13)
     rng = np.random.default_rng(1)
-    weights, bias = rng.normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32), rng.normal(size=lm.CLASSES).astype(np.float32)
-    features = vocabulary.features(t, vocabulary.find(t.hashes))
-    p = np.exp(lm.log_softmax(weights, bias, features).astype(np.float64))
-    assert p.sum(1) == pytest.approx(1, abs=1e-5)
+    weights, bias = rng.normal(size=(1 << 13, lm.CLASSES)).astype(np.float32), rng.normal(size=lm.CLASSES).astype(np.float32)
+    rank = vocabulary.find(t.hashes)
+    features, classes = vocabulary.features(t, rank), vocabulary.classes(t, rank)
+    plain = plain_model(texts, dict(zip(h[:9].tolist(), c[:9].tolist())), 1 << 13)
+    assert features.T.tolist() == [f for f, _ in plain] and classes.tolist() == [k for _, k in plain]
+    got = lm.log_probabilities(weights, bias, features, classes)
+    for own, (f, k) in zip(got, plain, strict=True):
+        z = [float(bias[j]) + sum(float(weights[r, j]) for r in f) for j in range(lm.CLASSES)]
+        assert own == pytest.approx(z[k] - math.log(sum(math.exp(x) for x in z)), abs=1e-4)
+    every = sum(np.exp(lm.log_probabilities(weights, bias, features, np.full(len(classes), k))) for k in range(lm.CLASSES))
+    assert every == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_gradient_step_equals_a_plain_sum():
+    rng = np.random.default_rng(5)
+    n = 3000
+    rows, classes = (rng.pareto(0.8, (lm.KINDS, n)) * 3).astype(np.int64) % 64, rng.integers(0, lm.CLASSES, n)
+    bias, scale = np.zeros(lm.CLASSES, np.float32), np.full(lm.CLASSES, 0.02, np.float32)
+    weights, seen = np.zeros((64, lm.CLASSES), np.float32), np.zeros(64, np.float32)
+    slope = lm.slopes(weights, bias, rows, classes)[:-1].astype(np.float64)
+    assert slope.sum(1) == pytest.approx(0, abs=1e-5)
+    for kind in range(lm.KINDS):  # the kinds' updates follow one another, all from the same slopes
+        grad = np.zeros((64, lm.CLASSES))
+        np.add.at(grad, rows[kind], slope)
+        order = np.argsort(rows[kind])
+        _, sizes = np.unique(rows[kind], return_counts=True)
+        sums = lm.sums_of(np.vstack([slope, np.zeros(lm.CLASSES)]), order, sizes)
+        assert np.allclose(sums, grad[np.unique(rows[kind])], atol=1e-9)
+    lm.learn(weights, bias, seen, rows, classes, scale)
+    assert seen.sum() == lm.KINDS * n and np.abs(weights).max() > 0
+
+
+def test_lm_hash_index_and_row_hashes():
+    rng = np.random.default_rng(2)
+    known = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)) | np.uint64(3 << 62)  # leading bits collide
+    known = np.unique(known)
+    index = lm.HashIndex(known)
+    assert index.find(known).tolist() == list(range(len(known)))
+    assert (index.find(rng.integers(0, 1 << 61, 5000, dtype=np.uint64)) == -1).all()
+    assert lm.HashIndex(known[:0]).find(known[:3]).tolist() == [-1, -1, -1]
+    values, bounds = rng.integers(0, 9, 500, dtype=np.uint64), np.array([0, 0, 3, 200, 203, 500])
+    tail = np.concatenate([values[200:203], values])
+    for stretch in (50, 1 << 17):  # the same rows hash alike wherever they stand
+        assert lm.row_hashes(values, bounds, stretch)[3] == lm.row_hashes(tail, np.array([0, 3, 503]), stretch)[0]
+        assert len(set(lm.row_hashes(values, bounds, stretch).tolist())) == 5
+
+
+def test_lm_frequent_words_with_ties(spark):
+    """A level that does not fit whole is taken in part: ties leave neither an empty vocabulary nor one above `head`."""
+    counts = spark.range(20_000).selectExpr("id * 7919 as word", "cast(1 as byte) as suffix", "cast(if(id < 10, 1000, 3) as long) as n")
+    _, _, c = lm.frequent(counts, 5000)
+    assert 4900 <= len(c) <= 5000 and (c == 1000).sum() == 10
+    assert len(lm.frequent(counts, 20_000)[0]) == 20_000
+    assert 2 <= len(lm.frequent(counts.where("n = 1000"), 8)[0]) <= 8
+
+
+def test_lm_inside_a_class_probabilities_sum_to_one():
     # inside a class: all its known words and the mass for unknown ones
     counts = np.array([3.0, 1.0, 7.0])
     inside = (counts + lm.SMOOTH) / (counts.sum() + lm.SMOOTH * (len(counts) + 1))
