@@ -5,7 +5,6 @@ Patterns carry (?iu)(?U), because case folding and classes are ASCII-only otherw
 
 from __future__ import annotations
 
-import html
 import unicodedata
 
 import pandas as pd
@@ -66,27 +65,12 @@ def flag(c: Column) -> Column:
     return F.lower(F.trim(c)).isin("true", "1", "si", "sí")
 
 
-
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC, which Spark has no function for."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def html_unescape(s: pd.Series) -> pd.Series:
-    """All named and numeric character references."""
-    return s.map(html.unescape, na_action="ignore")
-
-
-def unescape(c: Column) -> Column:
-    """Undo entities; only texts that hold one go through the UDF's branch for rare ones."""
-    common = c
-    for name, value in (("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">")):
-        common = F.replace(common, F.lit(name), F.lit(value))
-    return F.replace(common, F.lit("&amp;"), F.lit("&"))
-
-
 # Characters that quotes may differ in, and what they count as.
 DASHES = "‐‑‒–—"
 QUOTES = {"‘": "'", "’": "'", "“": '"', "”": '"'}

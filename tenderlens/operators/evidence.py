@@ -12,9 +12,10 @@ WINDOW = 6
 # Points of a page, and the kinds of requirement that weigh most.
 POINTS = {"section": 3, "core": 2, "other": 1, "figure": 1, "index": -3}
 CORE = ("volumen_negocios", "trabajos_similares", "clasificacion")
-LEADERS, LEAST_LEADERS = r"\.{5,}", 3
 TYPES = ("volumen_negocios", "trabajos_similares", "certificaciones", "clasificacion", "habilitacion", "adscripcion", "remite", "no_se_exige")
+LEADERS, LEAST_LEADERS = r"\.{5,}", 3
 SHORTEST_QUOTE, LONGEST_QUOTE, MOST_REQUIREMENTS = 10, 400, 8
+# How a clause cites an annex, and the leaders of an index page.
 REFERENCE = r"anexo\s*n?[ºo°.]{0,3}\s*([IVXLC]+|\d{1,2})\b"
 
 
@@ -43,18 +44,23 @@ def anchor_window(scores: DataFrame, cap: int = WINDOW) -> DataFrame:
 
 
 def locate(pages: DataFrame, patterns: dict = PATTERNS, cap: int = WINDOW) -> DataFrame:
-    """(doc_id, page_no, score, route): the window by score, else by annexes, else one row without page that says why."""
-    text = pages.where(is_text())
-    scored = text.select("doc_id", "page_no", page_score(patterns).alias("score"), F.when(found("text", patterns["annexes"]), 1).otherwise(0).alias("annex"))
-    main = anchor_window(scored.select("doc_id", "page_no", "score"), cap).withColumn("route", F.lit("solvencia"))
-    weak = scored.groupBy("doc_id").agg(F.max("score").alias("m")).where("m = 0").select("doc_id")
-    second = scored.join(weak, "doc_id", "left_semi").select("doc_id", "page_no", F.col("annex").alias("score"))
-    second = anchor_window(second, cap).withColumn("route", F.lit("anexos"))
-    hit = main.unionByName(second)
-    docs = pages.groupBy("doc_id").agg(F.bool_or(is_text()).alias("readable"))
-    none = docs.join(hit.select("doc_id").distinct(), "doc_id", "left_anti")
-    none = none.select("doc_id", F.lit(None).cast("int").alias("page_no"), F.lit(0).alias("score"), F.when(F.col("readable"), "no_localizada").otherwise("no_localizada: sin texto").alias("route"))
-    return hit.select("doc_id", F.col("page_no").cast("int").alias("page_no"), "score", "route").unionByName(none)
+    """(doc_id, page_no, score, route): the window by score, else by annexes, else one row without page that says why.
+
+    One pass over the texts and one shuffle by document: what a document goes by is decided on its pages' scores.
+    """
+    doc = Window.partitionBy("doc_id")
+    rows = pages.select("doc_id", "page_no", is_text().alias("t"), F.when(is_text(), page_score(patterns)).alias("s"), F.when(is_text() & found("text", patterns["annexes"]), 1).otherwise(0).alias("a"))
+    rows = rows.withColumns({"main": F.coalesce(F.max("s").over(doc) > 0, F.lit(False)), "readable": F.bool_or("t").over(doc)})
+    score = F.when(~F.col("t"), 0).when(F.col("main"), F.col("s")).otherwise(F.col("a"))
+    rows = rows.withColumns({"score": score, "n": F.row_number().over(doc.orderBy(F.desc("t"), "page_no"))})
+    best = F.max(F.struct("score", -F.col("n"))).over(doc)
+    rows = rows.withColumns({"best": best["score"], "at": -best["col2"]})
+    within = F.col("t") & (F.col("best") > 0) & (F.col("n") >= F.col("at")) & (F.col("n") < F.col("at") + cap)
+    rows = rows.withColumn("in", within).withColumn("last", F.max(F.when(F.col("in") & (F.col("score") > 0), F.col("n"))).over(doc))
+    none = F.col("best") <= 0
+    rows = rows.where((F.col("in") & (F.col("n") <= F.col("last"))) | (none & (F.col("n") == 1)))
+    route = F.when(none & F.col("readable"), "no_localizada").when(none, "no_localizada: sin texto").when(F.col("main"), "solvencia").otherwise("anexos")
+    return rows.select("doc_id", F.when(~none, F.col("page_no")).cast("int").alias("page_no"), "score", route.alias("route"))
 
 
 def requirement_hints(pages: DataFrame, patterns: dict = PATTERNS) -> DataFrame:
@@ -146,3 +152,11 @@ def reading_rows(located: DataFrame, verified: DataFrame, hopped: DataFrame) ->
     return rows.select("doc_id", F.when(F.col("more").isNotNull(), F.concat("route", F.lit("+anexo"))).otherwise(F.col("route")).alias("route"), F.array_sort(F.array_union("pages", F.coalesce("more", F.array().cast("array<int>")))).alias("pages"), state.alias("state"), "total", "verified")
 
 
+def both_passes(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Requirements of two reading passes, those of the first before those of the annex, with the number of their pass."""
+    return first.withColumn("reading_pass", F.lit(1)).unionByName(second.withColumn("reading_pass", F.lit(2)))
+
+
+def replace_readings(stored: DataFrame, fresh: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Requirements after documents were read again: what a fresh reading says replaces all that was stored of its document."""
+    return stored.join(fresh.select(*keys).distinct(), list(keys), "left_anti").unionByName(fresh)

@@ -57,27 +57,54 @@ def rate(part: Column, whole: Column) -> Column:
 
 
 def feed_profile(notices: DataFrame, published: str, awarded: Column, it: Column) -> DataFrame:
-    """One row of measures of a feed sample (entry_id, entry_updated, state, winner, solvency flags, lots)."""
+    """One row of measures of a feed sample (entry_id, entry_updated, state, winner, solvency and its flags, pcap, lots).
+
+    Rates are per cent, null where there is nothing to divide by; days run from the first to the last one.
+    """
     n = F.count(F.lit(1))
-    days = F.datediff(F.max(F.to_date("entry_updated")), F.min(F.to_date("entry_updated"))) + 1
-    new = F.count_distinct(F.when(F.col("state") == published, F.col("entry_id")))
+    first, last = F.min(F.to_date("entry_updated")), F.max(F.to_date("entry_updated"))
+    days = F.greatest(F.coalesce(F.datediff(last, first), F.lit(0)) + 1, F.lit(1))
+    per_day = lambda c: F.round(c / days, 2)
+    is_new = F.col("state") == published
+    new, new_it = F.count_distinct(F.when(is_new, F.col("entry_id"))), F.count_distinct(F.when(is_new & it, F.col("entry_id")))
+    with_text, figure = F.count_if(F.col("solvency").isNotNull()), F.count_if(F.col("solvency").isNotNull() & F.col("with_figure"))
+    defers = F.count_if(F.col("solvency").isNotNull() & F.col("defers"))
     return notices.agg(
         n.alias("entries"),
+        first.alias("first_day"),
+        last.alias("last_day"),
+        days.cast("long").alias("days"),
         F.count_distinct("entry_id").alias("dossiers"),
         F.count_distinct("state").alias("states"),
-        days.cast("long").alias("days"),
-        F.round(n / days, 2).alias("entries_per_day"),
+        per_day(n).alias("entries_per_day"),
         new.alias("new_dossiers"),
-        F.round(new / days, 2).alias("new_per_day"),
+        per_day(new).alias("new_per_day"),
+        F.count_if(it).alias("it"),
         rate(F.count_if(it), n).alias("pct_it"),
+        per_day(F.count_if(it)).alias("it_per_day"),
+        per_day(new_it).alias("new_it_per_day"),
         rate(F.count_if(F.col("pcap").isNotNull()), n).alias("pct_pcap"),
+        F.count_if(awarded).alias("awarded"),
         rate(F.count_if(awarded & F.col("winner").isNotNull()), F.count_if(awarded)).alias("pct_awarded_with_id"),
-        rate(F.count_if("with_figure"), F.count_if(F.col("solvency").isNotNull())).alias("pct_with_figure"),
-        rate(F.count_if("defers"), F.count_if(F.col("solvency").isNotNull())).alias("pct_defers"),
+        rate(with_text, n).alias("pct_with_solvency"),
+        rate(figure, with_text).alias("pct_with_figure"),
+        rate(defers, with_text).alias("pct_defers"),
+        rate(n - figure, n).alias("pct_without_figure"),
         rate(F.count_if(F.col("lots") > 0), n).alias("pct_with_lots"),
     )
 
 
+def feed_states(notices: DataFrame) -> DataFrame:
+    """(state, entries), most frequent first."""
+    return notices.groupBy("state").agg(F.count(F.lit(1)).alias("entries")).orderBy(F.desc("entries"), "state")
+
+
+def download_rate(docs: DataFrame) -> DataFrame:
+    """One row: documents that were tried, and the share of them that can be read."""
+    tried = F.count_if(F.col("state") != "pendiente")
+    return docs.agg(tried.alias("tried"), rate(F.count_if(F.col("state") == "descargado"), tried).alias("pct_readable"))
+
+
 def document_profile(pages: DataFrame, patterns: dict = PATTERNS, least: int = LEAST_TEXT) -> DataFrame:
     """Per document: pages, text pages, scanned, characters, first page of each requirement, section page, what stands near it, boxes, pages to read."""
     kinds = patterns["requirements"]
@@ -121,8 +148,6 @@ def corpus_profile(profiles: DataFrame) -> DataFrame:
         F.percentile("chars", 0.5).alias("chars_median"),
     )
     counts = profiles.groupBy("pages").agg(F.count(F.lit(1)).alias("c"))
-
-
     upto = F.sum("c").over(Window.orderBy("pages"))  # one row per distinct page count
     total = F.sum("c").over(Window.partitionBy())
     placed = counts.withColumns({"upto": upto, "place": F.greatest(F.lit(1), F.floor(total * 0.9))})
@@ -136,11 +161,17 @@ def requirement_frequency(profiles: DataFrame, kinds: list[str]) -> DataFrame:
     return rows.groupBy("r.kind").agg(F.count("r.page").alias("documents"), rate(F.count("r.page"), F.count(F.lit(1))).alias("pct"))
 
 
-def go_gates(feed: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Three thresholds on one-row profiles: GO only if all hold."""
-    both = feed.join(F.broadcast(corpus))
-    ok = (F.col("pct_pcap") >= 80) & (100 - F.col("pct_scanned") >= 70) & (F.col("pct_located") >= 50)
-    return both.select(F.when(ok, "GO").otherwise("REVISAR").alias("gate"), "pct_pcap", "pct_scanned", "pct_located")
+# Least per cent of awards that name their winner, of documents that can be read, and of entries without a figure.
+GATES = {"pct_awarded_with_id": 80, "pct_readable": 70, "pct_without_figure": 50}
+
+
+def go_gates(feed: DataFrame, downloads: DataFrame) -> DataFrame:
+    """One row of feed_profile() and download_rate(): GO only if every measure reaches its gate; a measure that is null does not."""
+    both = feed.join(F.broadcast(downloads))  # one row each
+    ok = F.lit(True)
+    for measure, least in GATES.items():
+        ok = ok & (F.coalesce(measure, F.lit(0.0)) >= least)
+    return both.select(F.when(ok, "GO").otherwise("REVISAR").alias("gate"), *GATES)
 
 
 def catalog_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.manifest import newest
-from .filters import open_notices
+from .filters import is_it, open_notices
 from .joins import not_yet_triaged, readable_candidates
 
 
@@ -30,14 +30,19 @@ def reading_queue(triage: DataFrame, docs: DataFrame, cards: DataFrame, current:
 MOST_ATTEMPTS = 3
 
 
-def download_queue(docs: DataFrame, current: DataFrame, limit: int, wanted: DataFrame | None = None) -> DataFrame:
-    """Documents still to fetch, of dossiers that are not withdrawn; with `wanted`, only of dossiers somebody passed."""
-    rows = docs.where(F.col("state").isin("pendiente", "error") & (F.col("attempts") < MOST_ATTEMPTS))
-    rows = rows.join(current.where("not withdrawn").select("entry_id", "deadline"), "entry_id")
+def download_queue(docs: DataFrame, current: DataFrame, limit: int, kind: str = "PCAP", only_it: bool = False, wanted: DataFrame | None = None) -> DataFrame:
+    """Documents of a kind still to fetch, of dossiers that are not withdrawn.
+
+    Without `wanted`: those of the latest version, nearest deadline first, on demand only of information
+    technology.  With `wanted` (entry_id): those of any version of a dossier that somebody passed, by id.
+    """
+    rows = docs.where((F.col("kind") == kind) & F.col("state").isin("pendiente", "error") & (F.col("attempts") < MOST_ATTEMPTS))
+    alive = current.where("not withdrawn")
     if wanted is not None:
-        rows = rows.join(wanted.select("entry_id").distinct(), "entry_id", "left_semi")
-        return rows.orderBy("doc_id").limit(limit)
-    return rows.orderBy(F.col("deadline").asc_nulls_last(), "doc_id").limit(limit)
+        alive = alive.select("entry_id").join(wanted.select("entry_id").distinct(), "entry_id", "left_semi")
+        return rows.join(alive, "entry_id", "left_semi").orderBy("doc_id").limit(limit)
+    alive = (alive.where(is_it(F.col("cpv"))) if only_it else alive).select("entry_id", "entry_updated", "deadline")
+    return rows.join(alive, ["entry_id", "entry_updated"]).orderBy(F.col("deadline").asc_nulls_last(), "doc_id").limit(limit)
 
 
 def batch_for_model(queue: DataFrame, n: int = 20) -> DataFrame:

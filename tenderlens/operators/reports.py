@@ -27,6 +27,19 @@ def digest_footer(days: DataFrame, triage: DataFrame, spend: DataFrame) -> DataF
     return rows.na.fill(0, ["triaged", "passed", "calls"]).na.fill(0.0, ["cost"])
 
 
+def digest_subject(days: DataFrame, cards: DataFrame) -> DataFrame:
+    """(alias, day, subject): what a company's message of a day says at a glance, also where the day brought nothing."""
+    n = cards.groupBy("alias", madrid_day(F.col("decided_at")).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "apta").alias("fit"))
+    rows = days.join(n, ["alias", "day"], "left").na.fill(0, ["n", "fit"])
+    text = lambda c: c.cast("string")
+    said = (
+        F.when(F.col("n") == 0, "nada nuevo")
+        .when(F.col("fit") > 0, F.concat(text(F.col("fit")), F.lit(" para presentarse, "), text(F.col("n")), F.lit(" en total")))
+        .otherwise(F.concat(text(F.col("n")), F.lit(" para revisar")))
+    )
+    return rows.select("alias", "day", F.concat(F.lit("Licitaciones · "), F.date_format("day", "dd-MM"), F.lit(": "), said).alias("subject"))
+
+
 def card_view(cards: DataFrame, notices: DataFrame, docs: DataFrame) -> DataFrame:
     """The newest card per notice and company with the notice and its first document."""
     last = newest(cards, ["alias", "entry_id"], [F.desc("decided_at"), F.asc("verdict")])

@@ -14,7 +14,7 @@ def _extreme(notices: DataFrame, pick, bound) -> DataFrame:
 
 
 def latest_versions(notices: DataFrame) -> DataFrame:
-    """The newest version of every dossier; equal instants by `tie`. One shuffle, no sort."""
+    """The newest version of every dossier; equal instants by `tie`. One shuffle; rows with strings are aggregated by sorting."""
     return _extreme(notices, F.max_by, F.max)
 
 

@@ -95,7 +95,7 @@ def j4_pending_for_config(v: Views) -> DataFrame:
     return joins.pending_for_config(v.triage.select("alias", "entry_id", "call_id"), done, ["alias", "entry_id"])
 
 
-_READABLE = "SELECT alias, entry_id, decision FROM triage t WHERE decision IN ('si', 'duda') AND entry_id IN (SELECT entry_id FROM docs WHERE kind = 'PCAP' AND state = 'descargado') AND NOT EXISTS (SELECT 1 FROM cards c WHERE c.alias = t.alias AND c.entry_id = t.entry_id)"
+_READABLE = "SELECT alias, entry_id, decision FROM triage t WHERE decision IN ('si', 'duda') AND entry_id IN (SELECT entry_id FROM docs WHERE kind = 'PCAP' AND state = 'descargado') AND (alias, entry_id) NOT IN (SELECT (alias, entry_id) FROM cards)"
 
 
 @query("triage docs cards", _READABLE)
@@ -167,10 +167,15 @@ def x2_won_and_passing(v: Views) -> DataFrame:
     return joins.inside(_won(v), _passing(v).where("variant = 'B'"), ["alias", "entry_id"])
 
 
-@query("won published companies", "SELECT entry_id FROM published WHERE entry_id NOT IN (SELECT entry_id FROM won JOIN companies USING (alias) WHERE turnover > 7000)")
+@query("won published companies", "SELECT entry_id FROM published WHERE entry_id NOT IN (SELECT entry_id FROM won)")
 def x3_universe_without_wins(v: Views) -> DataFrame:
-    won = joins.won_by(v.companies.where("turnover > 7000"), v.awards, v.versions, FIRST, LAST, CUTOFF)
-    return joins.outside(versions.as_published(v.versions, FIRST, LAST).select("entry_id"), won, ["entry_id"])
+    return joins.outside(versions.as_published(v.versions, FIRST, LAST).select("entry_id"), _won(v), ["entry_id"])
+
+
+@query("published triage", "SELECT entry_id FROM published WHERE entry_id NOT IN (SELECT entry_id FROM triage WHERE decision IN ('si', 'duda'))")
+def x3_universe_without_passes(v: Views) -> DataFrame:
+    passed = v.triage.where(F.col("decision").isin("si", "duda"))
+    return joins.outside(versions.as_published(v.versions, FIRST, LAST).select("entry_id"), passed, ["entry_id"])
 
 
 # -- filters ----------------------------------------------------------------
@@ -329,14 +334,27 @@ def w2_reading_queue(v: Views) -> DataFrame:
     return _reading(v).select("alias", "entry_id", F.col("place").cast("long").alias("place"))
 
 
-@query("current docs", "SELECT d.doc_id, c.deadline FROM docs d JOIN current c ON c.entry_id = d.entry_id WHERE NOT c.withdrawn AND d.state IN ('pendiente', 'error') AND d.attempts < 3 ORDER BY c.deadline NULLS LAST, d.doc_id LIMIT 500")
+_FETCHABLE = "d.kind = 'PCAP' AND d.state IN ('pendiente', 'error') AND d.attempts < 3 AND NOT c.withdrawn"
+_LATEST_DOCS = f"SELECT d.doc_id, c.deadline FROM version_docs d JOIN current c ON c.entry_id = d.entry_id AND c.entry_updated = d.entry_updated WHERE {_FETCHABLE}"
+
+
+@query("current version_docs", f"{_LATEST_DOCS} ORDER BY c.deadline NULLS LAST, d.doc_id LIMIT 500")
 def w3_download_queue(v: Views) -> DataFrame:
-    return queues.download_queue(v.docs, _current(v), 500).select("doc_id", "deadline")
+    return queues.download_queue(v.version_docs, _current(v), 500).select("doc_id", "deadline")
+
 
+@query("current version_docs", f"{_LATEST_DOCS} AND (starts_with(c.code, '72') OR starts_with(c.code, '48')) ORDER BY c.deadline NULLS LAST, d.doc_id LIMIT 500")
+def w3_download_queue_of_it(v: Views) -> DataFrame:
+    return queues.download_queue(v.version_docs, _current(v), 500, only_it=True).select("doc_id", "deadline")
 
-@query("current docs triage", "SELECT d.doc_id FROM docs d JOIN current c ON c.entry_id = d.entry_id WHERE NOT c.withdrawn AND d.state IN ('pendiente', 'error') AND d.attempts < 3 AND d.entry_id IN (SELECT entry_id FROM triage WHERE decision IN ('si', 'duda')) ORDER BY d.doc_id LIMIT 500")
+
+@query(
+    "current version_docs triage",
+    f"SELECT d.doc_id FROM version_docs d JOIN current c ON c.entry_id = d.entry_id WHERE {_FETCHABLE} "
+    "AND d.entry_id IN (SELECT entry_id FROM triage WHERE decision IN ('si', 'duda')) ORDER BY d.doc_id LIMIT 500",
+)
 def w3_download_queue_for_triage(v: Views) -> DataFrame:
-    return queues.download_queue(v.docs, _current(v), 500, v.triage.where("decision in ('si', 'duda')")).select("doc_id")
+    return queues.download_queue(v.version_docs, _current(v), 500, wanted=v.triage.where("decision in ('si', 'duda')")).select("doc_id")
 
 
 @query("current triage", f"SELECT alias, entry_id, (place - 1) // 20 AS batch, (place - 1) % 20 + 1 AS ref FROM ({_QUEUE}) q")
@@ -350,6 +368,16 @@ def w5_budget_cut(v: Views) -> DataFrame:
     return rows.select("alias", "entry_id", F.col("place").cast("long").alias("place"), F.round(F.col("spent_before").cast("double"), 6).alias("spent_before"), "runs")
 
 
+@query(
+    "current triage docs cards",
+    f"SELECT alias, entry_id, place, CAST(round(0.1 + (place - 1) * 0.07, 6) AS DOUBLE) AS spent_before, round(0.1 + (place - 1) * 0.07, 6) + 0.15 <= 1.0 AS runs FROM ({_READING}) q",
+)
+def w5_budget_cut_with_reserve(v: Views) -> DataFrame:
+    money = lambda x: F.lit(x).cast("decimal(12,6)")
+    rows = queues.budget_cut(_reading(v).withColumn("cost", money(0.07)), "cost", money(1.0), money(0.1), reserve=money(0.15))
+    return rows.select("alias", "entry_id", F.col("place").cast("long").alias("place"), F.round(F.col("spent_before").cast("double"), 6).alias("spent_before"), "runs")
+
+
 @query("", "SELECT s_name AS alias, CASE WHEN s_nationkey = 0 THEN 0 ELSE greatest(0, CAST(floor(s_acctbal / s_nationkey) AS BIGINT)) END AS affordable FROM supplier")
 def w6_affordable_docs(v: Views) -> DataFrame:
     return v.table("supplier").select(F.col("s_name").alias("alias"), queues.affordable_docs(F.col("s_acctbal"), F.col("s_nationkey")).alias("affordable"))
@@ -474,11 +502,18 @@ def m3i_paired_indicators(v: Views) -> DataFrame:
     return _indicators(v)
 
 
-_BOOT = f"SELECT z.alias, z.n, round(CAST(z.total AS DOUBLE) / z.n, 4) AS difference, round(CAST(e.low AS DOUBLE) / z.n, 4) AS low, round(CAST(e.high AS DOUBLE) / z.n, 4) AS high FROM (SELECT alias, count(*) AS n, sum(agent - B) AS total FROM ({_INDICATORS}) i GROUP BY alias) z JOIN (SELECT alias, max(CASE WHEN place = 5 THEN s END) AS low, max(CASE WHEN place = 195 THEN s END) AS high FROM (SELECT alias, s, row_number() OVER (PARTITION BY alias ORDER BY s, r) - 1 AS place FROM (SELECT d.alias, d.r, sum(x.d) AS s FROM (SELECT alias, n, r, i, CAST('0x' || substr(md5('{SEED}|' || CAST(r AS VARCHAR) || '|' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % n AS at FROM (SELECT alias, n, r, unnest(range(0, n)) AS i FROM (SELECT alias, n, unnest(range(0, 200)) AS r FROM (SELECT alias, count(*) AS n FROM ({_INDICATORS}) i GROUP BY alias) a) b) c) d JOIN (SELECT alias, agent - B AS d, row_number() OVER (PARTITION BY alias ORDER BY entry_id) - 1 AS at FROM ({_INDICATORS}) i) x ON x.alias = d.alias AND x.at = d.at GROUP BY d.alias, d.r) s1) s2 GROUP BY alias) e USING (alias)"
+_SLOT = f"CAST('0x' || substr(md5('{SEED}|' || CAST(r AS VARCHAR) || '|' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT)"
+_BOOT = (
+    "SELECT alias, n, round(CAST(list_sum(d) AS DOUBLE) / n, 4) AS difference, round(CAST(s[51] AS DOUBLE) / n, 4) AS low, round(CAST(s[1951] AS DOUBLE) / n, 4) AS high FROM ("
+    "SELECT alias, any_value(n) AS n, any_value(d) AS d, list_sort(list(s)) AS s FROM ("
+    f"SELECT alias, r, any_value(n) AS n, any_value(d) AS d, sum(d[{_SLOT} % n + 1]) AS s FROM ("
+    "SELECT alias, n, d, r, unnest(range(0, n)) AS i FROM (SELECT alias, n, d, unnest(range(0, 2000)) AS r FROM ("
+    f"SELECT alias, count(*) AS n, list(agent - B ORDER BY entry_id) AS d FROM ({_INDICATORS}) i GROUP BY alias) a) b) c GROUP BY alias, r) e GROUP BY alias) f"
+)
 
 
 def _boot(v: Views) -> DataFrame:
-    return metrics.paired_bootstrap(_indicators(v), "agent", "B", SEED, resamples=200)
+    return metrics.paired_bootstrap(_indicators(v), "agent", "B", SEED)
 
 
 @query("won triage passing", _BOOT)
@@ -526,9 +561,26 @@ def m10_recall_at_equal_volume(v: Views) -> DataFrame:
     return metrics.recall_at_equal_volume(agent.join(recall, "alias").join(volume, "alias")).select("alias", "equal_volume_recall")
 
 
-@query("triage won universe", f"SELECT count(*) FILTER (b) AS better, count(*) AS companies, CASE WHEN count(*) FILTER (b) >= 3 THEN 'sostenida' ELSE 'no sostenida' END AS verdict FROM (SELECT alias, coalesce(reviews_per_hit < 20, false) AS b FROM ({_WORK}) w) x")
+_RIVAL_WORK = (
+    f"SELECT b.alias, b.variant, round(b.value * 181 / nullif(r.seen, 0), 2) AS reviews_per_hit "
+    f"FROM (SELECT variant, coalesce(p.alias, w.alias) AS alias, value FROM ({_VOLUME}) p LEFT JOIN (SELECT DISTINCT alias FROM won) w ON p.alias IS NULL) b JOIN ({_RECALL}) r ON r.alias = b.alias AND r.variant = b.variant"
+)
+
+
+@query(
+    "triage won universe passing",
+    "SELECT count(*) FILTER (b) AS better, count(*) AS companies, CASE WHEN count(*) FILTER (b) >= 3 THEN 'sostenida' ELSE 'no sostenida' END AS verdict FROM ("
+    f"SELECT a.alias, bool_and(coalesce(a.reviews_per_hit < r.reviews_per_hit, false)) AS b FROM ({_WORK}) a JOIN ({_RIVAL_WORK}) r ON r.alias = a.alias GROUP BY a.alias) x",
+)
 def m9v_efficiency_verdict(v: Views) -> DataFrame:
-    return metrics.efficiency_verdict(_work(v).select("alias", F.col("reviews_per_hit").alias("agent"), F.lit(20.0).alias("rival")))
+    won, passing = _won(v), _passing(v)
+    recall = metrics.filter_recall(won, passing).select("variant", "alias", F.col("seen").alias("recall"), F.lit(1).alias("contracts"))
+    volume = metrics.filter_volume(passing, _universe(v)).select("variant", F.col("alias").alias("of"), F.col("value").alias("volume"))
+    # the filter that is the same for all has one volume, under no alias
+    own = recall.join(volume.where("of is not null"), [recall["variant"] == volume["variant"], recall["alias"] == volume["of"]]).select("alias", "recall", "contracts", "volume")
+    same = recall.join(volume.where("of is null").drop("of"), "variant").select("alias", "recall", "contracts", "volume")
+    rivals = metrics.work_per_hit(own.union(same)).select("alias", F.col("reviews_per_hit").alias("rival"))
+    return metrics.efficiency_verdict(_work(v).select("alias", F.col("reviews_per_hit").alias("agent")).join(rivals, "alias"))
 
 
 @query("won cards", "SELECT w.alias, count(*) AS won, count(c.entry_id) AS excluded, round(count(c.entry_id) / CAST(count(*) AS DOUBLE), 4) AS value FROM won w LEFT JOIN (SELECT DISTINCT alias, entry_id FROM cards WHERE verdict = 'no_apta') c ON c.alias = w.alias AND c.entry_id = w.entry_id GROUP BY w.alias")
@@ -717,11 +769,29 @@ def r1_daily_digest(v: Views) -> DataFrame:
 
 @query("timed_triage calls", "SELECT d.alias, d.day, coalesce(t.triaged, 0) AS triaged, coalesce(t.passed, 0) AS passed, coalesce(s.calls, 0) AS calls, round(coalesce(s.cost, 0), 4) AS cost FROM (SELECT DISTINCT alias, day FROM (SELECT DISTINCT alias FROM timed_triage) a CROSS JOIN (SELECT DISTINCT " + _DAY + " AS day FROM calls) b) d LEFT JOIN (SELECT alias, " + _MDAY.format("triaged_at") + " AS day, count(*) AS triaged, count(*) FILTER (decision IN ('si', 'duda')) AS passed FROM timed_triage GROUP BY 1, 2) t USING (alias, day) LEFT JOIN (SELECT alias, " + _DAY + " AS day, count(*) AS calls, sum(cost) AS cost FROM (SELECT DISTINCT alias, call_id FROM timed_triage) x JOIN calls USING (call_id) GROUP BY 1, 2) s USING (alias, day)")
 def r1_digest_footer(v: Views) -> DataFrame:
-    days = v.timed_triage.select("alias").distinct().join(costs.spend_by_day(v.calls).select("day"))
+    days = _digest_days(v)
     spend = costs.company_spend(v.timed_triage, v.timed_triage.where("false"), v.calls)
     return reports.digest_footer(days, v.timed_triage, spend).withColumn("cost", F.round("cost", 4))
 
 
+_DAYS = "SELECT DISTINCT alias, day FROM (SELECT DISTINCT alias FROM timed_triage) a CROSS JOIN (SELECT DISTINCT " + _DAY + " AS day FROM calls) b"
+
+
+@query(
+    "timed_triage cards calls",
+    "SELECT alias, day, 'Licitaciones · ' || strftime(day, '%d-%m') || ': ' || CASE WHEN coalesce(n, 0) = 0 THEN 'nada nuevo' WHEN fit > 0 THEN CAST(fit AS VARCHAR) || ' para presentarse, ' || CAST(n AS VARCHAR) || ' en total' "
+    f"ELSE CAST(n AS VARCHAR) || ' para revisar' END AS subject FROM ({_DAYS}) d LEFT JOIN (SELECT alias, {_MDAY.format('decided_at')} AS day, count(*) AS n, count(*) FILTER (verdict = 'apta') AS fit FROM cards GROUP BY 1, 2) c USING (alias, day)",
+)
+def r1_digest_subject(v: Views) -> DataFrame:
+    return reports.digest_subject(_digest_days(v), v.cards)
+
+
+def _digest_days(v: Views) -> DataFrame:
+    """Every company on every day with a call."""
+    days = costs.spend_by_day(v.calls).agg(F.collect_set("day").alias("days"))  # one small row: the days of the period
+    return v.timed_triage.select("alias").distinct().join(F.broadcast(days)).select("alias", F.explode("days").alias("day"))
+
+
 @query("cards first_versions docs", "SELECT c.alias, c.entry_id, c.verdict, f.object, d.url FROM cards c JOIN first_versions f USING (entry_id) LEFT JOIN docs d USING (entry_id)")
 def r2_card_view(v: Views) -> DataFrame:
     return reports.card_view(v.cards, versions.as_published(v.notices), v.docs).select("alias", "entry_id", "verdict", "object", "url")
@@ -768,11 +838,53 @@ def a5_month_totals(v: Views) -> DataFrame:
     return profile.month_totals(staging, v.versions, v.versions)
 
 
-@query("notices", "SELECT count(*) AS entries, count(DISTINCT entry_id) AS dossiers, count(DISTINCT state) AS states, CAST(max(CAST(entry_updated AS DATE)) - min(CAST(entry_updated AS DATE)) + 1 AS BIGINT) AS days, count(DISTINCT entry_id) FILTER (state = 'O') AS new_dossiers, round(100.0 * count(*) FILTER (starts_with(code, '72') OR starts_with(code, '48')) / count(*), 2) AS pct_it, round(100.0 * count(*) FILTER (object LIKE '%ring%') / count(*), 2) AS pct_with_figure FROM notices")
+# A stand-in feed: solvency texts, figures and deferrals by words of the object, lots by line.
+_FEED = "SELECT *, CASE WHEN object LIKE '%e%' THEN object END AS solvency, object LIKE '%ring%' AS fig, object LIKE '%small%' AS def, CASE WHEN tie % 3 > 0 THEN object END AS pcap, tie % 2 AS lots, CASE WHEN winner % 4 > 0 THEN winner END AS nif FROM notices"
+_IT = "(starts_with(code, '72') OR starts_with(code, '48'))"
+_PCT = "round(100.0 * count(*) FILTER ({0}) / nullif(count(*) FILTER ({1}), 0), 2)"
+_MEASURES = (
+    "SELECT *, round(entries / CAST(days AS DOUBLE), 2) AS entries_per_day, round(new_dossiers / CAST(days AS DOUBLE), 2) AS new_per_day, round(it / CAST(days AS DOUBLE), 2) AS it_per_day, "
+    "round(new_it / CAST(days AS DOUBLE), 2) AS new_it_per_day FROM (SELECT count(*) AS entries, CAST(min(entry_updated) AS DATE) AS first_day, CAST(max(entry_updated) AS DATE) AS last_day, "
+    "CAST(max(CAST(entry_updated AS DATE)) - min(CAST(entry_updated AS DATE)) + 1 AS BIGINT) AS days, count(DISTINCT entry_id) AS dossiers, count(DISTINCT state) AS states, "
+    f"count(DISTINCT entry_id) FILTER (state = 'O') AS new_dossiers, count(*) FILTER ({_IT}) AS it, {_PCT.format(_IT, 'true')} AS pct_it, count(DISTINCT entry_id) FILTER (state = 'O' AND {_IT}) AS new_it, "
+    f"{_PCT.format('pcap IS NOT NULL', 'true')} AS pct_pcap, count(*) FILTER (state = 'F') AS awarded, " + _PCT.format("state = 'F' AND nif IS NOT NULL", "state = 'F'") + " AS pct_awarded_with_id, "
+    f"{_PCT.format('solvency IS NOT NULL', 'true')} AS pct_with_solvency, {_PCT.format('solvency IS NOT NULL AND fig', 'solvency IS NOT NULL')} AS pct_with_figure, "
+    f"{_PCT.format('solvency IS NOT NULL AND def', 'solvency IS NOT NULL')} AS pct_defers, {_PCT.format('solvency IS NULL OR NOT fig', 'true')} AS pct_without_figure, {_PCT.format('lots > 0', 'true')} AS pct_with_lots FROM ({_FEED}) f) g"
+)
+
+
+def _feed_profile(v: Views) -> DataFrame:
+    o = F.col("object")
+    rows = v.notices.withColumns(
+        {
+            "solvency": F.when(o.contains("e"), o),
+            "with_figure": o.contains("ring"),
+            "defers": o.contains("small"),
+            "pcap": F.when(F.col("tie") % 3 > 0, o),
+            "lots": F.col("tie") % 2,
+            "winner": F.when(F.col("winner") % 4 > 0, F.col("winner")),
+        }
+    )
+    return profile.feed_profile(rows, "O", F.col("state") == "F", filters.is_it(F.col("cpv")))
+
+
+@query("notices", f"SELECT * EXCLUDE (new_it) FROM ({_MEASURES}) m")
 def a6_feed_profile(v: Views) -> DataFrame:
-    rows = v.notices.withColumns({"solvency": F.col("object"), "with_figure": F.col("object").contains("ring"), "defers": F.lit(False), "pcap": F.col("object"), "lots": F.lit(0)})
-    out = profile.feed_profile(rows, "O", F.col("state") == "F", filters.is_it(F.col("cpv")))
-    return out.select("entries", "dossiers", "states", "days", "new_dossiers", "pct_it", "pct_with_figure")
+    return _feed_profile(v)
+
+
+@query("notices", "SELECT state, count(*) AS entries FROM notices GROUP BY state")
+def a6_feed_states(v: Views) -> DataFrame:
+    return profile.feed_states(v.notices)
+
+
+@query(
+    "notices docs",
+    "SELECT CASE WHEN coalesce(pct_awarded_with_id, 0) >= 80 AND coalesce(pct_readable, 0) >= 70 AND coalesce(pct_without_figure, 0) >= 50 THEN 'GO' ELSE 'REVISAR' END AS gate, pct_awarded_with_id, pct_readable, pct_without_figure "
+    f"FROM ({_MEASURES}) m CROSS JOIN (SELECT {_PCT.format(chr(39).join(('state = ', 'descargado', '')), chr(39).join(('state <> ', 'pendiente', '')))} AS pct_readable FROM docs) d",
+)
+def m11_go_gates(v: Views) -> DataFrame:
+    return profile.go_gates(_feed_profile(v), profile.download_rate(v.docs))
 
 
 # -- rules and forms --------------------------------------------------------
@@ -787,16 +899,17 @@ def b7_validate_clients(v: Views) -> DataFrame:
     return rules.validate_clients(form).select("c_custkey", F.array_join(F.array_sort(F.map_keys("errors")), ",").alias("bad"))
 
 
-@query("", "SELECT o_orderkey, CAST(floor(o_totalprice) AS DOUBLE) AS thousands, round(o_totalprice, 2) AS comma FROM orders WHERE o_totalprice < 1000000 AND o_totalprice >= 1000")
+@query("", "SELECT o_orderkey, CAST(floor(o_totalprice) AS DOUBLE) AS thousands, round(o_totalprice, 2) AS comma FROM orders")
 def b8_spanish_number(v: Views) -> DataFrame:
     from ..functions.text import spanish_number
 
     p = F.col("o_totalprice")
     whole = F.floor(p)
-    text = F.concat(F.floor(whole / 1000).cast("string"), F.lit("."), F.lpad((whole % 1000).cast("string"), 3, "0"))
+    grouped = F.concat(F.floor(whole / 1000).cast("string"), F.lit("."), F.lpad((whole % 1000).cast("string"), 3, "0"))
+    millions = F.concat(F.floor(whole / 1000000).cast("string"), F.lit("."), F.lpad((F.floor(whole / 1000) % 1000).cast("string"), 3, "0"), F.lit("."), F.lpad((whole % 1000).cast("string"), 3, "0"))
+    text = F.when(whole < 1000, whole.cast("string")).when(whole < 1000000, grouped).otherwise(millions)
     cents = F.lpad((F.round(p * 100) % 100).cast("long").cast("string"), 2, "0")
-    rows = v.table("orders").where("o_totalprice < 1000000 and o_totalprice >= 1000")
-    return rows.select("o_orderkey", spanish_number(text).alias("thousands"), F.round(spanish_number(F.concat(text, F.lit(","), cents)), 2).alias("comma"))
+    return v.table("orders").select("o_orderkey", spanish_number(text).alias("thousands"), F.round(spanish_number(F.concat(text, F.lit(","), cents)), 2).alias("comma"))
 
 
 @query("", "SELECT c_custkey, '## 1. Qué hace' || chr(10) || chr(10) || c_mktsegment || CASE WHEN c_nationkey % 2 = 0 THEN chr(10) || chr(10) || '## 4. Zona' || chr(10) || chr(10) || 'nación' ELSE '' END AS text FROM customer")

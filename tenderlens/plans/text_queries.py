@@ -140,16 +140,53 @@ def e12_retry_message(v: Views) -> DataFrame:
     return evidence.retry_message(_verified(v))
 
 
+# The hop: documents whose quotes defer, name no amount and were not followed yet go on to the annex they cite most.
+_CITED = rf"SELECT doc_id, annex FROM (SELECT doc_id, annex, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, annex) AS rn FROM (SELECT doc_id, upper(a) AS annex, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(quote, '(?i)\bthe\s+([a-z]{{3,6}})\b', 1)) AS a FROM quotes WHERE kind = 'remite') x GROUP BY 1, 2) y) z WHERE rn = 1"
+_HOPPING = f"SELECT doc_id, annex FROM ({_CITED}) c WHERE doc_id IN (SELECT doc_id FROM quotes GROUP BY doc_id HAVING bool_or(kind = 'remite') AND NOT bool_or(amount IS NOT NULL))"
+_HOPPED = _window(
+    rf"SELECT p.doc_id, p.page_no, CASE WHEN regexp_matches(text, '(?i)the\s*n?[ºo°.]{{0,3}}\s*' || annex || '\b') AND {_hit(PATTERNS['figure'])} THEN {_SCORE} + 3 ELSE 0 END AS score "
+    f"FROM pages_ p JOIN ({_HOPPING}) h ON h.doc_id = p.doc_id WHERE {_TEXT} AND (p.doc_id, p.page_no) NOT IN (SELECT (doc_id, page_no) FROM ({_LOCATED}) l WHERE page_no IS NOT NULL)"
+)
+
+
+def _hopped(v: Views, located: DataFrame) -> DataFrame:
+    """Pages of the annexes that readings defer to."""
+    hop = evidence.needs_annex_hop(v.quotes.withColumn("hops", F.lit(0))).where("hop").select("doc_id")
+    annexes = evidence.cited_annex(v.quotes, _ANNEX).join(hop, "doc_id", "left_semi")
+    return evidence.locate_annex(v.pages, annexes, located.where("page_no is not null"), PATTERNS, word="the")
+
+
 @query(
     "quotes pages_",
-    f"SELECT l.doc_id, l.route, l.pages, CASE WHEN l.route = 'no_localizada: sin texto' THEN 'ilegible' WHEN l.route = 'no_localizada' THEN 'sin_localizar' WHEN coalesce(r.total, 0) = 0 THEN 'ilegible_respuesta' ELSE 'leido' END AS state, coalesce(r.total, 0) AS total, coalesce(r.verified, 0) AS verified FROM (SELECT doc_id, min(route) AS route, coalesce(string_agg(CAST(page_no AS VARCHAR), ',' ORDER BY page_no), '') AS pages FROM ({_LOCATED}) x GROUP BY doc_id) l LEFT JOIN (SELECT doc_id, count(*) AS total, count(*) FILTER (rejected IS NULL) AS verified FROM ({_VERIFIED}) y GROUP BY doc_id) r USING (doc_id)",
+    "SELECT l.doc_id, CASE WHEN h.more IS NOT NULL THEN l.route || '+anexo' ELSE l.route END AS route, array_to_string(list_sort(list_distinct(list_concat(l.pages, coalesce(h.more, [])))), ',') AS pages, "
+    "CASE WHEN l.route = 'no_localizada: sin texto' THEN 'ilegible' WHEN l.route = 'no_localizada' THEN 'sin_localizar' WHEN coalesce(r.total, 0) = 0 THEN 'ilegible_respuesta' ELSE 'leido' END AS state, "
+    f"coalesce(r.total, 0) AS total, coalesce(r.verified, 0) AS verified FROM (SELECT doc_id, min(route) AS route, coalesce(list(page_no) FILTER (page_no IS NOT NULL), []) AS pages FROM ({_LOCATED}) x GROUP BY doc_id) l "
+    f"LEFT JOIN (SELECT doc_id, list(page_no) AS more FROM ({_HOPPED}) o GROUP BY doc_id) h USING (doc_id) "
+    f"LEFT JOIN (SELECT doc_id, count(*) AS total, count(*) FILTER (rejected IS NULL) AS verified FROM ({_VERIFIED}) y GROUP BY doc_id) r USING (doc_id)",
 )
 def e13_reading_rows(v: Views) -> DataFrame:
     located = _located(v)
-    rows = evidence.reading_rows(located, _verified(v), located.where("false"))
+    rows = evidence.reading_rows(located, _verified(v), _hopped(v, located))
     return rows.select("doc_id", "route", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "state", "total", "verified")
 
 
+_PASS = "SELECT doc_id, CAST(page AS VARCHAR) AS page, kind, quote, {0} AS reading_pass FROM quotes"
+
+
+@query("quotes", f"{_PASS.format(1)} UNION ALL {_PASS.format(2)} WHERE doc_id IN (SELECT doc_id FROM quotes WHERE kind = 'remite')")
+def x4_both_passes(v: Views) -> DataFrame:
+    first = v.quotes.select("doc_id", "page", "kind", "quote")
+    deferring = v.quotes.where("kind = 'remite'").select("doc_id").distinct()
+    return evidence.both_passes(first, first.join(deferring, "doc_id", "left_semi"))
+
+
+@query("quotes", "SELECT doc_id, CAST(page AS VARCHAR) AS page, CASE WHEN doc_id % 3 = 0 THEN 'certificaciones' ELSE kind END AS kind FROM quotes WHERE doc_id % 3 > 0 OR page = 1")
+def e13_replaced_readings(v: Views) -> DataFrame:
+    stored = v.quotes.select("doc_id", "page", "kind")
+    fresh = stored.where("doc_id % 3 = 0 and page = '1'").withColumn("kind", F.lit("certificaciones"))
+    return evidence.replace_readings(stored, fresh)
+
+
 @query("quotes pages_", f"SELECT kind AS prompt, count(*) AS total, count(*) FILTER (rejected IS NULL) AS verified, round(100.0 * count(*) FILTER (rejected IS NULL) / count(*), 2) AS pct FROM ({_VERIFIED}) x GROUP BY kind")
 def a9_verification_rate(v: Views) -> DataFrame:
     return metrics.verification_rate(_verified(v).withColumn("prompt", F.col("kind")))
@@ -193,12 +230,6 @@ def a8_requirement_frequency(v: Views) -> DataFrame:
     return profile.requirement_frequency(_profiles(v), list(_REQ))
 
 
-@query("pages_", f"SELECT CASE WHEN 90 >= 80 AND 100 - pct_scanned >= 70 AND pct_located >= 50 THEN 'GO' ELSE 'REVISAR' END AS gate, pct_scanned, pct_located FROM ({_CORPUS}) c")
-def m11_go_gates(v: Views) -> DataFrame:
-    feed_row = v.table("region").agg(F.lit(90.0).alias("pct_pcap"))
-    return profile.go_gates(feed_row, profile.corpus_profile(_profiles(v))).select("gate", "pct_scanned", "pct_located")
-
-
 @query("pages_", f"SELECT count(*) AS readings, CAST(sum(p.pages) AS BIGINT) AS all_pages, CAST(sum(r.n) AS BIGINT) AS pages_read, count(*) FILTER (r.route = 'anexos') AS by_annex, round(CAST(sum(p.pages) AS DOUBLE) / sum(r.n), 2) AS times_fewer FROM (SELECT doc_id, min(route) AS route, count(page_no) AS n FROM ({_LOCATED}) l GROUP BY doc_id HAVING count(page_no) > 0) r JOIN ({_PROFILE}) p USING (doc_id)")
 def a10_work_saved(v: Views) -> DataFrame:
     readings = _located(v).groupBy("doc_id").agg(F.min("route").alias("route"), F.collect_list("page_no").alias("pages")).withColumn("state", F.lit("leido"))
@@ -268,7 +299,10 @@ def p7_solvency_flags(v: Views) -> DataFrame:
     return rows.agg(F.count("text").alias("texts"), F.count_if("with_figure").alias("with_figure"), F.count_if("defers").alias("defers"))
 
 
-@query("", "SELECT page_id, html_length, replace(replace(replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160)), '&amp;', '&') AS html FROM (SELECT page_id, html, length(html) AS html_length FROM pages) x")
+_UNESCAPED = "replace(replace(replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160)), '&amp;', '&')"
+
+
+@query("", f"SELECT page_id, html_length, {_UNESCAPED} AS html FROM (SELECT page_id, html, length(html) AS html_length FROM pages) x")
 def p10_unescape_entities(v: Views) -> DataFrame:
     rows = v.table("pages").withColumn("html_length", F.length("html").cast("long"))
     return silver.unescape_entities(rows, ["html"]).select("page_id", "html_length", "html")
@@ -329,7 +363,7 @@ def _feed(v: Views) -> DataFrame:
     date = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+01:00'")
     code = F.concat(F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lit("000000"))
     xml = F.concat(
-        F.lit("<entry><id>"), F.col("o_orderkey").cast("string"), F.lit("</id><updated>"), F.when(F.col("o_orderkey") % 13 == 0, F.lit("ayer")).otherwise(date), F.lit("</updated><title>  Obra &amp;\n "), F.col("o_orderpriority"),
+        F.lit("<entry><id>"), F.col("o_orderkey").cast("string"), F.lit("</id><updated>"), F.when(F.col("o_orderkey") % 13 == 0, F.lit("ayer")).otherwise(date), F.lit("</updated><title>  Obra &amp;\n a&#241;o &ntilde; &#x41; "), F.col("o_orderpriority"),
         F.lit("</title><cbc-place-ext:ContractFolderStatusCode languageID=\"es\">"), F.col("o_orderstatus"), F.lit("</cbc-place-ext:ContractFolderStatusCode><cac:ProcurementProject><cbc:TaxExclusiveAmount currencyID=\"EUR\">"), F.col("o_totalprice").cast("decimal(14,2)").cast("string"),
         F.lit("</cbc:TaxExclusiveAmount><cbc:ItemClassificationCode>"), code, F.lit("</cbc:ItemClassificationCode></cac:ProcurementProject><cac:ProcurementProjectLot><cbc:ID>1</cbc:ID><cbc:ItemClassificationCode>99000000</cbc:ItemClassificationCode></cac:ProcurementProjectLot></entry>"),
     )
@@ -366,7 +400,7 @@ def _parsed(v: Views) -> DataFrame:
     return silver.parse_notices(feed.entries_of(_feed(v)))
 
 
-@query("", "SELECT CAST(o_orderkey AS VARCHAR) AS entry_id, CASE WHEN o_orderkey % 13 > 0 THEN o_orderdate - INTERVAL 1 HOUR END AS entry_updated, 'Obra & ' || o_orderpriority AS object, o_orderstatus AS state, lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || '000000' AS code, round(o_totalprice, 2) AS amount FROM orders")
+@query("", "SELECT CAST(o_orderkey AS VARCHAR) AS entry_id, CASE WHEN o_orderkey % 13 > 0 THEN o_orderdate - INTERVAL 1 HOUR END AS entry_updated, 'Obra & año ñ A ' || o_orderpriority AS object, o_orderstatus AS state, lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || '000000' AS code, round(o_totalprice, 2) AS amount FROM orders")
 def p1_parse_notices(v: Views) -> DataFrame:
     return _parsed(v).select("entry_id", "entry_updated", "object", "state", F.array_join("cpv", ",").alias("code"), F.col("amount").cast("double").alias("amount"))
 
@@ -399,7 +433,7 @@ def p4_explode_documents(v: Views) -> DataFrame:
     return silver.explode_documents(rows, ["c_custkey"])
 
 
-@query("", r"SELECT page_id, trim(regexp_replace(replace(regexp_replace(replace(replace(replace(html, '&quot;', chr(34)), '&#39;', ''''), '&amp;', '&'), '<[^>]+>', ' ', 'g'), chr(160), ' '), '[\s\x0B]+', ' ', 'g')) AS text FROM pages")
+@query("", rf"SELECT page_id, trim(regexp_replace(regexp_replace({_UNESCAPED}, '<[^>]+>', ' ', 'g'), '[\s\x0B' || chr(160) || ']+', ' ', 'g')) AS text FROM pages")
 def p6_solvency_text(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", silver.solvency_text(F.col("html")).alias("text"))
 
@@ -425,27 +459,3 @@ def st5_late_versions(v: Views) -> DataFrame:
     from ..streaming.ingest import late_versions
 
     return late_versions(v.versions, v.versions).select("entry_id", "entry_updated")
-
-
-# -- streams over the tables ------------------------------------------------
-
-
-@query("versions", "SELECT DISTINCT entry_id, entry_updated FROM versions")
-def st2_dedupe_versions(v: Views) -> DataFrame:
-    from ..streaming.ingest import dedupe_versions
-    from ..streaming.replay import replay, table_stream
-
-    lines = table_stream(v.spark, f"{v.sf_dir}/lineitem.parquet")
-    stream = lines.select(F.col("l_orderkey").alias("entry_id"), (F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(mins=F.col("l_linenumber"))).alias("entry_updated"))
-    return replay(dedupe_versions(stream, "4000 days"), "append").drop("batch")
-
-
-@query("", "SELECT event_type AS alias, CAST(timezone('Europe/Madrid', timezone('UTC', ts)) AS DATE) AS day, count(*) AS calls, round(sum(value), 4) AS cost FROM events GROUP BY 1, 2")
-def st6_spend_stream(v: Views) -> DataFrame:
-    from ..streaming.ingest import spend_stream
-    from ..streaming.replay import replay, table_stream
-
-    calls = table_stream(v.spark, f"{v.sf_dir}/events.parquet").select(F.col("event_type").alias("alias"), F.col("ts").cast("timestamp").alias("called_at"), F.col("value").alias("cost"))
-    out = replay(spend_stream(calls), "update")
-    last = out.groupBy("alias", "day").agg(F.max_by(F.struct("calls", "cost"), "batch").alias("s"))
-    return last.select("alias", "day", "s.calls", F.round("s.cost", 4).alias("cost"))

@@ -131,6 +131,16 @@ class Views:
         state = F.when(F.col("o_orderstatus") == "O", "pendiente").when(F.col("o_orderstatus") == "P", "error").otherwise("descargado")
         return self.table("orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderkey").alias("entry_id"), F.when(F.col("o_orderkey") % 3 == 0, "PPT").otherwise("PCAP").alias("kind"), state.alias("state"), (F.col("o_orderkey") % 4).cast("int").alias("attempts"), F.when(F.col("o_orderkey") % 5 > 0, (F.col("o_orderkey") % 97).cast("int")).alias("pages"), F.concat(F.lit("https://contrataciondelestado.es/d/"), F.col("o_custkey").cast("string")).alias("url"))
 
+    @cached_property
+    def version_docs(self) -> DataFrame:
+        """A document per version: its kind, state and attempts by its number."""
+        rows = self.table("lineitem")
+        number = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+        updated = _ts("l_shipdate") + F.make_dt_interval(mins=F.col("l_linenumber"))
+        state = F.when(number % 7 <= 1, "pendiente").when(number % 7 == 2, "error").otherwise("descargado")
+        kind = F.when(number % 3 == 0, "PPT").otherwise("PCAP")
+        return rows.select(number.alias("doc_id"), F.col("l_orderkey").alias("entry_id"), updated.alias("entry_updated"), kind.alias("kind"), state.alias("state"), (number % 4).alias("attempts")).distinct()
+
     @cached_property
     def cards(self) -> DataFrame:
         """A decided card for every triage answered si."""
@@ -181,6 +191,11 @@ SQL_VIEWS: dict[str, tuple[str, str]] = {
         "SELECT o_orderkey AS doc_id, o_orderkey AS entry_id, CASE WHEN o_orderkey % 3 = 0 THEN 'PPT' ELSE 'PCAP' END AS kind, CASE o_orderstatus WHEN 'O' THEN 'pendiente' WHEN 'P' THEN 'error' ELSE 'descargado' END AS state, "
         "o_orderkey % 4 AS attempts, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 97 END AS pages, 'https://contrataciondelestado.es/d/' || CAST(o_custkey AS VARCHAR) AS url FROM orders",
     ),
+    "version_docs": (
+        "",
+        "SELECT DISTINCT k AS doc_id, entry_id, entry_updated, CASE WHEN k % 3 = 0 THEN 'PPT' ELSE 'PCAP' END AS kind, CASE WHEN k % 7 <= 1 THEN 'pendiente' WHEN k % 7 = 2 THEN 'error' ELSE 'descargado' END AS state, k % 4 AS attempts "
+        "FROM (SELECT l_orderkey * 10 + l_linenumber AS k, l_orderkey AS entry_id, l_shipdate + to_minutes(l_linenumber) AS entry_updated FROM lineitem) x",
+    ),
     "cards": ("timed_triage", "SELECT alias, entry_id, CASE entry_id % 5 WHEN 0 THEN 'apta' WHEN 1 THEN 'no_apta' ELSE 'revisar' END AS verdict, triaged_at AS decided_at FROM timed_triage WHERE decision = 'si'"),
     "vocabulary": ("", "SELECT lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') || CASE WHEN p_size % 2 = 0 THEN '0000' ELSE '1000' END AS code, p_name || ' ' || lower(p_type) AS description FROM part"),
     # what most queries build on

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENTRY = r"(?s)(<entry>.*?</entry>)"
-TOMBSTONE = r"(?s)(<at:deleted-entry\s.*?</at:deleted-entry>)"
-NEXT = r'<link href="([^"]+)" rel="next"'
+from ..functions.markup import attribute, blocks
+
 MAX_MEMBER_BYTES = 200 * 1024 * 1024
 
 
@@ -19,7 +18,11 @@ def read_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def entries_of(pages: DataFrame) -> DataFrame:
     """(file, position, xml): every entry, positions from 0; what follows an entry's end is no part of it."""
-    return pages.select("file", F.posexplode(F.regexp_extract_all("body", F.lit(ENTRY), 1)).alias("position", "xml"))
+    return pages.select("file", F.posexplode(whole_entries()).alias("position", "xml"))
+
+
+def whole_entries() -> Column:
+    return F.transform(blocks(F.col("body"), "entry"), lambda x: F.concat(F.lit("<entry>"), x, F.lit("</entry>")))
 
 
 def read_feed_entries(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -28,9 +31,12 @@ def read_feed_entries(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def tombstones_of(pages: DataFrame) -> DataFrame:
     """(file, entry_id, deleted_at, reason); those without a reference are left out."""
-    found = pages.select("file", F.explode(F.regexp_extract_all("body", F.lit(TOMBSTONE), 1)).alias("t"))
-    value = lambda pattern: F.nullif(F.regexp_extract("t", pattern, 1), F.lit(""))
-    return found.select("file", value(r'<at:deleted-entry\s[^>]*?ref="([^"]*)"').alias("entry_id"), F.try_to_timestamp(value(r'<at:deleted-entry\s[^>]*?when="([^"]*)"')).alias("deleted_at"), value(r'<at:comment[^>]*?type="([^"]*)"').alias("reason")).where("entry_id is not null")
+    after = F.split("body", r"<at:deleted-entry\s")
+    ended = F.filter(F.slice(after, 2, F.size(after)), lambda x: F.contains(x, F.lit("</at:deleted-entry>")))
+    found = pages.select("file", F.explode(F.transform(ended, lambda x: F.substring_index(x, "</at:deleted-entry>", 1))).alias("t"))
+    tag, comment = F.substring_index("t", ">", 1), F.substring_index(F.try_element_at(F.split("t", r"<at:comment\s"), F.lit(2)), ">", 1)
+    rows = found.select("file", attribute(tag, "ref").alias("entry_id"), F.try_to_timestamp(attribute(tag, "when")).alias("deleted_at"), attribute(comment, "type").alias("reason"))
+    return rows.where("entry_id is not null")
 
 
 def read_tombstones(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -39,16 +45,16 @@ def read_tombstones(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def next_page_links(pages: DataFrame) -> DataFrame:
     """(file, next_page): null where the feed ends."""
-    link = F.nullif(F.regexp_extract("body", NEXT, 1), F.lit(""))
-    return pages.select("file", F.replace(link, F.lit("&amp;"), F.lit("&")).alias("next_page"))
+    tags = F.transform(F.split("body", r"<link\s"), lambda x, i: F.when(i > 0, F.substring_index(x, ">", 1)))
+    following = F.filter(tags, lambda x: F.contains(x, F.lit('rel="next"')))
+    return pages.select("file", attribute(F.try_element_at(following, F.lit(1)), "href").alias("next_page"))
 
 
 def read_monthly_archive(spark: SparkSession, folder: str, months: list[str]) -> DataFrame:
     """(month, member, position, xml) of unpacked archives folder/month=YYYY-MM/*.atom; partition pruning reads the wanted months."""
     pages = spark.read.option("basePath", folder).text([f"{folder}/month={m}" for m in months], wholetext=True)
     pages = pages.select("month", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("value").alias("body"))
-    found = pages.select("month", F.col("file").alias("member"), F.posexplode(F.regexp_extract_all("body", F.lit(ENTRY), 1)).alias("position", "xml"))
-    return found
+    return pages.select("month", F.col("file").alias("member"), F.posexplode(whole_entries()).alias("position", "xml"))
 
 
 def fetch_original(entries: DataFrame, pointers: DataFrame, keys: list[str]) -> DataFrame:

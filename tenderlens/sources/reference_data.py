@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import unescape
+from ..functions.markup import attribute, blocks, first_block, given, unescape
 from ..operators.codes import code_prefix
 
 
 def read_cpv_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """(code, description) of a genericode file."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<Row>(.*?)</Row>"), 1)).alias("row"))
-    value = lambda name: F.trim(F.regexp_extract("row", rf'ColumnRef="{name}">\s*<SimpleValue>([^<]*)', 1))
-    return rows.select(value("code").alias("code"), unescape(value("nombre")).alias("description")).where("code <> ''")
+    """(code, description) of a genericode file; an error where it holds no row with both."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(blocks(F.col("value"), "Row")).alias("row"))
+    cell = lambda name: F.try_element_at(F.filter(F.split("row", r"<Value\s"), lambda x: attribute(F.substring_index(x, ">", 1), "ColumnRef") == name), F.lit(1))
+    value = lambda name: given(F.trim(unescape(first_block(cell(name), "SimpleValue"))))
+    found = rows.select(value("code").alias("code"), value("nombre").alias("description")).where("code is not null and description is not null")
+    if found.isEmpty():
+        raise ValueError(f"{path} is no vocabulary in the expected format")
+    return found
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

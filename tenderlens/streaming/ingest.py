@@ -22,9 +22,10 @@ from ..sources.feed import entries_of
 KEYS = ["entry_id", "entry_updated"]
 
 
-def feed_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, body) of every page file that arrives in the folder."""
-    return spark.readStream.format("text").option("wholetext", True).load(folder).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
+def feed_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """(file, body) of every page file that arrives in the folder or below it."""
+    options = {"wholetext": True, "maxFilesPerTrigger": files_per_batch, "recursiveFileLookup": True}
+    return spark.readStream.format("text").options(**options).load(folder).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
 
 
 def append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
@@ -40,7 +41,7 @@ def append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
     (fresh if known is None else fresh.join(known, keys, "left_anti")).write.mode("append").parquet(path)
 
 
-def ingest_stream(spark: SparkSession, folder: str, silver: str, quarantine: str, checkpoint: str) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, folder: str, silver: str, quarantine: str, checkpoint: str, files_per_batch: int = 1000) -> StreamingQuery:
     """Pages to versions and quarantined entries, each version once across restarts."""
 
     def merge(pages: DataFrame, _: int) -> None:
@@ -48,7 +49,7 @@ def ingest_stream(spark: SparkSession, folder: str, silver: str, quarantine: str
         append_new(good.drop("xml"), silver, KEYS)
         append_new(bad, quarantine, ["file", "position"])
 
-    return feed_stream(spark, folder).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return feed_stream(spark, folder, files_per_batch).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def dedupe_versions(stream: DataFrame, lateness: str = "30 days") -> DataFrame:
@@ -61,7 +62,7 @@ HELD = StructType([StructField("entry_updated", TimestampType()), StructField("s
 
 
 class CurrentState(StatefulProcessor):
-    """Per dossier the newest version seen and whether a tombstone ever came, in whatever order they arrive."""
+    """Per dossier the newest version seen and whether a tombstone ever came, in whatever order they arrive; of versions of one instant the last by state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("current", HELD)
@@ -73,7 +74,7 @@ class CurrentState(StatefulProcessor):
             versions = part[~part["tombstone"]].sort_values(["entry_updated", "state"])
             if len(versions):
                 last = versions.iloc[-1]
-                if updated is None or last["entry_updated"] > pd.Timestamp(updated):
+                if updated is None or (last["entry_updated"], last["state"]) > (pd.Timestamp(updated), state):
                     updated, state = last["entry_updated"].to_pydatetime(), last["state"]
         self.held.update((updated, state, gone))
         yield pd.DataFrame({"entry_id": [key[0]], "entry_updated": [pd.Timestamp(updated) if updated is not None else pd.NaT], "state": [state], "withdrawn": [gone]})

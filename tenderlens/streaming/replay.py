@@ -2,32 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; below a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tenderlens-")
+    """A new folder below spark.checkpoint.dir, which all executors share; without that setting there is none to use."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def table_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, file or folder, as a stream; the source takes a single file only by way of a pattern."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+def replay_stages(rows: DataFrame, batch: Column, batches: int, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """What make(stream of rows) emits, with the number of the batch, when rows arrive in that many batches.
 
+    The stream is started anew from its checkpoint for every batch (rows by `batch`, from 0), as after a restart.
+    """
+    spark, at = rows.sparkSession, scratch(rows.sparkSession)
+    numbered = rows.withColumn("__batch", batch)
+    for i in range(batches):
+        numbered.where(F.col("__batch") == i).drop("__batch").write.parquet(f"{at}/in/{i}")
+        if i == 0:
+            stream = make(spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{at}/in"))
+        drive(stream, mode, at)
+    return spark.read.schema(stream.withColumn("batch", F.lit(0)).schema).parquet(f"{at}/out")
 
-def replay(stream: DataFrame, mode: str) -> DataFrame:
-    """Everything the stream emits until its source is used up, with the number of the batch."""
-    spark = stream.sparkSession
-    at = scratch(spark)
+
+def drive(stream: DataFrame, mode: str, at: str) -> None:
+    """Runs the stream over all that its source holds and appends what it emits to at/out."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{at}/out")
 
-    schema = stream.withColumn("batch", F.lit(0)).schema
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{at}/out")
+
+

@@ -239,3 +239,39 @@ def test_months(spark):
     assert months("2024-11-15", "2025-02-01") == ["2024-11", "2024-12", "2025-01", "2025-02"]
     with pytest.raises(Exception, match="first month"):
         months("2025-02-01", "2025-01-01")
+
+
+def test_character_references_equal_the_standard_library(spark):
+    import html
+    import random
+    from html.entities import html5
+
+    from tenderlens.functions.markup import unescape
+
+    bits = ["&amp;", "&#243;", "&ntilde;", "&#x41;", "&#x1F600;", "&#0;", "&#128;", "&#129;", "&#55296;", "&#1114112;", "&#9999999999999999999;", "&#x0;", "&notit;", "&not", "&copy"]
+    bits += ["& ", "&&", "&;", "&#;", "&#x;", "&#xg", "a", "ñ", "&Aacute", "&lt;b&gt;", "&amp;lt;", "&#13;", "&#11;", "&#65534;", "&#x1FFFF;", "&unknown;", "&#38;amp;", "&#00065;", "&ltx"]
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 6))) for _ in range(800)] + [f"&{n}" for n in html5] + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", unescape(F.col("t")).alias("u"))
+    assert all(r.u == (None if r.t is None else html.unescape(r.t)) for r in rows.collect())
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vocabulary_without_rows_is_an_error(spark, tmp_path):
+    from tenderlens.sources.reference_data import read_cpv_vocabulary
+
+    (tmp_path / "v.gc").write_text('<Row><Value ColumnRef="code"><SimpleValue>03000000</SimpleValue></Value><Value ColumnRef="nombre"><SimpleValue>Agricultura &amp; ma&iacute;z</SimpleValue></Value></Row>')
+    assert [tuple(r) for r in read_cpv_vocabulary(spark, str(tmp_path / "v.gc")).collect()] == [("03000000", "Agricultura & maíz")]
+    (tmp_path / "none.gc").write_text("<CodeList/>")
+    with pytest.raises(ValueError):
+        read_cpv_vocabulary(spark, str(tmp_path / "none.gc"))
+
+
+def test_go_gates_need_every_measure(spark):
+    from tenderlens.operators import profile
+
+    def gate(a, b, c):
+        feed = spark.createDataFrame([(a, c)], "pct_awarded_with_id double, pct_without_figure double")
+        return profile.go_gates(feed, spark.createDataFrame([(b,)], "pct_readable double")).first().gate
+
+    assert [gate(80.0, 70.0, 50.0), gate(79.9, 70.0, 50.0), gate(80.0, None, 50.0), gate(80.0, 70.0, 49.9)] == ["GO", "REVISAR", "REVISAR", "REVISAR"]
