@@ -2,21 +2,31 @@
 
 Every text block (what stands between block-level tags) has a path of tags and
 first classes from the root.  Per path, text length and punctuation are
-aggregated over its blocks; both ratios are smoothed along the page, fused by
-multiplication, and paths above a share of the page's peak are content.  The
-outermost article or main element that holds all content text is the article, or
-without one the deepest container that does; all its blocks are the text,
-headlines and leads included, without elements whose tag, class, role or whole
-id names a page part that is not article (menus, footers, adverts, forms, reader
-comments, ...).  Parts of ids exclude nothing, nor do ids of headings: they are
-often made from the heading's words.
-
-Character references are decoded once, white space inside a block becomes one
-space, blocks are joined by one line end, nothing is cut by length.
+aggregated over its blocks; both ratios are smoothed along the page and fused by
+multiplication, and paths that reach a share of the page's peak are content.
+
+Class, role and id words that name another page part (advert, comments, ...) are
+a prior, not a filter: a path below such an element counts as a path of its own,
+its score is divided by `AGAINST`, and it sets no peak.  Ids count as a whole, and
+not on headings: they are often made from the heading's words.
+
+The article is where the content paths lie: the outermost article or main element
+that holds more than half of their text, or else the deepest container that holds
+all of it.  It decides ties: paths that lie wholly outside it count half, and a
+shorter block inside it (headline, lead, a one-word paragraph) is smoothed with the
+mean score of the article's content, so that only the prior can keep it out.  The
+text is all blocks whose paths pass then.
+
+Elements that never hold article text by definition (nav, footer, form, script,
+...) are no blocks at all.  Character references are decoded once, white space
+inside a block becomes one space, blocks are joined by one line end, nothing is
+cut by length.
 
 Defined results: null and empty pages, and pages without a content block, give
 an empty text; unclosed tags end where their parents do, a block tag closes an
-open paragraph, stray end tags are ignored; repeated pages give equal texts.
+open paragraph, stray end tags are ignored; repeated pages give equal texts, row
+by row; very long and very deep pages are read whole.  The input's columns named
+text and n_chars are replaced, all others are kept as they are.
 """
 
 from __future__ import annotations
@@ -43,6 +53,7 @@ CONTAINERS = frozenset("html body article center div main section table".split()
 ARTICLE_NAMES = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MODIFIERS = frozenset("has no with without".split())
+AGAINST, OUTSIDE = 16.0, 2.0
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -51,12 +62,12 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
 class Block:
-    """A block's text, the path of its tags, and the containers and articles (by number) that hold it."""
+    """A block's text, the path of its tags, the containers and articles (by number) that hold it, and whether names speak against it."""
 
-    __slots__ = ("path", "holders", "articles", "text", "inside")
+    __slots__ = ("path", "holders", "articles", "text", "against")
 
-    def __init__(self, path: str, holders: tuple[int, ...], articles: tuple[int, ...], text: str, inside: bool) -> None:
-        self.path, self.holders, self.articles, self.text, self.inside = path, holders, articles, text, inside
+    def __init__(self, path: str, holders: tuple[int, ...], articles: tuple[int, ...], text: str, against: bool) -> None:
+        self.path, self.holders, self.articles, self.text, self.against = path, holders, articles, text, against
 
 
 def named(attributes: str) -> tuple[str, set[str], set[str], set[str]]:
@@ -76,9 +87,9 @@ def named(attributes: str) -> tuple[str, set[str], set[str], set[str]]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's text blocks outside excluded elements, in order."""
+    """The page's text blocks outside elements that hold no article text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, int, bool, bool, bool]] = []  # tag, path, number, excluded, within an article, an article element
+    stack: list[tuple[str, str, int, bool, bool, bool, bool]] = []  # tag, path, number, excluded, within an article, an article element, named
     parts: list[str] = []
     number = at = 0
 
@@ -87,10 +98,12 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         if text and not (stack and stack[-1][3]):
             own = [s for s in stack if s[0] not in INLINE]
-            out.append(Block(own[-1][1] if own else "", tuple(s[2] for s in own if s[0] in CONTAINERS), tuple(s[2] for s in own if s[5]), text, bool(stack) and stack[-1][4]))
+            against = bool(stack) and stack[-1][6]
+            path = (own[-1][1] if own else "") + ("!" if against else "")
+            out.append(Block(path, tuple(s[2] for s in own if s[0] in CONTAINERS), tuple(s[2] for s in own if s[5]), text, against))
 
     def close(upto: int) -> None:
-        if any(s[0] not in INLINE for s in stack[upto:]) or (stack and stack[-1][3]):
+        if any(s[0] not in INLINE for s in stack[upto:]) or (stack and (stack[-1][3] or stack[-1][6])):
             flush()
         del stack[upto:]
 
@@ -130,16 +143,19 @@ def blocks(page: str) -> list[Block]:
                 break
         first, words, ids, id_words = named(m[3])
         names = words if tag in HEADINGS else words | ids
-        above = stack[-1] if stack else ("", "", 0, False, False, False)
+        above = stack[-1] if stack else ("", "", 0, False, False, False, False)
         article = tag in ARTICLE_NAMES or "main" in words | id_words
-        excluded = above[3] or (tag in NOT_ARTICLE and not (tag == "header" and above[4])) or bool(names & NOT_ARTICLE_NAMES - ({"header"} if above[4] else set()) and not article_root(tag)) or bool(HIDDEN.search(m[3]))
-        if tag not in INLINE or excluded and not above[3]:
+        excluded = above[3] or (tag in NOT_ARTICLE and not (tag == "header" and above[4])) or bool(HIDDEN.search(m[3]))
+        against = NOT_ARTICLE_NAMES - ({"header"} if above[4] else set())
+        against = above[6] or (bool(names & against) and not article_root(tag))
+        if tag not in INLINE or excluded and not above[3] or against and not above[6]:
             flush()
         number += 1
         path = above[1] if tag in INLINE else f"{above[1]}/{tag}.{first}"
         if m[3].endswith("/"):
             continue
-        stack.append((tag, path, number, excluded, above[4] or article and not excluded, article and tag not in INLINE and not article_root(tag)))
+        held = article and not excluded and not against
+        stack.append((tag, path, number, excluded, above[4] or held, held and tag not in INLINE and not article_root(tag), against))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             parts.clear()
@@ -162,41 +178,59 @@ def smoothed(values: list[float]) -> list[float]:
     return out
 
 
-def content_paths(found: list[Block], share: float) -> set[str]:
-    """Paths whose smoothed, fused ratios reach a share of the page's peak."""
+def path_scores(found: list[Block]) -> dict[str, float]:
+    """Smoothed and fused ratios of every path, prior included."""
     total: dict[str, list[float]] = {}
     for b in found:
         sums = total.setdefault(b.path, [0, 0.0, 0.0])
         sums[0] += 1
         sums[1] += len(b.text)
         sums[2] += len(PUNCTUATION.findall(b.text))
-    weight = {p: 1.0 for p in total}
-    if any(b.inside for b in found):
-        weight |= {b.path: 0.0 for b in found if not b.inside}
     length = smoothed([total[b.path][1] / total[b.path][0] for b in found])
     marks = smoothed([total[b.path][2] / total[b.path][0] for b in found])
     fused: dict[str, float] = {}
     for b, a, c in zip(found, length, marks, strict=True):
-        score = weight[b.path] * math.sqrt(a * (1 + c)) * math.log1p(total[b.path][1])
+        score = math.sqrt(a * (1 + c)) * math.log1p(total[b.path][1]) / (AGAINST if b.against else 1.0)
         fused[b.path] = max(fused.get(b.path, 0.0), score)
-    peak = max(fused.values(), default=0.0)
-    return {p for p, s in fused.items() if s > 0 and s >= share * peak}
+    return fused
+
+
+def content_paths(found: list[Block], fused: dict[str, float], share: float) -> set[str]:
+    """Paths that reach a share of the best score of a path no name speaks against."""
+    peak = max((fused[b.path] for b in found if not b.against), default=math.inf)
+    return {p for p, s in fused.items() if s >= share * peak}
+
+
+def article_of(found: list[Block], content: list[Block]) -> list[Block]:
+    """The blocks of the outermost article that holds more than half of the content's text, or else of the deepest container that holds all."""
+    weight: dict[int, int] = {}
+    for b in content:
+        for number in b.articles:
+            weight[number] = weight.get(number, 0) + len(b.text)
+    half = sum(len(b.text) for b in content) / 2
+    articles = [number for number, n in weight.items() if n > half]
+    if articles:
+        root = min(articles)  # numbers rise with depth
+        return [b for b in found if root in b.articles]
+    holders = set.intersection(*(set(b.holders) for b in content))
+    return [b for b in found if max(holders) in b.holders] if holders else found
 
 
 def main_text(page: str | None, share: float = 0.5) -> str:
-    """The article's blocks: those within the outermost article, or else the deepest container, that holds all text of content paths."""
+    """The text of the article's blocks whose path is content by itself or smoothed with the article's mean."""
     found = blocks(page or "")
-    paths = content_paths(found, share)
+    fused = path_scores(found)
+    paths = content_paths(found, fused, share)
     content = [b for b in found if b.path in paths]
     if not content:
         return ""
-    articles = set.intersection(*(set(b.articles) for b in content))
-    holders = set.intersection(*(set(b.holders) for b in content))
-    if articles:
-        root = min(articles)  # numbers rise with depth
-        return "\n".join(b.text for b in found if root in b.articles)
-    root = max(holders, default=None)
-    return "\n".join(b.text for b in found if root is None or root in b.holders)
+    inside = article_of(found, content)
+    held, own = set(map(id, inside)), {b.path for b in inside}
+    fused = {p: s if p in own else s / OUTSIDE for p, s in fused.items()}
+    paths = content_paths(found, fused, share)
+    mean = sum(fused[b.path] for b in content) / len(content)
+    peak = max((fused[p] for p in paths), default=0.0)
+    return "\n".join(b.text for b in found if b.path in paths or (id(b) in held and mean / (AGAINST if b.against else 1.0) >= share * peak))
 
 
 def extract(pages: DataFrame, page: str = "html", keep: list[str] | None = None) -> DataFrame:

@@ -1,11 +1,15 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
 Candidates are dealt into blocks; in a block every dimension is a list sorted by
-component.  For a query, each list is read from the end that suits the sign of
-the query's component, all lists to the same depth.  A candidate's lower bound
-adds the worst value its unread lists can hold, its upper bound the value at
-the reading front.  Reading deepens until no candidate outside the k best lower
-bounds can pass the k-th of them; what may still qualify gets its final score.
+component.  A query reads each list from the end that suits the sign of its own
+component, entry after entry, and the deeper the more that list can move a score
+(`|component| * range of the list`).  A candidate's lower bound adds the worst
+value its unread lists can hold to what was read of it, its upper bound the value
+at each list's reading front.  After each stretch of reading, candidates whose
+upper bound is below the k-th lower bound are out for good; reading ends when few
+survivors are left, ties included, and those get their final scores.  Every
+stretch doubles the share of the entries read, so where bounds do not close early
+a query ends with the lists read in full.
 Queries come in blocks too; each pair of blocks is one group of bounded size,
 and the k best of every pair meet in one ranking per query.
 
@@ -14,6 +18,8 @@ Vectors that are null, or hold a null or a non-finite component, and null ids
 take no part.  Vectors of other lengths than a query's are no candidates for it.
 Repeated rows take part row by row (an id's own rows never match it); fewer
 candidates than k give shorter lists; an empty table gives an empty result.
+Only the id and the vector are read, so further columns, whatever their names,
+change nothing.
 """
 
 from __future__ import annotations
@@ -27,8 +33,8 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
-DEPTHS = (0.1, 0.25, 0.5, 1.0)
-RESOLVED = 50
+FIRST_SHARE = 1 / 32
+RESOLVED = 4
 LISTED = "query_id long, vec_id long, score long"
 
 
@@ -36,51 +42,74 @@ class SortedLists:
     """One block of candidates, and each row's place in every dimension's sorted list."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.exact = ids[order], vectors[order]
-        self.vectors = self.exact.astype(np.float64)  # sums of products stay below 2**53, so they are exact
-        by = np.argsort(self.exact, axis=0, kind="stable")
-        self.place = np.empty_like(by)
-        np.put_along_axis(self.place, by, np.arange(len(by))[:, None], 0)
-        self.values = np.take_along_axis(self.vectors, by, 0)
-
-    def read(self, depth: int, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(lower, upper) bounds of every row for every query when all lists are read to that depth.
-
-        up and down hold the queries' positive and negative components: the
-        former's lists are read from their large end, the latter's from the small one.
-        """
-        n = len(self.ids)
-        lower = upper = 0.0
-        for part, seen, front, worst in ((up, self.place >= n - depth, self.values[n - depth], self.values[0]), (down, self.place < depth, self.values[depth - 1], self.values[-1])):
-            known = (self.vectors * seen) @ part
-            unread = (~seen).astype(np.float64)
-            lower = lower + known + unread @ (part * worst[:, None])
-            upper = upper + known + unread @ (part * front[:, None])
-        return lower, upper
+        self.ids, self.vectors = ids, vectors
+        by = np.argsort(vectors, axis=0, kind="stable")
+        self.place = np.empty(by.shape, np.int32)
+        np.put_along_axis(self.place, by, np.arange(len(by), dtype=np.int32)[:, None], 0)
+        self.values = np.take_along_axis(vectors, by, 0)
+        self.entries = self.read_entries = self.queries = self.closed_early = 0  # what reading came to, over all queries
 
     def best(self, own: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query id, ids, scores) of each query's k best rows other than its own."""
-        n = len(self.ids)
-        left = np.arange(len(own))
-        for part in DEPTHS:
-            depth = max(1, int(np.ceil(n * part)))
-            q = queries[left].T.astype(np.float64)
-            lower, upper = self.read(depth, np.maximum(q, 0), np.minimum(q, 0))
-            mine = self.ids[:, None] == own[left][None, :]
-            lower[mine] = upper[mine] = -np.inf
-            least = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(left), -np.inf)
-            open_ = (upper >= least) & ~mine
-            # when few can still qualify, ties included, no outsider can: those few are resolved
-            done = (open_.sum(0) <= RESOLVED * k) | (part == 1.0)
-            for c in np.flatnonzero(done).tolist():
-                at = np.flatnonzero(open_[:, c])
-                scores = self.exact[at] @ queries[left[c]]
-                first = np.lexsort((self.ids[at], -scores))[:k]
-                yield int(own[left[c]]), self.ids[at[first]], scores[first]
-            left = left[~done]
-            if not len(left):
-                return
+        for number, query in zip(own.tolist(), queries, strict=True):
+            at = self.survivors(number, query, k)
+            scores = self.vectors[at] @ query
+            first = np.lexsort((self.ids[at], -scores))[:k]
+            yield number, self.ids[at[first]], scores[first]
+
+    def survivors(self, own: int, query: np.ndarray, k: int) -> np.ndarray:
+        """Rows that can be among the k best, once few are left or all lists are read."""
+        reading = Reading(self, np.flatnonzero(self.ids != own), query)
+        share = FIRST_SHARE
+        while len(reading.rows) > RESOLVED * k and not reading.ended:
+            lower, upper = reading.advance(share)
+            least = np.partition(lower, len(lower) - k)[len(lower) - k]
+            reading.keep(upper >= least)  # the k best lower bounds stay, so the bound holds from one stretch to the next
+            share *= 2
+        self.queries += 1
+        self.closed_early += not reading.ended
+        self.entries += self.place.size
+        self.read_entries += int(reading.depth.sum())
+        return reading.rows
+
+
+class Reading:
+    """How far one query has read a block's lists, and what it knows of the rows still in question."""
+
+    def __init__(self, lists: SortedLists, rows: np.ndarray, query: np.ndarray) -> None:
+        self.rows, self.n = rows, len(lists.ids)
+        used = np.flatnonzero(query)
+        self.query, self.values = query[used], lists.values[:, used]
+        self.up = self.query > 0
+        place = lists.place[rows][:, used]
+        self.rank = np.where(self.up, self.n - 1 - place, place)  # an entry's place in the order of reading
+        self.gain = lists.vectors[rows][:, used] * self.query
+        self.known, self.read = np.zeros(len(rows), np.int64), np.zeros(self.rank.shape, bool)
+        self.worst = self.query * np.where(self.up, self.values[0], self.values[-1])
+        reach = np.abs(self.query) * (self.values[-1] - self.values[0])
+        self.weight = reach / reach.mean() if reach.any() else np.ones(len(used))
+        self.depth = np.zeros(len(used), np.int64)
+
+    @property
+    def ended(self) -> bool:
+        return bool((self.depth == self.n).all())
+
+    def advance(self, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """Reads on until that share of all entries is read, the weightier lists deeper; (lower, upper) bounds of the rows."""
+        wanted = np.full(len(self.depth), self.n) if share >= 1 else np.ceil(self.n * share * self.weight).astype(np.int64)
+        self.depth = np.clip(wanted, np.minimum(self.depth + 1, self.n), self.n)
+        fresh = (self.rank < self.depth) & ~self.read
+        self.known += np.where(fresh, self.gain, 0).sum(1)
+        self.read |= fresh
+        lists = np.arange(len(self.depth))
+        front = self.query * np.where(self.up, self.values[self.n - self.depth, lists], self.values[self.depth - 1, lists])
+        unread = ~self.read
+        return self.known + unread @ self.worst, self.known + unread @ front
+
+    def keep(self, which: np.ndarray) -> None:
+        if not which.all():
+            self.rows, self.known, self.rank = self.rows[which], self.known[which], self.rank[which]
+            self.gain, self.read = self.gain[which], self.read[which]
 
 
 def matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:

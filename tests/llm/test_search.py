@@ -33,13 +33,36 @@ def test_top_k_equals_brute_force(spark, monkeypatch, small):
 
 def test_bounds_hold_at_every_depth():
     rng = np.random.default_rng(6)
-    x, q = rng.integers(-100, 100, (50, 9)), rng.integers(-100, 100, (4, 9))
+    x, queries = rng.integers(-100, 100, (50, 9)), rng.integers(-100, 100, (4, 9))
     lists = topk.SortedLists(np.arange(50), x)
-    exact = x @ q.T
-    for depth in (1, 7, 25, 50):
-        lower, upper = lists.read(depth, np.maximum(q.T, 0).astype(float), np.minimum(q.T, 0).astype(float))
-        assert (lower <= exact).all() and (exact <= upper).all()
-    assert (lower == exact).all() and (upper == exact).all()
+    for q in queries:
+        reading, exact = topk.Reading(lists, np.arange(50), q), x @ q
+        for share in (0.02, 0.1, 0.3, 0.7, 1.0):
+            lower, upper = reading.advance(share)
+            assert (lower <= exact).all() and (exact <= upper).all() and (reading.depth <= 50).all()
+        assert reading.ended and (lower == exact).all() and (upper == exact).all()
+
+
+def test_reading_stops_early_where_bounds_close():
+    """A few rows stand out in the lists that matter: the rest is out long before the lists end, and no score is lost."""
+    rng = np.random.default_rng(7)
+    x = rng.integers(-40, 40, (3000, 16))
+    x[:20] += 400
+    queries = rng.integers(20, 60, (8, 16))
+    lists = topk.SortedLists(np.arange(3000), x)
+    for number, ids, scores in lists.best(np.arange(5000, 5008), queries, 5):
+        exact = x @ queries[number - 5000]
+        first = np.lexsort((np.arange(3000), -exact))[:5]
+        assert ids.tolist() == first.tolist() and scores.tolist() == exact[first].tolist()
+    assert lists.closed_early == 8 and lists.read_entries < 0.3 * lists.entries
+
+
+def test_top_k_counts_repeated_rows_one_by_one(spark):
+    rows = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [2.0, 2.0]), (50, [1.0, 1.0]), (50, [3.0, 3.0])]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+    by_rank = [(r.vec_id, r.score) for r in sorted(out, key=lambda r: (r.rank, -r.score)) if r.query_id == 50]
+    scores = sorted(((256 * 256 * (a + b), i) for i, (a, b) in [(1, (1, 2)), (1, (1, 2)), (2, (2, 2))]), key=lambda x: (-x[0], x[1]))
+    assert {s for _, s in by_rank} <= {s for s, _ in scores} | {3 * s for s, _ in scores} and all(i != 50 for i, _ in by_rank)
 
 
 def test_top_k_of_nothing(spark):
@@ -142,6 +165,44 @@ def test_article_keeps_headline_lead_and_slugs(page, text):
     assert html_extraction.main_text(page) == text
 
 
+def planted_pages(n=300):
+    """Pages without any semantic tag or telling class, of known blocks in a known order: (page, the article's blocks)."""
+    import random
+
+    rng = random.Random(11)
+    say = lambda k: " ".join(f"{prose(rng.randrange(9999), 6)}," for _ in range(k)).capitalize().rstrip(",") + "."
+    for i in range(n):
+        links = "".join(f"<li><a href=/{j}>{prose(rng.randrange(999), 2)}</a></li>" for j in range(rng.randint(4, 9)))
+        body = [prose(rng.randrange(9999), 5)] + [say(rng.randint(3, 7)) for _ in range(rng.randint(3, 6))] + [say(1)]
+        story = f"<h2>{body[0]}</h2>" + "".join(f"<p>{x}</p>" for x in body[1:])
+        parts = [f"<div class=a{i}><ul>{links}</ul></div>", f"<div class=b{i}>{story}</div>", f"<div class=c{i}><ul>{links}</ul></div>", f"<div class=d{i}>{prose(rng.randrange(999), 3)}</div>"]
+        rest = parts[:1] + parts[2:]
+        rng.shuffle(rest)
+        at = rng.randint(0, 3)
+        yield f"<html><body>{''.join([*rest[:at], parts[1], *rest[at:]])}</body></html>", body
+
+
+def test_ratios_alone_find_planted_articles():
+    for page, body in planted_pages():
+        assert html_extraction.main_text(page) == "\n".join(body)
+
+
+def test_paths_decide(monkeypatch):
+    """With every path counted as content, boilerplate comes along: nothing else keeps it out."""
+    pages = [p for p, _ in planted_pages(20)]
+    advert = f"<html><body><nav>Menu</nav><div class=ad>Buy this, now.</div><article><h1>T</h1><p>{LONG}</p></article></body></html>"
+    before = [html_extraction.main_text(p) for p in [*pages, advert]]
+    assert before[-1] == f"T\n{LONG}"
+    monkeypatch.setattr(html_extraction, "content_paths", lambda found, fused, share: set(fused))
+    assert all(a != b for a, b in zip(before, [html_extraction.main_text(p) for p in [*pages, advert]], strict=True))
+
+
+def test_repeated_pages(spark):
+    rows = [(1, "u", PAGES[0][0]), (1, "u", PAGES[0][0]), (None, None, PAGES[0][0])]
+    out = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(str(r.page_id) for r in out) == ["1", "1", "None"] and {r.text for r in out} == {PAGES[0][1]}
+
+
 def test_no_page(spark):
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
