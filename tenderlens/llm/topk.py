@@ -7,9 +7,9 @@ component, entry after entry, and the deeper the more that list can move a score
 value its unread lists can hold to what was read of it, its upper bound the value
 at each list's reading front.  After each stretch of reading, candidates whose
 upper bound is below the k-th lower bound are out for good; reading ends when few
-survivors are left, ties included, and those get their final scores.  Every
-stretch doubles the share of the entries read, so where bounds do not close early
-a query ends with the lists read in full.
+survivors are left, ties included, and those get their final scores.  Shares read
+are 1/8, 3/8 and 1: where bounds do not close early, a query ends with the lists
+read in full.
 Queries come in blocks too; each pair of blocks is one group of bounded size,
 and the k best of every pair meet in one ranking per query.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
-FIRST_SHARE = 1 / 32
+FIRST_SHARE, DEEPER = 1 / 8, 3
 RESOLVED = 4
 LISTED = "query_id long, vec_id long, score long"
 
@@ -42,53 +42,54 @@ class SortedLists:
     """One block of candidates, and each row's place in every dimension's sorted list."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.exact = ids, vectors
+        self.vectors = vectors.astype(np.float64)  # sums of products stay below 2**53, so they are exact
         by = np.argsort(vectors, axis=0, kind="stable")
         self.place = np.empty(by.shape, np.int32)
         np.put_along_axis(self.place, by, np.arange(len(by), dtype=np.int32)[:, None], 0)
-        self.values = np.take_along_axis(vectors, by, 0)
+        self.values = np.take_along_axis(self.vectors, by, 0)
         self.entries = self.read_entries = self.queries = self.closed_early = 0  # what reading came to, over all queries
 
     def best(self, own: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query id, ids, scores) of each query's k best rows other than its own."""
         for number, query in zip(own.tolist(), queries, strict=True):
             at = self.survivors(number, query, k)
-            scores = self.vectors[at] @ query
+            scores = self.exact[at] @ query
             first = np.lexsort((self.ids[at], -scores))[:k]
             yield number, self.ids[at[first]], scores[first]
 
     def survivors(self, own: int, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows that can be among the k best, once few are left or all lists are read."""
-        reading = Reading(self, np.flatnonzero(self.ids != own), query)
+        """Rows other than the query's own that can be among the k best, once few are left or all lists are read."""
+        reading = Reading(self, query.astype(np.float64))
         share = FIRST_SHARE
-        while len(reading.rows) > RESOLVED * k and not reading.ended:
+        while len(reading.rows) > RESOLVED * k and share < 1:
             lower, upper = reading.advance(share)
+            lower[self.ids[reading.rows] == own] = -np.inf
             least = np.partition(lower, len(lower) - k)[len(lower) - k]
             reading.keep(upper >= least)  # the k best lower bounds stay, so the bound holds from one stretch to the next
-            share *= 2
+            share *= DEEPER
+        if len(reading.rows) > RESOLVED * k:
+            reading.depth[:] = reading.n  # what is left of the lists is read, so bounds are scores
         self.queries += 1
         self.closed_early += not reading.ended
         self.entries += self.place.size
         self.read_entries += int(reading.depth.sum())
-        return reading.rows
+        return reading.rows[self.ids[reading.rows] != own]
 
 
 class Reading:
     """How far one query has read a block's lists, and what it knows of the rows still in question."""
 
-    def __init__(self, lists: SortedLists, rows: np.ndarray, query: np.ndarray) -> None:
-        self.rows, self.n = rows, len(lists.ids)
-        used = np.flatnonzero(query)
-        self.query, self.values = query[used], lists.values[:, used]
-        self.up = self.query > 0
-        place = lists.place[rows][:, used]
-        self.rank = np.where(self.up, self.n - 1 - place, place)  # an entry's place in the order of reading
-        self.gain = lists.vectors[rows][:, used] * self.query
-        self.known, self.read = np.zeros(len(rows), np.int64), np.zeros(self.rank.shape, bool)
-        self.worst = self.query * np.where(self.up, self.values[0], self.values[-1])
-        reach = np.abs(self.query) * (self.values[-1] - self.values[0])
-        self.weight = reach / reach.mean() if reach.any() else np.ones(len(used))
-        self.depth = np.zeros(len(used), np.int64)
+    def __init__(self, lists: SortedLists, query: np.ndarray) -> None:
+        self.n = len(lists.ids)
+        self.query, self.values, self.up = query, lists.values, query > 0
+        self.rows = np.arange(self.n)
+        self.rank = np.where(self.up, self.n - 1 - lists.place, lists.place)  # an entry's place in the order of reading
+        self.gain = lists.vectors * query
+        self.worst = query * np.where(self.up, self.values[0], self.values[-1])
+        reach = np.abs(query) * (self.values[-1] - self.values[0])
+        self.weight = reach / reach.mean() if reach.any() else np.ones(len(query))
+        self.depth = np.zeros(len(query), np.int64)
 
     @property
     def ended(self) -> bool:
@@ -98,18 +99,14 @@ class Reading:
         """Reads on until that share of all entries is read, the weightier lists deeper; (lower, upper) bounds of the rows."""
         wanted = np.full(len(self.depth), self.n) if share >= 1 else np.ceil(self.n * share * self.weight).astype(np.int64)
         self.depth = np.clip(wanted, np.minimum(self.depth + 1, self.n), self.n)
-        fresh = (self.rank < self.depth) & ~self.read
-        self.known += np.where(fresh, self.gain, 0).sum(1)
-        self.read |= fresh
         lists = np.arange(len(self.depth))
         front = self.query * np.where(self.up, self.values[self.n - self.depth, lists], self.values[self.depth - 1, lists])
-        unread = ~self.read
-        return self.known + unread @ self.worst, self.known + unread @ front
+        read = self.rank < self.depth
+        return np.where(read, self.gain, self.worst).sum(1), np.where(read, self.gain, front).sum(1)
 
     def keep(self, which: np.ndarray) -> None:
         if not which.all():
-            self.rows, self.known, self.rank = self.rows[which], self.known[which], self.rank[which]
-            self.gain, self.read = self.gain[which], self.read[which]
+            self.rows, self.rank, self.gain = self.rows[which], self.rank[which], self.gain[which]
 
 
 def matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:

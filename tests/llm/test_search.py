@@ -36,7 +36,7 @@ def test_bounds_hold_at_every_depth():
     x, queries = rng.integers(-100, 100, (50, 9)), rng.integers(-100, 100, (4, 9))
     lists = topk.SortedLists(np.arange(50), x)
     for q in queries:
-        reading, exact = topk.Reading(lists, np.arange(50), q), x @ q
+        reading, exact = topk.Reading(lists, q.astype(float)), x @ q
         for share in (0.02, 0.1, 0.3, 0.7, 1.0):
             lower, upper = reading.advance(share)
             assert (lower <= exact).all() and (exact <= upper).all() and (reading.depth <= 50).all()
