@@ -7,21 +7,29 @@ of different texts fall to the same m-gram.
 
 1. Texts with equal words are one; of the others, m-grams that occur in two
    documents mark the paths that can hold a repeated edge at all.
-2. Only those paths are kept.  Equal paths collapse into one (a path has no
-   branch inside as long as its content is the same); the distinct ones give
-   their edges, and a grouping finds the smallest document of each edge.
-3. Neighbouring paths are glued through joins on the k - 1 words between them
-   where exactly one repeated path ends and one begins there.
-4. Joins carry the edges' first documents back to every source coordinate
-   (document, word), where the words are removed; an independent hash of each
-   path is compared there, so equal 64-bit window hashes alone remove nothing.
+2. Only those paths are kept.  Equal paths collapse into one, with its first
+   source coordinate (document, word); the distinct ones give their edges, and a
+   grouping finds the smallest document of each edge.
+3. Repeated paths are compacted: where exactly one of them ends and one begins at
+   a node (two joined counts) and both stand side by side in their first document,
+   they are one chain, known by the source coordinate at which it begins.
+4. Joins carry chains back to every document that holds one of their paths.  What
+   follows one chain word by word is one span, from (document, word) to (first
+   document, word); a path is joined by two 64-bit hashes of its words, so its
+   words at both coordinates agree.  Spans are what is removed from later
+   documents, and what is reported.
+5. A path's first document may still hold single edges that another path has from
+   an earlier document; these are found by the window's 64-bit hash alone (among
+   10**9 different windows two agree with odds of about 0.03).
 
 Removed: words covered by a window that also starts in a document of smaller id.
 
 Defined results: null and empty texts have no words; fewer than k words are
 never removed; rows that repeat an id are judged against smaller ids only; a
 null id is neither smaller nor larger than others, so its row stays whole; an
-empty table gives an empty result.  Docs' further columns are not read.
+empty table gives an empty result; very long texts are hashed in stretches and
+cut whole.  Only the id and the text are read, so docs' further columns, whatever
+their names, change nothing.
 """
 
 from __future__ import annotations
@@ -30,12 +38,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import column, emit_rows, lists, map_texts
 from .cluster import discard, written, written_at
-from .tokens import SPACE_SEPARATED, Words, mix, range_hashes, whole_windows, window_hashes, words_of
+from .tokens import SPACE_SEPARATED, Words, mix, range_hashes, row_hashes, whole_windows, window_hashes, words_of
 
 SECOND = np.uint64(0xD6E8FEB86659FD93)
 
@@ -65,12 +73,7 @@ def paths_of(words: Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def text_keys(words: Words) -> np.ndarray:
     """One 64-bit number per row for its word sequence."""
-    out = np.zeros(len(words.counts), np.uint64)
-    full = np.flatnonzero(words.counts)
-    for i in full.tolist():
-        a, b = words.bounds[i], words.bounds[i + 1]
-        out[i] = range_hashes(words.hashes[a:b] * SECOND, np.array([0]), np.array([b - a]))[0]
-    return out
+    return row_hashes(words.hashes * SECOND, words.bounds)
 
 
 def sign(docs: DataFrame, text: str, id_col: str, k: int, m: int) -> DataFrame:
@@ -136,12 +139,17 @@ def batched(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out.view(np.int64)
 
 
-def compact(distinct: DataFrame) -> DataFrame:
-    """distinct paths with `glued`: whether exactly one repeated path ends, and one begins, at the path's first node."""
-    ends = distinct.groupBy(F.col("tail").alias("node")).agg(F.count(F.lit(1)).alias("into"))
-    starts = distinct.groupBy(F.col("head").alias("node")).agg(F.count(F.lit(1)).alias("out"))
-    inner = ends.where("into = 1").join(starts.where("out = 1"), "node").select(F.col("node").alias("head"), F.lit(True).alias("glued"))
-    return distinct.join(inner, "head", "left").withColumn("glued", F.coalesce("glued", F.lit(False)))
+def compact(repeated: DataFrame) -> DataFrame:
+    """repeated paths with chain_at: where the nonbranching chain that they are part of begins in their first document."""
+    whole = repeated.where("low < high")  # others hold only single repeated edges
+    ends = whole.groupBy(F.col("tail").alias("node")).agg(F.count(F.lit(1)).alias("into"))
+    starts = whole.groupBy(F.col("head").alias("node")).agg(F.count(F.lit(1)).alias("out"))
+    inner = ends.where("into = 1").join(starts.where("out = 1"), "node").select(F.col("node").alias("head"), F.lit(True).alias("through"))
+    marked = repeated.join(inner, "head", "left")
+    source = Window.partitionBy("low", "low_key").orderBy("source_at")  # the paths of one document
+    goes_on = F.coalesce(F.col("through") & (F.lag(F.col("source_at") + F.col("n")).over(source) == F.col("source_at")), F.lit(False))
+    begins = F.when(~goes_on, F.col("source_at"))
+    return marked.withColumn("begins", begins).withColumn("chain_at", F.max("begins").over(source)).drop("begins", "through")
 
 
 def marked_grams(signed: DataFrame, id_col: str) -> DataFrame:
@@ -152,73 +160,111 @@ def marked_grams(signed: DataFrame, id_col: str) -> DataFrame:
     return grams.join(shared, "gram").groupBy("doc").agg(F.collect_list("gram").alias("grams"))
 
 
+HELD = "doc long, text_key long, followed array<struct<source: long, chain_at: int, shift: int, at: int, n: int>>, windows array<int>"
+
+
 def removals(docs: DataFrame, marked: DataFrame, text: str, id_col: str, k: int, m: int) -> DataFrame:
-    """(doc, text_key, windows, glued): the windows of each text to remove, and at which of them a path goes on from the one before.
+    """HELD: of each text the stretches of chains that it shares with their first document, and single windows to remove.
 
     Tables that only lead to the next one are deleted once that is written.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("body")).join(marked, "doc")
     paths, paths_at = written_at(repeated_paths(texts, k, m))
-    distinct = paths.groupBy("path", "check").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first("head").alias("head"), F.first("tail").alias("tail"), F.first("windows").alias("windows"))
-    distinct, distinct_at = written_at(distinct.withColumn("number", F.xxhash64("path", "check")))
-    places, places_at = written_at(paths.select("doc", "text_key", "at", "path", "check", F.size("windows").alias("n")))
+    distinct = paths.groupBy("path", "check").agg(
+        F.min(F.struct("doc", "text_key", "at")).alias("first"), F.max("doc").alias("high"), F.first("head").alias("head"), F.first("tail").alias("tail"), F.first("windows").alias("windows")
+    )
+    source = [F.col("first.doc").alias("low"), F.col("first.text_key").alias("low_key"), F.col("first.at").alias("source_at")]
+    distinct = distinct.select(F.xxhash64("path", "check").alias("number"), "path", "check", *source, "high", "head", "tail", F.size("windows").alias("n"), "windows")
+    distinct, distinct_at = written_at(distinct)
+    places, places_at = written_at(paths.select("doc", "text_key", "at", "path", "check"))
     discard(spark, paths_at)
     earlier, earlier_at = written_at(earlier_edges(distinct))
-    repeated = distinct.select("number", "path", "check", "low", "high", "head", "tail").join(earlier, "number", "left").where("low < high or inner is not null")
-    repeated, repeated_at = written_at(compact(repeated.select("path", "check", "low", "inner", "head", "tail")).drop("head", "tail"))
+    repeated = distinct.drop("windows").join(earlier, "number", "left").where("low < high or inner is not null").drop("number")
+    repeated, repeated_at = written_at(compact(repeated).drop("head", "tail", "low_key", "high"))
     for at in (distinct_at, earlier_at):
         discard(spark, at)
     hits = places.join(repeated, ["path", "check"])
-    # later documents lose the whole path; its first one what starts in an earlier document by way of another path
-    inside = F.when(F.col("doc") > F.col("low"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.col("inner"))
-    hits = hits.select("doc", "text_key", "at", "glued", F.transform(inside, lambda i: F.col("at") + i).alias("windows")).where("size(windows) > 0")
-    hits = written(hits.groupBy("doc", "text_key").agg(F.flatten(F.collect_list("windows")).alias("windows"), F.collect_list(F.when(F.col("glued"), F.col("at"))).alias("glued")))
+    # later documents lose what they share with the chain's first one; that one loses what starts in an earlier document by way of another path
+    later = F.col("doc") > F.col("low")
+    shift = (F.col("at") - F.col("source_at")).alias("shift")
+    followed = F.when(later, F.struct(F.col("low").alias("source"), "chain_at", shift, "at", "n"))
+    inside = F.when(~later, F.transform("inner", lambda i: F.col("at") + i))
+    hits = hits.select("doc", "text_key", followed.alias("followed"), inside.alias("inside")).where("followed is not null or inside is not null")
+    grouped = hits.groupBy("doc", "text_key").agg(F.collect_list("followed").alias("followed"), F.flatten(F.collect_list("inside")).alias("windows"))
+    out = written(grouped)
     for at in (places_at, repeated_at):
         discard(spark, at)
-    return hits
+    return out
 
 
 def earlier_edges(distinct: DataFrame) -> DataFrame:
     """(number, inner): places of a path's edges that another path has from an earlier first document."""
     edges = distinct.select("number", "low", F.posexplode("windows").alias("i", "window"))
     firsts = edges.groupBy("window").agg(F.min("low").alias("source"), F.max("low").alias("latest")).where("source < latest").select("window", "source")
-    return edges.join(firsts, "window").where("source < low").groupBy("number").agg(F.collect_list("i").alias("inner"))
+    firsts, firsts_at = written_at(firsts)  # a frequent edge's rows can be split in a join of two plain tables
+    later = edges.join(firsts, "window").where("source < low").select("number", "i")
+    later, later_at = written_at(later)
+    discard(distinct.sparkSession, firsts_at)
+    return later.groupBy("number").agg(F.collect_list("i").alias("inner"))
+
+
+def spans_of(followed: list[dict]) -> list[tuple[int, int, int, int]]:
+    """(at, windows, source, source at) of each run that follows one chain without a gap."""
+    out: list[tuple[int, int, int, int]] = []
+    last = None
+    for x in sorted(followed, key=lambda x: (x["source"], x["chain_at"], x["shift"], x["at"])):
+        way = (x["source"], x["chain_at"], x["shift"])
+        if last == (way, x["at"]):
+            at, n, source, source_at = out[-1]
+            out[-1] = (at, n + x["n"], source, source_at)
+        else:
+            out.append((x["at"], x["n"], x["source"], x["at"] - x["shift"]))
+        last = (way, x["at"] + x["n"])
+    return sorted(out)
+
+
+REPEATS = "array<struct<at: long, n_words: long, source: long, source_at: long>>"
 
 
 def cut(texts: DataFrame, k: int) -> DataFrame:
-    """Of (doc, body, text_key, windows, glued): what is left of each text whose words have that key."""
-    ddl = "same boolean, n_removed long, kept_sha256 string, n_spans int, longest_span int, n_glued int, kept_text string"
+    """Of (doc, body, HELD): what is left of each text whose words have that key, and the spans that it repeats."""
+    ddl = f"same boolean, n_removed long, kept_sha256 string, n_spans int, longest_span int, repeats {REPEATS}, kept_text string"
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("at", "n_words", "source", "source_at")]))
 
     def prepare():
         def make(bodies: pa.Array, batch: pa.RecordBatch) -> list[pa.Array]:
             words = words_of(bodies, SPACE_SEPARATED)
             same = text_keys(words).view(np.int64) == column(batch, "text_key").to_numpy(zero_copy_only=False)
-            windows, out = column(batch, "windows").to_pylist(), []
+            followed, windows, out = column(batch, "followed").to_pylist(), column(batch, "windows").to_pylist(), []
             for i, body in enumerate(bodies.to_pylist()):
                 n = int(words.counts[i])
-                at = np.array(windows[i] if same[i] else [], np.int64)
-                change = np.bincount(at, minlength=n + 1) - np.bincount(at + k, minlength=n + 1)
-                gone = np.cumsum(change[:n]) > 0
+                spans = spans_of(followed[i]) if same[i] else []
+                single = np.array(windows[i] if same[i] else [], np.int64)
+                first = np.concatenate([np.array([x[0] for x in spans], np.int64), single])
+                end = np.concatenate([np.array([x[0] + x[1] - 1 + k for x in spans], np.int64), single + k])
+                gone = np.cumsum(np.bincount(first, minlength=n + 1)[:n] - np.bincount(end, minlength=n + 1)[:n]) > 0
                 edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-                spans = np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
+                stretches = np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
                 own = (body or "").encode().split()
                 kept = b" ".join(own[j] for j in np.flatnonzero(~gone).tolist())
-                out.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), len(spans), int(spans.max(initial=0)), kept.decode()))
-            removed, digest, n_spans, longest, kept = (list(x) for x in zip(*out, strict=True))
-            glued = column(batch, "glued").value_lengths()
-            return [pa.array(same), pa.array(removed, pa.int64()), pa.array(digest), pa.array(n_spans, pa.int32()), pa.array(longest, pa.int32()), glued, pa.array(kept)]
+                repeats = [{"at": a, "n_words": c - 1 + k, "source": d, "source_at": e} for a, c, d, e in spans]
+                out.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), len(stretches), int(stretches.max(initial=0)), repeats, kept.decode()))
+            removed, digest, n_spans, longest, repeats, kept = (list(x) for x in zip(*out, strict=True))
+            return [pa.array(same), pa.array(removed, pa.int64()), pa.array(digest), pa.array(n_spans, pa.int32()), pa.array(longest, pa.int32()), pa.array(repeats, kind), pa.array(kept)]
 
         return make
 
-    return map_texts(texts, "body", ["doc", "text_key", "windows", "glued"], ddl, prepare).where("same").drop("windows", "glued", "same")
+    return map_texts(texts, "body", ["doc", "text_key", "followed", "windows"], ddl, prepare).where("same").drop("windows", "followed", "same")
 
 
 def substring_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 13, m: int = 4, with_text: bool = True) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256 (of kept words joined by one space), the spans removed, and kept_text.
 
-    n_spans and longest_span (words) count removed stretches, n_glued the
-    repeated paths that go on from another without a branch.
+    n_spans and longest_span (words) count removed stretches; repeats lists the
+    spans that follow one chain of the source's without a branch: the same n_words
+    stand at `at` here and at `source_at` in document `source`.  A row whose words
+    are all those of an earlier document is one stretch and lists no repeats.
     """
     full, full_at = written_at(sign(docs, text, id_col, k, m))
     marked, marked_at = written_at(marked_grams(full, id_col))
@@ -240,7 +286,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         F.when(whole, none).otherwise(F.coalesce("cut_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("int").alias("n_spans"),
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("longest_span", F.lit(0))).cast("int").alias("longest_span"),
-        F.coalesce("n_glued", F.lit(0)).alias("n_glued"),
+        F.coalesce(F.when(~whole, F.col("repeats")), F.array().cast(REPEATS)).alias("repeats"),
         *([F.when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []),
     )
     return out

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from tenderlens.llm import jaccard, line_dedup, substring_dedup
 from tests.llm.common import SCHEMA, clashing, odd_documents, prose, words
 
@@ -36,7 +37,41 @@ def test_substring_dedup_equals_brute_force(spark):
     rows += [(400, " ".join(["again"] * 40), "en", "a", 1), (401, " ".join(["again"] * 17), "en", "a", 1)]  # one window, many times
     out = substring_dedup.substring_dedup(documents(spark, rows)).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out) == removed_by_windows(rows)
-    assert any(r.n_glued for r in out) and all(r.kept_text is None or hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in out)
+    texts = {r[0]: words(r[1]) for r in rows if r[0] not in (12, None)}
+    assert any(r.repeats for r in out) and all(
+        texts[r.doc_id][x.at : x.at + x.n_words] == texts[x.source][x.source_at : x.source_at + x.n_words] for r in out if r.doc_id in texts for x in r.repeats
+    )
+    assert all(r.kept_text is None or hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in out)
+
+
+def test_compaction_makes_one_span_of_a_passage(spark, monkeypatch):
+    """A passage of 300 words that three documents share is one span with its source; without compaction it falls into its paths."""
+    passage = prose(70, 300)
+    rows = [(i, f"{prose(700 + i, 20 + i)} {passage} {prose(800 + i, 15)}", "en", "a", 1) for i in range(3)]
+
+    def repeats():
+        out = substring_dedup.substring_dedup(documents(spark, rows)).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out) == removed_by_windows(rows)
+        return {r.doc_id: [tuple(x) for x in r.repeats] for r in out}
+
+    found = repeats()
+    assert found[0] == [] and len(found[1]) == len(found[2]) == 1
+    for doc in (1, 2):  # paths that run beyond the passage's ends differ, so their windows are found one by one
+        (at, n, source, source_at), = found[doc]
+        assert source == 0 and at - source_at == doc and 280 <= n <= 300
+    plain = substring_dedup.compact
+    monkeypatch.setattr(substring_dedup, "compact", lambda repeated: plain(repeated).withColumn("chain_at", F.col("source_at")))
+    assert len(repeats()[1]) > 10
+
+
+def test_chains_end_where_paths_branch(spark):
+    """Two continuations of one passage are chains of their own."""
+    a, b, c = prose(71, 80), prose(72, 80), prose(73, 80)
+    texts = [f"{a} {b}", f"{a} {c}", f"{prose(74, 30)} {a} {b}", f"{prose(75, 30)} {a} {c}"]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    out = {r.doc_id: r for r in substring_dedup.substring_dedup(documents(spark, rows)).collect()}
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out.values()) == removed_by_windows(rows)
+    assert [x.source for x in out[1].repeats] == [0] and {x.source for x in out[3].repeats} == {0, 1} and out[3].n_spans == 1
 
 
 def test_substring_dedup_of_nothing(spark):
