@@ -3,30 +3,35 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a new temporary one only where none is configured."""
+    """The folder of spark.checkpoint.dir, which the driver and all executors share; without that setting there is none to use."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tenderlens-")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
+#: Tables written by this process and not discarded yet, oldest first.
+_tables: list[str] = []
+
+
 def written_at(df: DataFrame) -> tuple[DataFrame, str]:
     """df, written once as Parquet into the shared folder and read back, and where; shuffle files that led to it may go."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark).rstrip('/')}/tenderlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
     del df
+    _tables.append(path)
     drop_shuffles(spark)
     return spark.read.schema(schema).parquet(path), path
 
@@ -35,10 +40,21 @@ def written(df: DataFrame) -> DataFrame:
     return written_at(df)[0]
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """make(), written; all tables that were written on the way to it are discarded then."""
+    before = len(_tables)
+    out, path = written_at(make())
+    for other in _tables[before:]:
+        if other != path:
+            discard(spark, other)
+    return out
+
+
 def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a table of written_at() whose every reader has been written itself."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    """Empties a table of written_at() whose every reader has been written itself."""
+    spark.range(0).write.mode("overwrite").parquet(path)
+    if path in _tables:
+        _tables.remove(path)
 
 
 def drop_shuffles(spark: SparkSession) -> None:

@@ -2,13 +2,13 @@
 
 Lines are compared stripped of surrounding white space; empty lines never link
 documents.  Equal line sequences are one text; its first document stands for it
-and the others are deletions as a whole.  A line's holders are not paired with
-one another: every later holder is paired with the line's first one, so a line
-that n documents share makes n - 1 pairs and no line is too frequent to count.
-So rarity needs no cut-off: a rare line and a frequent one both cost one pair
-for each later holder, and pairs that several lines make are one.
+and the others are deletions as a whole.  Rare lines, which RARE texts hold at
+most, find the overlapping documents: every holder is paired with every earlier
+one.  A line that more texts hold pairs each later holder with its first one only,
+so n holders make n - 1 pairs and no line is too frequent to count; pairs that
+several lines make are one.
 
-Lines that such a pair leaves unaligned are paired on with their next earlier
+Lines that all these pairs leave unaligned are paired on with their next earlier
 holders, first 1, then 2, 4, ... of them, until they are aligned or no earlier
 holder is left.  A holder can be passed over only where it cannot align the
 line: patience aligns a line that is unique in both texts, or one that has the
@@ -22,7 +22,9 @@ Deletions are judged on the input, never on what is left.
 
 Defined results: null and empty texts have no lines; a null id is later than
 every id and no partner; rows that repeat an id are no partners of one another;
-an empty table gives an empty result.
+an empty table gives an empty result; very long texts are aligned whole, by line.
+Only the id and the text are read, so docs' further columns, whatever their
+names, change nothing.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ from .arrow import column, map_texts
 from .cluster import broadcast_within, written
 
 WANTED_KEYS = 1_000_000
+RARE = 8
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -197,9 +200,13 @@ def line_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", leas
     firsts = signed.groupBy("digest").agg(F.min(id_col).alias("doc"), F.first("lines").alias("lines")).where("doc is not null")
     firsts = written(firsts)
     held = firsts.select("doc", "digest", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
-    owners = held.groupBy("line").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner <> last").select("line", "owner")
-    owners = written(owners)  # a frequent line's rows can be split in a join of two plain tables
-    pairs = written(held.join(owners, "line").where("owner < doc").select("doc", "digest", "owner").distinct())
+    owners = held.groupBy("line").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("holders")).where("owner <> last")
+    owners = written(owners.drop("last"))  # a frequent line's rows can be split in a join of two plain tables
+    linked = written(held.join(owners, "line").select("line", "holders", "owner", "doc", "digest"))
+    rare = linked.where(F.col("holders") <= RARE).groupBy("line").agg(F.collect_list(F.struct("doc", "digest")).alias("late"))  # RARE rows at most
+    rare = rare.select("late", F.explode("late.doc").alias("owner")).select(F.explode("late").alias("x"), "owner").select("x.doc", "x.digest", "owner")
+    frequent = linked.where(F.col("holders") > RARE).select("doc", "digest", "owner")
+    pairs = written(rare.union(frequent).where("owner < doc").distinct())
     late = firsts.select("doc", "digest", F.col("lines").alias("late"))
     early = firsts.select(F.col("doc").alias("owner"), F.col("lines").alias("early"))
 

@@ -275,8 +275,9 @@ def substring_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("body")).join(gone, "doc")
     left = cut(texts, k).withColumnsRenamed({"n_removed": "cut"}).withColumnRenamed("kept_sha256", "cut_sha256")
     left = (left if with_text else left.drop("kept_text")).dropDuplicates(["doc", "text_key"])
-    first = signed.groupBy("digest").agg(F.min(id_col).alias("first"))
-    rows = signed.select(F.col(id_col), "n_words", "digest", "text_key").join(first, "digest").join(left, (F.col(id_col) == F.col("doc")) & (signed["text_key"] == left["text_key"]), "left").drop(left["text_key"])
+    first = signed.groupBy("digest").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = written(first)  # a text with many copies can be split in a join of two plain tables
+    rows = signed.select(F.col(id_col), "n_words", "digest", "text_key").join(first, "digest", "left").join(left, (F.col(id_col) == F.col("doc")) & (signed["text_key"] == left["text_key"]), "left").drop(left["text_key"])
     whole = F.coalesce(F.col(id_col) > F.col("first"), F.lit(False)) & (F.col("n_words") >= k)  # an equal text has a smaller id
     none = F.lit(hashlib.sha256(b"").hexdigest())
     out = rows.select(
