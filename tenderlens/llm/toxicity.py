@@ -7,12 +7,17 @@ prefixes; a document's is the noisy-or of its sentences', so labels of
 documents teach which sentences offend.  Only the text enters a score.
 
 Training reads at most `max_rows` labelled rows of either label, the smallest
-by a hash of their id, weighted back to the labels' true shares, in one task
-with bounded input; scoring runs over every text, in Arrow batches.
-
-Defined results: null and empty texts have no sentence and score 0; labels
-that disagree on one id count as toxic, null labels are ignored; without any
-usable label all scores are 0; repeated rows score alike.
+by a hash of their id, weighted back to the labels' true shares.  Tasks count
+features and reduce texts to the sentences that hold a telling one; only these
+numbers, no texts, meet in the task that descends the gradient.  Scoring runs
+over every text, in Arrow batches.
+
+Defined results: null and empty texts have no sentence and score 0; very long
+texts are scored whole; labels that disagree on one id count as toxic, null labels
+and labels without an id are ignored; without any usable label all scores are 0;
+rows that repeat an id train and score each by its own text; repeated rows score
+alike.  New columns replace input columns of their names (see `prefix`); others
+are kept as they are.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import TEXT, lists, map_texts
+from .arrow import TEXT, column, lists, map_texts, pieces
+from .cluster import written
 from .tokens import ALPHANUMERIC, Words, mix, prefix_hashes, words_of
 
 BITS = 18
@@ -70,55 +76,98 @@ def noisy_or(z: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return -np.expm1(none), total[ranges[1:]] - total[ranges[:-1]]
 
 
-def telling(index: np.ndarray, rows: np.ndarray, labels: np.ndarray, least_z: float) -> np.ndarray:
-    """Features that occur in clearly more toxic rows than their frequency explains; rare chance companions of one label do not pass.
-
-    Counts are of sample rows without weights, since chance is the sample's: a row's weight is no further evidence.
-    """
+def feature_counts(words: Words, number: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In how many rows, and in how many toxic ones, each feature occurs."""
     size = 1 << BITS
     seen, toxic = np.zeros(size), np.zeros(size)
-    share = labels.mean() if len(labels) else 0.0
-    for f in index:
+    at = np.sort(distinct(words, number))
+    rows = words.rows()[at]
+    for f in features(words)[:, at]:
         pair = np.unique(rows * np.int64(size) + f)
         row, feature = pair // size, pair % size
         seen += np.bincount(feature, minlength=size)
         toxic += np.bincount(feature, labels[row], size)
+    return seen, toxic
+
+
+def telling(seen: np.ndarray, toxic: np.ndarray, share: float, least_z: float) -> np.ndarray:
+    """Features that occur in clearly more toxic rows than their frequency explains; rare chance companions of one label do not pass.
+
+    Counts are of sample rows without weights, since chance is the sample's: a row's weight is no further evidence.
+    """
     expected = seen * share
-    return np.flatnonzero((toxic - expected) / np.sqrt(expected * (1 - share) + 0.5) >= least_z)
+    return (toxic - expected) / np.sqrt(expected * (1 - share) + 0.5) >= least_z
+
 
+def reduced(words: Words, number: np.ndarray, ranges: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per row its count of sentences without a chosen feature, then for the others (sentence, feature) pairs and both's row bounds.
 
-def fit(texts: pa.Array, labels: np.ndarray, weights: np.ndarray, epochs: int = 60, rate: float = 0.3, decay: float = 0.1, least_z: float = 5.0) -> np.ndarray:
-    """Weights and, last, the bias, by AdaGrad on the noisy-or likelihood over the telling features."""
-    words = words_of(pc.utf8_lower(texts), ALPHANUMERIC)
-    number, ranges = sentences_of(words)
+    Sentences count from 0 in each row; features are places in `chosen`.
+    """
     at = np.sort(distinct(words, number))
-    index, owner = features(words)[:, at], number[at]
-    chosen = telling(index, words.rows()[at], labels, least_z)
-    k, n = len(chosen), int(ranges[-1])
-    place = np.full(1 << BITS, k)
-    place[chosen] = np.arange(k)
-    index = place[index]
-    used = (index < k).any(0)
-    index, owner = index[:, used], owner[used]
-    row = np.repeat(np.arange(len(texts)), np.diff(ranges))
-    w, bias, seen, seen_bias = np.zeros(k + 1), START_BIAS, np.full(k + 1, 1e-2), 1e-2
+    place = np.full(1 << BITS, -1)
+    place[chosen] = np.arange(len(chosen))
+    index = place[features(words)[:, at]]
+    kind, word = np.nonzero(index >= 0)
+    order = np.argsort(word, kind="stable")
+    feature, sentence = index[kind[order], word[order]], number[at][word[order]]
+    active, local = np.unique(sentence, return_inverse=True)
+    row_of = np.searchsorted(ranges, active, "right") - 1
+    n_active = np.bincount(row_of, minlength=len(ranges) - 1)
+    first = np.concatenate([[0], np.cumsum(n_active)])
+    pair_row = row_of[local] if len(active) else np.zeros(0, np.int64)
+    bounds = np.searchsorted(pair_row, np.arange(len(ranges)))
+    return np.diff(ranges) - n_active, local - first[pair_row], feature, bounds, n_active
+
+
+def descend(labels: np.ndarray, weights: np.ndarray, plain: np.ndarray, sentence: np.ndarray, feature: np.ndarray, row: np.ndarray, k: int, epochs: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
+    """Weights of the k features and the bias, by AdaGrad on the noisy-or likelihood; row: of each numbered sentence, plain: sentences without a feature."""
+    w, bias, seen, seen_bias = np.zeros(k), START_BIAS, np.full(k, 1e-2), 1e-2
     scale = weights * len(labels) / max(weights.sum(), 1e-9)
-    for _ in range(epochs if n else 0):
-        p, none = noisy_or(np.bincount(owner, w[index].sum(0), n) + bias, ranges)
-        none = np.minimum(none, -1e-9)
-        up = np.where(labels > 0, np.exp(none) / -np.expm1(none), -1.0) * scale  # (1 - P) / P for toxic rows
-        slope = p * up[row]
-        grad = sum((np.bincount(f, slope[owner], k + 1) for f in index), np.zeros(k + 1)) - decay * w
-        grad[k] = 0
+    for _ in range(epochs if len(row) or plain.any() else 0):
+        none = -np.logaddexp(0, np.bincount(sentence, w[feature], len(row)) + bias)
+        none_plain = -np.logaddexp(0, bias)
+        total = np.minimum(np.bincount(row, none, len(labels)) + plain * none_plain, -1e-9)
+        up = np.where(labels > 0, np.exp(total) / -np.expm1(total), -1.0) * scale  # (1 - P) / P for toxic rows
+        slope = -np.expm1(none) * up[row]
+        slope_bias = slope.sum() + (up * plain).sum() * -np.expm1(none_plain)
+        grad = np.bincount(feature, slope[sentence], k) - decay * w
         seen += grad**2
-        seen_bias += slope.sum() ** 2
+        seen_bias += slope_bias**2
         w += rate * grad / np.sqrt(seen)
-        bias += rate * slope.sum() / np.sqrt(seen_bias)
+        bias += rate * slope_bias / np.sqrt(seen_bias)
+    return w, bias
+
+
+def numbered(sentence: np.ndarray, n_active: np.ndarray, n_pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sentences numbered over all rows, and the row of each."""
+    first = np.cumsum(n_active) - n_active
+    return sentence + np.repeat(first, n_pairs), np.repeat(np.arange(len(n_active)), n_active)
+
+
+LEAST_Z = 5.0
+
+
+def parsed(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
+    words = words_of(pc.utf8_lower(texts.fill_null("")), ALPHANUMERIC)
+    return words, *sentences_of(words)
+
+
+def packed(chosen: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
     out = np.zeros((1 << BITS) + 1)
-    out[chosen], out[-1] = w[:k], bias
+    out[chosen], out[-1] = w, bias
     return out
 
 
+def fit(texts: pa.Array, labels: np.ndarray, weights: np.ndarray, epochs: int = 60, rate: float = 0.3, decay: float = 0.1, least_z: float = LEAST_Z) -> np.ndarray:
+    """Weights and, last, the bias, from texts that are all at hand."""
+    words, number, ranges = parsed(texts)
+    chosen = np.flatnonzero(telling(*feature_counts(words, number, labels), labels.mean() if len(labels) else 0.0, least_z))
+    plain, sentence, feature, bounds, n_active = reduced(words, number, ranges, chosen)
+    sentence, row = numbered(sentence, n_active, np.diff(bounds))
+    return packed(chosen, *descend(labels, weights, plain, sentence, feature, row, len(chosen), epochs, rate, decay))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, text: str, id_col: str, label: str, mod: int, max_rows: int) -> DataFrame:
     """(text, label, weight) of at most max_rows rows of either label, none of them held out."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, mod))
@@ -133,22 +182,53 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str, id_col: str, la
     return docs.select(F.col(id_col).alias("__id"), F.col(text).alias(TEXT)).join(chosen, "__id")
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", mod: int = 5, max_rows: int = 4000, epochs: int = 60) -> np.ndarray:
-    rows = training_rows(docs, labels, text, id_col, label, mod, max_rows).repartition(1)
+REDUCED = "__id string, __label int, __weight double, plain long, active long, sentence array<int>, feature array<int>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows:
-            table = table.sort_by([("__id", "ascending")])
-            texts = table[TEXT].combine_chunks().cast(pa.string()).fill_null("")
-            w = fit(texts, table["__label"].to_numpy(), table["__weight"].to_numpy(), epochs)
-            yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary())], ["w"])
-
-    found = rows.mapInArrow(run_or_none(run), "w binary").collect()
-    if not found:
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", mod: int = 5, max_rows: int = 4000, epochs: int = 60) -> np.ndarray:
+    rows = training_rows(docs, labels, text, id_col, label, mod, max_rows)
+    rows = written(rows.select(F.col("__id").cast("string").alias("__id"), "__label", "__weight", TEXT))  # the sample
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                label = column(piece, "__label").to_numpy(zero_copy_only=False)
+                words, number, _ = parsed(column(piece, TEXT).cast(pa.string()))
+                seen, toxic = feature_counts(words, number, label)
+                used = np.flatnonzero(seen)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(seen[used], len(label))), pa.array(np.append(toxic[used], float(label.sum())))], ["feature", "seen", "toxic"])
+
+    counts = rows.mapInArrow(count, "feature long, seen double, toxic double").groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
+    counts = counts.toArrow()  # 2 ** BITS rows at most
+    feature, seen, toxic = (counts[c].to_numpy() for c in ("feature", "seen", "toxic"))
+    whole = feature < 0
+    if not whole.any():
         w = np.zeros((1 << BITS) + 1, np.float32)
         w[-1] = -np.inf  # nothing was learnt: no sentence is toxic
         return w
+    chosen = np.sort(feature[telling(seen, toxic, float(toxic[whole][0] / seen[whole][0]), LEAST_Z) & ~whole])
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                words, number, ranges = parsed(column(piece, TEXT).cast(pa.string()))
+                plain, sentence, feature, bounds, n_active = reduced(words, number, ranges, chosen)
+                kept = [column(piece, c) for c in ("__id", "__label", "__weight")]
+                made = [pa.array(plain), pa.array(n_active), lists(sentence.astype(np.int32), bounds), lists(feature.astype(np.int32), bounds)]
+                yield pa.RecordBatch.from_arrays([*kept, *made], ["__id", "__label", "__weight", "plain", "active", "sentence", "feature"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        order = [(c, "ascending") for c in ("__id", "__label", "plain", "active")]
+        table = table.sort_by(order)
+        labels, weights, plain, n_active = (table[c].to_numpy() for c in ("__label", "__weight", "plain", "active"))
+        sentence, feature = (table[c].combine_chunks() for c in ("sentence", "feature"))
+        n_pairs = sentence.value_lengths().to_numpy(zero_copy_only=False)
+        sentence, row = numbered(sentence.flatten().to_numpy(zero_copy_only=False), n_active, n_pairs)
+        w = packed(chosen, *descend(labels, weights, plain, sentence, feature.flatten().to_numpy(zero_copy_only=False), row, len(chosen), epochs, 0.3, 0.1))
+        yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary())], ["w"])
+
+    found = rows.mapInArrow(reduce, REDUCED).repartition(1).mapInArrow(run_or_none(run), "w binary").collect()
     return np.frombuffer(bytes(found[0][0]), np.float32)
 
 
@@ -156,7 +236,7 @@ def run_or_none(run):
     """run, for partitions that may have no batch at all."""
 
     def guarded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = list(batches)
+        kept = [b for b in batches if b.num_rows]
         return run(iter(kept)) if kept else iter(())
 
     return guarded

@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -6,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from tenderlens.llm import lm, toxicity
-from tests.llm.common import SCHEMA, clashing, fold, odd_documents, prose, words
+from tests.llm.common import ALNUM, SCHEMA, clashing, fold, odd_documents, prose, words
 
 
 def test_lm_base_and_counts_equal_brute_force(spark, monkeypatch):
@@ -169,6 +170,61 @@ def test_toxicity_features_do_not_depend_on_the_weight_of_sample_rows():
     assert all(weight(w, "fortuitous") == 0 and weight(w, "moron") > 0 for w in (plain, times_100))
 
 
+def test_toxicity_training_over_tasks_equals_plain_descent(spark):
+    """Weights from distributed counts and reduced texts, against the likelihood's gradient written out row by row."""
+    rows, labels = labelled(160)
+    kind = dict(labels)
+    docs, known = spark.createDataFrame(rows, SCHEMA).repartition(5), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.train(docs, known, epochs=7)
+    chosen = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    texts, y = pa.array([r[1] for r in chosen]), np.array([kind[r[0]] for r in chosen])
+    assert np.allclose(toxicity.fit(texts, y, np.ones(len(y)), epochs=7), got, atol=1e-5)
+
+    words, number, ranges = toxicity.parsed(texts)
+    index, own = toxicity.features(words), set(np.flatnonzero(got[:-1]).tolist())
+    bags = []  # per row, per sentence: the features of its distinct words
+    for r in range(len(y)):
+        first = {}
+        for i in range(words.bounds[r], words.bounds[r + 1]):
+            first.setdefault((number[i], words.hashes[i]), i)
+        bags.append([[f for (s, _), i in first.items() if s == n for f in index[:, i].tolist() if f in own] for n in range(ranges[r], ranges[r + 1])])
+    w, bias, seen, seen_bias = dict.fromkeys(own, 0.0), toxicity.START_BIAS, dict.fromkeys(own, 0.01), 0.01
+    for _ in range(7):
+        grad, grad_bias = {f: -0.1 * w[f] for f in own}, 0.0
+        for bag, label in zip(bags, y, strict=True):
+            p = [1 / (1 + math.exp(-bias - sum(w[f] for f in s))) for s in bag]
+            none = min(sum(math.log(1 - x) for x in p), -1e-9)
+            up = math.exp(none) / (1 - math.exp(none)) if label else -1.0
+            for s, x in zip(bag, p, strict=True):
+                grad_bias += x * up
+                for f in s:
+                    grad[f] += x * up
+        for f in own:
+            seen[f] += grad[f] ** 2
+            w[f] += 0.3 * grad[f] / math.sqrt(seen[f])
+        seen_bias += grad_bias**2
+        bias += 0.3 * grad_bias / math.sqrt(seen_bias)
+    assert got[-1] == pytest.approx(bias, abs=1e-4) and all(got[f] == pytest.approx(w[f], abs=1e-4) for f in own) and len(own) > 3
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    """Every document's score from its sentences by plain Python, with given weights."""
+    rng = np.random.default_rng(9)
+    weights = rng.normal(0, 1.5, (1 << toxicity.BITS) + 1).astype(np.float32)
+    weights[-1] = -4
+    docs = odd_documents()
+    out = toxicity.score(spark.createDataFrame(docs, SCHEMA), weights, keep=["doc_id", "text"]).collect()
+    for r in out:
+        lost = 0.0
+        for sentence in re.split(r"[.!?\n]", (r.text or "").lower()):
+            parts = set(ALNUM.findall(sentence))
+            if parts:
+                one = toxicity.words_of(pa.array([" ".join(sorted(parts))]), toxicity.ALPHANUMERIC)
+                z = weights[toxicity.features(one)].astype(float).sum() + float(weights[-1])
+                lost += math.log1p(-1 / (1 + math.exp(-min(z, 30)))) if z < 30 else -z
+        assert r.score == pytest.approx(-math.expm1(lost), abs=1e-6) and r.predicted == int(r.score >= 0.5)
+
+
 def test_toxicity_filter_keeps_columns(spark):
     rows, labels = labelled(120)
     docs = clashing(spark.createDataFrame(rows, SCHEMA))
