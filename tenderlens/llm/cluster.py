@@ -40,14 +40,14 @@ def written(df: DataFrame) -> DataFrame:
     return written_at(df)[0]
 
 
-def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """make(), written; all tables that were written on the way to it are discarded then."""
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """written_at(make()); all tables that were written on the way to it are discarded then."""
     before = len(_tables)
     out, path = written_at(make())
     for other in _tables[before:]:
         if other != path:
             discard(spark, other)
-    return out
+    return out, path
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -16,7 +16,9 @@ Defined results: null or empty texts have no words, no hits and are clean;
 an item without words matches nothing; repeated items count under each id;
 items without an id mark words like others, count as one item together, and are
 missing from item_ids and the hash of the ids;
-repeated documents are judged row by row; empty tables give empty results.
+repeated documents are judged row by row; empty tables give empty results; very
+long texts are walked whole.  Docs' further columns are kept; working columns are
+named __before, __doc and __found and may not clash.
 """
 
 from __future__ import annotations
@@ -214,17 +216,18 @@ def item_groups(benchmark: DataFrame, id_col: str, text: str, max_words: int) ->
     return items.withColumn("group", F.pmod(F.xxhash64("id", "text"), F.lit(groups))), groups
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, longest: int = 50, share: int = 20, keep: list[str] | None = None, clean: bool = True, max_words: int = 200_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, longest: int = 50, share: int = 20, keep: list[str] | None = None, clean: bool = True, max_words: int = 200_000, prefix: str = "") -> DataFrame:
     """Columns `keep` of docs (default: all) with n_words, n_hit, n_items, items_sha256, contaminated, item_ids and, on demand, clean_text.
 
     contaminated: n_hit > 0 and share * n_hit >= n_words.  clean_text lacks all
     hit spans of a contaminated text, and from others those of `longest` words.
-    Docs' columns of those names are replaced.
+    The new columns' names begin with prefix and replace docs' columns of those names.
     """
-    made = {f.name for f in StructType.fromDDL(f"{REPORT}, {CLEAN}").fields}
+    report, cleaned = (", ".join(prefix + c for c in ddl.split(", ")) for ddl in (REPORT, CLEAN))
+    made = {f.name for f in StructType.fromDDL(f"{report}, {cleaned}").fields}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     items, groups = item_groups(benchmark, item_id, item_text, max_words)
-    ddl = f"{REPORT}, {CLEAN}" if clean else REPORT
+    ddl = f"{report}, {cleaned}" if clean else report
     found, carried = docs, []
     for g in range(groups):
         held = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.where(F.col("group") == g).select("id", "text").orderBy("id", "text").collect()])

@@ -12,8 +12,9 @@ bucket.  Buckets hold about sqrt(rows) rows, so bucket counts stay as small.
 
 Defined results: a null source is a source of its own; null or empty texts are
 rows like others (size 16, crc32 0); repeated rows are rows of their own, in
-any order among themselves; an empty table gives an empty result.  Working
-columns start with `__shard_`.
+any order among themselves; an empty table gives an empty result; very long texts
+only count by size.  Docs' columns named size, text_crc32, shard and slot are
+replaced, others are kept; working columns start with `__shard_` and may not clash.
 """
 
 from __future__ import annotations

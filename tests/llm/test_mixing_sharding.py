@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from tenderlens.llm import mixing, sharding
@@ -75,5 +76,30 @@ def test_shard_order_is_that_of_fractional_ranks(spark):
         assert all(abs(sum(r.source == source and r.shard == s for r in out) - n / 4) < 1.01 for s in range(4))
 
 
+def placed_by_force(rows, hashes, shards):
+    """(row number) -> (shard, slot): ranks by plain sorting, one global order of exact fractions, one cut."""
+    key = lambda i: (hashes[i], rows[i][0] is not None, rows[i][0] or 0, zlib.crc32((rows[i][1] or "").encode()), len((rows[i][1] or "").encode()))
+    by_source = {}
+    for i in sorted(range(len(rows)), key=key):
+        by_source.setdefault(rows[i][3], []).append(i)
+    fraction = {i: Fraction(2 * r + 1, 2 * len(own)) for own in by_source.values() for r, i in enumerate(own)}
+    order = sorted(range(len(rows)), key=lambda i: (float(fraction[i]), rows[i][3] is not None, rows[i][3] or "", key(i)))
+    starts = [s * len(rows) // shards for s in range(shards + 1)]
+    out = {}
+    for position, i in enumerate(order):
+        shard = next(s for s in range(shards) if starts[s] <= position < starts[s + 1])
+        out[i] = (shard, position - starts[shard])
+    return out
+
+
+@pytest.mark.parametrize(("shards", "least_bucket"), [(5, 4), (40, 1024), (7, 1)])
+def test_sharding_equals_brute_force(spark, shards, least_bucket):
+    rows = [r for r in odd_documents() if r[0] != 12 or r[1] != odd_documents()[11][1]]  # equal rows may change places
+    frame = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], SCHEMA + ", n int")
+    hashes = {r.n: r.h for r in frame.selectExpr("n", "xxhash64(42, cast(doc_id as string)) as h").collect()}
+    out = sharding.assign_shards(frame.repartition(3), shards=shards, least_bucket=least_bucket).collect()
+    assert {r.n: (r.shard, r.slot) for r in out} == placed_by_force(rows, hashes, shards)
+
+
 def test_sharding_an_empty_table(spark):
     assert sharding.assign_shards(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -2,7 +2,8 @@ import sys
 from collections import Counter
 
 import corpus_pipeline
-from tests.llm.common import SCHEMA, odd_documents, prose, words
+from tenderlens.llm import cluster
+from tests.llm.common import SCHEMA, clashing, odd_documents, prose, words
 from tests.llm.test_mixing_sharding import water_level
 from tests.llm.test_models import labelled
 from tests.llm.test_search import hits_by_force
@@ -62,6 +63,35 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert Counter(map(str, whole)) == Counter(map(str, left["sharding"]))
 
 
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Null and repeated ids, repeated rows, null texts and clashing columns go through every stage, each judged on its own input."""
+    folder = str(tmp_path / "sf")
+    _, _, items = tables(spark, folder)
+    odd = odd_documents()
+    odd += [(None, f"{items[0][1]} tail", "en", "b", 1), (12, items[0][1], None, None, None)]
+    docs = clashing(spark.createDataFrame(odd, SCHEMA))
+    columns = docs.columns
+    seen = Counter(map(str, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs.collect(), cluster.written(stage(spark, docs, folder))
+        rows = docs.collect()
+        if name != "sharding":
+            assert docs.columns == columns and set(map(str, rows)) <= set(seen)
+        if name == "toxicity":
+            assert Counter(map(str, rows)) == seen  # nobody offends here
+        if name == "ngram_jaccard_join":
+            plain = [(i, *r[1:]) for i, r in enumerate(before)]
+            classes = {i: c for i, c, _ in links_by_sets(plain)}
+            left = Counter(classes[next(i for i, b in enumerate(before) if str(b) == str(r))] for r in rows)
+            assert left == Counter(set(classes.values()))  # one row of each class
+        if name == "decontamination":
+            bad = [x[-1] for r in before for x in hits_by_force([tuple(r)], items)]
+            assert Counter(map(str, rows)) == Counter(str(r) for r, b in zip(before, bad, strict=True) if not b) and any(bad)
+        if name == "sharding":
+            assert len(rows) == len(before) and {"size", "text_crc32", "shard", "slot"} <= set(docs.columns)
+            assert all(isinstance(r.slot, int) for r in rows)
+
+
 def test_pipeline_of_no_documents(spark, tmp_path):
     folder = str(tmp_path / "sf")
     tables(spark, folder)

@@ -76,7 +76,7 @@ def hits_by_force(rows, items, k=13):
     windows = defaultdict(set)
     for i, t in items:
         w = ALNUM.findall(fold(t))
-        if w and i is not None:
+        if w:
             n = min(k, len(w))
             for a in range(len(w) - n + 1):
                 windows[tuple(w[a : a + n])].add(i)
@@ -91,7 +91,7 @@ def hits_by_force(rows, items, k=13):
                     hit[a : a + n] = [True] * n
                     seen |= found
         h = sum(hit)
-        out.append((i, len(w), h, len(seen), hashlib.sha256(",".join(sorted(seen)).encode()).hexdigest(), h > 0 and 20 * h >= len(w)))
+        out.append((i, len(w), h, len(seen), hashlib.sha256(",".join(sorted(seen - {None})).encode()).hexdigest(), h > 0 and 20 * h >= len(w)))
     return Counter(out)
 
 
@@ -122,8 +122,14 @@ def test_items_without_id_contaminate(spark, max_words):
     none, b = hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"b").hexdigest()
     got = {i: (out[i].n_words, out[i].n_hit, out[i].n_items, out[i].items_sha256, out[i].item_ids, out[i].contaminated) for i in (922, 930, 931)}
     assert got == {922: (20, 20, 1, none, [], True), 930: (35, 35, 1, none, [], True), 931: (33, 33, 2, b, ["b"], True)}
-    named = hits_by_force([r for r in rows if r[0] not in got], ITEMS)
-    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found if r.doc_id not in got) == named
+    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found) == hits_by_force(rows, items)
+
+
+def test_decontamination_leaves_clashing_columns_alone(spark):
+    docs = clashing(spark.createDataFrame(contaminated_rows(), SCHEMA))
+    out = decontamination.decontaminate(docs, spark.createDataFrame(ITEMS, "item_id string, text string"), prefix="__dec_", clean=False)
+    assert out.columns[: len(docs.columns)] == docs.columns and out.where("contaminated <> 'kept' or n_words <> 'kept'").count() == 0
+    assert out.where("__dec_contaminated").count() == sum(r[-1] for r in hits_by_force(contaminated_rows(), ITEMS).elements())
 
 
 def test_decontamination_of_and_by_nothing(spark):
