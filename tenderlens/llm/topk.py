@@ -8,8 +8,9 @@ value its unread lists can hold to what was read of it, its upper bound the valu
 at each list's reading front.  After each stretch of reading, candidates whose
 upper bound is below the k-th lower bound are out for good; reading ends when few
 survivors are left, ties included, and those get their final scores.  Shares read
-are 1/8, 3/8 and 1: where bounds do not close early, a query ends with the lists
-read in full.
+are 1/8, 3/8 and 1; after a stretch that puts out less than a tenth of the rows
+the rest is read at once.  Where bounds do not close early, a query so ends with
+the lists read in full.
 Queries come in blocks too; each pair of blocks is one group of bounded size,
 and the k best of every pair meet in one ranking per query.
 
@@ -42,32 +43,38 @@ class SortedLists:
     """One block of candidates, and each row's place in every dimension's sorted list."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.exact = ids, vectors
+        self.ids = ids
         self.vectors = vectors.astype(np.float64)  # sums of products stay below 2**53, so they are exact
+        self.small = self.vectors.astype(np.float32)
+        self.most = float(np.abs(vectors).max(initial=0))
         by = np.argsort(vectors, axis=0, kind="stable")
-        self.place = np.empty(by.shape, np.int32)
-        np.put_along_axis(self.place, by, np.arange(len(by), dtype=np.int32)[:, None], 0)
+        self.place = np.empty(by.shape, np.int16 if len(by) < 1 << 15 else np.int32)
+        np.put_along_axis(self.place, by, np.arange(len(by), dtype=self.place.dtype)[:, None], 0)
         self.values = np.take_along_axis(self.vectors, by, 0)
         self.entries = self.read_entries = self.queries = self.closed_early = 0  # what reading came to, over all queries
 
     def best(self, own: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query id, ids, scores) of each query's k best rows other than its own."""
-        for number, query in zip(own.tolist(), queries, strict=True):
+        for number, query in zip(own.tolist(), queries.astype(np.float64), strict=True):
             at = self.survivors(number, query, k)
-            scores = self.exact[at] @ query
+            scores = (self.vectors @ query)[at] if len(at) > len(self.ids) // 2 else self.vectors[at] @ query
+            if len(at) > k:
+                some = scores >= np.partition(scores, len(at) - k)[len(at) - k]
+                at, scores = at[some], scores[some]
             first = np.lexsort((self.ids[at], -scores))[:k]
-            yield number, self.ids[at[first]], scores[first]
+            yield number, self.ids[at[first]], scores[first].astype(np.int64)
 
     def survivors(self, own: int, query: np.ndarray, k: int) -> np.ndarray:
         """Rows other than the query's own that can be among the k best, once few are left or all lists are read."""
-        reading = Reading(self, query.astype(np.float64))
+        reading = Reading(self, query)
         share = FIRST_SHARE
         while len(reading.rows) > RESOLVED * k and share < 1:
             lower, upper = reading.advance(share)
             lower[self.ids[reading.rows] == own] = -np.inf
             least = np.partition(lower, len(lower) - k)[len(lower) - k]
+            before = len(reading.rows)
             reading.keep(upper >= least)  # the k best lower bounds stay, so the bound holds from one stretch to the next
-            share *= DEEPER
+            share = share * DEEPER if len(reading.rows) < 0.9 * before else 1
         if len(reading.rows) > RESOLVED * k:
             reading.depth[:] = reading.n  # what is left of the lists is read, so bounds are scores
         self.queries += 1
@@ -84,8 +91,10 @@ class Reading:
         self.n = len(lists.ids)
         self.query, self.values, self.up = query, lists.values, query > 0
         self.rows = np.arange(self.n)
-        self.rank = np.where(self.up, self.n - 1 - lists.place, lists.place)  # an entry's place in the order of reading
-        self.gain = lists.vectors * query
+        # an entry's place in the order of reading, but for a constant: lists of positive components are read from their large end
+        self.order = lists.place * np.where(self.up, -1, 1).astype(lists.place.dtype)
+        exact = 2 * lists.most * np.abs(query).sum() < 1 << 24  # then sums are whole numbers in single precision, too
+        self.gain = lists.small * query.astype(np.float32) if exact else lists.vectors * query
         self.worst = query * np.where(self.up, self.values[0], self.values[-1])
         reach = np.abs(query) * (self.values[-1] - self.values[0])
         self.weight = reach / reach.mean() if reach.any() else np.ones(len(query))
@@ -99,14 +108,17 @@ class Reading:
         """Reads on until that share of all entries is read, the weightier lists deeper; (lower, upper) bounds of the rows."""
         wanted = np.full(len(self.depth), self.n) if share >= 1 else np.ceil(self.n * share * self.weight).astype(np.int64)
         self.depth = np.clip(wanted, np.minimum(self.depth + 1, self.n), self.n)
-        lists = np.arange(len(self.depth))
+        lists, kind = np.arange(len(self.depth)), self.gain.dtype
         front = self.query * np.where(self.up, self.values[self.n - self.depth, lists], self.values[self.depth - 1, lists])
-        read = self.rank < self.depth
-        return np.where(read, self.gain, self.worst).sum(1), np.where(read, self.gain, front).sum(1)
+        read = (self.order < np.where(self.up, self.depth - self.n + 1, self.depth).astype(self.order.dtype)).astype(kind)
+        known = np.einsum("ij,ij->i", self.gain, read)
+        bounds = np.stack([self.worst, front], 1).astype(kind)
+        unread = bounds.sum(0) - read @ bounds
+        return known + unread[:, 0], known + unread[:, 1]
 
     def keep(self, which: np.ndarray) -> None:
         if not which.all():
-            self.rows, self.rank, self.gain = self.rows[which], self.rank[which], self.gain[which]
+            self.rows, self.order, self.gain = self.rows[which], self.order[which], self.gain[which]
 
 
 def matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
