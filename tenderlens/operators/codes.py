@@ -34,7 +34,10 @@ def divisions_and_groups(vocabulary: DataFrame) -> DataFrame:
 
 def seed_codes(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(alias, code): divisions and groups whose description holds a term of (alias, terms) as a word; an equi-join on words."""
-    described = divisions_and_groups(vocabulary).select("code", F.explode(F.array_distinct(F.regexp_extract_all(strip_accents(F.col("description")), F.lit(r"(?U)\w+"), 0))).alias("word"))
+    described = divisions_and_groups(vocabulary).select(
+        "code",
+        F.explode(F.array_distinct(F.regexp_extract_all(strip_accents(F.col("description")), F.lit(r"(?U)\w+"), 0))).alias("word"),
+    )
     wanted = terms.select("alias", F.explode("terms").alias("word"))
     return wanted.join(described, "word").select("alias", "code").distinct()
 
@@ -56,6 +59,9 @@ def freeze_filters(profiles: DataFrame, seeds: DataFrame, vocabulary: DataFrame)
     The vocabulary's digest is of its rows' own digests in order, which needs no text of it in one row.
     """
     digest = vocabulary.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(F.concat_ws("|", "code", "description"), 256))), ""), 256).alias("v"))
-    lists = seeds.groupBy("alias").agg(F.array_sort(F.collect_set("code")).alias("codes"), F.array_sort(F.collect_set(code_prefix(F.col("code")))).alias("prefixes"))
+    lists = seeds.groupBy("alias").agg(
+        F.array_sort(F.collect_set("code")).alias("codes"),
+        F.array_sort(F.collect_set(code_prefix(F.col("code")))).alias("prefixes"),
+    )
     rows = profiles.select("alias", F.substring(F.sha2("text", 256), 1, 16).alias("profile_sha")).join(lists, "alias")
     return rows.join(F.broadcast(digest.select(F.substring("v", 1, 16).alias("vocabulary_sha"))))

@@ -14,8 +14,16 @@ def award_candidates(awards: DataFrame, notices: DataFrame, first: str, last: st
     period = as_published(notices, first, last).select("entry_id")
     it = notices.groupBy("entry_id").agg(F.bool_or(is_it(F.col("cpv"))).alias("it"))
     known = versions_until(awards, cutoff).where("winner is not null").join(period, "entry_id", "left_semi")
-    dossiers = known.groupBy("winner", "entry_id").agg(F.max("name").alias("name"), F.bool_and(F.coalesce("sme", F.lit(False))).alias("sme")).join(it, "entry_id")
-    return dossiers.groupBy("winner").agg(F.max("name").alias("name"), F.count(F.lit(1)).alias("awards"), F.count_if("it").alias("it_awards"), F.bool_and("sme").alias("always_sme"))
+    dossiers = known.groupBy("winner", "entry_id").agg(
+        F.max("name").alias("name"),
+        F.bool_and(F.coalesce("sme", F.lit(False))).alias("sme"),
+    ).join(it, "entry_id")
+    return dossiers.groupBy("winner").agg(
+        F.max("name").alias("name"),
+        F.count(F.lit(1)).alias("awards"),
+        F.count_if("it").alias("it_awards"),
+        F.bool_and("sme").alias("always_sme"),
+    )
 
 
 def discarded(candidates: DataFrame, person: Column, **rules) -> DataFrame:

@@ -51,7 +51,11 @@ def over_budget(calls: DataFrame, planned: Column, cap: Column) -> DataFrame:
 def plan_cost(batches: DataFrame, price_in: float, price_out: float) -> DataFrame:
     """batches (n, chars) with worst-case tokens and cost: four characters a token in, at least 900 and 220 a notice out."""
     tokens_in, tokens_out = F.ceil(F.col("chars") / 4), F.greatest(F.lit(900), 220 * F.col("n"))
-    return batches.withColumns({"tokens_in": tokens_in, "tokens_out": tokens_out, "cost": F.round((tokens_in * price_in + tokens_out * price_out) / MILLION, 6)})
+    return batches.withColumns({
+        "tokens_in": tokens_in,
+        "tokens_out": tokens_out,
+        "cost": F.round((tokens_in * price_in + tokens_out * price_out) / MILLION, 6),
+    })
 
 
 def running_spend(calls: DataFrame) -> DataFrame:

@@ -49,7 +49,13 @@ def locate(pages: DataFrame, patterns: dict = PATTERNS, cap: int = WINDOW) -> Da
     One pass over the texts and one shuffle by document: what a document goes by is decided on its pages' scores.
     """
     doc = Window.partitionBy("doc_id")
-    rows = pages.select("doc_id", "page_no", is_text().alias("t"), F.when(is_text(), page_score(patterns)).alias("s"), F.when(is_text() & found("text", patterns["annexes"]), 1).otherwise(0).alias("a"))
+    rows = pages.select(
+        "doc_id",
+        "page_no",
+        is_text().alias("t"),
+        F.when(is_text(), page_score(patterns)).alias("s"),
+        F.when(is_text() & found("text", patterns["annexes"]), 1).otherwise(0).alias("a"),
+    )
     rows = rows.withColumns({"main": F.coalesce(F.max("s").over(doc) > 0, F.lit(False)), "readable": F.bool_or("t").over(doc)})
     score = F.when(~F.col("t"), 0).when(F.col("main"), F.col("s")).otherwise(F.col("a"))
     rows = rows.withColumns({"score": score, "n": F.row_number().over(doc.orderBy(F.desc("t"), "page_no"))})
@@ -85,7 +91,11 @@ def locate_annex(pages: DataFrame, annexes: DataFrame, read: DataFrame, patterns
     """(doc_id, page_no, score): among text pages not read, those that name the annex and hold a figure; nothing if it is in another file."""
     rows = pages.where(is_text()).join(annexes, "doc_id").join(read.select("doc_id", "page_no"), ["doc_id", "page_no"], "left_anti")
     named = F.regexp_like("text", F.concat(F.lit(UNICODE + word + r"\s*n?[ºo°.]{0,3}\s*"), F.col("annex"), F.lit(r"\b")))
-    scored = rows.select("doc_id", "page_no", F.when(named & found("text", patterns["figure"]), page_score(patterns) + POINTS["section"]).otherwise(0).alias("score"))
+    scored = rows.select(
+        "doc_id",
+        "page_no",
+        F.when(named & found("text", patterns["figure"]), page_score(patterns) + POINTS["section"]).otherwise(0).alias("score"),
+    )
     return anchor_window(scored, cap)
 
 
@@ -93,7 +103,10 @@ def pages_to_prompt(pages: DataFrame, located: DataFrame) -> DataFrame:
     """(doc_id, prompt): the located pages' texts in order, each under its number."""
     rows = located.where("page_no is not null").select("doc_id", "page_no").join(pages, ["doc_id", "page_no"])
     shown = F.concat(F.lit("=== Página "), F.col("page_no").cast("string"), F.lit(" ===\n"), F.trim("text"))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", shown.alias("t")))), lambda x: x["t"]), "\n\n").alias("prompt"))
+    return rows.groupBy("doc_id").agg(F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("page_no", shown.alias("t")))), lambda x: x["t"]),
+        "\n\n",
+    ).alias("prompt"))
 
 
 def verify_quotes(requirements: DataFrame, sent: DataFrame, pages: DataFrame, types: tuple[str, ...] = TYPES, compatibility: bool = True) -> DataFrame:
@@ -132,7 +145,17 @@ def parse_extractions(responses: DataFrame) -> DataFrame:
     keys = [c for c in responses.columns if c != "body"]
     rows = parsed.select(*keys, F.col("__r").isNull().alias("unreadable"), F.posexplode_outer(F.slice("__r", 1, MOST_REQUIREMENTS)).alias("position", "r"))
     positive = lambda c: F.when(c.try_cast("double") > 0, c.try_cast("double"))
-    return rows.select(*keys, "unreadable", "position", F.col("r.tipo").alias("kind"), F.substring(F.trim("r.exigencia"), 1, 500).alias("demand"), F.trim("r.cita").alias("quote"), F.col("r.pagina").alias("page"), positive(F.col("r.importe_eur")).alias("amount"), F.floor(positive(F.col("r.anios"))).cast("int").alias("years"))
+    return rows.select(
+        *keys,
+        "unreadable",
+        "position",
+        F.col("r.tipo").alias("kind"),
+        F.substring(F.trim("r.exigencia"), 1, 500).alias("demand"),
+        F.trim("r.cita").alias("quote"),
+        F.col("r.pagina").alias("page"),
+        positive(F.col("r.importe_eur")).alias("amount"),
+        F.floor(positive(F.col("r.anios"))).cast("int").alias("years"),
+    )
 
 
 def retry_message(rejected: DataFrame) -> DataFrame:
@@ -149,7 +172,14 @@ def reading_rows(located: DataFrame, verified: DataFrame, hopped: DataFrame) ->
     counts = verified.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("rejected").isNull()).alias("verified"))
     rows = pages.join(more, "doc_id", "left").join(counts, "doc_id", "left").na.fill(0, ["total", "verified"])
     state = F.when(F.col("route").startswith("no_localizada: "), "ilegible").when(F.col("route").startswith("no_localizada"), "sin_localizar").when(F.col("total") == 0, "ilegible_respuesta").otherwise("leido")
-    return rows.select("doc_id", F.when(F.col("more").isNotNull(), F.concat("route", F.lit("+anexo"))).otherwise(F.col("route")).alias("route"), F.array_sort(F.array_union("pages", F.coalesce("more", F.array().cast("array<int>")))).alias("pages"), state.alias("state"), "total", "verified")
+    return rows.select(
+        "doc_id",
+        F.when(F.col("more").isNotNull(), F.concat("route", F.lit("+anexo"))).otherwise(F.col("route")).alias("route"),
+        F.array_sort(F.array_union("pages", F.coalesce("more", F.array().cast("array<int>")))).alias("pages"),
+        state.alias("state"),
+        "total",
+        "verified",
+    )
 
 
 def both_passes(first: DataFrame, second: DataFrame) -> DataFrame:

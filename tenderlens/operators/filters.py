@@ -67,7 +67,13 @@ def discard_reason(person: Column, least: int = LEAST_AWARDS, share: float = IT_
     """The first rule a candidate (winner, name, awards, it_awards, always_sme) fails; null if none."""
     venture = F.upper(F.substring(F.trim("winner"), 1, 1)).eqNullSafe(F.lit("U")) | F.coalesce(F.col("name").rlike(joint), F.lit(False))
     return (
-        F.when(person, "natural person").when(venture, "joint venture").when(~F.coalesce("always_sme", F.lit(False)), "not always an SME").when(F.col("awards") < least, "too few awards").when(F.col("it_awards") <= F.col("awards") * share, "not mostly IT")
+        F.when(person, "natural person").when(venture, "joint venture").when(
+            ~F.coalesce("always_sme", F.lit(False)),
+            "not always an SME",
+        ).when(F.col("awards") < least, "too few awards").when(
+            F.col("it_awards") <= F.col("awards") * share,
+            "not mostly IT",
+        )
     )
 
 
@@ -78,7 +84,11 @@ HOSTS = ("contrataciondelestado.es", "contrataciondelsectorpublico.gob.es")
 def allowed_download_urls(docs: DataFrame, hosts: tuple[str, ...] = HOSTS, url: str = "url") -> DataFrame:
     """allowed: http or https, and one of the hosts or a host below it."""
     clean = F.replace(F.col(url), F.lit("&amp;"), F.lit("&"))
-    scheme, host = F.lower(F.regexp_extract(clean, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.lower(F.regexp_extract(clean, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    scheme, host = F.lower(F.regexp_extract(clean, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.lower(F.regexp_extract(
+        clean,
+        r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)",
+        1,
+    ))
     inside = F.lit(False)
     for h in hosts:
         inside = inside | (host == h) | host.endswith(f".{h}")

@@ -30,7 +30,11 @@ def readable_candidates(triage: DataFrame, docs: DataFrame, cards: DataFrame) ->
     """(alias, entry_id, decision): passed triage, a downloaded PCAP, no card of that company yet."""
     ready = docs.where("kind = 'PCAP' and state = 'descargado'").select("entry_id").distinct()
     passed = triage.where(F.col("decision").isin("si", "duda"))
-    return passed.join(ready, "entry_id", "left_semi").join(cards.select("alias", "entry_id").distinct(), ["alias", "entry_id"], "left_anti").select("alias", "entry_id", "decision").distinct()
+    return passed.join(ready, "entry_id", "left_semi").join(
+        cards.select("alias", "entry_id").distinct(),
+        ["alias", "entry_id"],
+        "left_anti",
+    ).select("alias", "entry_id", "decision").distinct()
 
 
 def evaluation_candidates(triage: DataFrame, docs: DataFrame, readings: DataFrame, won: DataFrame, prompt: str) -> DataFrame:
@@ -51,7 +55,10 @@ def document_for_dossier(docs: DataFrame) -> DataFrame:
 def missed_awards(triage: DataFrame, won: DataFrame, notices: DataFrame) -> DataFrame:
     """(alias, entry_id, object, reason) of dossiers won by a company and triaged `no` by it."""
     refused = triage.where("decision = 'no'").select("alias", "entry_id", "reason")
-    return won.join(refused, ["alias", "entry_id"]).join(as_published(notices).select("entry_id", "object"), "entry_id").select("alias", "entry_id", "object", "reason")
+    return won.join(refused, ["alias", "entry_id"]).join(
+        as_published(notices).select("entry_id", "object"),
+        "entry_id",
+    ).select("alias", "entry_id", "object", "reason")
 
 
 def lineage(notices: DataFrame, staging: DataFrame, files: DataFrame) -> DataFrame:

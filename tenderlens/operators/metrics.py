@@ -15,14 +15,22 @@ def ratio(part: Column, whole: Column, digits: int = 4) -> Column:
     return F.round(F.try_divide(part.cast("double"), whole.cast("double")), digits)
 
 
-def filter_recall(won: DataFrame, passing: DataFrame) -> DataFrame:
-    """Per (variant, alias): dossiers won, of these passing, and their ratio; `passing` holds (variant, alias or null for all, entry_id)."""
-    variants = passing.select("variant").distinct()
-    hits = passing.where("alias is not null").select("variant", "alias", "entry_id").unionByName(won.join(passing.where("alias is null").select("variant", "entry_id"), "entry_id").select("variant", "alias", "entry_id"))
-    seen = won.join(hits.distinct(), ["alias", "entry_id"]).groupBy("variant", "alias").agg(F.count(F.lit(1)).alias("seen"))
-    total = won.groupBy("alias").agg(F.count(F.lit(1)).alias("won")).join(F.broadcast(variants))
+def filter_recall(won: DataFrame, passing: DataFrame, variants: list[str] | None = None) -> DataFrame:
+    """Per (variant, alias): dossiers won, of these passing, and their ratio; `passing` holds (variant, alias or null for all, entry_id).
+
+    `variants` names them where they are known; else they are looked up in passing.
+    """
+    of = passing.select("variant", F.col("alias").alias("__of"), "entry_id")
+    hits = won.join(of, "entry_id").where(F.col("__of").isNull() | (F.col("__of") == F.col("alias")))
+    seen = hits.select("variant", "alias", "entry_id").distinct().groupBy("variant", "alias").agg(F.count(F.lit(1)).alias("seen"))
+    total = won.groupBy("alias").agg(F.count(F.lit(1)).alias("won"))
+    if variants is None:
+        total = total.join(F.broadcast(passing.agg(F.collect_set("variant").alias("variant"))))  # one row: a handful of names
+        total = total.withColumn("variant", F.explode("variant"))
+    else:
+        total = total.withColumn("variant", F.explode(F.array(*map(F.lit, variants))))
     rows = total.join(seen, ["variant", "alias"], "left").na.fill(0, ["seen"])
-    return rows.withColumn("value", ratio(F.col("seen"), F.col("won")))
+    return rows.select("variant", "alias", "won", "seen", ratio(F.col("seen"), F.col("won")).alias("value"))
 
 
 def filter_volume(passing: DataFrame, universe: DataFrame) -> DataFrame:
@@ -37,7 +45,11 @@ def triage_counts(triage: DataFrame, won: DataFrame) -> DataFrame:
     marked = triage.select("alias", "entry_id", "decision").join(wins, ["alias", "entry_id"], "left")
     values = ["si", "duda", "no", "revisar"]
     wide = marked.groupBy("alias").pivot("decision", values).agg(F.count(F.lit(1)).alias("n"), F.count_if("__won").alias("won"))
-    long = F.explode(F.array(*(F.struct(F.lit(v).alias("decision"), F.coalesce(F.col(f"{v}_n"), F.lit(0)).alias("n"), F.coalesce(F.col(f"{v}_won"), F.lit(0)).alias("won")) for v in values)))
+    long = F.explode(F.array(*(F.struct(
+        F.lit(v).alias("decision"),
+        F.coalesce(F.col(f"{v}_n"), F.lit(0)).alias("n"),
+        F.coalesce(F.col(f"{v}_won"), F.lit(0)).alias("won"),
+    ) for v in values)))
     return wide.select("alias", long.alias("x")).select("alias", "x.*")
 
 
@@ -48,14 +60,22 @@ def in_list(decision: str = "decision") -> Column:
 def triage_recall(won: DataFrame, triage: DataFrame) -> DataFrame:
     """Per alias: of the wins that were triaged, the share in the list; wins never triaged count on neither side."""
     rows = won.select("alias", "entry_id").join(triage.select("alias", "entry_id", "decision"), ["alias", "entry_id"])
-    return rows.groupBy("alias").agg(F.count(F.lit(1)).alias("triaged_wins"), F.count_if(in_list()).alias("seen")).withColumn("value", ratio(F.col("seen"), F.col("triaged_wins")))
+    return rows.groupBy("alias").agg(
+        F.count(F.lit(1)).alias("triaged_wins"),
+        F.count_if(in_list()).alias("seen"),
+    ).withColumn("value", ratio(F.col("seen"), F.col("triaged_wins")))
 
 
 def triage_volume(triage: DataFrame, won: DataFrame, universe: DataFrame) -> DataFrame:
     """Per alias: pass rate on triaged dossiers not won, times dossiers a day."""
     rest = triage.select("alias", "entry_id", "decision").join(won.select("alias", "entry_id"), ["alias", "entry_id"], "left_anti")
     rows = rest.groupBy("alias").agg(F.count(F.lit(1)).alias("sample"), F.count_if(in_list()).alias("passed")).join(F.broadcast(universe))
-    return rows.select("alias", "sample", "passed", F.round(F.coalesce(F.try_divide(F.col("passed").cast("double"), F.col("sample")), F.lit(0.0)) * F.col("dossiers") / F.col("days"), 4).alias("value"))
+    return rows.select(
+        "alias",
+        "sample",
+        "passed",
+        F.round(F.coalesce(F.try_divide(F.col("passed").cast("double"), F.col("sample")), F.lit(0.0)) * F.col("dossiers") / F.col("days"), 4).alias("value"),
+    )
 
 
 def paired_indicators(won: DataFrame, triage: DataFrame, passing: DataFrame, variants: list[str]) -> DataFrame:
@@ -110,13 +130,19 @@ def verdict_of_interval(rows: DataFrame) -> DataFrame:
 
 def overall_verdict(verdicts: DataFrame) -> DataFrame:
     """One row: what all rivals agree on, else inconclusive."""
-    return verdicts.agg(F.when(F.count_distinct("verdict") == 1, F.min("verdict")).otherwise("no concluyente").alias("verdict"), F.count(F.lit(1)).alias("rivals"))
+    return verdicts.agg(
+        F.when(F.count_distinct("verdict") == 1, F.min("verdict")).otherwise("no concluyente").alias("verdict"),
+        F.count(F.lit(1)).alias("rivals"),
+    )
 
 
 def triage_cost(triage: DataFrame, calls: DataFrame, keys: tuple[str, ...] = ("alias",)) -> DataFrame:
     """Cost per 100 notices triaged; a call counts once however many notices it held."""
     n = triage.groupBy(*keys).agg(F.count(F.lit(1)).alias("triaged"))
-    spent = triage.select(*keys, "call_id").distinct().join(calls.select("call_id", "cost"), "call_id").groupBy(*keys).agg(F.count(F.lit(1)).alias("calls"), F.sum("cost").alias("cost"))
+    spent = triage.select(*keys, "call_id").distinct().join(calls.select("call_id", "cost"), "call_id").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("calls"),
+        F.sum("cost").alias("cost"),
+    )
     return n.join(spent, list(keys), "left").withColumn("per_100", F.round(100 * F.col("cost") / F.col("triaged"), 4))
 
 
@@ -134,25 +160,43 @@ def recall_at_equal_volume(rows: DataFrame) -> DataFrame:
 def efficiency_verdict(rows: DataFrame, least: int = 3) -> DataFrame:
     """One row: in how many companies the agent needs strictly fewer reviews per hit than every rival."""
     better = rows.groupBy("alias").agg(F.bool_and(F.coalesce(F.col("agent") < F.col("rival"), F.lit(False))).alias("better"))
-    return better.agg(F.count_if("better").alias("better"), F.count(F.lit(1)).alias("companies")).withColumn("verdict", F.when(F.col("better") >= least, "sostenida").otherwise("no sostenida"))
+    return better.agg(F.count_if("better").alias("better"), F.count(F.lit(1)).alias("companies")).withColumn(
+        "verdict",
+        F.when(F.col("better") >= least, "sostenida").otherwise("no sostenida"),
+    )
 
 
 def verification_rate(requirements: DataFrame, keys: tuple[str, ...] = ("prompt",)) -> DataFrame:
     """Requirements, how many stand, and their share."""
-    return requirements.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("rejected").isNull()).alias("verified")).withColumn("pct", rate(F.col("verified"), F.col("total")))
+    return requirements.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("rejected").isNull()).alias("verified"),
+    ).withColumn("pct", rate(F.col("verified"), F.col("total")))
 
 
 def work_saved(readings: DataFrame, profiles: DataFrame) -> DataFrame:
     """One row: readings with pages, all pages of their documents, pages read, and how many times fewer."""
-    rows = readings.where((F.col("state") == "leido") & (F.size("pages") > 0)).select("doc_id", F.size("pages").alias("read"), "route").join(profiles.select("doc_id", F.col("pages").alias("all_pages")), "doc_id")
-    return rows.agg(F.count(F.lit(1)).alias("readings"), F.sum("all_pages").alias("all_pages"), F.sum("read").alias("pages_read"), F.count_if(F.col("route").contains("anexo")).alias("by_annex"), F.round(F.try_divide(F.sum("all_pages").cast("double"), F.sum("read")), 2).alias("times_fewer"))
+    rows = readings.where((F.col("state") == "leido") & (F.size("pages") > 0)).select("doc_id", F.size("pages").alias("read"), "route").join(
+        profiles.select("doc_id", F.col("pages").alias("all_pages")),
+        "doc_id",
+    )
+    return rows.agg(
+        F.count(F.lit(1)).alias("readings"),
+        F.sum("all_pages").alias("all_pages"),
+        F.sum("read").alias("pages_read"),
+        F.count_if(F.col("route").contains("anexo")).alias("by_annex"),
+        F.round(F.try_divide(F.sum("all_pages").cast("double"), F.sum("read")), 2).alias("times_fewer"),
+    )
 
 
 def wrong_exclusions(won: DataFrame, cards: DataFrame, companies: DataFrame) -> DataFrame:
     """Per alias with a known turnover: contracts won, and the share of them carded no_apta."""
     rows = won.join(companies.where("turnover is not null").select("alias"), "alias", "left_semi")
     bad = cards.where("verdict = 'no_apta'").select("alias", "entry_id", F.lit(1).alias("bad")).distinct()
-    return rows.join(bad, ["alias", "entry_id"], "left").groupBy("alias").agg(F.count(F.lit(1)).alias("won"), F.count("bad").alias("excluded")).withColumn("value", ratio(F.col("excluded"), F.col("won")))
+    return rows.join(bad, ["alias", "entry_id"], "left").groupBy("alias").agg(
+        F.count(F.lit(1)).alias("won"),
+        F.count("bad").alias("excluded"),
+    ).withColumn("value", ratio(F.col("excluded"), F.col("won")))
 
 
 def extraction_accuracy(extracted: DataFrame, truth: DataFrame) -> DataFrame:
@@ -165,12 +209,19 @@ def extraction_accuracy(extracted: DataFrame, truth: DataFrame) -> DataFrame:
 def blind_precision(sample: DataFrame, labels: DataFrame) -> DataFrame:
     """Per variant: labelled rows of a blinded sample, and the share judged adequate."""
     rows = sample.join(labels, ["alias", "entry_id"])
-    return rows.groupBy("variant").agg(F.count(F.lit(1)).alias("labelled"), F.count_if("adequate").alias("adequate")).withColumn("value", ratio(F.col("adequate"), F.col("labelled")))
+    return rows.groupBy("variant").agg(
+        F.count(F.lit(1)).alias("labelled"),
+        F.count_if("adequate").alias("adequate"),
+    ).withColumn("value", ratio(F.col("adequate"), F.col("labelled")))
 
 
 def brand_in_object(won: DataFrame, notices: DataFrame, brands: DataFrame) -> DataFrame:
     """Per alias: contracts won, and those whose object names one of its products as a word; words meet by equality."""
-    words = won.join(notices.select("entry_id", "object"), "entry_id").select("alias", "entry_id", F.explode_outer(F.array_distinct(F.split(F.lower("object"), r"(?U)\W+"))).alias("word"))
+    words = won.join(notices.select("entry_id", "object"), "entry_id").select(
+        "alias",
+        "entry_id",
+        F.explode_outer(F.array_distinct(F.split(F.lower("object"), r"(?U)\W+"))).alias("word"),
+    )
     named = brands.select("alias", F.lower("brand").alias("word"), F.lit(1).alias("hit")).distinct()
     marked = words.join(named, ["alias", "word"], "left").groupBy("alias", "entry_id").agg(F.max("hit").alias("hit"))
     return marked.groupBy("alias").agg(F.count(F.lit(1)).alias("won"), F.count("hit").alias("named"))

@@ -48,7 +48,11 @@ def month_totals(staging: DataFrame, notices: DataFrame, awards: DataFrame) -> D
     a = awards.groupBy("entry_id", "entry_updated").agg(F.count(F.lit(1)).alias("a"))
     keys = ["entry_id", "entry_updated"]
     rows = staging.join(n, keys, "left").join(a, keys, "left")
-    return rows.groupBy("month").agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("n"), F.lit(0)).alias("notices"), F.coalesce(F.sum("a"), F.lit(0)).alias("awards"))
+    return rows.groupBy("month").agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("notices"),
+        F.coalesce(F.sum("a"), F.lit(0)).alias("awards"),
+    )
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -117,8 +121,14 @@ def document_profile(pages: DataFrame, patterns: dict = PATTERNS, least: int = L
         F.min(F.when(found("text", patterns["section"]), F.col("page_no"))).alias("section_page"),
         F.sum(F.regexp_count("text", F.lit(patterns["boxes"]))).alias("boxes"),
     )
-    near = pages.join(measured.where("section_page is not null").select("doc_id", "section_page"), "doc_id").where("page_no between section_page and section_page + 2")
-    near = near.groupBy("doc_id").agg(F.bool_or(found("text", patterns["figure"])).alias("figure_near"), F.bool_or(found("text", patterns["defers"])).alias("defers_near"))
+    near = pages.join(
+        measured.where("section_page is not null").select("doc_id", "section_page"),
+        "doc_id",
+    ).where("page_no between section_page and section_page + 2")
+    near = near.groupBy("doc_id").agg(
+        F.bool_or(found("text", patterns["figure"])).alias("figure_near"),
+        F.bool_or(found("text", patterns["defers"])).alias("defers_near"),
+    )
     firsts = F.array(*(F.col(f"first_{k}") for k in kinds))
     distinct = F.size(F.array_distinct(F.filter(firsts, lambda x: x.isNotNull())))
     return measured.join(near, "doc_id", "left").withColumns(

@@ -65,7 +65,10 @@ def affordable_docs(remaining: Column, reserve: Column) -> Column:
 def top_missed(missed: DataFrame, k: int = 4) -> DataFrame:
     """Per company the first k by object, and how many more there are."""
     w = Window.partitionBy("alias")
-    rows = missed.withColumn("place", F.row_number().over(w.orderBy("object", "entry_id"))).withColumn("more", F.greatest(F.lit(0), F.count(F.lit(1)).over(w) - k))
+    rows = missed.withColumn(
+        "place",
+        F.row_number().over(w.orderBy("object", "entry_id")),
+    ).withColumn("more", F.greatest(F.lit(0), F.count(F.lit(1)).over(w) - k))
     return rows.where(F.col("place") <= k)
 
 
@@ -74,7 +77,10 @@ def pending_plan(queue: DataFrame, reading: DataFrame, companies: DataFrame, res
     t = queue.groupBy("alias").agg(F.count(F.lit(1)).alias("to_triage"))
     r = reading.groupBy("alias").agg(F.count(F.lit(1)).alias("to_read"))
     rows = companies.join(t, "alias", "left").join(r, "alias", "left").na.fill(0, ["to_triage", "to_read"])
-    return rows.withColumns({"calls": F.ceil(F.col("to_triage") / n), "affordable": F.least("to_read", affordable_docs(F.col("cap") - F.col("spent"), reserve))})
+    return rows.withColumns({
+        "calls": F.ceil(F.col("to_triage") / n),
+        "affordable": F.least("to_read", affordable_docs(F.col("cap") - F.col("spent"), reserve)),
+    })
 
 
 def lowest_version(rows: DataFrame) -> DataFrame:

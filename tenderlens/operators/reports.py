@@ -22,14 +22,20 @@ def daily_digest(cards: DataFrame, notices: DataFrame) -> DataFrame:
 
 def digest_footer(days: DataFrame, triage: DataFrame, spend: DataFrame) -> DataFrame:
     """Per company and day: triaged, passed, calls and cost; a row for each of `days` also where nothing happened."""
-    t = triage.groupBy("alias", madrid_day(F.col("triaged_at")).alias("day")).agg(F.count(F.lit(1)).alias("triaged"), F.count_if(F.col("decision").isin("si", "duda")).alias("passed"))
+    t = triage.groupBy("alias", madrid_day(F.col("triaged_at")).alias("day")).agg(
+        F.count(F.lit(1)).alias("triaged"),
+        F.count_if(F.col("decision").isin("si", "duda")).alias("passed"),
+    )
     rows = days.join(t, ["alias", "day"], "left").join(spend, ["alias", "day"], "left")
     return rows.na.fill(0, ["triaged", "passed", "calls"]).na.fill(0.0, ["cost"])
 
 
 def digest_subject(days: DataFrame, cards: DataFrame) -> DataFrame:
     """(alias, day, subject): what a company's message of a day says at a glance, also where the day brought nothing."""
-    n = cards.groupBy("alias", madrid_day(F.col("decided_at")).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "apta").alias("fit"))
+    n = cards.groupBy("alias", madrid_day(F.col("decided_at")).alias("day")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("verdict") == "apta").alias("fit"),
+    )
     rows = days.join(n, ["alias", "day"], "left").na.fill(0, ["n", "fit"])
     text = lambda c: c.cast("string")
     said = (
@@ -53,10 +59,19 @@ def plural(n: Column, one: str, many: str) -> Column:
 
 def reason_summary(judged: DataFrame) -> DataFrame:
     """(alias, entry_id, summary): of how many requirements, how many are met, are not, or cannot be known."""
-    n = judged.groupBy("alias", "entry_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("result") == MET).alias("met"), F.count_if(F.col("result") == UNMET).alias("unmet"))
+    n = judged.groupBy("alias", "entry_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("result") == MET).alias("met"),
+        F.count_if(F.col("result") == UNMET).alias("unmet"),
+    )
     unknown = F.col("n") - F.col("met") - F.col("unmet")
     some = lambda c, one, many: F.when(c > 0, plural(c, one, many))
-    parts = F.concat_ws("; ", some(F.col("met"), "se cumple", "se cumplen"), some(F.col("unmet"), "no se cumple", "no se cumplen"), some(unknown, "no se puede saber", "no se pueden saber"))
+    parts = F.concat_ws(
+        "; ",
+        some(F.col("met"), "se cumple", "se cumplen"),
+        some(F.col("unmet"), "no se cumple", "no se cumplen"),
+        some(unknown, "no se puede saber", "no se pueden saber"),
+    )
     return n.select("alias", "entry_id", F.concat(F.lit("De "), plural(F.col("n"), "requisito", "requisitos"), F.lit(": "), parts).alias("summary"))
 
 
@@ -86,12 +101,19 @@ def frozen_registry(profiles: DataFrame) -> DataFrame:
 def last_run_summary(runs: DataFrame, notices: DataFrame) -> DataFrame:
     """The newest run that ended well, and the notices it brought."""
     last = runs.where("state = 'ok'").orderBy(F.desc("ended_at"), "run_id").limit(1)
-    return last.join(notices.groupBy("run_id").agg(F.count(F.lit(1)).alias("notices")), "run_id", "left").select("run_id", "ended_at", F.coalesce("notices", F.lit(0)).alias("notices"))
+    return last.join(
+        notices.groupBy("run_id").agg(F.count(F.lit(1)).alias("notices")),
+        "run_id",
+        "left",
+    ).select("run_id", "ended_at", F.coalesce("notices", F.lit(0)).alias("notices"))
 
 
 def status_report(counts: DataFrame, months: DataFrame, alerts: DataFrame) -> DataFrame:
     """(section, item, n): table counts, months loaded and wanted, and alerts."""
     m = months.agg(F.count_if("loaded").alias("a"), F.count(F.lit(1)).alias("b"))
-    m = m.select(F.explode(F.array(F.struct(F.lit("months loaded").alias("item"), F.col("a").alias("n")), F.struct(F.lit("months wanted").alias("item"), F.col("b").alias("n")))).alias("x")).select("x.*")
+    m = m.select(F.explode(F.array(
+        F.struct(F.lit("months loaded").alias("item"), F.col("a").alias("n")),
+        F.struct(F.lit("months wanted").alias("item"), F.col("b").alias("n")),
+    )).alias("x")).select("x.*")
     tag = lambda df, s: df.select(F.lit(s).alias("section"), "item", "n")
     return tag(counts, "tables").union(tag(m, "history")).union(tag(alerts, "alerts"))

@@ -11,14 +11,24 @@ VERSION = "v1"
 # Outcomes of a requirement and verdicts of a card.
 MET, UNMET, UNKNOWN = "cumple", "no_cumple", "no_se_puede_saber"
 FIT, UNFIT, REVIEW = "apta", "no_apta", "revisar"
-BY_HAND = {"trabajos_similares": "trabajos similares", "clasificacion": "clasificación", "habilitacion": "habilitación", "adscripcion": "medios adscritos", "remite": "otro documento"}
+BY_HAND = {
+    "trabajos_similares": "trabajos similares",
+    "clasificacion": "clasificación",
+    "habilitacion": "habilitación",
+    "adscripcion": "medios adscritos",
+    "remite": "otro documento",
+}
 
 
 def certifications(text: Column) -> Column:
     """Sorted distinct names of known certifications in a text."""
     text = F.coalesce(text, F.lit(""))
     iso = F.transform(F.regexp_extract_all(text, F.lit(UNICODE + r"ISO[\s/]*(?:IEC[\s/]*)?(\d{4,5})"), 1), lambda n: F.concat(F.lit("ISO "), n))
-    named = F.array(*(F.when(text.rlike(UNICODE + p), F.lit(name)) for name, p in (("ENS", r"Esquema Nacional de Seguridad|ENS"), ("EMAS", "EMAS"), ("PCI DSS", r"PCI[\s-]?DSS"))))
+    named = F.array(*(F.when(text.rlike(UNICODE + p), F.lit(name)) for name, p in (
+        ("ENS", r"Esquema Nacional de Seguridad|ENS"),
+        ("EMAS", "EMAS"),
+        ("PCI DSS", r"PCI[\s-]?DSS"),
+    )))
     return F.array_sort(F.array_distinct(F.concat(iso, F.filter(named, lambda x: x.isNotNull()))))
 
 
@@ -32,7 +42,15 @@ def evaluate_requirements(requirements: DataFrame, companies: DataFrame) -> Data
     result = F.when(F.col("kind") == "volumen_negocios", volume).when(F.col("kind") == "certificaciones", papers).when(F.col("kind") == "no_se_exige", MET).when(F.col("kind").isin(*BY_HAND), UNKNOWN)
     by_hand = F.element_at(F.create_map(*(F.lit(x) for p in BY_HAND.items() for x in p)), F.col("kind"))
     why = (
-        F.when(F.col("kind") == "volumen_negocios", F.concat(F.lit("volumen exigido: "), F.coalesce(euros(F.col("amount")), F.lit("sin cifra")), F.lit("; consta: "), F.coalesce(euros(F.col("turnover")), F.lit("sin cifra"))))
+        F.when(
+            F.col("kind") == "volumen_negocios",
+            F.concat(
+                F.lit("volumen exigido: "),
+                F.coalesce(euros(F.col("amount")), F.lit("sin cifra")),
+                F.lit("; consta: "),
+                F.coalesce(euros(F.col("turnover")), F.lit("sin cifra")),
+            ),
+        )
         .when(F.col("kind") == "certificaciones", F.concat(F.lit("exigidas: "), F.array_join(asked, ", "), F.lit("; faltan: "), F.array_join(lacking, ", ")))
         .when(F.col("kind") == "no_se_exige", F.lit("no se exige solvencia"))
         .otherwise(F.concat(F.lit("a mano: "), by_hand))
@@ -42,7 +60,11 @@ def evaluate_requirements(requirements: DataFrame, companies: DataFrame) -> Data
 
 def verdict(pairs: DataFrame, judged: DataFrame) -> DataFrame:
     """(alias, entry_id, verdict, reasons, unmet) for every pair read; no reasons means review."""
-    sums = judged.groupBy("alias", "entry_id").agg(F.count(F.lit(1)).alias("reasons"), F.count_if(F.col("result") == UNMET).alias("unmet"), F.bool_and(F.col("result") == MET).alias("all_met"))
+    sums = judged.groupBy("alias", "entry_id").agg(
+        F.count(F.lit(1)).alias("reasons"),
+        F.count_if(F.col("result") == UNMET).alias("unmet"),
+        F.bool_and(F.col("result") == MET).alias("all_met"),
+    )
     rows = pairs.select("alias", "entry_id").distinct().join(sums, ["alias", "entry_id"], "left")
     v = F.when(F.col("unmet") > 0, UNFIT).when(F.col("all_met"), FIT).otherwise(REVIEW)
     return rows.select("alias", "entry_id", v.alias("verdict"), F.coalesce("reasons", F.lit(0)).alias("reasons"), F.coalesce("unmet", F.lit(0)).alias("unmet"))
@@ -62,7 +84,13 @@ def turnover_from_profile(text: Column) -> Column:
 
 
 # Form fields that make up a profile, in order.
-SECTIONS = (("que_hace", "1. Qué hace"), ("que_busca", "2. Qué busca"), ("certificaciones", "3. Certificaciones"), ("zona", "4. Zona"), ("cifra_negocio", "5. Cifra anual de negocio"))
+SECTIONS = (
+    ("que_hace", "1. Qué hace"),
+    ("que_busca", "2. Qué busca"),
+    ("certificaciones", "3. Certificaciones"),
+    ("zona", "4. Zona"),
+    ("cifra_negocio", "5. Cifra anual de negocio"),
+)
 
 
 def profile_text(clients: DataFrame) -> DataFrame:
@@ -89,7 +117,10 @@ def validate_clients(clients: DataFrame, required: tuple[str, ...] = ("alias", "
         "correo": F.when(given("correo") & ~clean["correo"].rlike(MAIL), "not an address"),
         "que_hace": F.when(given("que_hace") & (F.length(clean["que_hace"]) < 30), "too short"),
         "cifra_negocio": F.when(given("cifra_negocio") & ~F.coalesce(turnover > 0, F.lit(False)), "not a positive number"),
-        "tope_diario_eur": F.when(given("tope_diario_eur"), F.when(cap.isNull(), "not a number").when(cap < 0, "negative").when(cap > HIGHEST_CAP, "above the maximum")),
+        "tope_diario_eur": F.when(
+            given("tope_diario_eur"),
+            F.when(cap.isNull(), "not a number").when(cap < 0, "negative").when(cap > HIGHEST_CAP, "above the maximum"),
+        ),
     }
     pairs = []
     for f in fields:

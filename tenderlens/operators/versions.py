@@ -44,7 +44,13 @@ def latest_metrics(results: DataFrame) -> DataFrame:
 
 def month_range(first: Column, last: Column) -> Column:
     """Months from first to last as YYYY-MM; raises where the range is reversed."""
-    return F.transform(F.when(first <= last, F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("interval 1 month"))).otherwise(F.raise_error(F.lit("the first month is after the last")).cast("array<date>")), lambda d: F.date_format(d, "yyyy-MM"))
+    return F.transform(
+        F.when(
+            first <= last,
+            F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("interval 1 month")),
+        ).otherwise(F.raise_error(F.lit("the first month is after the last")).cast("array<date>")),
+        lambda d: F.date_format(d, "yyyy-MM"),
+    )
 
 
 def missing_months(wanted: DataFrame, loaded: DataFrame) -> DataFrame:

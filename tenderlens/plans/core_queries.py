@@ -49,18 +49,42 @@ def v2_as_published(v: Views) -> DataFrame:
     return versions.as_published(v.notices, FIRST, LAST).select("entry_id", "entry_updated", "tie", "state", "object", F.col("cpv")[0].alias("code"))
 
 
-@query("versions", f"SELECT winner, count(*) AS versions, count(DISTINCT entry_id) AS dossiers FROM versions WHERE entry_updated < TIMESTAMP '{CUTOFF}' GROUP BY winner")
+@query(
+    "versions",
+    f"SELECT winner, count(*) AS versions, count(DISTINCT entry_id) AS dossiers FROM versions "
+    f"WHERE entry_updated < TIMESTAMP '{CUTOFF}' GROUP BY winner",
+)
 def v3_versions_until(v: Views) -> DataFrame:
-    return versions.versions_until(v.versions, CUTOFF).groupBy("winner").agg(F.count(F.lit(1)).alias("versions"), F.count_distinct("entry_id").alias("dossiers"))
+    return versions.versions_until(v.versions, CUTOFF).groupBy("winner").agg(
+        F.count(F.lit(1)).alias("versions"),
+        F.count_distinct("entry_id").alias("dossiers"),
+    )
 
 
-@query("", "SELECT event_type AS metric, CAST(user_id % 7 AS VARCHAR) AS variant, CASE WHEN user_id % 5 > 0 THEN CAST(user_id AS VARCHAR) END AS alias, max(ts) AS computed_at, arg_max(value, (ts, value)) AS value FROM events GROUP BY 1, 2, 3")
+@query(
+    "",
+    "SELECT event_type AS metric, CAST(user_id % 7 AS VARCHAR) AS variant, CASE "
+    "WHEN user_id % 5 > 0 THEN CAST(user_id AS VARCHAR) END AS alias, max(ts) AS computed_at, arg_max(value, (ts, "
+    "value)) AS value FROM events GROUP BY 1, 2, 3",
+)
 def v4_latest_metrics(v: Views) -> DataFrame:
-    rows = v.table("events").select(F.col("event_type").alias("metric"), (F.col("user_id") % 7).cast("string").alias("variant"), F.when(F.col("user_id") % 5 > 0, F.col("user_id").cast("string")).alias("alias"), F.col("ts").cast("timestamp").alias("computed_at"), "value")
+    rows = v.table("events").select(
+        F.col("event_type").alias("metric"),
+        (F.col("user_id") % 7).cast("string").alias("variant"),
+        F.when(F.col("user_id") % 5 > 0, F.col("user_id").cast("string")).alias("alias"),
+        F.col("ts").cast("timestamp").alias("computed_at"),
+        "value",
+    )
     return versions.latest_metrics(rows)
 
 
-@query("", "SELECT strftime(m, '%Y-%m') AS month FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS m FROM orders) x WHERE strftime(m, '%Y-%m') NOT IN (SELECT strftime(o_orderdate, '%Y-%m') FROM orders WHERE o_orderpriority = '1-URGENT' AND month(o_orderdate) > 3)")
+@query(
+    "",
+    "SELECT strftime(m, '%Y-%m') AS month FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), "
+    "date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS m FROM orders) x WHERE strftime(m, "
+    "'%Y-%m') NOT IN (SELECT strftime(o_orderdate, '%Y-%m') FROM orders WHERE o_orderpriority = '1-URGENT' "
+    "AND month(o_orderdate) > 3)",
+)
 def v5_missing_months(v: Views) -> DataFrame:
     orders = v.table("orders").withColumn("day", F.to_date("o_orderdate"))
     wanted = orders.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(versions.month_range(F.col("a"), F.col("b"))).alias("month"))
@@ -84,9 +108,16 @@ def j2_won_by(v: Views) -> DataFrame:
 _PAIRS = "SELECT s_name AS alias, c.* FROM current c JOIN supplier ON s_nationkey = c.organ"
 
 
-@query("current triage", f"SELECT alias, count(*) AS pending, min(entry_id) AS first_entry FROM ({_PAIRS}) p WHERE NOT EXISTS (SELECT 1 FROM triage t WHERE t.alias = p.alias AND t.entry_id = p.entry_id) GROUP BY alias")
+@query(
+    "current triage",
+    f"SELECT alias, count(*) AS pending, min(entry_id) AS first_entry FROM ({_PAIRS}) p WHERE NOT EXISTS (SELECT 1 "
+    f"FROM triage t WHERE t.alias = p.alias AND t.entry_id = p.entry_id) GROUP BY alias",
+)
 def j3_not_yet_triaged(v: Views) -> DataFrame:
-    return joins.not_yet_triaged(_current(v), v.triage, _pairs(v)).groupBy("alias").agg(F.count(F.lit(1)).alias("pending"), F.min("entry_id").alias("first_entry"))
+    return joins.not_yet_triaged(_current(v), v.triage, _pairs(v)).groupBy("alias").agg(
+        F.count(F.lit(1)).alias("pending"),
+        F.min("entry_id").alias("first_entry"),
+    )
 
 
 @query("triage", "SELECT alias, entry_id, call_id FROM triage WHERE decision <> 'duda'")
@@ -95,7 +126,11 @@ def j4_pending_for_config(v: Views) -> DataFrame:
     return joins.pending_for_config(v.triage.select("alias", "entry_id", "call_id"), done, ["alias", "entry_id"])
 
 
-_READABLE = "SELECT alias, entry_id, decision FROM triage t WHERE decision IN ('si', 'duda') AND entry_id IN (SELECT entry_id FROM docs WHERE kind = 'PCAP' AND state = 'descargado') AND (alias, entry_id) NOT IN (SELECT (alias, entry_id) FROM cards)"
+_READABLE = (
+    "SELECT alias, entry_id, decision FROM triage t WHERE decision IN ('si', 'duda') AND entry_id IN (SELECT entry_id "
+    "FROM docs WHERE kind = 'PCAP' AND state = 'descargado') AND (alias, entry_id) NOT IN (SELECT (alias, entry_id) "
+    "FROM cards)"
+)
 
 
 @query("triage docs cards", _READABLE)
@@ -103,23 +138,44 @@ def j5_readable_candidates(v: Views) -> DataFrame:
     return joins.readable_candidates(v.triage, v.docs, v.cards)
 
 
-@query("triage docs won", "SELECT t.alias, t.entry_id, w.entry_id IS NOT NULL AS won FROM triage t LEFT JOIN won w ON w.alias = t.alias AND w.entry_id = t.entry_id WHERE decision IN ('si', 'duda') AND t.entry_id IN (SELECT entry_id FROM docs WHERE kind = 'PCAP' AND state = 'descargado') AND NOT (t.call_id % 3 = 0)")
+@query(
+    "triage docs won",
+    "SELECT t.alias, t.entry_id, w.entry_id IS NOT NULL AS won FROM triage t LEFT JOIN won w ON w.alias = t.alias "
+    "AND w.entry_id = t.entry_id WHERE decision IN ('si', 'duda') AND t.entry_id IN (SELECT entry_id FROM docs "
+    "WHERE kind = 'PCAP' AND state = 'descargado') AND NOT (t.call_id % 3 = 0)",
+)
 def j6_evaluation_candidates(v: Views) -> DataFrame:
     readings = v.triage.where("call_id % 3 = 0").select("alias", "entry_id", F.lit("p1").alias("prompt"))
     return joins.evaluation_candidates(v.triage, v.docs, readings, _won(v), "p1")
 
 
-@query("docs", "SELECT entry_id, doc_id, pages FROM (SELECT doc_id // 4 AS entry_id, doc_id, pages, row_number() OVER (PARTITION BY doc_id // 4 ORDER BY pages DESC NULLS LAST, doc_id) AS rn FROM docs WHERE kind = 'PCAP' AND state = 'descargado') x WHERE rn = 1")
+@query(
+    "docs",
+    "SELECT entry_id, doc_id, pages FROM (SELECT doc_id // 4 AS entry_id, doc_id, pages, "
+    "row_number() OVER (PARTITION BY doc_id // 4 ORDER BY pages DESC NULLS LAST, doc_id) AS rn FROM docs "
+    "WHERE kind = 'PCAP' AND state = 'descargado') x WHERE rn = 1",
+)
 def j7_document_for_dossier(v: Views) -> DataFrame:
-    return joins.document_for_dossier(v.docs.withColumn("entry_id", F.floor(F.col("doc_id") / 4))).select("entry_id", "doc_id", F.col("pages").cast("long").alias("pages"))
+    return joins.document_for_dossier(v.docs.withColumn("entry_id", F.floor(F.col("doc_id") / 4))).select(
+        "entry_id",
+        "doc_id",
+        F.col("pages").cast("long").alias("pages"),
+    )
 
 
-@query("triage won first_versions", "SELECT w.alias, w.entry_id, f.object, t.reason FROM won w JOIN triage t ON t.alias = w.alias AND t.entry_id = w.entry_id AND t.decision = 'no' JOIN first_versions f ON f.entry_id = w.entry_id")
+@query(
+    "triage won first_versions",
+    "SELECT w.alias, w.entry_id, f.object, t.reason FROM won w JOIN triage t ON t.alias = w.alias "
+    "AND t.entry_id = w.entry_id AND t.decision = 'no' JOIN first_versions f ON f.entry_id = w.entry_id",
+)
 def j8_missed_awards(v: Views) -> DataFrame:
     return joins.missed_awards(v.triage, _won(v), v.notices)
 
 
-_LINEAGE = "SELECT l.l_orderkey AS entry_id, l.l_linenumber AS position, o.o_orderkey AS file_id, o.o_orderpriority AS sha256 FROM lineitem l LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 50 <> 7) o ON l.l_orderkey = o.o_orderkey"
+_LINEAGE = (
+    "SELECT l.l_orderkey AS entry_id, l.l_linenumber AS position, o.o_orderkey AS file_id, o.o_orderpriority AS sha256 "
+    "FROM lineitem l LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 50 <> 7) o ON l.l_orderkey = o.o_orderkey"
+)
 
 
 @query("", f"SELECT sha256, count(*) AS n FROM ({_LINEAGE}) x GROUP BY sha256")
@@ -134,26 +190,54 @@ def j9_lineage(v: Views) -> DataFrame:
 def q9_orphans(v: Views) -> DataFrame:
     staging = v.table("orders").where("o_orderkey % 50 <> 7").select(F.col("o_orderkey").alias("staging_id"), F.col("o_orderkey").alias("file_id"))
     files = v.table("orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_orderpriority").alias("sha256"))
-    notices = v.table("lineitem").select(F.col("l_orderkey").alias("staging_id"), F.col("l_orderkey").alias("entry_id"), F.col("l_linenumber").alias("position"))
+    notices = v.table("lineitem").select(
+        F.col("l_orderkey").alias("staging_id"),
+        F.col("l_orderkey").alias("entry_id"),
+        F.col("l_linenumber").alias("position"),
+    )
     return joins.orphans(joins.lineage(notices, staging, files)).select("entry_id", "position")
 
 
-@query("last_versions awards docs", "SELECT l.entry_id, l.object, w.winners, CASE WHEN d.entry_id IS NOT NULL THEN 1 END AS n_documents FROM last_versions l LEFT JOIN (SELECT entry_id, string_agg(CAST(winner AS VARCHAR), ',' ORDER BY winner) AS winners FROM (SELECT DISTINCT entry_id, winner FROM awards) x GROUP BY entry_id) w ON w.entry_id = l.entry_id LEFT JOIN docs d ON d.entry_id = l.entry_id")
+@query(
+    "last_versions awards docs",
+    "SELECT l.entry_id, l.object, w.winners, CASE WHEN d.entry_id IS NOT NULL THEN 1 END AS n_documents "
+    "FROM last_versions l LEFT JOIN (SELECT entry_id, string_agg(CAST(winner AS VARCHAR), ',' ORDER BY winner) AS winners "
+    "FROM (SELECT DISTINCT entry_id, winner FROM awards) x GROUP BY entry_id) w ON w.entry_id = l.entry_id LEFT "
+    "JOIN docs d ON d.entry_id = l.entry_id",
+)
 def j10_notice_details(v: Views) -> DataFrame:
     rows = joins.notice_details(versions.latest_versions(v.notices), v.docs, v.awards)
-    return rows.select("entry_id", "object", F.array_join(F.col("winners").cast("array<string>"), ",").alias("winners"), F.size("documents").alias("n_documents"))
+    return rows.select(
+        "entry_id",
+        "object",
+        F.array_join(F.col("winners").cast("array<string>"), ",").alias("winners"),
+        F.size("documents").alias("n_documents"),
+    )
 
 
-@query("", "SELECT coalesce(s.s_name, c.alias) AS alias, CASE WHEN s.s_name IS NOT NULL THEN 'estudio' ELSE 'cliente' END AS origin FROM (SELECT * FROM supplier WHERE s_acctbal > 0) s FULL JOIN (SELECT 'Supplier#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS alias FROM customer) c ON s.s_name = c.alias")
+@query(
+    "",
+    "SELECT coalesce(s.s_name, c.alias) AS alias, CASE WHEN s.s_name IS NOT NULL THEN 'estudio' "
+    "ELSE 'cliente' END AS origin FROM (SELECT * FROM supplier WHERE s_acctbal > 0) s FULL "
+    "JOIN (SELECT 'Supplier#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS alias FROM customer) c ON s.s_name = c.alias",
+)
 def j11_company_of(v: Views) -> DataFrame:
     study = v.table("supplier").where("s_acctbal > 0").select(F.col("s_name").alias("alias"))
     clients = v.table("customer").select(F.concat(F.lit("Supplier#"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("alias"))
     return joins.company_of(study, clients)
 
 
-@query("", "SELECT c_name AS alias, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'study company' WHEN c_acctbal <= 0 THEN 'inactive' END AS rejected FROM customer")
+@query(
+    "",
+    "SELECT c_name AS alias, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'study company' "
+    "WHEN c_acctbal <= 0 THEN 'inactive' END AS rejected FROM customer",
+)
 def j12_active_clients(v: Views) -> DataFrame:
-    rows = v.table("customer").select(F.col("c_name").alias("alias"), F.when(F.col("c_mktsegment") == "MACHINERY", "estudio").otherwise("cliente").alias("origin"), (F.col("c_acctbal") > 0).alias("active"))
+    rows = v.table("customer").select(
+        F.col("c_name").alias("alias"),
+        F.when(F.col("c_mktsegment") == "MACHINERY", "estudio").otherwise("cliente").alias("origin"),
+        (F.col("c_acctbal") > 0).alias("active"),
+    )
     return joins.active_clients(rows).select("alias", "rejected")
 
 
@@ -162,7 +246,11 @@ def x1_distinct_calls(v: Views) -> DataFrame:
     return joins.distinct_calls(v.triage, v.triage.where("decision = 'si'").select("alias", (F.col("call_id") + 1).alias("call_id")))
 
 
-@query("won passing", "SELECT w.alias, w.entry_id FROM won w SEMI JOIN (SELECT alias, entry_id FROM passing WHERE variant = 'B') p ON p.alias = w.alias AND p.entry_id = w.entry_id")
+@query(
+    "won passing",
+    "SELECT w.alias, w.entry_id FROM won w SEMI JOIN (SELECT alias, entry_id FROM passing WHERE variant = 'B') p "
+    "ON p.alias = w.alias AND p.entry_id = w.entry_id",
+)
 def x2_won_and_passing(v: Views) -> DataFrame:
     return joins.inside(_won(v), _passing(v).where("variant = 'B'"), ["alias", "entry_id"])
 
@@ -181,9 +269,16 @@ def x3_universe_without_passes(v: Views) -> DataFrame:
 # -- filters ----------------------------------------------------------------
 
 
-@query("notices", "SELECT state, count(*) AS passing, count(DISTINCT entry_id) AS dossiers FROM notices WHERE starts_with(code, '72') OR starts_with(code, '48') OR starts_with(code, '30') GROUP BY state")
+@query(
+    "notices",
+    "SELECT state, count(*) AS passing, count(DISTINCT entry_id) AS dossiers FROM notices WHERE starts_with(code, '72') "
+    "OR starts_with(code, '48') OR starts_with(code, '30') GROUP BY state",
+)
 def f1_cpv_prefix_filter(v: Views) -> DataFrame:
-    return filters.cpv_prefix_filter(v.notices, ("72", "48", "30")).groupBy("state").agg(F.count(F.lit(1)).alias("passing"), F.count_distinct("entry_id").alias("dossiers"))
+    return filters.cpv_prefix_filter(v.notices, ("72", "48", "30")).groupBy("state").agg(
+        F.count(F.lit(1)).alias("passing"),
+        F.count_distinct("entry_id").alias("dossiers"),
+    )
 
 
 @query("passing", "SELECT alias, entry_id FROM passing WHERE variant = 'B'")
@@ -201,7 +296,12 @@ def f3_open_notices(v: Views) -> DataFrame:
     return filters.open_notices(_current(v), F.lit(TODAY).cast("date")).select("entry_id", "deadline")
 
 
-@query("notices", "SELECT entry_id, entry_updated, object FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY entry_updated DESC, tie DESC) AS rn FROM notices WHERE object ILIKE '%RING%' AND (starts_with(code, '72') OR starts_with(code, '48'))) x WHERE rn = 1")
+@query(
+    "notices",
+    "SELECT entry_id, entry_updated, object FROM (SELECT *, row_number() OVER (PARTITION BY entry_id "
+    "ORDER BY entry_updated DESC, tie DESC) AS rn FROM notices WHERE object ILIKE '%RING%' AND (starts_with(code, '72') "
+    "OR starts_with(code, '48'))) x WHERE rn = 1",
+)
 def f4_search_notices(v: Views) -> DataFrame:
     return filters.search_notices(v.notices, text="RING", only_it=True).select("entry_id", "entry_updated", "object")
 
@@ -211,7 +311,12 @@ def f5_feed_newer_than(v: Views) -> DataFrame:
     return filters.feed_newer_than(v.versions, F.lit("2000-01-01 00:03:00").cast("timestamp")).select("entry_id", "entry_updated")
 
 
-_CANDIDATES = "SELECT winner, max(name) AS name, count(*) AS awards, count(*) FILTER (it) AS it_awards, bool_and(sme) AS always_sme FROM (SELECT a.winner, a.entry_id, max(name) AS name, bool_and(coalesce(sme, false)) AS sme, any_value(i.it) AS it FROM awards a JOIN (SELECT entry_id, bool_or(starts_with(code, '72') OR starts_with(code, '48')) AS it FROM notices GROUP BY entry_id) i USING (entry_id) WHERE entry_updated < TIMESTAMP '" + CUTOFF + "' AND a.entry_id IN (SELECT entry_id FROM published) GROUP BY a.winner, a.entry_id) x GROUP BY winner"
+_CANDIDATES = (
+    "SELECT winner, max(name) AS name, count(*) AS awards, count(*) FILTER (it) AS it_awards, bool_and(sme) AS always_sme "
+    "FROM (SELECT a.winner, a.entry_id, max(name) AS name, bool_and(coalesce(sme, false)) AS sme, any_value(i.it) AS it "
+    "FROM awards a JOIN (SELECT entry_id, bool_or(starts_with(code, '72') OR starts_with(code, '48')) AS it FROM notices "
+    "GROUP BY entry_id) i USING (entry_id) WHERE entry_updated < TIMESTAMP '"
+) + CUTOFF + "' AND a.entry_id IN (SELECT entry_id FROM published) GROUP BY a.winner, a.entry_id) x GROUP BY winner"
 
 
 def _candidates(v: Views) -> DataFrame:
@@ -223,12 +328,19 @@ def a1_award_candidates(v: Views) -> DataFrame:
     return _candidates(v)
 
 
-_REASON = "CASE WHEN winner % 11 = 0 THEN 'natural person' WHEN winner % 7 = 0 THEN 'joint venture' WHEN NOT always_sme AND winner % 2 = 0 THEN 'not always an SME' WHEN awards < 30 THEN 'too few awards' WHEN it_awards <= awards * 0.05 THEN 'not mostly IT' END"
+_REASON = (
+    "CASE WHEN winner % 11 = 0 THEN 'natural person' WHEN winner % 7 = 0 THEN 'joint venture' WHEN NOT always_sme "
+    "AND winner % 2 = 0 THEN 'not always an SME' WHEN awards < 30 THEN 'too few awards' "
+    "WHEN it_awards <= awards * 0.05 THEN 'not mostly IT' END"
+)
 
 
 def _judged(v: Views) -> DataFrame:
     rows = _candidates(v).withColumns({"always_sme": F.col("always_sme") | (F.col("winner") % 2 > 0), "winner_number": F.col("winner")})
-    rows = rows.withColumns({"winner": F.col("winner").cast("string"), "name": F.when(F.col("winner_number") % 7 == 0, F.concat("name", F.lit(" U.T.E."))).otherwise(F.col("name"))})
+    rows = rows.withColumns({
+        "winner": F.col("winner").cast("string"),
+        "name": F.when(F.col("winner_number") % 7 == 0, F.concat("name", F.lit(" U.T.E."))).otherwise(F.col("name")),
+    })
     return cohort.discarded(rows, F.col("winner_number") % 11 == 0, least=30, share=0.05)
 
 
@@ -242,7 +354,12 @@ def a2_discard_funnel(v: Views) -> DataFrame:
     return cohort.discard_funnel(_judged(v))
 
 
-@query("", "SELECT page_id, lower(h) AS host, (h LIKE '%.example.org' OR h = 'example.org') AND (url LIKE 'http://%' OR url LIKE 'https://%') AS allowed FROM (SELECT page_id, url, regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1) AS h FROM pages) x")
+@query(
+    "",
+    "SELECT page_id, lower(h) AS host, (h LIKE '%.example.org' OR h = 'example.org') AND (url LIKE 'http://%' "
+    "OR url LIKE 'https://%') AS allowed FROM (SELECT page_id, url, regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1) AS h "
+    "FROM pages) x",
+)
 def f7_allowed_download_urls(v: Views) -> DataFrame:
     return filters.allowed_download_urls(v.table("pages"), ("example.org",)).select("page_id", "host", "allowed")
 
@@ -250,7 +367,11 @@ def f7_allowed_download_urls(v: Views) -> DataFrame:
 # -- privacy ----------------------------------------------------------------
 
 
-_NIF = "CASE c_mktsegment WHEN 'MACHINERY' THEN 'x' || CAST(c_custkey AS VARCHAR) || 'l' WHEN 'BUILDING' THEN CAST(c_custkey AS VARCHAR) || 'Z' WHEN 'HOUSEHOLD' THEN 'pf_' || CAST(c_custkey AS VARCHAR) ELSE 'b' || CAST(c_custkey AS VARCHAR) END"
+_NIF = (
+    "CASE c_mktsegment WHEN 'MACHINERY' THEN 'x' || CAST(c_custkey AS VARCHAR) || 'l' "
+    "WHEN 'BUILDING' THEN CAST(c_custkey AS VARCHAR) || 'Z' WHEN 'HOUSEHOLD' THEN 'pf_' || CAST(c_custkey AS VARCHAR) "
+    "ELSE 'b' || CAST(c_custkey AS VARCHAR) END"
+)
 _PERSON = "(starts_with(nif, 'pf_') OR NOT contains('ABCDEFGHJNPQRSUVW', upper(substr(nif, 1, 1))))"
 
 
@@ -260,17 +381,30 @@ def _people(v: Views) -> DataFrame:
     return v.table("customer").select(F.col("c_custkey").alias("id"), nif.alias("winner"), F.col("c_name").alias("name"))
 
 
-@query("", f"SELECT id, CASE WHEN starts_with(nif, 'pf_') THEN nif WHEN {_PERSON} THEN 'pf_' || substr(sha256('{SALT}' || upper(nif)), 1, 24) ELSE nif END AS winner, CASE WHEN NOT {_PERSON} THEN name END AS name FROM (SELECT c_custkey AS id, {_NIF} AS nif, c_name AS name FROM customer) x")
+@query(
+    "",
+    f"SELECT id, CASE WHEN starts_with(nif, 'pf_') THEN nif "
+    f"WHEN {_PERSON} THEN 'pf_' || substr(sha256('{SALT}' || upper(nif)), 1, 24) ELSE nif END AS winner, CASE "
+    f"WHEN NOT {_PERSON} THEN name END AS name FROM (SELECT c_custkey AS id, {_NIF} AS nif, c_name AS name FROM customer) x",
+)
 def d1_pseudonymise_awards(v: Views) -> DataFrame:
     return privacy.pseudonymise_awards(_people(v), SALT)
 
 
-@query("", f"SELECT count(*) FILTER ({_PERSON}) AS rows_changed, count(DISTINCT nif) FILTER ({_PERSON} AND NOT starts_with(nif, 'pf_')) AS persons FROM (SELECT {_NIF} AS nif FROM customer) x")
+@query(
+    "",
+    f"SELECT count(*) FILTER ({_PERSON}) AS rows_changed, count(DISTINCT nif) FILTER ({_PERSON} AND NOT starts_with(nif, "
+    f"'pf_')) AS persons FROM (SELECT {_NIF} AS nif FROM customer) x",
+)
 def d2_anonymise_existing(v: Views) -> DataFrame:
     return privacy.anonymise_existing(_people(v), SALT)
 
 
-@query("", f"SELECT id, CASE WHEN starts_with(nif, 'pf_') THEN 'pseudonym with name' ELSE 'id in clear' END AS rule FROM (SELECT c_custkey AS id, {_NIF} AS nif FROM customer) x WHERE {_PERSON}")
+@query(
+    "",
+    f"SELECT id, CASE WHEN starts_with(nif, 'pf_') THEN 'pseudonym with name' ELSE 'id in clear' END AS rule "
+    f"FROM (SELECT c_custkey AS id, {_NIF} AS nif FROM customer) x WHERE {_PERSON}",
+)
 def d3_plaintext_ids(v: Views) -> DataFrame:
     return privacy.plaintext_ids(_people(v)).select("id", "rule")
 
@@ -286,17 +420,33 @@ def a3_universe(v: Views) -> DataFrame:
 _ELIGIBLE = f"SELECT CAST(winner AS VARCHAR) AS winner FROM ({_CANDIDATES}) c WHERE {_REASON} IS NULL"
 
 
-@query("awards published notices", f"SELECT winner, CASE WHEN r <= 2 THEN 'desarrollo' ELSE 'test' END AS role, 'Empresa ' || chr(CAST(64 + r AS INTEGER)) AS alias FROM (SELECT winner, row_number() OVER (ORDER BY md5('{SEED}' || winner), winner) AS r FROM ({_ELIGIBLE}) e) x WHERE r <= 7")
+@query(
+    "awards published notices",
+    f"SELECT winner, CASE WHEN r <= 2 THEN 'desarrollo' ELSE 'test' END AS role, "
+    f"'Empresa ' || chr(CAST(64 + r AS INTEGER)) AS alias FROM (SELECT winner, "
+    f"row_number() OVER (ORDER BY md5('{SEED}' || winner), winner) AS r FROM ({_ELIGIBLE}) e) x WHERE r <= 7",
+)
 def w10_draw_companies(v: Views) -> DataFrame:
     return cohort.draw_companies(_judged(v).where("reason is null"), SEED)
 
 
-@query("published won companies", f"SELECT alias, entry_id, true AS won FROM won UNION ALL SELECT alias, entry_id, false FROM (SELECT c.alias, p.entry_id, row_number() OVER (PARTITION BY c.alias ORDER BY md5(CAST(p.entry_id AS VARCHAR) || '{SEED}'), p.entry_id) AS r FROM published p CROSS JOIN companies c WHERE NOT EXISTS (SELECT 1 FROM won w WHERE w.alias = c.alias AND w.entry_id = p.entry_id)) x WHERE r <= 88")
+@query(
+    "published won companies",
+    f"SELECT alias, entry_id, true AS won FROM won UNION ALL SELECT alias, entry_id, false FROM (SELECT c.alias, "
+    f"p.entry_id, row_number() OVER (PARTITION BY c.alias ORDER BY md5(CAST(p.entry_id AS VARCHAR) || '{SEED}'), "
+    f"p.entry_id) AS r FROM published p CROSS JOIN companies c WHERE NOT EXISTS (SELECT 1 FROM won w "
+    f"WHERE w.alias = c.alias AND w.entry_id = p.entry_id)) x WHERE r <= 88",
+)
 def w8_stratified_sample(v: Views) -> DataFrame:
     return cohort.stratified_sample(versions.as_published(v.versions, FIRST, LAST), _won(v), v.companies, 88, SEED)
 
 
-@query("triage won", f"SELECT t.alias, t.entry_id, row_number() OVER (PARTITION BY t.alias ORDER BY (w.entry_id IS NOT NULL) DESC, md5(CAST(t.entry_id AS VARCHAR) || '{SEED}'), t.entry_id) AS place FROM triage t LEFT JOIN won w ON w.alias = t.alias AND w.entry_id = t.entry_id")
+@query(
+    "triage won",
+    f"SELECT t.alias, t.entry_id, row_number() OVER (PARTITION BY t.alias ORDER BY (w.entry_id IS NOT NULL) DESC, "
+    f"md5(CAST(t.entry_id AS VARCHAR) || '{SEED}'), t.entry_id) AS place FROM triage t LEFT JOIN won w ON w.alias = t.alias "
+    f"AND w.entry_id = t.entry_id",
+)
 def w9_won_first_order(v: Views) -> DataFrame:
     marked = v.triage.select("alias", "entry_id").join(_won(v).withColumn("won", F.lit(True)), ["alias", "entry_id"], "left").na.fill(False, ["won"])
     return cohort.won_first_order(marked, SEED).select("alias", "entry_id", F.col("place").cast("long").alias("place"))
@@ -310,7 +460,12 @@ def w11_sample_documents(v: Views) -> DataFrame:
 # -- queues -----------------------------------------------------------------
 
 
-_QUEUE = f"SELECT alias, entry_id, place FROM (SELECT p.alias, p.entry_id, row_number() OVER (PARTITION BY p.alias ORDER BY p.deadline NULLS LAST, p.entry_id) AS place FROM ({_PAIRS}) p WHERE NOT p.withdrawn AND (p.deadline IS NULL OR p.deadline >= DATE '{TODAY}') AND NOT EXISTS (SELECT 1 FROM triage t WHERE t.alias = p.alias AND t.entry_id = p.entry_id)) q WHERE place <= 400"
+_QUEUE = (
+    f"SELECT alias, entry_id, place FROM (SELECT p.alias, p.entry_id, row_number() OVER (PARTITION BY p.alias "
+    f"ORDER BY p.deadline NULLS LAST, p.entry_id) AS place FROM ({_PAIRS}) p WHERE NOT p.withdrawn AND (p.deadline IS NULL "
+    f"OR p.deadline >= DATE '{TODAY}') AND NOT EXISTS (SELECT 1 FROM triage t WHERE t.alias = p.alias "
+    f"AND t.entry_id = p.entry_id)) q WHERE place <= 400"
+)
 
 
 def _queue(v: Views) -> DataFrame:
@@ -322,7 +477,10 @@ def w1_triage_queue(v: Views) -> DataFrame:
     return _queue(v).select("alias", "entry_id", F.col("place").cast("long").alias("place"))
 
 
-_READING = f"SELECT r.alias, r.entry_id, row_number() OVER (PARTITION BY r.alias ORDER BY c.deadline NULLS LAST, r.entry_id) AS place FROM ({_READABLE}) r JOIN current c ON c.entry_id = r.entry_id"
+_READING = (
+    f"SELECT r.alias, r.entry_id, row_number() OVER (PARTITION BY r.alias ORDER BY c.deadline NULLS LAST, "
+    f"r.entry_id) AS place FROM ({_READABLE}) r JOIN current c ON c.entry_id = r.entry_id"
+)
 
 
 def _reading(v: Views) -> DataFrame:
@@ -335,7 +493,10 @@ def w2_reading_queue(v: Views) -> DataFrame:
 
 
 _FETCHABLE = "d.kind = 'PCAP' AND d.state IN ('pendiente', 'error') AND d.attempts < 3 AND NOT c.withdrawn"
-_LATEST_DOCS = f"SELECT d.doc_id, c.deadline FROM version_docs d JOIN current c ON c.entry_id = d.entry_id AND c.entry_updated = d.entry_updated WHERE {_FETCHABLE}"
+_LATEST_DOCS = (
+    f"SELECT d.doc_id, c.deadline FROM version_docs d JOIN current c ON c.entry_id = d.entry_id "
+    f"AND c.entry_updated = d.entry_updated WHERE {_FETCHABLE}"
+)
 
 
 @query("current version_docs", f"{_LATEST_DOCS} ORDER BY c.deadline NULLS LAST, d.doc_id LIMIT 500")
@@ -343,7 +504,11 @@ def w3_download_queue(v: Views) -> DataFrame:
     return queues.download_queue(v.version_docs, _current(v), 500).select("doc_id", "deadline")
 
 
-@query("current version_docs", f"{_LATEST_DOCS} AND (starts_with(c.code, '72') OR starts_with(c.code, '48')) ORDER BY c.deadline NULLS LAST, d.doc_id LIMIT 500")
+@query(
+    "current version_docs",
+    f"{_LATEST_DOCS} AND (starts_with(c.code, '72') OR starts_with(c.code, '48')) ORDER BY c.deadline NULLS LAST, "
+    f"d.doc_id LIMIT 500",
+)
 def w3_download_queue_of_it(v: Views) -> DataFrame:
     return queues.download_queue(v.version_docs, _current(v), 500, only_it=True).select("doc_id", "deadline")
 
@@ -362,31 +527,67 @@ def w4_batch_for_model(v: Views) -> DataFrame:
     return queues.batch_for_model(_queue(v)).select("alias", "entry_id", "batch", "ref")
 
 
-@query("current triage", f"SELECT alias, entry_id, place, CAST(round((place - 1) * 0.004, 6) AS DOUBLE) AS spent_before, round((place - 1) * 0.004, 6) < 0.25 AS runs FROM ({_QUEUE}) q")
+@query(
+    "current triage",
+    f"SELECT alias, entry_id, place, CAST(round((place - 1) * 0.004, 6) AS DOUBLE) AS spent_before, "
+    f"round((place - 1) * 0.004, 6) < 0.25 AS runs FROM ({_QUEUE}) q",
+)
 def w5_budget_cut(v: Views) -> DataFrame:
-    rows = queues.budget_cut(_queue(v).withColumn("cost", F.lit(0.004).cast("decimal(12,6)")), "cost", F.lit(0.25).cast("decimal(12,6)"), F.lit(0).cast("decimal(12,6)"))
-    return rows.select("alias", "entry_id", F.col("place").cast("long").alias("place"), F.round(F.col("spent_before").cast("double"), 6).alias("spent_before"), "runs")
+    rows = queues.budget_cut(
+        _queue(v).withColumn("cost", F.lit(0.004).cast("decimal(12,6)")),
+        "cost",
+        F.lit(0.25).cast("decimal(12,6)"),
+        F.lit(0).cast("decimal(12,6)"),
+    )
+    return rows.select(
+        "alias",
+        "entry_id",
+        F.col("place").cast("long").alias("place"),
+        F.round(F.col("spent_before").cast("double"), 6).alias("spent_before"),
+        "runs",
+    )
 
 
 @query(
     "current triage docs cards",
-    f"SELECT alias, entry_id, place, CAST(round(0.1 + (place - 1) * 0.07, 6) AS DOUBLE) AS spent_before, round(0.1 + (place - 1) * 0.07, 6) + 0.15 <= 1.0 AS runs FROM ({_READING}) q",
+    (
+        f"SELECT alias, entry_id, place, CAST(round(0.1 + (place - 1) * 0.07, 6) AS DOUBLE) AS spent_before, "
+        f"round(0.1 + (place - 1) * 0.07, 6) + 0.15 <= 1.0 AS runs FROM ({_READING}) q"
+    ),
 )
 def w5_budget_cut_with_reserve(v: Views) -> DataFrame:
     money = lambda x: F.lit(x).cast("decimal(12,6)")
     rows = queues.budget_cut(_reading(v).withColumn("cost", money(0.07)), "cost", money(1.0), money(0.1), reserve=money(0.15))
-    return rows.select("alias", "entry_id", F.col("place").cast("long").alias("place"), F.round(F.col("spent_before").cast("double"), 6).alias("spent_before"), "runs")
+    return rows.select(
+        "alias",
+        "entry_id",
+        F.col("place").cast("long").alias("place"),
+        F.round(F.col("spent_before").cast("double"), 6).alias("spent_before"),
+        "runs",
+    )
 
 
-@query("", "SELECT s_name AS alias, CASE WHEN s_nationkey = 0 THEN 0 ELSE greatest(0, CAST(floor(s_acctbal / s_nationkey) AS BIGINT)) END AS affordable FROM supplier")
+@query(
+    "",
+    "SELECT s_name AS alias, CASE WHEN s_nationkey = 0 THEN 0 ELSE greatest(0, "
+    "CAST(floor(s_acctbal / s_nationkey) AS BIGINT)) END AS affordable FROM supplier",
+)
 def w6_affordable_docs(v: Views) -> DataFrame:
     return v.table("supplier").select(F.col("s_name").alias("alias"), queues.affordable_docs(F.col("s_acctbal"), F.col("s_nationkey")).alias("affordable"))
 
 
-_MISSED = "SELECT w.alias, w.entry_id, f.object FROM won w JOIN triage t ON t.alias = w.alias AND t.entry_id = w.entry_id AND t.decision = 'no' JOIN first_versions f ON f.entry_id = w.entry_id"
+_MISSED = (
+    "SELECT w.alias, w.entry_id, f.object FROM won w JOIN triage t ON t.alias = w.alias AND t.entry_id = w.entry_id "
+    "AND t.decision = 'no' JOIN first_versions f ON f.entry_id = w.entry_id"
+)
 
 
-@query("triage won first_versions", f"SELECT alias, entry_id, object, place, greatest(0, n - 4) AS more FROM (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY object, entry_id) AS place, count(*) OVER (PARTITION BY alias) AS n FROM ({_MISSED}) m) x WHERE place <= 4")
+@query(
+    "triage won first_versions",
+    f"SELECT alias, entry_id, object, place, greatest(0, n - 4) AS more FROM (SELECT *, "
+    f"row_number() OVER (PARTITION BY alias ORDER BY object, entry_id) AS place, count(*) OVER (PARTITION BY alias) AS n "
+    f"FROM ({_MISSED}) m) x WHERE place <= 4",
+)
 def w7_top_missed(v: Views) -> DataFrame:
     rows = queues.top_missed(joins.missed_awards(v.triage, _won(v), v.notices))
     return rows.select("alias", "entry_id", "object", F.col("place").cast("long").alias("place"), "more")
@@ -394,7 +595,12 @@ def w7_top_missed(v: Views) -> DataFrame:
 
 @query(
     "current triage docs cards companies",
-    f"SELECT c.alias, coalesce(t.n, 0) AS to_triage, coalesce(r.n, 0) AS to_read, CAST(ceil(coalesce(t.n, 0) / 20) AS BIGINT) AS calls, least(coalesce(r.n, 0), 6) AS affordable FROM companies c LEFT JOIN (SELECT alias, count(*) AS n FROM ({_QUEUE}) q GROUP BY alias) t USING (alias) LEFT JOIN (SELECT alias, count(*) AS n FROM ({_READING}) q GROUP BY alias) r USING (alias)",
+    (
+        f"SELECT c.alias, coalesce(t.n, 0) AS to_triage, coalesce(r.n, 0) AS to_read, CAST(ceil(coalesce(t.n, "
+        f"0) / 20) AS BIGINT) AS calls, least(coalesce(r.n, 0), 6) AS affordable FROM companies c LEFT JOIN (SELECT alias, "
+        f"count(*) AS n FROM ({_QUEUE}) q GROUP BY alias) t USING (alias) LEFT JOIN (SELECT alias, count(*) AS n "
+        f"FROM ({_READING}) q GROUP BY alias) r USING (alias)"
+    ),
 )
 def k8_pending_plan(v: Views) -> DataFrame:
     companies = v.companies.select("alias", F.lit(1.0).alias("cap"), F.lit(0.05).alias("spent"))
@@ -410,10 +616,19 @@ def _terms(v: Views) -> DataFrame:
 
 
 _TERMS = "SELECT DISTINCT p_brand AS alias, unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]+')) AS word FROM part"
-_SEEDS = f"SELECT DISTINCT t.alias, d.code FROM (SELECT * FROM ({_TERMS}) a WHERE length(word) >= 5) t JOIN (SELECT DISTINCT code, unnest(regexp_extract_all(lower(description), '[a-z0-9]+')) AS word FROM vocabulary WHERE ends_with(code, '0000')) d ON d.word = t.word"
+_SEEDS = (
+    f"SELECT DISTINCT t.alias, d.code FROM (SELECT * FROM ({_TERMS}) a WHERE length(word) >= 5) t "
+    f"JOIN (SELECT DISTINCT code, unnest(regexp_extract_all(lower(description), '[a-z0-9]+')) AS word FROM vocabulary "
+    f"WHERE ends_with(code, '0000')) d ON d.word = t.word"
+)
 
 
-@query("", "SELECT doc_id, length(s) AS n_chars, md5(s) AS digest FROM (SELECT doc_id, regexp_extract('## 1. Uno' || chr(10) || text || chr(10) || '## 3. Tres' || chr(10) || 'fin', '^## 1[.] Uno\\n(?s:(.*))\\n## 3[.] Tres', 1) || chr(10) AS s FROM documents) x")
+@query(
+    "",
+    "SELECT doc_id, length(s) AS n_chars, md5(s) AS digest FROM (SELECT doc_id, "
+    "regexp_extract('## 1. Uno' || chr(10) || text || chr(10) || '## 3. Tres' || chr(10) || 'fin', "
+    "'^## 1[.] Uno\\n(?s:(.*))\\n## 3[.] Tres', 1) || chr(10) AS s FROM documents) x",
+)
 def c1_useful_sections(v: Views) -> DataFrame:
     text = F.concat(F.lit("## 1. Uno\n"), F.col("text"), F.lit("\n## 3. Tres\nfin"))
     s = codes.useful_sections(text)
@@ -445,7 +660,13 @@ def c5_code_prefixes(v: Views) -> DataFrame:
 
 @query(
     "vocabulary",
-    f"SELECT s.alias, s.prefixes, s.n_codes, substr(sha256(s.alias), 1, 16) AS profile_sha, substr(v.h, 1, 16) AS vocabulary_sha FROM (SELECT alias, string_agg(DISTINCT {_PREFIX}, ',' ORDER BY {_PREFIX}) AS prefixes, count(*) AS n_codes FROM ({_SEEDS}) x GROUP BY alias) s CROSS JOIN (SELECT sha256(string_agg(sha256(code || '|' || description), '' ORDER BY sha256(code || '|' || description))) AS h FROM vocabulary) v",
+    (
+        f"SELECT s.alias, s.prefixes, s.n_codes, substr(sha256(s.alias), 1, 16) AS profile_sha, substr(v.h, 1, "
+        f"16) AS vocabulary_sha FROM (SELECT alias, string_agg(DISTINCT {_PREFIX}, ',' ORDER BY {_PREFIX}) AS prefixes, "
+        f"count(*) AS n_codes FROM ({_SEEDS}) x GROUP BY alias) s CROSS "
+        f"JOIN (SELECT sha256(string_agg(sha256(code || '|' || description), '' "
+        f"ORDER BY sha256(code || '|' || description))) AS h FROM vocabulary) v"
+    ),
 )
 def c6_freeze_filters(v: Views) -> DataFrame:
     profiles = v.table("part").select(F.col("p_brand").alias("alias")).distinct().withColumn("text", F.col("alias"))
@@ -456,15 +677,24 @@ def c6_freeze_filters(v: Views) -> DataFrame:
 # -- metrics ----------------------------------------------------------------
 
 _HITS = "SELECT DISTINCT p.variant, w.alias, w.entry_id FROM won w JOIN passing p ON p.entry_id = w.entry_id AND (p.alias IS NULL OR p.alias = w.alias)"
-_RECALL = f"SELECT v.variant, w.alias, w.won, coalesce(h.seen, 0) AS seen, round(coalesce(h.seen, 0) / CAST(w.won AS DOUBLE), 4) AS value FROM (SELECT alias, count(*) AS won FROM won GROUP BY alias) w CROSS JOIN (SELECT DISTINCT variant FROM passing) v LEFT JOIN (SELECT variant, alias, count(*) AS seen FROM ({_HITS}) x GROUP BY variant, alias) h ON h.variant = v.variant AND h.alias = w.alias"
+_RECALL = (
+    f"SELECT v.variant, w.alias, w.won, coalesce(h.seen, 0) AS seen, round(coalesce(h.seen, 0) / CAST(w.won AS DOUBLE), "
+    f"4) AS value FROM (SELECT alias, count(*) AS won FROM won GROUP BY alias) w CROSS JOIN (SELECT DISTINCT variant "
+    f"FROM passing) v LEFT JOIN (SELECT variant, alias, count(*) AS seen FROM ({_HITS}) x GROUP BY variant, alias) h "
+    f"ON h.variant = v.variant AND h.alias = w.alias"
+)
 
 
 @query("won passing", _RECALL)
 def m1_filter_recall(v: Views) -> DataFrame:
-    return metrics.filter_recall(_won(v), _passing(v))
+    return metrics.filter_recall(_won(v), _passing(v), ["A", "B"])
 
 
-_VOLUME = "SELECT p.variant, p.alias, p.passing, u.days, round(p.passing / CAST(u.days AS DOUBLE), 4) AS value FROM (SELECT variant, alias, count(DISTINCT entry_id) AS passing FROM passing GROUP BY variant, alias) p CROSS JOIN universe u"
+_VOLUME = (
+    "SELECT p.variant, p.alias, p.passing, u.days, round(p.passing / CAST(u.days AS DOUBLE), 4) AS value "
+    "FROM (SELECT variant, alias, count(DISTINCT entry_id) AS passing FROM passing GROUP BY variant, alias) p CROSS "
+    "JOIN universe u"
+)
 
 
 @query("passing universe", _VOLUME)
@@ -472,17 +702,33 @@ def m2_filter_volume(v: Views) -> DataFrame:
     return metrics.filter_volume(_passing(v), _universe(v))
 
 
-@query("triage won", "SELECT a.alias, d.decision, count(*) FILTER (t.decision = d.decision) AS n, count(*) FILTER (t.decision = d.decision AND w.entry_id IS NOT NULL) AS won FROM (SELECT DISTINCT alias FROM triage) a CROSS JOIN (SELECT unnest(['si', 'duda', 'no', 'revisar']) AS decision) d JOIN triage t ON t.alias = a.alias LEFT JOIN won w ON w.alias = t.alias AND w.entry_id = t.entry_id GROUP BY a.alias, d.decision")
+@query(
+    "triage won",
+    "SELECT a.alias, d.decision, count(*) FILTER (t.decision = d.decision) AS n, count(*) FILTER (t.decision = d.decision "
+    "AND w.entry_id IS NOT NULL) AS won FROM (SELECT DISTINCT alias FROM triage) a CROSS JOIN (SELECT unnest(['si', "
+    "'duda', 'no', 'revisar']) AS decision) d JOIN triage t ON t.alias = a.alias LEFT JOIN won w ON w.alias = t.alias "
+    "AND w.entry_id = t.entry_id GROUP BY a.alias, d.decision",
+)
 def a4_triage_counts(v: Views) -> DataFrame:
     return metrics.triage_counts(v.triage, _won(v))
 
 
-@query("triage won", "SELECT w.alias, count(*) AS triaged_wins, count(*) FILTER (t.decision IN ('si', 'duda')) AS seen, round(count(*) FILTER (t.decision IN ('si', 'duda')) / CAST(count(*) AS DOUBLE), 4) AS value FROM won w JOIN triage t ON t.alias = w.alias AND t.entry_id = w.entry_id GROUP BY w.alias")
+@query(
+    "triage won",
+    "SELECT w.alias, count(*) AS triaged_wins, count(*) FILTER (t.decision IN ('si', 'duda')) AS seen, "
+    "round(count(*) FILTER (t.decision IN ('si', 'duda')) / CAST(count(*) AS DOUBLE), 4) AS value FROM won w JOIN triage t "
+    "ON t.alias = w.alias AND t.entry_id = w.entry_id GROUP BY w.alias",
+)
 def m1a_triage_recall(v: Views) -> DataFrame:
     return metrics.triage_recall(_won(v), v.triage)
 
 
-_TVOLUME = "SELECT s.alias, s.sample, s.passed, round(CAST(s.passed AS DOUBLE) / s.sample * u.dossiers / u.days, 4) AS value FROM (SELECT t.alias, count(*) AS sample, count(*) FILTER (decision IN ('si', 'duda')) AS passed FROM triage t WHERE NOT EXISTS (SELECT 1 FROM won w WHERE w.alias = t.alias AND w.entry_id = t.entry_id) GROUP BY t.alias) s CROSS JOIN universe u"
+_TVOLUME = (
+    "SELECT s.alias, s.sample, s.passed, round(CAST(s.passed AS DOUBLE) / s.sample * u.dossiers / u.days, 4) AS value "
+    "FROM (SELECT t.alias, count(*) AS sample, count(*) FILTER (decision IN ('si', 'duda')) AS passed FROM triage t "
+    "WHERE NOT EXISTS (SELECT 1 FROM won w WHERE w.alias = t.alias AND w.entry_id = t.entry_id) GROUP BY t.alias) s CROSS "
+    "JOIN universe u"
+)
 
 
 @query("triage won universe", _TVOLUME)
@@ -490,7 +736,12 @@ def m2a_triage_volume(v: Views) -> DataFrame:
     return metrics.triage_volume(v.triage, _won(v), _universe(v))
 
 
-_INDICATORS = "SELECT w.alias, w.entry_id, CAST(t.decision IN ('si', 'duda') AS INTEGER) AS agent, CAST(b.entry_id IS NOT NULL AS INTEGER) AS B FROM won w JOIN triage t ON t.alias = w.alias AND t.entry_id = w.entry_id LEFT JOIN (SELECT alias, entry_id FROM passing WHERE variant = 'B') b ON b.alias = w.alias AND b.entry_id = w.entry_id"
+_INDICATORS = (
+    "SELECT w.alias, w.entry_id, CAST(t.decision IN ('si', 'duda') AS INTEGER) AS agent, "
+    "CAST(b.entry_id IS NOT NULL AS INTEGER) AS B FROM won w JOIN triage t ON t.alias = w.alias "
+    "AND t.entry_id = w.entry_id LEFT JOIN (SELECT alias, entry_id FROM passing WHERE variant = 'B') b "
+    "ON b.alias = w.alias AND b.entry_id = w.entry_id"
+)
 
 
 def _indicators(v: Views) -> DataFrame:
@@ -529,21 +780,39 @@ def m5v_verdict_of_interval(v: Views) -> DataFrame:
     return metrics.verdict_of_interval(_boot(v)).select("alias", "verdict")
 
 
-@query("won triage passing", f"SELECT CASE WHEN count(DISTINCT verdict) = 1 THEN min(verdict) ELSE 'no concluyente' END AS verdict, count(*) AS rivals FROM ({_VERDICT}) x")
+@query(
+    "won triage passing",
+    f"SELECT CASE WHEN count(DISTINCT verdict) = 1 THEN min(verdict) ELSE 'no concluyente' END AS verdict, "
+    f"count(*) AS rivals FROM ({_VERDICT}) x",
+)
 def m5v_overall_verdict(v: Views) -> DataFrame:
     return metrics.overall_verdict(metrics.verdict_of_interval(_boot(v)))
 
 
-@query("triage calls", "SELECT t.alias, t.triaged, c.calls, round(c.cost, 4) AS cost, round(100 * c.cost / t.triaged, 4) AS per_100 FROM (SELECT alias, count(*) AS triaged FROM triage GROUP BY alias) t LEFT JOIN (SELECT alias, count(*) AS calls, sum(cost) AS cost FROM (SELECT DISTINCT alias, call_id FROM triage) x JOIN calls USING (call_id) GROUP BY alias) c USING (alias)")
+@query(
+    "triage calls",
+    "SELECT t.alias, t.triaged, c.calls, round(c.cost, 4) AS cost, round(100 * c.cost / t.triaged, 4) AS per_100 "
+    "FROM (SELECT alias, count(*) AS triaged FROM triage GROUP BY alias) t LEFT JOIN (SELECT alias, count(*) AS calls, "
+    "sum(cost) AS cost FROM (SELECT DISTINCT alias, call_id FROM triage) x JOIN calls USING (call_id) GROUP BY alias) c "
+    "USING (alias)",
+)
 def m8_triage_cost(v: Views) -> DataFrame:
     return metrics.triage_cost(v.triage, v.calls).withColumn("cost", F.round("cost", 4))
 
 
-_WORK = f"SELECT v.alias, round(v.value * 181 / nullif(CAST(r.seen AS DOUBLE), 0), 2) AS reviews_per_hit FROM ({_TVOLUME}) v JOIN (SELECT alias, count(*) FILTER (t.decision IN ('si', 'duda')) AS seen FROM won w JOIN triage t USING (alias, entry_id) GROUP BY alias) r USING (alias)"
+_WORK = (
+    f"SELECT v.alias, round(v.value * 181 / nullif(CAST(r.seen AS DOUBLE), 0), 2) AS reviews_per_hit FROM ({_TVOLUME}) v "
+    f"JOIN (SELECT alias, count(*) FILTER (t.decision IN ('si', 'duda')) AS seen FROM won w JOIN triage t USING (alias, "
+    f"entry_id) GROUP BY alias) r USING (alias)"
+)
 
 
 def _work(v: Views) -> DataFrame:
-    recall = metrics.triage_recall(_won(v), v.triage).select("alias", (F.col("seen") / F.col("triaged_wins")).alias("recall"), F.col("triaged_wins").alias("contracts"))
+    recall = metrics.triage_recall(_won(v), v.triage).select(
+        "alias",
+        (F.col("seen") / F.col("triaged_wins")).alias("recall"),
+        F.col("triaged_wins").alias("contracts"),
+    )
     volume = metrics.triage_volume(v.triage, _won(v), _universe(v)).select("alias", F.col("value").alias("volume"))
     return metrics.work_per_hit(volume.join(recall, "alias"))
 
@@ -553,10 +822,15 @@ def m9_work_per_hit(v: Views) -> DataFrame:
     return _work(v).select("alias", "reviews_per_hit")
 
 
-@query("triage won universe passing", f"SELECT a.alias, round(r.value * least(1.0, a.value / b.value), 4) AS equal_volume_recall FROM ({_TVOLUME}) a JOIN ({_RECALL}) r ON r.alias = a.alias AND r.variant = 'B' JOIN ({_VOLUME}) b ON b.alias = a.alias AND b.variant = 'B'")
+@query(
+    "triage won universe passing",
+    f"SELECT a.alias, round(r.value * least(1.0, a.value / b.value), 4) AS equal_volume_recall FROM ({_TVOLUME}) a "
+    f"JOIN ({_RECALL}) r ON r.alias = a.alias AND r.variant = 'B' JOIN ({_VOLUME}) b ON b.alias = a.alias "
+    f"AND b.variant = 'B'",
+)
 def m10_recall_at_equal_volume(v: Views) -> DataFrame:
     agent = metrics.triage_volume(v.triage, _won(v), _universe(v)).select("alias", F.col("value").alias("agent_volume"))
-    recall = metrics.filter_recall(_won(v), _passing(v)).where("variant = 'B'").select("alias", F.col("value").alias("rival_recall"))
+    recall = metrics.filter_recall(_won(v), _passing(v), ["A", "B"]).where("variant = 'B'").select("alias", F.col("value").alias("rival_recall"))
     volume = metrics.filter_volume(_passing(v), _universe(v)).where("variant = 'B'").select("alias", F.col("value").alias("rival_volume"))
     return metrics.recall_at_equal_volume(agent.join(recall, "alias").join(volume, "alias")).select("alias", "equal_volume_recall")
 
@@ -574,39 +848,65 @@ _RIVAL_WORK = (
 )
 def m9v_efficiency_verdict(v: Views) -> DataFrame:
     won, passing = _won(v), _passing(v)
-    recall = metrics.filter_recall(won, passing).select("variant", "alias", F.col("seen").alias("recall"), F.lit(1).alias("contracts"))
+    recall = metrics.filter_recall(won, passing, ["A", "B"]).select("variant", "alias", F.col("seen").alias("recall"), F.lit(1).alias("contracts"))
     volume = metrics.filter_volume(passing, _universe(v)).select("variant", F.col("alias").alias("of"), F.col("value").alias("volume"))
     # the filter that is the same for all has one volume, under no alias
-    own = recall.join(volume.where("of is not null"), [recall["variant"] == volume["variant"], recall["alias"] == volume["of"]]).select("alias", "recall", "contracts", "volume")
+    own = recall.join(
+        volume.where("of is not null"),
+        [recall["variant"] == volume["variant"], recall["alias"] == volume["of"]],
+    ).select("alias", "recall", "contracts", "volume")
     same = recall.join(volume.where("of is null").drop("of"), "variant").select("alias", "recall", "contracts", "volume")
     rivals = metrics.work_per_hit(own.union(same)).select("alias", F.col("reviews_per_hit").alias("rival"))
     return metrics.efficiency_verdict(_work(v).select("alias", F.col("reviews_per_hit").alias("agent")).join(rivals, "alias"))
 
 
-@query("won cards", "SELECT w.alias, count(*) AS won, count(c.entry_id) AS excluded, round(count(c.entry_id) / CAST(count(*) AS DOUBLE), 4) AS value FROM won w LEFT JOIN (SELECT DISTINCT alias, entry_id FROM cards WHERE verdict = 'no_apta') c ON c.alias = w.alias AND c.entry_id = w.entry_id GROUP BY w.alias")
+@query(
+    "won cards",
+    "SELECT w.alias, count(*) AS won, count(c.entry_id) AS excluded, round(count(c.entry_id) / CAST(count(*) AS DOUBLE), "
+    "4) AS value FROM won w LEFT JOIN (SELECT DISTINCT alias, entry_id FROM cards WHERE verdict = 'no_apta') c "
+    "ON c.alias = w.alias AND c.entry_id = w.entry_id GROUP BY w.alias",
+)
 def m3x_wrong_exclusions(v: Views) -> DataFrame:
     return metrics.wrong_exclusions(_won(v), v.cards, v.companies)
 
 
-@query("first_versions last_versions", "SELECT count(*) AS compared, round(avg(CAST(f.amount = l.amount AS INTEGER)), 4) AS amount_accuracy, round(avg(CAST(f.tie = l.tie AS INTEGER)), 4) AS deadline_accuracy FROM first_versions f JOIN last_versions l USING (entry_id)")
+@query(
+    "first_versions last_versions",
+    "SELECT count(*) AS compared, round(avg(CAST(f.amount = l.amount AS INTEGER)), 4) AS amount_accuracy, "
+    "round(avg(CAST(f.tie = l.tie AS INTEGER)), 4) AS deadline_accuracy FROM first_versions f JOIN last_versions l "
+    "USING (entry_id)",
+)
 def m4x_extraction_accuracy(v: Views) -> DataFrame:
     x = versions.as_published(v.notices).select("entry_id", F.col("amount").alias("x_amount"), F.col("tie").alias("x_deadline"))
     return metrics.extraction_accuracy(x, versions.latest_versions(v.notices).select("entry_id", "amount", F.col("tie").alias("deadline")))
 
 
-@query("triage", "SELECT decision AS variant, count(*) AS labelled, count(*) FILTER (entry_id % 3 = 0) AS adequate, round(count(*) FILTER (entry_id % 3 = 0) / CAST(count(*) AS DOUBLE), 4) AS value FROM triage GROUP BY decision")
+@query(
+    "triage",
+    "SELECT decision AS variant, count(*) AS labelled, count(*) FILTER (entry_id % 3 = 0) AS adequate, "
+    "round(count(*) FILTER (entry_id % 3 = 0) / CAST(count(*) AS DOUBLE), 4) AS value FROM triage GROUP BY decision",
+)
 def m6x_blind_precision(v: Views) -> DataFrame:
     sample = v.triage.select("alias", "entry_id", F.col("decision").alias("variant"))
     return metrics.blind_precision(sample, v.triage.select("alias", "entry_id", (F.col("entry_id") % 3 == 0).alias("adequate")))
 
 
-@query("triage", "SELECT alias, count(*) FILTER (x = y) AS same, count(*) FILTER (x <> y AND NOT (x IN ('si', 'no') AND y IN ('si', 'no'))) AS border, count(*) FILTER (x <> y AND x IN ('si', 'no') AND y IN ('si', 'no')) AS flip FROM (SELECT alias, decision AS x, CASE WHEN entry_id % 4 = 0 THEN 'no' ELSE decision END AS y FROM triage) t GROUP BY alias")
+@query(
+    "triage",
+    "SELECT alias, count(*) FILTER (x = y) AS same, count(*) FILTER (x <> y AND NOT (x IN ('si', 'no') AND y IN ('si', "
+    "'no'))) AS border, count(*) FILTER (x <> y AND x IN ('si', 'no') AND y IN ('si', 'no')) AS flip FROM (SELECT alias, "
+    "decision AS x, CASE WHEN entry_id % 4 = 0 THEN 'no' ELSE decision END AS y FROM triage) t GROUP BY alias",
+)
 def m12_agreement(v: Views) -> DataFrame:
     other = v.triage.withColumn("decision", F.when(F.col("entry_id") % 4 == 0, "no").otherwise(F.col("decision")))
     return triage.agreement(v.triage, other)
 
 
-@query("won first_versions", "SELECT w.alias, count(*) AS won, count(*) FILTER (list_has_any(string_split(f.object, ' '), CASE w.entry_id % 1 WHEN 0 THEN ['ring', 'widget'] END)) AS named FROM won w JOIN first_versions f USING (entry_id) GROUP BY w.alias")
+@query(
+    "won first_versions",
+    "SELECT w.alias, count(*) AS won, count(*) FILTER (list_has_any(string_split(f.object, ' '), CASE w.entry_id % 1 "
+    "WHEN 0 THEN ['ring', 'widget'] END)) AS named FROM won w JOIN first_versions f USING (entry_id) GROUP BY w.alias",
+)
 def m13_brand_in_object(v: Views) -> DataFrame:
     brands = v.companies.select("alias", F.explode(F.array(F.lit("Ring"), F.lit("widget"))).alias("brand"))
     return metrics.brand_in_object(_won(v), versions.as_published(v.notices), brands)
@@ -616,15 +916,37 @@ def m13_brand_in_object(v: Views) -> DataFrame:
 
 
 
-@query("", "SELECT event_id AS call_id, round((user_id * p + (user_id % 7) * p * 1.25 + (user_id % 5) * p * 0.10 + (user_id % 11) * p * 5) / 1000000 * CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 1.0 END * 0.9, 6) AS cost, CASE WHEN p IS NULL THEN 'unknown model' END AS error FROM (SELECT *, CASE event_type WHEN 'click' THEN 5.0 WHEN 'view' THEN 2.0 WHEN 'purchase' THEN 1.0 END AS p FROM events) x")
+@query(
+    "",
+    "SELECT event_id AS call_id, "
+    "round((user_id * p + (user_id % 7) * p * 1.25 + (user_id % 5) * p * 0.10 + (user_id % 11) * p * 5) / 1000000 * CASE "
+    "WHEN event_id % 2 = 0 THEN 0.5 ELSE 1.0 END * 0.9, 6) AS cost, CASE WHEN p IS NULL THEN 'unknown model' END AS error "
+    "FROM (SELECT *, CASE event_type WHEN 'click' THEN 5.0 WHEN 'view' THEN 2.0 WHEN 'purchase' THEN 1.0 END AS p "
+    "FROM events) x",
+)
 def k1_call_cost(v: Views) -> DataFrame:
     prices = v.spark.createDataFrame([("click", 5.0, 25.0), ("view", 2.0, 10.0), ("purchase", 1.0, 5.0)], "model string, price_in double, price_out double")
     u = F.col("user_id")
-    calls = v.table("events").select(F.col("event_id").alias("call_id"), F.col("event_type").alias("model"), u.alias("tokens_in"), (u % 7).alias("cache_write"), (u % 5).alias("cache_read"), (u % 11).alias("tokens_out"), (F.col("event_id") % 2 == 0).alias("batch"), F.lit(0.9).alias("fx"))
+    calls = v.table("events").select(
+        F.col("event_id").alias("call_id"),
+        F.col("event_type").alias("model"),
+        u.alias("tokens_in"),
+        (u % 7).alias("cache_write"),
+        (u % 5).alias("cache_read"),
+        (u % 11).alias("tokens_out"),
+        (F.col("event_id") % 2 == 0).alias("batch"),
+        F.lit(0.9).alias("fx"),
+    )
     return costs.call_cost(calls, prices).select("call_id", "cost", "error")
 
 
-@query("", "SELECT o_orderkey, coalesce(r.usd_eur, 0.92) AS fx, CASE WHEN r.usd_eur IS NULL THEN 'default' ELSE 'rate' END AS fx_origin FROM orders LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS day, round(0.8 + min(o_totalprice) / 10000000, 4) AS usd_eur FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) r ON r.day = CAST(o_orderdate AS DATE)")
+@query(
+    "",
+    "SELECT o_orderkey, coalesce(r.usd_eur, 0.92) AS fx, CASE WHEN r.usd_eur IS NULL THEN 'default' "
+    "ELSE 'rate' END AS fx_origin FROM orders LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS day, "
+    "round(0.8 + min(o_totalprice) / 10000000, 4) AS usd_eur FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) r "
+    "ON r.day = CAST(o_orderdate AS DATE)",
+)
 def k2_fx_for_day(v: Views) -> DataFrame:
     orders = v.table("orders").withColumn("day", F.to_date("o_orderdate"))
     rates = orders.where("o_orderpriority = '1-URGENT'").groupBy("day").agg(F.round(0.8 + F.min("o_totalprice") / 10000000, 4).alias("usd_eur"))
@@ -639,7 +961,11 @@ def k3_spend_by_day(v: Views) -> DataFrame:
     return costs.spend_by_day(v.calls).withColumn("cost", F.round("cost", 4))
 
 
-@query("triage calls", f"SELECT alias, {_DAY} AS day, count(*) AS calls, round(sum(cost), 4) AS cost FROM (SELECT alias, call_id FROM triage UNION SELECT alias, call_id + 1 FROM triage WHERE decision = 'si') t JOIN calls USING (call_id) GROUP BY 1, 2")
+@query(
+    "triage calls",
+    f"SELECT alias, {_DAY} AS day, count(*) AS calls, round(sum(cost), 4) AS cost FROM (SELECT alias, call_id FROM triage "
+    f"UNION SELECT alias, call_id + 1 FROM triage WHERE decision = 'si') t JOIN calls USING (call_id) GROUP BY 1, 2",
+)
 def k4_company_spend(v: Views) -> DataFrame:
     readings = v.triage.where("decision = 'si'").select("alias", (F.col("call_id") + 1).alias("call_id"))
     return costs.company_spend(v.triage, readings, v.calls).withColumn("cost", F.round("cost", 4))
@@ -651,12 +977,21 @@ def k5_reading_reserve(v: Views) -> DataFrame:
     return costs.reading_reserve(twice.union(twice), v.calls).withColumn("reserve", F.round("reserve", 4))
 
 
-@query("calls", f"SELECT day, calls, cost FROM (SELECT {_DAY} AS day, count(*) AS calls, round(sum(cost), 4) AS cost FROM calls GROUP BY 1) x WHERE cost + 500 > 4000")
+@query(
+    "calls",
+    f"SELECT day, calls, cost FROM (SELECT {_DAY} AS day, count(*) AS calls, round(sum(cost), 4) AS cost FROM calls "
+    f"GROUP BY 1) x WHERE cost + 500 > 4000",
+)
 def k6_over_budget(v: Views) -> DataFrame:
     return costs.over_budget(v.calls, F.lit(500.0), F.lit(4000.0)).withColumn("cost", F.round("cost", 4))
 
 
-@query("", "SELECT conv_id, n, chars, CAST(ceil(chars / 4) AS BIGINT) AS tokens_in, greatest(900, 220 * n) AS tokens_out, round((ceil(chars / 4) * 1.0 + greatest(900, 220 * n) * 5.0) / 1000000, 6) AS cost FROM (SELECT conv_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id) x")
+@query(
+    "",
+    "SELECT conv_id, n, chars, CAST(ceil(chars / 4) AS BIGINT) AS tokens_in, greatest(900, 220 * n) AS tokens_out, "
+    "round((ceil(chars / 4) * 1.0 + greatest(900, 220 * n) * 5.0) / 1000000, 6) AS cost FROM (SELECT conv_id, "
+    "count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id) x",
+)
 def k7_plan_cost(v: Views) -> DataFrame:
     batches = v.table("conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
     return costs.plan_cost(batches, 1.0, 5.0)
@@ -690,7 +1025,11 @@ def q5_changed_profiles(v: Views) -> DataFrame:
 
 @query("", "SELECT event_id FROM events WHERE event_type <> 'click' AND ts < TIMESTAMP '2024-01-20 10:00:00'")
 def q6_stale_runs(v: Views) -> DataFrame:
-    runs = v.table("events").select("event_id", F.col("ts").cast("timestamp").alias("started_at"), F.when(F.col("event_type") == "click", F.col("ts").cast("timestamp")).alias("ended_at"))
+    runs = v.table("events").select(
+        "event_id",
+        F.col("ts").cast("timestamp").alias("started_at"),
+        F.when(F.col("event_type") == "click", F.col("ts").cast("timestamp")).alias("ended_at"),
+    )
     return checks.stale_runs(runs, F.lit("2024-01-20 12:00:00").cast("timestamp")).select("event_id")
 
 
@@ -705,29 +1044,57 @@ def q8_rule_drift(v: Views) -> DataFrame:
     return checks.rule_drift(v.table("part").withColumn("rule_sha", F.col("p_brand")), "Brand#2").select("p_partkey")
 
 
-@query("versions", f"SELECT entry_id FROM (SELECT entry_id, min(entry_updated) AS a FROM versions WHERE entry_updated >= TIMESTAMP '{FIRST}' GROUP BY 1) b WHERE a < TIMESTAMP '{LAST}' EXCEPT SELECT entry_id FROM (SELECT entry_id, min(entry_updated) AS a FROM versions GROUP BY 1) c WHERE a >= TIMESTAMP '{FIRST}' AND a < TIMESTAMP '{LAST}'")
+@query(
+    "versions",
+    f"SELECT entry_id FROM (SELECT entry_id, min(entry_updated) AS a FROM versions "
+    f"WHERE entry_updated >= TIMESTAMP '{FIRST}' GROUP BY 1) b WHERE a < TIMESTAMP '{LAST}' EXCEPT SELECT entry_id "
+    f"FROM (SELECT entry_id, min(entry_updated) AS a FROM versions GROUP BY 1) c WHERE a >= TIMESTAMP '{FIRST}' "
+    f"AND a < TIMESTAMP '{LAST}'",
+)
 def q10_backfill_effect(v: Views) -> DataFrame:
     before = v.versions.where(F.col("entry_updated") >= F.lit(FIRST).cast("timestamp"))
     return checks.backfill_effect(before, v.versions, FIRST, LAST)
 
 
-@query("", "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 'insert' WHEN o_orderkey % 3 = 0 THEN 'update' ELSE 'keep' END AS action FROM orders WHERE o_orderkey % 2 = 1 OR o_orderkey % 3 = 0")
+@query(
+    "",
+    "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price, CASE "
+    "WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 'insert' WHEN o_orderkey % 3 = 0 THEN 'update' "
+    "ELSE 'keep' END AS action FROM orders WHERE o_orderkey % 2 = 1 OR o_orderkey % 3 = 0",
+)
 def s13_upsert_replace(v: Views) -> DataFrame:
     rows = v.table("orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"))
     return sinks.upsert(rows.where("key % 2 = 1"), rows.where("key % 3 = 0").withColumn("price", F.col("price") + 1), ["key"], "replace")
 
 
-@query("", "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice ELSE o_totalprice + 1 END AS price, CASE WHEN o_orderkey % 2 = 1 THEN 'keep' ELSE 'insert' END AS action FROM orders WHERE o_orderkey % 2 = 1 OR o_orderkey % 3 = 0")
+@query(
+    "",
+    "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice ELSE o_totalprice + 1 END AS price, CASE "
+    "WHEN o_orderkey % 2 = 1 THEN 'keep' ELSE 'insert' END AS action FROM orders WHERE o_orderkey % 2 = 1 "
+    "OR o_orderkey % 3 = 0",
+)
 def s13_upsert_ignore(v: Views) -> DataFrame:
     rows = v.table("orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"))
     return sinks.upsert(rows.where("key % 2 = 1"), rows.where("key % 3 = 0").withColumn("price", F.col("price") + 1), ["key"], "ignore")
 
 
-@query("docs", "SELECT doc_id, CASE WHEN doc_id % 2 > 0 THEN state WHEN doc_id % 8 = 0 THEN 'error' WHEN doc_id % 8 = 2 THEN 'ilegible' ELSE 'descargado' END AS state, attempts + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS attempts FROM docs")
+@query(
+    "docs",
+    "SELECT doc_id, CASE WHEN doc_id % 2 > 0 THEN state WHEN doc_id % 8 = 0 THEN 'error' "
+    "WHEN doc_id % 8 = 2 THEN 'ilegible' ELSE 'descargado' END AS state, attempts + CASE WHEN doc_id % 2 = 0 THEN 1 "
+    "ELSE 0 END AS attempts FROM docs",
+)
 def s14_apply_outcomes(v: Views) -> DataFrame:
     docs = v.docs.withColumns({"sha256": F.lit(None).cast("string"), "last_attempt": F.lit(None).cast("timestamp"), "reason": F.lit(None).cast("string")})
     key = F.col("doc_id")
-    outcomes = docs.where("doc_id % 2 = 0").select("doc_id", (key % 8 != 0).alias("ok"), (key % 8 != 2).alias("readable"), F.sha2(key.cast("string"), 256).alias("sha256"), F.lit("r").alias("reason"), F.lit("2024-01-01").cast("timestamp").alias("at"))
+    outcomes = docs.where("doc_id % 2 = 0").select(
+        "doc_id",
+        (key % 8 != 0).alias("ok"),
+        (key % 8 != 2).alias("readable"),
+        F.sha2(key.cast("string"), 256).alias("sha256"),
+        F.lit("r").alias("reason"),
+        F.lit("2024-01-01").cast("timestamp").alias("at"),
+    )
     return sinks.apply_outcomes(docs, outcomes).select("doc_id", "state", F.col("attempts").cast("long").alias("attempts"))
 
 
@@ -737,13 +1104,27 @@ def s12_results_to_write(v: Views) -> DataFrame:
     return sinks.results_to_write(rows, "abc", "x", "r1")
 
 
-@query("docs", "SELECT d.doc_id, CASE WHEN d.url <> 'https://contrataciondelestado.es/d/1' THEN m.sha256 END AS sha256 FROM docs d LEFT JOIN (SELECT url, arg_min(sha256, (rank, sha256)) AS sha256 FROM (SELECT url, sha256(CAST(doc_id AS VARCHAR)) AS sha256, doc_id % 3 AS rank FROM docs WHERE state = 'descargado') x GROUP BY url) m USING (url)")
+@query(
+    "docs",
+    "SELECT d.doc_id, CASE WHEN d.url <> 'https://contrataciondelestado.es/d/1' THEN m.sha256 END AS sha256 FROM docs d "
+    "LEFT JOIN (SELECT url, arg_min(sha256, (rank, sha256)) AS sha256 FROM (SELECT url, "
+    "sha256(CAST(doc_id AS VARCHAR)) AS sha256, doc_id % 3 AS rank FROM docs WHERE state = 'descargado') x GROUP BY url) m "
+    "USING (url)",
+)
 def s8_reuse_by_url(v: Views) -> DataFrame:
-    stored = v.docs.where("state = 'descargado'").select("url", F.sha2(F.col("doc_id").cast("string"), 256).alias("sha256"), (F.col("doc_id") % 3).alias("rank"))
+    stored = v.docs.where("state = 'descargado'").select(
+        "url",
+        F.sha2(F.col("doc_id").cast("string"), 256).alias("sha256"),
+        (F.col("doc_id") % 3).alias("rank"),
+    )
     return manifest.reuse_by_url(v.docs.select("doc_id", "url"), stored, "https://contrataciondelestado.es/d/1").select("doc_id", "sha256")
 
 
-@query("", "SELECT sha256(coalesce(text, '')) AS sha256, CAST(octet_length(encode(any_value(coalesce(text, '')))) AS BIGINT) AS bytes, '.bin' AS extension FROM documents GROUP BY 1")
+@query(
+    "",
+    "SELECT sha256(coalesce(text, '')) AS sha256, CAST(octet_length(encode(any_value(coalesce(text, "
+    "'')))) AS BIGINT) AS bytes, '.bin' AS extension FROM documents GROUP BY 1",
+)
 def s7_file_manifest(v: Views) -> DataFrame:
     files = v.table("documents").select(F.coalesce("text", F.lit("")).cast("binary").alias("content"), F.col("doc_id").cast("string").alias("path"))
     return manifest.file_manifest(files, F.lit("pliego")).select("sha256", "bytes", "extension")
@@ -761,13 +1142,26 @@ def s6_oversize_members(v: Views) -> DataFrame:
 _MDAY = "CAST(timezone('Europe/Madrid', timezone('UTC', {0})) AS DATE)"
 
 
-@query("cards first_versions", "SELECT alias, day, row_number() OVER (PARTITION BY alias, day ORDER BY CASE verdict WHEN 'apta' THEN 1 WHEN 'no_apta' THEN 2 ELSE 3 END, entry_id) AS place, entry_id, verdict, object FROM (SELECT c.*, f.object, " + _MDAY.format("decided_at") + " AS day FROM cards c JOIN first_versions f USING (entry_id)) x")
+@query("cards first_versions", (
+    "SELECT alias, day, row_number() OVER (PARTITION BY alias, day ORDER BY CASE verdict WHEN 'apta' THEN 1 "
+    "WHEN 'no_apta' THEN 2 ELSE 3 END, entry_id) AS place, entry_id, verdict, object FROM (SELECT c.*, f.object, "
+) + _MDAY.format("decided_at") + " AS day FROM cards c JOIN first_versions f USING (entry_id)) x")
 def r1_daily_digest(v: Views) -> DataFrame:
     rows = reports.daily_digest(v.cards, versions.as_published(v.notices))
     return rows.withColumn("place", F.col("place").cast("long"))
 
 
-@query("timed_triage calls", "SELECT d.alias, d.day, coalesce(t.triaged, 0) AS triaged, coalesce(t.passed, 0) AS passed, coalesce(s.calls, 0) AS calls, round(coalesce(s.cost, 0), 4) AS cost FROM (SELECT DISTINCT alias, day FROM (SELECT DISTINCT alias FROM timed_triage) a CROSS JOIN (SELECT DISTINCT " + _DAY + " AS day FROM calls) b) d LEFT JOIN (SELECT alias, " + _MDAY.format("triaged_at") + " AS day, count(*) AS triaged, count(*) FILTER (decision IN ('si', 'duda')) AS passed FROM timed_triage GROUP BY 1, 2) t USING (alias, day) LEFT JOIN (SELECT alias, " + _DAY + " AS day, count(*) AS calls, sum(cost) AS cost FROM (SELECT DISTINCT alias, call_id FROM timed_triage) x JOIN calls USING (call_id) GROUP BY 1, 2) s USING (alias, day)")
+@query("timed_triage calls", (
+    "SELECT d.alias, d.day, coalesce(t.triaged, 0) AS triaged, coalesce(t.passed, 0) AS passed, coalesce(s.calls, "
+    "0) AS calls, round(coalesce(s.cost, 0), 4) AS cost FROM (SELECT DISTINCT alias, day FROM (SELECT DISTINCT alias "
+    "FROM timed_triage) a CROSS JOIN (SELECT DISTINCT "
+) + _DAY + " AS day FROM calls) b) d LEFT JOIN (SELECT alias, " + _MDAY.format("triaged_at") + (
+    " AS day, count(*) AS triaged, count(*) FILTER (decision IN ('si', 'duda')) AS passed FROM timed_triage GROUP BY 1, "
+    "2) t USING (alias, day) LEFT JOIN (SELECT alias, "
+) + _DAY + (
+    " AS day, count(*) AS calls, sum(cost) AS cost FROM (SELECT DISTINCT alias, call_id FROM timed_triage) x JOIN calls "
+    "USING (call_id) GROUP BY 1, 2) s USING (alias, day)"
+))
 def r1_digest_footer(v: Views) -> DataFrame:
     days = _digest_days(v)
     spend = costs.company_spend(v.timed_triage, v.timed_triage.where("false"), v.calls)
@@ -792,54 +1186,107 @@ def _digest_days(v: Views) -> DataFrame:
     return v.timed_triage.select("alias").distinct().join(F.broadcast(days)).select("alias", F.explode("days").alias("day"))
 
 
-@query("cards first_versions docs", "SELECT c.alias, c.entry_id, c.verdict, f.object, d.url FROM cards c JOIN first_versions f USING (entry_id) LEFT JOIN docs d USING (entry_id)")
+@query(
+    "cards first_versions docs",
+    "SELECT c.alias, c.entry_id, c.verdict, f.object, d.url FROM cards c JOIN first_versions f USING (entry_id) LEFT "
+    "JOIN docs d USING (entry_id)",
+)
 def r2_card_view(v: Views) -> DataFrame:
     return reports.card_view(v.cards, versions.as_published(v.notices), v.docs).select("alias", "entry_id", "verdict", "object", "url")
 
 
-@query("", "SELECT event_type AS alias, CAST(user_id % 7 AS VARCHAR) AS variant, arg_max(value, event_id) FILTER (event_id % 2 = 0) AS M1, arg_max(value, event_id) FILTER (event_id % 2 = 1) AS M2, '' AS missing FROM events GROUP BY 1, 2")
+@query(
+    "",
+    "SELECT event_type AS alias, CAST(user_id % 7 AS VARCHAR) AS variant, arg_max(value, "
+    "event_id) FILTER (event_id % 2 = 0) AS M1, arg_max(value, event_id) FILTER (event_id % 2 = 1) AS M2, '' AS missing "
+    "FROM events GROUP BY 1, 2",
+)
 def r4_results_table(v: Views) -> DataFrame:
-    rows = v.table("events").select(F.col("event_type").alias("alias"), (F.col("user_id") % 7).cast("string").alias("variant"), F.when(F.col("event_id") % 2 == 0, "M1").otherwise("M2").alias("metric"), F.col("event_id").alias("computed_at"), "value")
+    rows = v.table("events").select(
+        F.col("event_type").alias("alias"),
+        (F.col("user_id") % 7).cast("string").alias("variant"),
+        F.when(F.col("event_id") % 2 == 0, "M1").otherwise("M2").alias("metric"),
+        F.col("event_id").alias("computed_at"),
+        "value",
+    )
     return reports.results_table(versions.latest_metrics(rows).drop("computed_at"), ["M1", "M2"])
 
 
-@query("timed_triage companies", "SELECT " + _MDAY.format("triaged_at") + " AS day, count(*) AS triaged, count(DISTINCT alias) AS companies FROM timed_triage WHERE alias IN (SELECT alias FROM companies WHERE turnover > 0) GROUP BY 1 ORDER BY 1 DESC LIMIT 1")
+@query("timed_triage companies", "SELECT " + _MDAY.format("triaged_at") + (
+    " AS day, count(*) AS triaged, count(DISTINCT alias) AS companies FROM timed_triage WHERE alias IN (SELECT alias "
+    "FROM companies WHERE turnover > 0) GROUP BY 1 ORDER BY 1 DESC LIMIT 1"
+))
 def r6_last_client_pass(v: Views) -> DataFrame:
     return reports.last_client_pass(v.timed_triage, v.companies.where("turnover > 0"))
 
 
 @query("", "SELECT s_name AS alias, 'test' AS role, s_nationkey % 3 + 1 AS sources, sha256(s_name) AS sha256 FROM supplier")
 def r8_frozen_registry(v: Views) -> DataFrame:
-    rows = v.table("supplier").select(F.col("s_name").alias("alias"), F.lit("test").alias("role"), F.array_join(F.array_repeat(F.lit("fuente"), (F.col("s_nationkey") % 3 + 1).cast("int")), "\n").alias("sources"), F.lit("2026-01-01").alias("frozen_on"), F.sha2("s_name", 256).alias("sha256"))
+    rows = v.table("supplier").select(
+        F.col("s_name").alias("alias"),
+        F.lit("test").alias("role"),
+        F.array_join(F.array_repeat(F.lit("fuente"), (F.col("s_nationkey") % 3 + 1).cast("int")), "\n").alias("sources"),
+        F.lit("2026-01-01").alias("frozen_on"),
+        F.sha2("s_name", 256).alias("sha256"),
+    )
     return reports.frozen_registry(rows).drop("frozen_on")
 
 
-@query("", "SELECT o_orderkey AS run_id, o_orderdate AS ended_at, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS notices FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 1")
+@query(
+    "",
+    "SELECT o_orderkey AS run_id, o_orderdate AS ended_at, (SELECT count(*) FROM lineitem "
+    "WHERE l_orderkey = o_orderkey) AS notices FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, "
+    "o_orderkey LIMIT 1",
+)
 def r9_last_run_summary(v: Views) -> DataFrame:
-    runs = v.table("orders").select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderstatus") == "F", "ok").otherwise("error").alias("state"), F.col("o_orderdate").cast("timestamp").alias("ended_at"))
+    runs = v.table("orders").select(
+        F.col("o_orderkey").alias("run_id"),
+        F.when(F.col("o_orderstatus") == "F", "ok").otherwise("error").alias("state"),
+        F.col("o_orderdate").cast("timestamp").alias("ended_at"),
+    )
     return reports.last_run_summary(runs, v.versions.select(F.col("entry_id").alias("run_id")))
 
 
-@query("versions triage cards docs", "SELECT 'versions' AS item, count(*) AS n FROM versions UNION ALL SELECT 'triage', count(*) FROM triage UNION ALL SELECT 'cards', count(*) FROM cards UNION ALL SELECT 'documents', count(*) FROM docs")
+@query(
+    "versions triage cards docs",
+    "SELECT 'versions' AS item, count(*) AS n FROM versions UNION ALL SELECT 'triage', count(*) FROM triage UNION ALL "
+    "SELECT 'cards', count(*) FROM cards UNION ALL SELECT 'documents', count(*) FROM docs",
+)
 def a11_catalog_counts(v: Views) -> DataFrame:
     return profile.catalog_counts({"versions": v.versions, "triage": v.triage, "cards": v.cards, "documents": v.docs})
 
 
-@query("versions docs", "SELECT 'tables' AS section, 'versions' AS item, count(*) AS n FROM versions UNION ALL SELECT 'history', 'months loaded', count(DISTINCT strftime(o_orderdate, '%Y-%m')) FILTER (o_orderstatus = 'F') FROM orders UNION ALL SELECT 'history', 'months wanted', count(DISTINCT strftime(o_orderdate, '%Y-%m')) FROM orders UNION ALL SELECT 'alerts', 'duplicate versions', count(*) FROM (SELECT 1 FROM versions GROUP BY entry_id, entry_updated HAVING count(*) > 1) x")
+@query(
+    "versions docs",
+    "SELECT 'tables' AS section, 'versions' AS item, count(*) AS n FROM versions UNION ALL SELECT 'history', "
+    "'months loaded', count(DISTINCT strftime(o_orderdate, '%Y-%m')) FILTER (o_orderstatus = 'F') FROM orders UNION ALL "
+    "SELECT 'history', 'months wanted', count(DISTINCT strftime(o_orderdate, '%Y-%m')) FROM orders UNION ALL "
+    "SELECT 'alerts', 'duplicate versions', count(*) FROM (SELECT 1 FROM versions GROUP BY entry_id, entry_updated "
+    "HAVING count(*) > 1) x",
+)
 def r7_status_report(v: Views) -> DataFrame:
     months = v.table("orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.bool_or(F.col("o_orderstatus") == "F").alias("loaded"))
     alerts = checks.duplicate_versions(v.versions).agg(F.count(F.lit(1)).alias("n")).select(F.lit("duplicate versions").alias("item"), "n")
     return reports.status_report(profile.catalog_counts({"versions": v.versions}), months, alerts)
 
 
-@query("", "SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS entries, CAST(sum(n) AS BIGINT) AS notices, CAST(sum(n) AS BIGINT) AS awards FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_shipdate, l_linenumber) AS n FROM lineitem) x GROUP BY 1")
+@query(
+    "",
+    "SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS entries, CAST(sum(n) AS BIGINT) AS notices, "
+    "CAST(sum(n) AS BIGINT) AS awards FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_shipdate, "
+    "l_linenumber) AS n FROM lineitem) x GROUP BY 1",
+)
 def a5_month_totals(v: Views) -> DataFrame:
     staging = v.versions.withColumn("month", F.date_format("entry_updated", "yyyy-MM"))
     return profile.month_totals(staging, v.versions, v.versions)
 
 
 # A stand-in feed: solvency texts, figures and deferrals by words of the object, lots by line.
-_FEED = "SELECT *, CASE WHEN object LIKE '%e%' THEN object END AS solvency, object LIKE '%ring%' AS fig, object LIKE '%small%' AS def, CASE WHEN tie % 3 > 0 THEN object END AS pcap, tie % 2 AS lots, CASE WHEN winner % 4 > 0 THEN winner END AS nif FROM notices"
+_FEED = (
+    "SELECT *, CASE WHEN object LIKE '%e%' THEN object END AS solvency, object LIKE '%ring%' AS fig, "
+    "object LIKE '%small%' AS def, CASE WHEN tie % 3 > 0 THEN object END AS pcap, tie % 2 AS lots, CASE "
+    "WHEN winner % 4 > 0 THEN winner END AS nif FROM notices"
+)
 _IT = "(starts_with(code, '72') OR starts_with(code, '48'))"
 _PCT = "round(100.0 * count(*) FILTER ({0}) / nullif(count(*) FILTER ({1}), 0), 2)"
 _MEASURES = (
@@ -881,7 +1328,10 @@ def a6_feed_states(v: Views) -> DataFrame:
 @query(
     "notices docs",
     "SELECT CASE WHEN coalesce(pct_awarded_with_id, 0) >= 80 AND coalesce(pct_readable, 0) >= 70 AND coalesce(pct_without_figure, 0) >= 50 THEN 'GO' ELSE 'REVISAR' END AS gate, pct_awarded_with_id, pct_readable, pct_without_figure "
-    f"FROM ({_MEASURES}) m CROSS JOIN (SELECT {_PCT.format(chr(39).join(('state = ', 'descargado', '')), chr(39).join(('state <> ', 'pendiente', '')))} AS pct_readable FROM docs) d",
+    f"FROM ({_MEASURES}) m CROSS JOIN (SELECT {_PCT.format(
+        chr(39).join(('state = ', 'descargado', '')),
+        chr(39).join(('state <> ', 'pendiente', '')),
+    )} AS pct_readable FROM docs) d",
 )
 def m11_go_gates(v: Views) -> DataFrame:
     return profile.go_gates(_feed_profile(v), profile.download_rate(v.docs))
@@ -889,13 +1339,32 @@ def m11_go_gates(v: Views) -> DataFrame:
 
 # -- rules and forms --------------------------------------------------------
 
-_FORM = "SELECT c_custkey, CASE WHEN c_custkey % 7 > 0 THEN c_name ELSE '' END AS alias, CASE WHEN c_custkey % 5 > 0 THEN 'a@b.es' ELSE 'a b' END AS correo, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment || ' mantenimiento de equipos y redes' ELSE 'poco' END AS que_hace, CASE WHEN c_acctbal > 0 THEN CAST(c_acctbal AS VARCHAR) ELSE 'no' END AS cifra, CAST(c_nationkey AS VARCHAR) || ',5' AS tope FROM customer"
+_FORM = (
+    "SELECT c_custkey, CASE WHEN c_custkey % 7 > 0 THEN c_name ELSE '' END AS alias, CASE "
+    "WHEN c_custkey % 5 > 0 THEN 'a@b.es' ELSE 'a b' END AS correo, CASE "
+    "WHEN c_custkey % 3 > 0 THEN c_mktsegment || ' mantenimiento de equipos y redes' ELSE 'poco' END AS que_hace, CASE "
+    "WHEN c_acctbal > 0 THEN CAST(c_acctbal AS VARCHAR) ELSE 'no' END AS cifra, "
+    "CAST(c_nationkey AS VARCHAR) || ',5' AS tope FROM customer"
+)
 
 
-@query("", f"SELECT c_custkey, concat_ws(',', CASE WHEN alias = '' OR NOT regexp_matches(alias, '^[\\w ]{{2,40}}$') THEN 'alias' END, CASE WHEN cifra = 'no' THEN 'cifra_negocio' END, CASE WHEN correo = 'a b' THEN 'correo' END, CASE WHEN length(que_hace) < 30 THEN 'que_hace' END, CASE WHEN CAST(replace(tope, ',', '.') AS DOUBLE) > 20 THEN 'tope_diario_eur' END) AS bad FROM ({_FORM}) f")
+@query(
+    "",
+    f"SELECT c_custkey, concat_ws(',', CASE WHEN alias = '' OR NOT regexp_matches(alias, "
+    f"'^[\\w ]{{2,40}}$') THEN 'alias' END, CASE WHEN cifra = 'no' THEN 'cifra_negocio' END, CASE "
+    f"WHEN correo = 'a b' THEN 'correo' END, CASE WHEN length(que_hace) < 30 THEN 'que_hace' END, CASE "
+    f"WHEN CAST(replace(tope, ',', '.') AS DOUBLE) > 20 THEN 'tope_diario_eur' END) AS bad FROM ({_FORM}) f",
+)
 def b7_validate_clients(v: Views) -> DataFrame:
     k = F.col("c_custkey")
-    form = v.table("customer").select("c_custkey", F.when(k % 7 > 0, F.col("c_name")).otherwise("").alias("alias"), F.when(k % 5 > 0, "a@b.es").otherwise("a b").alias("correo"), F.when(k % 3 > 0, F.concat("c_mktsegment", F.lit(" mantenimiento de equipos y redes"))).otherwise("poco").alias("que_hace"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal").cast("string")).otherwise("no").alias("cifra_negocio"), F.concat(F.col("c_nationkey").cast("string"), F.lit(",5")).alias("tope_diario_eur"))
+    form = v.table("customer").select(
+        "c_custkey",
+        F.when(k % 7 > 0, F.col("c_name")).otherwise("").alias("alias"),
+        F.when(k % 5 > 0, "a@b.es").otherwise("a b").alias("correo"),
+        F.when(k % 3 > 0, F.concat("c_mktsegment", F.lit(" mantenimiento de equipos y redes"))).otherwise("poco").alias("que_hace"),
+        F.when(F.col("c_acctbal") > 0, F.col("c_acctbal").cast("string")).otherwise("no").alias("cifra_negocio"),
+        F.concat(F.col("c_nationkey").cast("string"), F.lit(",5")).alias("tope_diario_eur"),
+    )
     return rules.validate_clients(form).select("c_custkey", F.array_join(F.array_sort(F.map_keys("errors")), ",").alias("bad"))
 
 
@@ -906,21 +1375,49 @@ def b8_spanish_number(v: Views) -> DataFrame:
     p = F.col("o_totalprice")
     whole = F.floor(p)
     grouped = F.concat(F.floor(whole / 1000).cast("string"), F.lit("."), F.lpad((whole % 1000).cast("string"), 3, "0"))
-    millions = F.concat(F.floor(whole / 1000000).cast("string"), F.lit("."), F.lpad((F.floor(whole / 1000) % 1000).cast("string"), 3, "0"), F.lit("."), F.lpad((whole % 1000).cast("string"), 3, "0"))
+    millions = F.concat(
+        F.floor(whole / 1000000).cast("string"),
+        F.lit("."),
+        F.lpad((F.floor(whole / 1000) % 1000).cast("string"), 3, "0"),
+        F.lit("."),
+        F.lpad((whole % 1000).cast("string"), 3, "0"),
+    )
     text = F.when(whole < 1000, whole.cast("string")).when(whole < 1000000, grouped).otherwise(millions)
     cents = F.lpad((F.round(p * 100) % 100).cast("long").cast("string"), 2, "0")
-    return v.table("orders").select("o_orderkey", spanish_number(text).alias("thousands"), F.round(spanish_number(F.concat(text, F.lit(","), cents)), 2).alias("comma"))
+    return v.table("orders").select(
+        "o_orderkey",
+        spanish_number(text).alias("thousands"),
+        F.round(spanish_number(F.concat(text, F.lit(","), cents)), 2).alias("comma"),
+    )
 
 
-@query("", "SELECT c_custkey, '## 1. Qué hace' || chr(10) || chr(10) || c_mktsegment || CASE WHEN c_nationkey % 2 = 0 THEN chr(10) || chr(10) || '## 4. Zona' || chr(10) || chr(10) || 'nación' ELSE '' END AS text FROM customer")
+@query(
+    "",
+    "SELECT c_custkey, '## 1. Qué hace' || chr(10) || chr(10) || c_mktsegment || CASE "
+    "WHEN c_nationkey % 2 = 0 THEN chr(10) || chr(10) || '## 4. Zona' || chr(10) || chr(10) || 'nación' "
+    "ELSE '' END AS text FROM customer",
+)
 def b6_profile_text(v: Views) -> DataFrame:
     none = F.lit(None).cast("string")
-    rows = v.table("customer").select("c_custkey", F.col("c_mktsegment").alias("que_hace"), none.alias("que_busca"), none.alias("certificaciones"), F.when(F.col("c_nationkey") % 2 == 0, " nación ").alias("zona"), none.alias("cifra_negocio"))
+    rows = v.table("customer").select(
+        "c_custkey",
+        F.col("c_mktsegment").alias("que_hace"),
+        none.alias("que_busca"),
+        none.alias("certificaciones"),
+        F.when(F.col("c_nationkey") % 2 == 0, " nación ").alias("zona"),
+        none.alias("cifra_negocio"),
+    )
     return rules.profile_text(rows).select("c_custkey", "text")
 
 
 @query("", "SELECT s_suppkey, CASE WHEN s_nationkey % 4 > 0 THEN CAST(1000 * (s_nationkey + 100) AS DOUBLE) END AS turnover FROM supplier")
 def b5_turnover_from_profile(v: Views) -> DataFrame:
     n = F.col("s_nationkey") + 100
-    row = F.when(F.col("s_nationkey") % 4 > 0, F.concat(F.lit("Entre "), n.cast("string"), F.lit(".000 € y "), (n + 5).cast("string"), F.lit(".000 €"))).otherwise("No publicada")
-    return v.table("supplier").select("s_suppkey", rules.turnover_from_profile(F.concat(F.lit("| Cifra anual de negocio | "), row, F.lit(" |"))).alias("turnover"))
+    row = F.when(
+        F.col("s_nationkey") % 4 > 0,
+        F.concat(F.lit("Entre "), n.cast("string"), F.lit(".000 € y "), (n + 5).cast("string"), F.lit(".000 €")),
+    ).otherwise("No publicada")
+    return v.table("supplier").select(
+        "s_suppkey",
+        rules.turnover_from_profile(F.concat(F.lit("| Cifra anual de negocio | "), row, F.lit(" |"))).alias("turnover"),
+    )

@@ -21,7 +21,12 @@ def _escaped(c: Column) -> Column:
 # -- archives, vocabulary, freeze files, profiles ----------------------------
 
 
-@query("", "SELECT m AS month, count(*) AS entries, count(DISTINCT k) AS dossiers FROM (SELECT o_orderkey AS k, CAST(2020 + o_custkey % 3 AS VARCHAR) || '-0' || CAST(o_custkey % 7 + 1 AS VARCHAR) AS m FROM orders) x WHERE m <> '2021-03' GROUP BY 1")
+@query(
+    "",
+    "SELECT m AS month, count(*) AS entries, count(DISTINCT k) AS dossiers FROM (SELECT o_orderkey AS k, "
+    "CAST(2020 + o_custkey % 3 AS VARCHAR) || '-0' || CAST(o_custkey % 7 + 1 AS VARCHAR) AS m FROM orders) x "
+    "WHERE m <> '2021-03' GROUP BY 1",
+)
 def s4_read_monthly_archive(v: Views) -> DataFrame:
     at = scratch(v.spark)
     key = F.col("file").cast("long")
@@ -30,7 +35,10 @@ def s4_read_monthly_archive(v: Views) -> DataFrame:
     held = sorted(r.month for r in _feed(v).select(month.alias("month")).distinct().collect())  # months: a handful
     entries = feed.read_monthly_archive(v.spark, at, [m for m in held if m != "2021-03"])
     number = F.regexp_extract("xml", r"<id>(\d+)</id>", 1)
-    return entries.groupBy(F.date_format(F.concat(F.col("month").cast("string"), F.lit("-01")).cast("date"), "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("entries"), F.count_distinct(number).alias("dossiers"))
+    return entries.groupBy(F.date_format(F.concat(F.col("month").cast("string"), F.lit("-01")).cast("date"), "yyyy-MM").alias("month")).agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.count_distinct(number).alias("dossiers"),
+    )
 
 
 @query("vocabulary", "SELECT code, description || ' & mañana' AS description FROM vocabulary")
@@ -42,11 +50,18 @@ def s9_read_cpv_vocabulary(v: Views) -> DataFrame:
     return reference_data.read_cpv_vocabulary(v.spark, at)
 
 
-_CODES = "SELECT DISTINCT p_brand AS alias, lpad(CAST(p_partkey % 90 + 10 AS VARCHAR), 2, '0') || CASE WHEN p_size % 2 = 0 THEN '0000' ELSE '1000' END AS code FROM part"
+_CODES = (
+    "SELECT DISTINCT p_brand AS alias, lpad(CAST(p_partkey % 90 + 10 AS VARCHAR), 2, '0') || CASE "
+    "WHEN p_size % 2 = 0 THEN '0000' ELSE '1000' END AS code FROM part"
+)
 _PREFIX = "CASE WHEN length(rtrim(code, '0')) < 2 THEN substr(code, 1, 2) ELSE rtrim(code, '0') END"
 
 
-@query("", f"SELECT alias, string_agg(DISTINCT {_PREFIX}, ',' ORDER BY {_PREFIX}) AS prefixes FROM (SELECT CASE WHEN alias <> 'Brand#1' THEN alias END AS alias, code FROM ({_CODES}) c WHERE alias <> 'Brand#2') x GROUP BY alias")
+@query(
+    "",
+    f"SELECT alias, string_agg(DISTINCT {_PREFIX}, ',' ORDER BY {_PREFIX}) AS prefixes FROM (SELECT CASE "
+    f"WHEN alias <> 'Brand#1' THEN alias END AS alias, code FROM ({_CODES}) c WHERE alias <> 'Brand#2') x GROUP BY alias",
+)
 def s10_frozen_filters(v: Views) -> DataFrame:
     """Freeze files of all brands: the first one's holds for all, the second one's names no company."""
     at = scratch(v.spark)
@@ -54,7 +69,10 @@ def s10_frozen_filters(v: Views) -> DataFrame:
     rows = v.table("part").select(F.col("p_brand").alias("brand"), code.alias("code")).distinct().groupBy("brand").agg(F.array_sort(F.collect_list("code")).alias("codes"))
     head = F.when(F.col("brand") == "Brand#1", "- Empresa: todas\n").when(F.col("brand") == "Brand#2", "").otherwise(F.concat(F.lit("- Empresa: "), "brand", F.lit("\n")))
     table = F.array_join(F.transform("codes", lambda c: F.concat(F.lit("| "), c, F.lit(" | texto |"))), "\n")
-    rows.select("brand", F.concat(F.lit("# Filtro\n"), head, F.lit("\n| código | nombre |\n|---|---|\n"), table).alias("text")).write.partitionBy("brand").text(at)
+    rows.select(
+        "brand",
+        F.concat(F.lit("# Filtro\n"), head, F.lit("\n| código | nombre |\n|---|---|\n"), table).alias("text"),
+    ).write.partitionBy("brand").text(at)
     files = reference_data.read_documents(v.spark, at)
     return reference_data.frozen_filters(files).select("alias", F.array_join("prefixes", ",").alias("prefixes"))
 
@@ -77,7 +95,12 @@ def s11_profiles(v: Views) -> DataFrame:
 # -- streams -----------------------------------------------------------------
 
 
-@query("", "SELECT CAST(o_orderkey AS VARCHAR) AS entry_id, CASE WHEN o_orderkey % 13 > 0 THEN o_orderdate - INTERVAL 1 HOUR END AS entry_updated, CASE WHEN o_orderkey % 13 = 0 THEN 'unreadable date: ayer' END AS reason FROM orders")
+@query(
+    "",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS entry_id, CASE "
+    "WHEN o_orderkey % 13 > 0 THEN o_orderdate - INTERVAL 1 HOUR END AS entry_updated, CASE "
+    "WHEN o_orderkey % 13 = 0 THEN 'unreadable date: ayer' END AS reason FROM orders",
+)
 def st1_ingest_stream(v: Views) -> DataFrame:
     """Pages arrive in three folders; the third brings pages again that the first brought, and the job is started anew for each."""
     at = scratch(v.spark)
@@ -102,7 +125,11 @@ def st2_dedupe_versions(v: Views) -> DataFrame:
 
 @query(
     "",
-    "SELECT o_custkey AS k, max(o_orderdate) AS entry_updated, arg_max(o_orderstatus, (o_orderdate, o_orderstatus)) AS state, any_value(c_acctbal) < 0 AS withdrawn FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1",
+    (
+        "SELECT o_custkey AS k, max(o_orderdate) AS entry_updated, arg_max(o_orderstatus, (o_orderdate, "
+        "o_orderstatus)) AS state, any_value(c_acctbal) < 0 AS withdrawn FROM orders JOIN customer ON c_custkey = o_custkey "
+        "GROUP BY 1"
+    ),
 )
 def st3_current_state_stream(v: Views) -> DataFrame:
     """Orders as versions of their customer's dossier, in three batches out of order; tombstones, for customers in debt, come first."""
@@ -114,16 +141,31 @@ def st3_current_state_stream(v: Views) -> DataFrame:
     )
     gone = v.table("customer").where("c_acctbal < 0").join(v.table("orders").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", "left_semi")
     none = F.lit(None)
-    gone = gone.select(F.col("c_custkey").cast("string").alias("entry_id"), none.cast("timestamp").alias("entry_updated"), none.cast("string").alias("state"), F.lit(True).alias("tombstone"), F.lit(0).alias("part"))
+    gone = gone.select(
+        F.col("c_custkey").cast("string").alias("entry_id"),
+        none.cast("timestamp").alias("entry_updated"),
+        none.cast("string").alias("state"),
+        F.lit(True).alias("tombstone"),
+        F.lit(0).alias("part"),
+    )
     out = replay_stages(versions.union(gone), F.col("part"), 3, lambda s: ingest.current_state_stream(s.drop("part")), "update")
     last = out.groupBy("entry_id").agg(F.max_by(F.struct("entry_updated", "state", "withdrawn"), "batch").alias("s"))
     return last.select(F.col("entry_id").cast("long").alias("k"), "s.entry_updated", "s.state", "s.withdrawn")
 
 
-@query("", "SELECT event_type AS alias, CAST(timezone('Europe/Madrid', timezone('UTC', ts)) AS DATE) AS day, count(*) AS calls, round(sum(value), 4) AS cost FROM events GROUP BY 1, 2")
+@query(
+    "",
+    "SELECT event_type AS alias, CAST(timezone('Europe/Madrid', timezone('UTC', ts)) AS DATE) AS day, count(*) AS calls, "
+    "round(sum(value), 4) AS cost FROM events GROUP BY 1, 2",
+)
 def st6_spend_stream(v: Views) -> DataFrame:
     """Three batches by date; half of a batch's last day comes a batch late, within the lateness."""
-    calls = v.table("events").select(F.col("event_type").alias("alias"), F.col("ts").cast("timestamp").alias("called_at"), F.col("value").alias("cost"), (F.col("event_id") % 2).alias("half"))
+    calls = v.table("events").select(
+        F.col("event_type").alias("alias"),
+        F.col("ts").cast("timestamp").alias("called_at"),
+        F.col("value").alias("cost"),
+        (F.col("event_id") % 2).alias("half"),
+    )
     day = F.dayofmonth("called_at")
     batch = F.when(day < 10, 0).when(day == 10, F.col("half").cast("int")).when(day < 20, 1).when(day == 20, 1 + F.col("half").cast("int")).otherwise(2)
     out = replay_stages(calls, batch, 3, lambda s: ingest.spend_stream(s.drop("half")), "update")

@@ -32,8 +32,14 @@ _SCORED = f"SELECT doc_id, page_no, {_SCORE} AS score, CASE WHEN {_hit(PATTERNS[
 def _window(scored: str, cap: int = 6) -> str:
     """SQL of anchor_window over (doc_id, page_no, score)."""
     numbered = f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS n FROM ({scored}) s0"
-    best = f"SELECT *, first_value(n) OVER (PARTITION BY doc_id ORDER BY score DESC, n) AS anchor, max(score) OVER (PARTITION BY doc_id) AS best FROM ({numbered}) s1"
-    cut = f"SELECT *, max(CASE WHEN score > 0 THEN n END) OVER (PARTITION BY doc_id) AS last FROM ({best}) s2 WHERE best > 0 AND n >= anchor AND n < anchor + {cap}"
+    best = (
+        f"SELECT *, first_value(n) OVER (PARTITION BY doc_id ORDER BY score DESC, n) AS anchor, "
+        f"max(score) OVER (PARTITION BY doc_id) AS best FROM ({numbered}) s1"
+    )
+    cut = (
+        f"SELECT *, max(CASE WHEN score > 0 THEN n END) OVER (PARTITION BY doc_id) AS last FROM ({best}) s2 WHERE best > 0 "
+        f"AND n >= anchor AND n < anchor + {cap}"
+    )
     return f"SELECT doc_id, page_no, score FROM ({cut}) s3 WHERE n <= last"
 
 
@@ -49,7 +55,11 @@ def e2_anchor_window(v: Views) -> DataFrame:
 
 _WEAK = f"SELECT doc_id, page_no, annex AS score FROM ({_SCORED}) w WHERE doc_id IN (SELECT doc_id FROM ({_SCORED}) w2 GROUP BY doc_id HAVING max(score) = 0)"
 _HITS = f"SELECT *, 'solvencia' AS route FROM ({_window(_SCORED)}) a UNION ALL SELECT *, 'anexos' FROM ({_window(_WEAK)}) b"
-_LOCATED = f"SELECT doc_id, page_no, score, route FROM ({_HITS}) h UNION ALL SELECT doc_id, NULL, 0, CASE WHEN bool_or({_TEXT}) THEN 'no_localizada' ELSE 'no_localizada: sin texto' END FROM pages_ WHERE doc_id NOT IN (SELECT doc_id FROM ({_HITS}) h2) GROUP BY doc_id"
+_LOCATED = (
+    f"SELECT doc_id, page_no, score, route FROM ({_HITS}) h UNION ALL SELECT doc_id, NULL, 0, CASE "
+    f"WHEN bool_or({_TEXT}) THEN 'no_localizada' ELSE 'no_localizada: sin texto' END FROM pages_ "
+    f"WHERE doc_id NOT IN (SELECT doc_id FROM ({_HITS}) h2) GROUP BY doc_id"
+)
 
 
 def _located(v: Views) -> DataFrame:
@@ -61,7 +71,10 @@ def e3_locate(v: Views) -> DataFrame:
     return _located(v)
 
 
-@query("pages_", "SELECT doc_id, " + ", ".join(f"min(CASE WHEN {_hit(p)} THEN page_no END) AS first_{k}" for k, p in _REQ.items()) + f" FROM pages_ WHERE {_TEXT} GROUP BY doc_id")
+@query(
+    "pages_",
+    "SELECT doc_id, " + ", ".join(f"min(CASE WHEN {_hit(p)} THEN page_no END) AS first_{k}" for k, p in _REQ.items()) + f" FROM pages_ WHERE {_TEXT} GROUP BY doc_id",
+)
 def e4_requirement_hints(v: Views) -> DataFrame:
     rows = evidence.requirement_hints(v.pages, PATTERNS)
     return rows.select("doc_id", *(F.col(c).cast("long").alias(c) for c in rows.columns[1:]))
@@ -71,7 +84,12 @@ def e4_requirement_hints(v: Views) -> DataFrame:
 _ANNEX = r"\bthe\s+([a-z]{3,6})\b"
 
 
-@query("quotes", rf"SELECT doc_id, annex FROM (SELECT doc_id, annex, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, annex) AS rn FROM (SELECT doc_id, upper(a) AS annex, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(quote, '(?i)\bthe\s+([a-z]{{3,6}})\b', 1)) AS a FROM quotes WHERE kind = 'remite') x GROUP BY 1, 2) y) z WHERE rn = 1")
+@query(
+    "quotes",
+    rf"SELECT doc_id, annex FROM (SELECT doc_id, annex, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, annex) AS rn "
+    rf"FROM (SELECT doc_id, upper(a) AS annex, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(quote, "
+    rf"'(?i)\bthe\s+([a-z]{{3,6}})\b', 1)) AS a FROM quotes WHERE kind = 'remite') x GROUP BY 1, 2) y) z WHERE rn = 1",
+)
 def e5_cited_annex(v: Views) -> DataFrame:
     return evidence.cited_annex(v.quotes, _ANNEX)
 
@@ -84,13 +102,21 @@ def e6_needs_annex_hop(v: Views) -> DataFrame:
 _NAMED = r"regexp_matches(text, '(?i)the\s*n?[ºo°.]{0,3}\s*of\b')"
 
 
-@query("pages_", _window(f"SELECT doc_id, page_no, CASE WHEN {_NAMED} AND {_hit(PATTERNS['figure'])} THEN {_SCORE} + 3 ELSE 0 END AS score FROM pages_ WHERE {_TEXT} AND page_no > 1"))
+@query("pages_", _window((
+    f"SELECT doc_id, page_no, CASE WHEN {_NAMED} AND {_hit(PATTERNS['figure'])} THEN {_SCORE} + 3 ELSE 0 END AS score "
+    f"FROM pages_ WHERE {_TEXT} AND page_no > 1"
+)))
 def e7_locate_annex(v: Views) -> DataFrame:
     annexes = v.pages.select("doc_id").distinct().withColumn("annex", F.lit("OF"))
     return evidence.locate_annex(v.pages, annexes, v.pages.where("page_no = 1"), PATTERNS, word="the")
 
 
-@query("pages_", f"SELECT doc_id, md5(string_agg('=== Página ' || CAST(page_no AS VARCHAR) || ' ===' || chr(10) || trim(text, ' '), chr(10) || chr(10) ORDER BY page_no)) AS digest FROM pages_ JOIN (SELECT doc_id, page_no FROM ({_LOCATED}) l) x USING (doc_id, page_no) GROUP BY doc_id")
+@query(
+    "pages_",
+    f"SELECT doc_id, md5(string_agg('=== Página ' || CAST(page_no AS VARCHAR) || ' ===' || chr(10) || trim(text, ' '), "
+    f"chr(10) || chr(10) ORDER BY page_no)) AS digest FROM pages_ JOIN (SELECT doc_id, page_no FROM ({_LOCATED}) l) x "
+    f"USING (doc_id, page_no) GROUP BY doc_id",
+)
 def e8_pages_to_prompt(v: Views) -> DataFrame:
     return evidence.pages_to_prompt(v.pages, _located(v)).select("doc_id", F.md5("prompt").alias("digest"))
 
@@ -123,26 +149,56 @@ def e10_verify_quotes(v: Views) -> DataFrame:
 def _bodies(v: Views) -> DataFrame:
     """A response per call: requirements as JSON, bare, fenced, or inside prose; every eleventh broken."""
     key = F.col("event_id")
-    item = F.to_json(F.struct(F.lit("volumen_negocios").alias("tipo"), F.concat(F.lit(" pide "), F.col("event_type")).alias("exigencia"), F.lit("cita larga").alias("cita"), (key % 9).cast("string").alias("pagina"), F.col("value").alias("importe_eur"), (key % 4 - 1).alias("anios")))
+    item = F.to_json(F.struct(
+        F.lit("volumen_negocios").alias("tipo"),
+        F.concat(F.lit(" pide "), F.col("event_type")).alias("exigencia"),
+        F.lit("cita larga").alias("cita"),
+        (key % 9).cast("string").alias("pagina"),
+        F.col("value").alias("importe_eur"),
+        (key % 4 - 1).alias("anios"),
+    ))
     body = F.concat(F.lit('{"requisitos": ['), F.array_join(F.array_repeat(item, (key % 10).cast("int")), ","), F.lit("]}"))
-    body = F.when(key % 11 == 0, F.lit("no puedo {")).when(key % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(key % 3 == 1, F.concat(F.lit("Aquí está: "), body, F.lit(" fin"))).otherwise(body)
+    body = F.when(key % 11 == 0, F.lit("no puedo {")).when(key % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(
+        key % 3 == 1,
+        F.concat(F.lit("Aquí está: "), body, F.lit(" fin")),
+    ).otherwise(body)
     return v.table("events").select(key.alias("call_id"), body.alias("body"))
 
 
-@query("", "SELECT call_id, unreadable, position, kind, demand, amount, years FROM (SELECT event_id AS call_id, false AS unreadable, unnest(range(0, least(8, event_id % 10))) AS position, 'volumen_negocios' AS kind, 'pide ' || event_type AS demand, CASE WHEN value > 0 THEN value END AS amount, CASE WHEN event_id % 4 - 1 > 0 THEN CAST(event_id % 4 - 1 AS INTEGER) END AS years FROM events WHERE event_id % 11 > 0) x UNION ALL SELECT event_id, event_id % 11 = 0, NULL, NULL, NULL, NULL, NULL FROM events WHERE event_id % 11 = 0 OR event_id % 10 = 0")
+@query(
+    "",
+    "SELECT call_id, unreadable, position, kind, demand, amount, years FROM (SELECT event_id AS call_id, "
+    "false AS unreadable, unnest(range(0, least(8, event_id % 10))) AS position, 'volumen_negocios' AS kind, "
+    "'pide ' || event_type AS demand, CASE WHEN value > 0 THEN value END AS amount, CASE "
+    "WHEN event_id % 4 - 1 > 0 THEN CAST(event_id % 4 - 1 AS INTEGER) END AS years FROM events WHERE event_id % 11 > 0) x "
+    "UNION ALL SELECT event_id, event_id % 11 = 0, NULL, NULL, NULL, NULL, NULL FROM events WHERE event_id % 11 = 0 "
+    "OR event_id % 10 = 0",
+)
 def e11_parse_extractions(v: Views) -> DataFrame:
     rows = evidence.parse_extractions(_bodies(v))
     return rows.select("call_id", "unreadable", F.col("position").cast("long").alias("position"), "kind", "demand", "amount", "years")
 
 
-@query("quotes pages_", f"SELECT doc_id, 'Requisitos rechazados:' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS message FROM (SELECT doc_id, '- ' || rejected || ': «' || coalesce(quote, '') || '»' AS line FROM ({_VERIFIED}) x WHERE rejected IS NOT NULL) y GROUP BY doc_id")
+@query(
+    "quotes pages_",
+    f"SELECT doc_id, 'Requisitos rechazados:' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS message "
+    f"FROM (SELECT doc_id, '- ' || rejected || ': «' || coalesce(quote, '') || '»' AS line FROM ({_VERIFIED}) x "
+    f"WHERE rejected IS NOT NULL) y GROUP BY doc_id",
+)
 def e12_retry_message(v: Views) -> DataFrame:
     return evidence.retry_message(_verified(v))
 
 
 # The hop: documents whose quotes defer, name no amount and were not followed yet go on to the annex they cite most.
-_CITED = rf"SELECT doc_id, annex FROM (SELECT doc_id, annex, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, annex) AS rn FROM (SELECT doc_id, upper(a) AS annex, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(quote, '(?i)\bthe\s+([a-z]{{3,6}})\b', 1)) AS a FROM quotes WHERE kind = 'remite') x GROUP BY 1, 2) y) z WHERE rn = 1"
-_HOPPING = f"SELECT doc_id, annex FROM ({_CITED}) c WHERE doc_id IN (SELECT doc_id FROM quotes GROUP BY doc_id HAVING bool_or(kind = 'remite') AND NOT bool_or(amount IS NOT NULL))"
+_CITED = (
+    rf"SELECT doc_id, annex FROM (SELECT doc_id, annex, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, annex) AS rn "
+    rf"FROM (SELECT doc_id, upper(a) AS annex, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(quote, "
+    rf"'(?i)\bthe\s+([a-z]{{3,6}})\b', 1)) AS a FROM quotes WHERE kind = 'remite') x GROUP BY 1, 2) y) z WHERE rn = 1"
+)
+_HOPPING = (
+    f"SELECT doc_id, annex FROM ({_CITED}) c WHERE doc_id IN (SELECT doc_id FROM quotes GROUP BY doc_id "
+    f"HAVING bool_or(kind = 'remite') AND NOT bool_or(amount IS NOT NULL))"
+)
 _HOPPED = _window(
     rf"SELECT p.doc_id, p.page_no, CASE WHEN regexp_matches(text, '(?i)the\s*n?[ºo°.]{{0,3}}\s*' || annex || '\b') AND {_hit(PATTERNS['figure'])} THEN {_SCORE} + 3 ELSE 0 END AS score "
     f"FROM pages_ p JOIN ({_HOPPING}) h ON h.doc_id = p.doc_id WHERE {_TEXT} AND (p.doc_id, p.page_no) NOT IN (SELECT (doc_id, page_no) FROM ({_LOCATED}) l WHERE page_no IS NOT NULL)"
@@ -180,19 +236,31 @@ def x4_both_passes(v: Views) -> DataFrame:
     return evidence.both_passes(first, first.join(deferring, "doc_id", "left_semi"))
 
 
-@query("quotes", "SELECT doc_id, CAST(page AS VARCHAR) AS page, CASE WHEN doc_id % 3 = 0 THEN 'certificaciones' ELSE kind END AS kind FROM quotes WHERE doc_id % 3 > 0 OR page = 1")
+@query(
+    "quotes",
+    "SELECT doc_id, CAST(page AS VARCHAR) AS page, CASE WHEN doc_id % 3 = 0 THEN 'certificaciones' ELSE kind END AS kind "
+    "FROM quotes WHERE doc_id % 3 > 0 OR page = 1",
+)
 def e13_replaced_readings(v: Views) -> DataFrame:
     stored = v.quotes.select("doc_id", "page", "kind")
     fresh = stored.where("doc_id % 3 = 0 and page = '1'").withColumn("kind", F.lit("certificaciones"))
     return evidence.replace_readings(stored, fresh)
 
 
-@query("quotes pages_", f"SELECT kind AS prompt, count(*) AS total, count(*) FILTER (rejected IS NULL) AS verified, round(100.0 * count(*) FILTER (rejected IS NULL) / count(*), 2) AS pct FROM ({_VERIFIED}) x GROUP BY kind")
+@query(
+    "quotes pages_",
+    f"SELECT kind AS prompt, count(*) AS total, count(*) FILTER (rejected IS NULL) AS verified, "
+    f"round(100.0 * count(*) FILTER (rejected IS NULL) / count(*), 2) AS pct FROM ({_VERIFIED}) x GROUP BY kind",
+)
 def a9_verification_rate(v: Views) -> DataFrame:
     return metrics.verification_rate(_verified(v).withColumn("prompt", F.col("kind")))
 
 
-@query("quotes pages_", f"SELECT doc_id, page, quote FROM ({_VERIFIED}) x WHERE rejected IS NULL AND kind = 'volumen_negocios' AND amount IS NOT NULL ORDER BY length(quote), quote, doc_id LIMIT 1")
+@query(
+    "quotes pages_",
+    f"SELECT doc_id, page, quote FROM ({_VERIFIED}) x WHERE rejected IS NULL AND kind = 'volumen_negocios' "
+    f"AND amount IS NOT NULL ORDER BY length(quote), quote, doc_id LIMIT 1",
+)
 def r5_example_requirement(v: Views) -> DataFrame:
     return reports.example_requirement(_verified(v)).select("doc_id", F.col("page").cast("long").alias("page"), "quote")
 
@@ -204,7 +272,15 @@ _PROFILE = (
     f"CAST(sum(len(regexp_extract_all(text, '{PATTERNS['boxes']}'))) AS BIGINT) AS boxes, " + ", ".join(f"min(CASE WHEN {_hit(p)} THEN page_no END) AS f{i}" for i, p in enumerate(_REQ.values())) + " FROM pages_ GROUP BY doc_id"
 )
 _FULL = (
-    f"SELECT p.*, p.text_pages < greatest(1, p.pages // 2) AS scanned, p.boxes > 10 AS form, coalesce(n.figure_near, false) AS figure_near, coalesce(n.defers_near, false) AS defers_near, CASE WHEN len(list_distinct([f0, f1, f2, f3, f4, f5])) > 0 THEN len(list_distinct([f0, f1, f2, f3, f4, f5])) WHEN section_page IS NOT NULL THEN 1 ELSE 0 END AS pages_to_read FROM ({_PROFILE}) p LEFT JOIN (SELECT g.doc_id, bool_or({_hit(PATTERNS['figure'])}) AS figure_near, bool_or({_hit(PATTERNS['defers'])}) AS defers_near FROM pages_ g JOIN ({_PROFILE}) q ON q.doc_id = g.doc_id AND g.page_no BETWEEN q.section_page AND q.section_page + 2 GROUP BY g.doc_id) n USING (doc_id)"
+    (
+        f"SELECT p.*, p.text_pages < greatest(1, p.pages // 2) AS scanned, p.boxes > 10 AS form, coalesce(n.figure_near, "
+        f"false) AS figure_near, coalesce(n.defers_near, false) AS defers_near, CASE WHEN len(list_distinct([f0, f1, f2, f3, "
+        f"f4, f5])) > 0 THEN len(list_distinct([f0, f1, f2, f3, f4, f5])) WHEN section_page IS NOT NULL THEN 1 "
+        f"ELSE 0 END AS pages_to_read FROM ({_PROFILE}) p LEFT JOIN (SELECT g.doc_id, "
+        f"bool_or({_hit(PATTERNS['figure'])}) AS figure_near, bool_or({_hit(PATTERNS['defers'])}) AS defers_near FROM pages_ g "
+        f"JOIN ({_PROFILE}) q ON q.doc_id = g.doc_id AND g.page_no BETWEEN q.section_page AND q.section_page + 2 "
+        f"GROUP BY g.doc_id) n USING (doc_id)"
+    )
 )
 
 
@@ -214,10 +290,30 @@ def _profiles(v: Views) -> DataFrame:
 
 @query("pages_", f"SELECT doc_id, pages, text_pages, chars, section_page, boxes, scanned, form, figure_near, defers_near, pages_to_read FROM ({_FULL}) x")
 def a7_document_profile(v: Views) -> DataFrame:
-    return _profiles(v).select("doc_id", "pages", "text_pages", F.col("chars").cast("long").alias("chars"), F.col("section_page").cast("long").alias("section_page"), "boxes", "scanned", "form", "figure_near", "defers_near", F.col("pages_to_read").cast("long").alias("pages_to_read"))
-
-
-_CORPUS = f"SELECT count(*) AS documents, quantile_cont(pages, 0.5) AS pages_median, max(pages) AS pages_max, round(100.0 * count(*) FILTER (scanned) / count(*), 2) AS pct_scanned, round(100.0 * count(*) FILTER (form) / count(*), 2) AS pct_forms, round(100.0 * count(section_page) / count(*), 2) AS pct_located, round(100.0 * count(*) FILTER (figure_near) / count(*), 2) AS pct_figure, round(100.0 * count(*) FILTER (defers_near) / count(*), 2) AS pct_defers, CAST(quantile_cont(pages_to_read, 0.5) AS DOUBLE) AS to_read_median, quantile_cont(chars, 0.5) AS chars_median, list_sort(list(pages))[greatest(1, CAST(floor(count(*) * 0.9) AS BIGINT))] AS pages_p90 FROM ({_FULL}) f"
+    return _profiles(v).select(
+        "doc_id",
+        "pages",
+        "text_pages",
+        F.col("chars").cast("long").alias("chars"),
+        F.col("section_page").cast("long").alias("section_page"),
+        "boxes",
+        "scanned",
+        "form",
+        "figure_near",
+        "defers_near",
+        F.col("pages_to_read").cast("long").alias("pages_to_read"),
+    )
+
+
+_CORPUS = (
+    f"SELECT count(*) AS documents, quantile_cont(pages, 0.5) AS pages_median, max(pages) AS pages_max, "
+    f"round(100.0 * count(*) FILTER (scanned) / count(*), 2) AS pct_scanned, "
+    f"round(100.0 * count(*) FILTER (form) / count(*), 2) AS pct_forms, round(100.0 * count(section_page) / count(*), "
+    f"2) AS pct_located, round(100.0 * count(*) FILTER (figure_near) / count(*), 2) AS pct_figure, "
+    f"round(100.0 * count(*) FILTER (defers_near) / count(*), 2) AS pct_defers, CAST(quantile_cont(pages_to_read, "
+    f"0.5) AS DOUBLE) AS to_read_median, quantile_cont(chars, 0.5) AS chars_median, list_sort(list(pages))[greatest(1, "
+    f"CAST(floor(count(*) * 0.9) AS BIGINT))] AS pages_p90 FROM ({_FULL}) f"
+)
 
 
 @query("pages_", _CORPUS)
@@ -225,12 +321,21 @@ def a8_corpus_profile(v: Views) -> DataFrame:
     return profile.corpus_profile(_profiles(v))
 
 
-@query("pages_", "SELECT kind, count(page) AS documents, round(100.0 * count(page) / count(*), 2) AS pct FROM (SELECT unnest([" + ", ".join(f"'{k}'" for k in _REQ) + f"]) AS kind, unnest([f0, f1, f2, f3, f4, f5]) AS page FROM ({_PROFILE}) p) x GROUP BY kind")
+@query(
+    "pages_",
+    "SELECT kind, count(page) AS documents, round(100.0 * count(page) / count(*), 2) AS pct FROM (SELECT unnest([" + ", ".join(f"'{k}'" for k in _REQ) + f"]) AS kind, unnest([f0, f1, f2, f3, f4, f5]) AS page FROM ({_PROFILE}) p) x GROUP BY kind",
+)
 def a8_requirement_frequency(v: Views) -> DataFrame:
     return profile.requirement_frequency(_profiles(v), list(_REQ))
 
 
-@query("pages_", f"SELECT count(*) AS readings, CAST(sum(p.pages) AS BIGINT) AS all_pages, CAST(sum(r.n) AS BIGINT) AS pages_read, count(*) FILTER (r.route = 'anexos') AS by_annex, round(CAST(sum(p.pages) AS DOUBLE) / sum(r.n), 2) AS times_fewer FROM (SELECT doc_id, min(route) AS route, count(page_no) AS n FROM ({_LOCATED}) l GROUP BY doc_id HAVING count(page_no) > 0) r JOIN ({_PROFILE}) p USING (doc_id)")
+@query(
+    "pages_",
+    f"SELECT count(*) AS readings, CAST(sum(p.pages) AS BIGINT) AS all_pages, CAST(sum(r.n) AS BIGINT) AS pages_read, "
+    f"count(*) FILTER (r.route = 'anexos') AS by_annex, round(CAST(sum(p.pages) AS DOUBLE) / sum(r.n), 2) AS times_fewer "
+    f"FROM (SELECT doc_id, min(route) AS route, count(page_no) AS n FROM ({_LOCATED}) l GROUP BY doc_id "
+    f"HAVING count(page_no) > 0) r JOIN ({_PROFILE}) p USING (doc_id)",
+)
 def a10_work_saved(v: Views) -> DataFrame:
     readings = _located(v).groupBy("doc_id").agg(F.min("route").alias("route"), F.collect_list("page_no").alias("pages")).withColumn("state", F.lit("leido"))
     return metrics.work_saved(readings, _profiles(v))
@@ -246,14 +351,30 @@ def _answers(v: Views) -> DataFrame:
     item = F.struct(F.when(F.col("ref") == 20, 99).otherwise(F.col("ref")).alias("ref"), decision.alias("decision"), F.col("o_orderpriority").alias("motivo"))
     calls = rows.where("ref <> 7").groupBy("call_id").agg(F.array_sort(F.collect_list(item)).alias("d"))
     body = F.concat(F.lit('{"decisiones": '), F.to_json(F.col("d")), F.lit("}"))
-    return calls.select("call_id", F.when(F.col("call_id") % 9 == 0, F.lit("lo siento")).when(F.col("call_id") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body).alias("body"))
+    return calls.select(
+        "call_id",
+        F.when(F.col("call_id") % 9 == 0, F.lit("lo siento")).when(
+            F.col("call_id") % 2 == 0,
+            F.concat(F.lit("```json\n"), body, F.lit("\n```")),
+        ).otherwise(body).alias("body"),
+    )
 
 
 def _expected(v: Views) -> DataFrame:
-    return v.table("orders").select(F.lit("Empresa A").alias("alias"), F.col("o_orderkey").alias("entry_id"), F.floor(F.col("o_orderkey") / 20).alias("call_id"), (F.col("o_orderkey") % 20 + 1).alias("ref"))
-
-
-_DECISIONS = "SELECT o_orderkey // 20 AS call_id, CASE WHEN o_orderkey % 20 = 19 THEN 99 ELSE o_orderkey % 20 + 1 END AS ref, CASE o_orderstatus WHEN 'F' THEN 'si' WHEN 'P' THEN 'duda' ELSE 'no' END AS decision, o_orderpriority AS reason FROM orders WHERE o_orderkey % 20 <> 6 AND NOT (o_orderkey % 20 = 2 AND o_orderstatus NOT IN ('F', 'P')) AND (o_orderkey // 20) % 9 > 0"
+    return v.table("orders").select(
+        F.lit("Empresa A").alias("alias"),
+        F.col("o_orderkey").alias("entry_id"),
+        F.floor(F.col("o_orderkey") / 20).alias("call_id"),
+        (F.col("o_orderkey") % 20 + 1).alias("ref"),
+    )
+
+
+_DECISIONS = (
+    "SELECT o_orderkey // 20 AS call_id, CASE WHEN o_orderkey % 20 = 19 THEN 99 ELSE o_orderkey % 20 + 1 END AS ref, "
+    "CASE o_orderstatus WHEN 'F' THEN 'si' WHEN 'P' THEN 'duda' ELSE 'no' END AS decision, o_orderpriority AS reason "
+    "FROM orders WHERE o_orderkey % 20 <> 6 AND NOT (o_orderkey % 20 = 2 AND o_orderstatus NOT IN ('F', 'P')) "
+    "AND (o_orderkey // 20) % 9 > 0"
+)
 
 
 @query("", _DECISIONS)
@@ -261,18 +382,37 @@ def t2_parse_decisions(v: Views) -> DataFrame:
     return triage.parse_decisions(_answers(v))
 
 
-@query("", f"SELECT o.o_orderkey AS entry_id, coalesce(d.decision, 'revisar') AS decision, coalesce(d.reason, 'sin respuesta') AS reason FROM orders o LEFT JOIN ({_DECISIONS}) d ON d.call_id = o.o_orderkey // 20 AND d.ref = o.o_orderkey % 20 + 1")
+@query(
+    "",
+    f"SELECT o.o_orderkey AS entry_id, coalesce(d.decision, 'revisar') AS decision, coalesce(d.reason, "
+    f"'sin respuesta') AS reason FROM orders o LEFT JOIN ({_DECISIONS}) d ON d.call_id = o.o_orderkey // 20 "
+    f"AND d.ref = o.o_orderkey % 20 + 1",
+)
 def t3_triage_rows(v: Views) -> DataFrame:
     return triage.triage_rows(_expected(v), triage.parse_decisions(_answers(v))).select("entry_id", "decision", "reason")
 
 
-@query("", f"SELECT coalesce(a.call_id, d.call_id) AS call_id, count(*) FILTER (d.ref IS NULL) AS missing, count(*) FILTER (a.ref IS NULL) AS invented, bool_or(coalesce(a.call_id, d.call_id) % 9 = 0) AS unreadable FROM (SELECT o_orderkey // 20 AS call_id, o_orderkey % 20 + 1 AS ref FROM orders) a FULL JOIN ({_DECISIONS}) d ON d.call_id = a.call_id AND d.ref = a.ref GROUP BY 1")
+@query(
+    "",
+    f"SELECT coalesce(a.call_id, d.call_id) AS call_id, count(*) FILTER (d.ref IS NULL) AS missing, "
+    f"count(*) FILTER (a.ref IS NULL) AS invented, bool_or(coalesce(a.call_id, d.call_id) % 9 = 0) AS unreadable "
+    f"FROM (SELECT o_orderkey // 20 AS call_id, o_orderkey % 20 + 1 AS ref FROM orders) a FULL JOIN ({_DECISIONS}) d "
+    f"ON d.call_id = a.call_id AND d.ref = a.ref GROUP BY 1",
+)
 def t4_triage_health(v: Views) -> DataFrame:
     answers = _answers(v)
     return triage.triage_health(_expected(v), answers, triage.parse_decisions(answers))
 
 
-@query("", "SELECT alias, batch, n, md5(message) AS digest FROM (SELECT c_mktsegment AS alias, batch, count(*) AS n, CASE WHEN count(*) = 1 THEN 'Esta es la licitación:' ELSE 'Estas son las ' || CAST(count(*) AS VARCHAR) || ' licitaciones:' END || chr(10) || chr(10) || string_agg('[' || CAST(ref AS VARCHAR) || ']' || chr(10) || c_name, chr(10) || chr(10) ORDER BY ref) AS message FROM (SELECT *, (r - 1) // 20 AS batch, (r - 1) % 20 + 1 AS ref FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r FROM customer) a) b GROUP BY 1, 2) x")
+@query(
+    "",
+    "SELECT alias, batch, n, md5(message) AS digest FROM (SELECT c_mktsegment AS alias, batch, count(*) AS n, CASE "
+    "WHEN count(*) = 1 THEN 'Esta es la licitación:' "
+    "ELSE 'Estas son las ' || CAST(count(*) AS VARCHAR) || ' licitaciones:' END || chr(10) || chr(10) || string_agg('[' || CAST(ref AS VARCHAR) || ']' || chr(10) || c_name, "
+    "chr(10) || chr(10) ORDER BY ref) AS message FROM (SELECT *, (r - 1) // 20 AS batch, (r - 1) % 20 + 1 AS ref "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r FROM customer) a) b GROUP BY 1, "
+    "2) x",
+)
 def t1_build_prompts(v: Views) -> DataFrame:
     from ..operators.queues import batch_for_model, placed
 
@@ -282,7 +422,12 @@ def t1_build_prompts(v: Views) -> DataFrame:
     return rows.select("alias", "batch", "n", F.md5("message").alias("digest"))
 
 
-@query("first_versions", "SELECT entry_id, 'Objeto: ' || object || chr(10) || 'Órgano: ' || CAST(organ AS VARCHAR) || chr(10) || 'CPV: ' || code || chr(10) || 'Tipo: (sin tipo)' AS shown FROM first_versions")
+@query(
+    "first_versions",
+    "SELECT entry_id, "
+    "'Objeto: ' || object || chr(10) || 'Órgano: ' || CAST(organ AS VARCHAR) || chr(10) || 'CPV: ' || code || chr(10) || 'Tipo: (sin tipo)' AS shown "
+    "FROM first_versions",
+)
 def p11_triage_projection(v: Views) -> DataFrame:
     rows = versions.as_published(v.notices).withColumns({"organ": F.col("organ").cast("string"), "contract_type": F.lit(None).cast("string")})
     return silver.triage_projection(rows, ["entry_id"])
@@ -293,13 +438,21 @@ def p12_state_labels(v: Views) -> DataFrame:
     return silver.state_labels(v.table("orders"), "o_orderstatus", {"F": "finished", "O": "open"}).select("o_orderkey", "state_label")
 
 
-@query("pages_", r"SELECT count(*) AS texts, count(*) FILTER (regexp_matches(text, '(?i)\d[\d.,]*\s*(€|euros|EUR)|\d+(,\d+)?\s*(veces|x)\b')) AS with_figure, count(*) FILTER (regexp_matches(text, '(?i)licensed|anexo')) AS defers FROM pages_")
+@query(
+    "pages_",
+    r"SELECT count(*) AS texts, count(*) FILTER (regexp_matches(text, "
+    r"'(?i)\d[\d.,]*\s*(€|euros|EUR)|\d+(,\d+)?\s*(veces|x)\b')) AS with_figure, count(*) FILTER (regexp_matches(text, "
+    r"'(?i)licensed|anexo')) AS defers FROM pages_",
+)
 def p7_solvency_flags(v: Views) -> DataFrame:
     rows = silver.solvency_flags(v.pages, "text", deferral="(?iu)(?U)licensed|anexo")
     return rows.agg(F.count("text").alias("texts"), F.count_if("with_figure").alias("with_figure"), F.count_if("defers").alias("defers"))
 
 
-_UNESCAPED = "replace(replace(replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160)), '&amp;', '&')"
+_UNESCAPED = (
+    "replace(replace(replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', "
+    "'\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160)), '&amp;', '&')"
+)
 
 
 @query("", f"SELECT page_id, html_length, {_UNESCAPED} AS html FROM (SELECT page_id, html, length(html) AS html_length FROM pages) x")
@@ -311,7 +464,13 @@ def p10_unescape_entities(v: Views) -> DataFrame:
 # -- rules ------------------------------------------------------------------
 
 _COMPANY = "SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN 500.0 END AS turnover, 'ISO 9001' AS profile FROM documents"
-_JUDGED = f"SELECT v.doc_id, v.page, v.kind, CASE v.kind WHEN 'volumen_negocios' THEN CASE WHEN v.amount IS NULL OR c.turnover IS NULL THEN 'no_se_puede_saber' WHEN c.turnover >= v.amount THEN 'cumple' ELSE 'no_cumple' END WHEN 'certificaciones' THEN CASE WHEN v.demand = 'ISO 9001' THEN 'cumple' ELSE 'no_se_puede_saber' END WHEN 'no_se_exige' THEN 'cumple' ELSE 'no_se_puede_saber' END AS result FROM ({_VERIFIED}) v JOIN ({_COMPANY}) c USING (doc_id) WHERE v.rejected IS NULL"
+_JUDGED = (
+    f"SELECT v.doc_id, v.page, v.kind, CASE v.kind WHEN 'volumen_negocios' THEN CASE WHEN v.amount IS NULL "
+    f"OR c.turnover IS NULL THEN 'no_se_puede_saber' WHEN c.turnover >= v.amount THEN 'cumple' ELSE 'no_cumple' END "
+    f"WHEN 'certificaciones' THEN CASE WHEN v.demand = 'ISO 9001' THEN 'cumple' ELSE 'no_se_puede_saber' END "
+    f"WHEN 'no_se_exige' THEN 'cumple' ELSE 'no_se_puede_saber' END AS result FROM ({_VERIFIED}) v JOIN ({_COMPANY}) c "
+    f"USING (doc_id) WHERE v.rejected IS NULL"
+)
 
 
 def _requirements(v: Views) -> DataFrame:
@@ -319,7 +478,12 @@ def _requirements(v: Views) -> DataFrame:
 
 
 def _companies(v: Views) -> DataFrame:
-    return v.table("documents").select(F.col("doc_id").cast("string").alias("alias"), F.when(F.col("doc_id") % 4 > 0, 500.0).alias("turnover"), F.lit("registro").alias("turnover_source"), F.lit("ISO 9001").alias("profile"))
+    return v.table("documents").select(
+        F.col("doc_id").cast("string").alias("alias"),
+        F.when(F.col("doc_id") % 4 > 0, 500.0).alias("turnover"),
+        F.lit("registro").alias("turnover_source"),
+        F.lit("ISO 9001").alias("profile"),
+    )
 
 
 @query("quotes pages_", f"SELECT doc_id, CAST(page AS VARCHAR) AS page, kind, result FROM ({_JUDGED}) j")
@@ -327,7 +491,12 @@ def b2_evaluate_requirements(v: Views) -> DataFrame:
     return rules.evaluate_requirements(_requirements(v).where("rejected is null"), _companies(v)).select("doc_id", "page", "kind", "result")
 
 
-_VERDICTS = f"SELECT d.doc_id AS entry_id, CASE WHEN j.unmet > 0 THEN 'no_apta' WHEN j.all_met THEN 'apta' ELSE 'revisar' END AS verdict, coalesce(j.reasons, 0) AS reasons, coalesce(j.unmet, 0) AS unmet FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS reasons, count(*) FILTER (result = 'no_cumple') AS unmet, bool_and(result = 'cumple') AS all_met FROM ({_JUDGED}) x GROUP BY doc_id) j USING (doc_id)"
+_VERDICTS = (
+    f"SELECT d.doc_id AS entry_id, CASE WHEN j.unmet > 0 THEN 'no_apta' WHEN j.all_met THEN 'apta' "
+    f"ELSE 'revisar' END AS verdict, coalesce(j.reasons, 0) AS reasons, coalesce(j.unmet, 0) AS unmet FROM documents d LEFT "
+    f"JOIN (SELECT doc_id, count(*) AS reasons, count(*) FILTER (result = 'no_cumple') AS unmet, "
+    f"bool_and(result = 'cumple') AS all_met FROM ({_JUDGED}) x GROUP BY doc_id) j USING (doc_id)"
+)
 
 
 @query("quotes pages_", _VERDICTS)
@@ -343,13 +512,28 @@ def b3_verdict(v: Views) -> DataFrame:
     return rules.verdict(readings, judged).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("quotes pages_", f"SELECT doc_id, 'De ' || CAST(n AS VARCHAR) || CASE WHEN n = 1 THEN ' requisito: ' ELSE ' requisitos: ' END || concat_ws('; ', CASE WHEN a = 1 THEN '1 se cumple' WHEN a > 1 THEN CAST(a AS VARCHAR) || ' se cumplen' END, CASE WHEN b = 1 THEN '1 no se cumple' WHEN b > 1 THEN CAST(b AS VARCHAR) || ' no se cumplen' END, CASE WHEN n - a - b = 1 THEN '1 no se puede saber' WHEN n - a - b > 1 THEN CAST(n - a - b AS VARCHAR) || ' no se pueden saber' END) AS summary FROM (SELECT doc_id, count(*) AS n, count(*) FILTER (result = 'cumple') AS a, count(*) FILTER (result = 'no_cumple') AS b FROM ({_JUDGED}) j GROUP BY doc_id) x")
+@query(
+    "quotes pages_",
+    f"SELECT doc_id, 'De ' || CAST(n AS VARCHAR) || CASE WHEN n = 1 THEN ' requisito: ' "
+    f"ELSE ' requisitos: ' END || concat_ws('; ', CASE WHEN a = 1 THEN '1 se cumple' "
+    f"WHEN a > 1 THEN CAST(a AS VARCHAR) || ' se cumplen' END, CASE WHEN b = 1 THEN '1 no se cumple' "
+    f"WHEN b > 1 THEN CAST(b AS VARCHAR) || ' no se cumplen' END, CASE WHEN n - a - b = 1 THEN '1 no se puede saber' "
+    f"WHEN n - a - b > 1 THEN CAST(n - a - b AS VARCHAR) || ' no se pueden saber' END) AS summary FROM (SELECT doc_id, "
+    f"count(*) AS n, count(*) FILTER (result = 'cumple') AS a, count(*) FILTER (result = 'no_cumple') AS b "
+    f"FROM ({_JUDGED}) j GROUP BY doc_id) x",
+)
 def r3_reason_summary(v: Views) -> DataFrame:
     judged = rules.evaluate_requirements(_requirements(v).where("rejected is null"), _companies(v))
     return reports.reason_summary(judged).select(F.col("entry_id").alias("doc_id"), "summary")
 
 
-@query("", r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text || ' ISO ' || CAST(9000 + doc_id % 5 AS VARCHAR) || ' y EMAS', 'ISO[\s/]*(\d{4,5})', 1), lambda x: 'ISO ' || x) || ['EMAS'] || CASE WHEN regexp_matches(text, '(?i)Esquema Nacional de Seguridad|ENS') THEN ['ENS'] ELSE [] END)), ',') AS found FROM documents")
+@query(
+    "",
+    r"SELECT doc_id, "
+    r"array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text || ' ISO ' || CAST(9000 + doc_id % 5 AS VARCHAR) || ' y EMAS', "
+    r"'ISO[\s/]*(\d{4,5})', 1), lambda x: 'ISO ' || x) || ['EMAS'] || CASE WHEN regexp_matches(text, "
+    r"'(?i)Esquema Nacional de Seguridad|ENS') THEN ['ENS'] ELSE [] END)), ',') AS found FROM documents",
+)
 def b1_certifications(v: Views) -> DataFrame:
     text = F.concat("text", F.lit(" ISO "), (9000 + F.col("doc_id") % 5).cast("string"), F.lit(" y EMAS"))
     return v.table("documents").select("doc_id", F.array_join(rules.certifications(text), ",").alias("found"))
@@ -364,12 +548,20 @@ def _feed(v: Views) -> DataFrame:
     code = F.concat(F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lit("000000"))
     xml = F.concat(
         F.lit("<entry><id>"), F.col("o_orderkey").cast("string"), F.lit("</id><updated>"), F.when(F.col("o_orderkey") % 13 == 0, F.lit("ayer")).otherwise(date), F.lit("</updated><title>  Obra &amp;\n a&#241;o &ntilde; &#x41; "), F.col("o_orderpriority"),
-        F.lit("</title><cbc-place-ext:ContractFolderStatusCode languageID=\"es\">"), F.col("o_orderstatus"), F.lit("</cbc-place-ext:ContractFolderStatusCode><cac:ProcurementProject><cbc:TaxExclusiveAmount currencyID=\"EUR\">"), F.col("o_totalprice").cast("decimal(14,2)").cast("string"),
-        F.lit("</cbc:TaxExclusiveAmount><cbc:ItemClassificationCode>"), code, F.lit("</cbc:ItemClassificationCode></cac:ProcurementProject><cac:ProcurementProjectLot><cbc:ID>1</cbc:ID><cbc:ItemClassificationCode>99000000</cbc:ItemClassificationCode></cac:ProcurementProjectLot></entry>"),
+        F.lit("</title><cbc-place-ext:ContractFolderStatusCode languageID=\"es\">"), F.col("o_orderstatus"), F.lit(
+            "</cbc-place-ext:ContractFolderStatusCode><cac:ProcurementProject><cbc:TaxExclusiveAmount currencyID=\"EUR\">",
+        ), F.col("o_totalprice").cast("decimal(14,2)").cast("string"),
+        F.lit("</cbc:TaxExclusiveAmount><cbc:ItemClassificationCode>"), code, F.lit(
+            "</cbc:ItemClassificationCode></cac:ProcurementProject><cac:ProcurementProjectLot><cbc:ID>1</cbc:ID><cbc:ItemClassificationCode>99000000</cbc:ItemClassificationCode></cac:ProcurementProjectLot></entry>",
+        ),
     )
     rows = v.table("orders").select(F.col("o_custkey").alias("file"), F.struct("o_orderkey", xml.alias("x")).alias("e"))
     pages = rows.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["x"]), "\n").alias("body"))
-    gone = F.concat(F.lit('<at:deleted-entry ref="'), F.col("file").cast("string"), F.lit('" when="2024-01-02T03:04:05+01:00"><at:comment type="ANULADA"/></at:deleted-entry>'))
+    gone = F.concat(
+        F.lit('<at:deleted-entry ref="'),
+        F.col("file").cast("string"),
+        F.lit('" when="2024-01-02T03:04:05+01:00"><at:comment type="ANULADA"/></at:deleted-entry>'),
+    )
     link = F.when(F.col("file") % 2 == 0, F.concat(F.lit('<link href="p?a=1&amp;b='), F.col("file").cast("string"), F.lit('" rel="next"/>'))).otherwise("")
     return pages.select(F.col("file").cast("string").alias("file"), F.concat(F.lit("<feed>"), link, gone, "body", F.lit("</feed>")).alias("body"))
 
@@ -384,12 +576,20 @@ def s2_read_tombstones(v: Views) -> DataFrame:
     return feed.tombstones_of(_feed(v)).drop("file")
 
 
-@query("", "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS file, CASE WHEN o_custkey % 2 = 0 THEN 'p?a=1&b=' || CAST(o_custkey AS VARCHAR) END AS next_page FROM orders")
+@query(
+    "",
+    "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS file, CASE "
+    "WHEN o_custkey % 2 = 0 THEN 'p?a=1&b=' || CAST(o_custkey AS VARCHAR) END AS next_page FROM orders",
+)
 def s3_next_page_links(v: Views) -> DataFrame:
     return feed.next_page_links(_feed(v))
 
 
-@query("", "SELECT CAST(o_custkey AS VARCHAR) AS file, CAST(3 AS INTEGER) AS position, CASE WHEN count(*) < 4 THEN 'position out of range' END AS error FROM orders GROUP BY o_custkey")
+@query(
+    "",
+    "SELECT CAST(o_custkey AS VARCHAR) AS file, CAST(3 AS INTEGER) AS position, CASE "
+    "WHEN count(*) < 4 THEN 'position out of range' END AS error FROM orders GROUP BY o_custkey",
+)
 def s5_fetch_original(v: Views) -> DataFrame:
     pages = _feed(v)
     pointers = pages.select("file", F.lit(3).alias("position"))
@@ -400,9 +600,22 @@ def _parsed(v: Views) -> DataFrame:
     return silver.parse_notices(feed.entries_of(_feed(v)))
 
 
-@query("", "SELECT CAST(o_orderkey AS VARCHAR) AS entry_id, CASE WHEN o_orderkey % 13 > 0 THEN o_orderdate - INTERVAL 1 HOUR END AS entry_updated, 'Obra & año ñ A ' || o_orderpriority AS object, o_orderstatus AS state, lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || '000000' AS code, round(o_totalprice, 2) AS amount FROM orders")
+@query(
+    "",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS entry_id, CASE "
+    "WHEN o_orderkey % 13 > 0 THEN o_orderdate - INTERVAL 1 HOUR END AS entry_updated, "
+    "'Obra & año ñ A ' || o_orderpriority AS object, o_orderstatus AS state, lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, "
+    "'0') || '000000' AS code, round(o_totalprice, 2) AS amount FROM orders",
+)
 def p1_parse_notices(v: Views) -> DataFrame:
-    return _parsed(v).select("entry_id", "entry_updated", "object", "state", F.array_join("cpv", ",").alias("code"), F.col("amount").cast("double").alias("amount"))
+    return _parsed(v).select(
+        "entry_id",
+        "entry_updated",
+        "object",
+        "state",
+        F.array_join("cpv", ",").alias("code"),
+        F.col("amount").cast("double").alias("amount"),
+    )
 
 
 @query("", "SELECT lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || '000000' AS code, count(*) AS n FROM orders GROUP BY 1")
@@ -420,27 +633,51 @@ def p8_quarantine_split(v: Views) -> DataFrame:
     return silver.quarantine_split(_parsed(v))[1].select("entry_id", "reason")
 
 
-@query("versions", f"SELECT entry_id, entry_updated FROM versions WHERE entry_updated BETWEEN TIMESTAMP '{FIRST}' AND TIMESTAMP '{LAST}' OR (state = 'F' AND entry_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'))")
+@query(
+    "versions",
+    f"SELECT entry_id, entry_updated FROM versions WHERE entry_updated BETWEEN TIMESTAMP '{FIRST}' AND TIMESTAMP '{LAST}' "
+    f"OR (state = 'F' AND entry_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'))",
+)
 def p9_in_study_window(v: Views) -> DataFrame:
     known = v.table("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("entry_id"))
     return silver.in_study_window(v.versions, known, FIRST, LAST, F.col("state") == "F").select("entry_id", "entry_updated")
 
 
-@query("", "SELECT c_custkey, kind, url FROM (SELECT c_custkey, 'PCAP' AS kind, 'http://a/' || CAST(c_nationkey AS VARCHAR) AS url FROM customer UNION SELECT c_custkey, 'anexo', 'http://b?x=1&y=' || c_mktsegment FROM customer WHERE c_acctbal > 0) x")
+@query(
+    "",
+    "SELECT c_custkey, kind, url FROM (SELECT c_custkey, 'PCAP' AS kind, "
+    "'http://a/' || CAST(c_nationkey AS VARCHAR) AS url FROM customer UNION SELECT c_custkey, 'anexo', "
+    "'http://b?x=1&y=' || c_mktsegment FROM customer WHERE c_acctbal > 0) x",
+)
 def p4_explode_documents(v: Views) -> DataFrame:
     annex = F.concat(F.lit("http://b?x=1&amp;y="), "c_mktsegment")
-    rows = v.table("customer").select("c_custkey", F.concat(F.lit("http://a/"), F.col("c_nationkey").cast("string")).alias("pcap"), F.lit(None).cast("string").alias("ppt"), F.when(F.col("c_acctbal") > 0, F.array(annex, annex)).alias("annexes"))
+    rows = v.table("customer").select(
+        "c_custkey",
+        F.concat(F.lit("http://a/"), F.col("c_nationkey").cast("string")).alias("pcap"),
+        F.lit(None).cast("string").alias("ppt"),
+        F.when(F.col("c_acctbal") > 0, F.array(annex, annex)).alias("annexes"),
+    )
     return silver.explode_documents(rows, ["c_custkey"])
 
 
-@query("", rf"SELECT page_id, trim(regexp_replace(regexp_replace({_UNESCAPED}, '<[^>]+>', ' ', 'g'), '[\s\x0B' || chr(160) || ']+', ' ', 'g')) AS text FROM pages")
+@query(
+    "",
+    rf"SELECT page_id, trim(regexp_replace(regexp_replace({_UNESCAPED}, '<[^>]+>', ' ', 'g'), '[\s\x0B' || chr(160) || ']+', "
+    rf"' ', 'g')) AS text FROM pages",
+)
 def p6_solvency_text(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", silver.solvency_text(F.col("html")).alias("text"))
 
 
 @query("", "SELECT CAST(o_orderkey AS VARCHAR) AS entry_id, 'B' || CAST(o_custkey AS VARCHAR) AS winner FROM orders WHERE o_orderkey % 3 > 0")
 def p5_extract_awards(v: Views) -> DataFrame:
-    rows = v.table("orders").select(F.col("o_orderkey").cast("string").alias("entry_id"), F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("B"), F.col("o_custkey").cast("string"))).alias("winner"), F.lit("Firma").alias("winner_name"), F.lit(True).alias("sme"), F.col("o_totalprice").alias("amount"))
+    rows = v.table("orders").select(
+        F.col("o_orderkey").cast("string").alias("entry_id"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("B"), F.col("o_custkey").cast("string"))).alias("winner"),
+        F.lit("Firma").alias("winner_name"),
+        F.lit(True).alias("sme"),
+        F.col("o_totalprice").alias("amount"),
+    )
     return silver.extract_awards(rows, ["entry_id"], "sal").select("entry_id", "winner")
 
 
@@ -454,7 +691,11 @@ def st4_advance_cursor(v: Views) -> DataFrame:
     return advance_cursor(v.versions, v.versions.select(F.col("entry_updated").alias("cursor")).where("entry_updated < timestamp '2000-01-01'"), complete=True)
 
 
-@query("versions", "SELECT entry_id, entry_updated FROM (SELECT *, max(entry_updated) OVER (PARTITION BY entry_id) AS m FROM versions) x WHERE entry_updated < m")
+@query(
+    "versions",
+    "SELECT entry_id, entry_updated FROM (SELECT *, max(entry_updated) OVER (PARTITION BY entry_id) AS m FROM versions) x "
+    "WHERE entry_updated < m",
+)
 def st5_late_versions(v: Views) -> DataFrame:
     from ..streaming.ingest import late_versions
 

@@ -35,7 +35,12 @@ def tombstones_of(pages: DataFrame) -> DataFrame:
     ended = F.filter(F.slice(after, 2, F.size(after)), lambda x: F.contains(x, F.lit("</at:deleted-entry>")))
     found = pages.select("file", F.explode(F.transform(ended, lambda x: F.substring_index(x, "</at:deleted-entry>", 1))).alias("t"))
     tag, comment = F.substring_index("t", ">", 1), F.substring_index(F.try_element_at(F.split("t", r"<at:comment\s"), F.lit(2)), ">", 1)
-    rows = found.select("file", attribute(tag, "ref").alias("entry_id"), F.try_to_timestamp(attribute(tag, "when")).alias("deleted_at"), attribute(comment, "type").alias("reason"))
+    rows = found.select(
+        "file",
+        attribute(tag, "ref").alias("entry_id"),
+        F.try_to_timestamp(attribute(tag, "when")).alias("deleted_at"),
+        attribute(comment, "type").alias("reason"),
+    )
     return rows.where("entry_id is not null")
 
 

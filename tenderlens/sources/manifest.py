@@ -20,7 +20,13 @@ def extension(content: Column, kind: Column) -> Column:
 
 def file_manifest(files: DataFrame, kind: Column) -> DataFrame:
     """(sha256, path, bytes, extension, kind): the same content once, under its first path."""
-    rows = files.select(F.sha2("content", 256).alias("sha256"), "path", F.octet_length("content").cast("long").alias("bytes"), extension(F.col("content"), kind).alias("extension"), kind.alias("kind"))
+    rows = files.select(
+        F.sha2("content", 256).alias("sha256"),
+        "path",
+        F.octet_length("content").cast("long").alias("bytes"),
+        extension(F.col("content"), kind).alias("extension"),
+        kind.alias("kind"),
+    )
     least = F.min_by(F.struct("path", "bytes", "extension", "kind"), "path").alias("f")
     return rows.groupBy("sha256").agg(least).select("sha256", "f.*")
 

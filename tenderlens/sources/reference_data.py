@@ -12,7 +12,10 @@ from ..operators.codes import code_prefix
 def read_cpv_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(code, description) of a genericode file; an error where it holds no row with both."""
     rows = spark.read.text(path, wholetext=True).select(F.explode(blocks(F.col("value"), "Row")).alias("row"))
-    cell = lambda name: F.try_element_at(F.filter(F.split("row", r"<Value\s"), lambda x: attribute(F.substring_index(x, ">", 1), "ColumnRef") == name), F.lit(1))
+    cell = lambda name: F.try_element_at(
+        F.filter(F.split("row", r"<Value\s"), lambda x: attribute(F.substring_index(x, ">", 1), "ColumnRef") == name),
+        F.lit(1),
+    )
     value = lambda name: given(F.trim(unescape(first_block(cell(name), "SimpleValue"))))
     found = rows.select(value("code").alias("code"), value("nombre").alias("description")).where("code is not null and description is not null")
     if found.isEmpty():
@@ -38,4 +41,10 @@ def profiles(files: DataFrame) -> DataFrame:
     letter = F.regexp_extract("name", r"^perfil_empresa_(\w+)\.md$", 1)
     section = F.regexp_extract("text", r"(?ms)^##\s*Fuentes[^\n]*\n(.*?)(?=^##|\z)", 1)
     sources = F.transform(F.regexp_extract_all(section, F.lit(r"(?m)^[-*]\s+(.+)$"), 1), lambda x: F.trim(x))
-    return files.where(letter != "").select(F.concat(F.lit("Empresa "), F.upper(letter)).alias("alias"), "text", F.sha2("text", 256).alias("sha256"), sources.alias("sources"), F.when(F.size(sources) == 0, "no sources").alias("error"))
+    return files.where(letter != "").select(
+        F.concat(F.lit("Empresa "), F.upper(letter)).alias("alias"),
+        "text",
+        F.sha2("text", 256).alias("sha256"),
+        sources.alias("sources"),
+        F.when(F.size(sources) == 0, "no sources").alias("error"),
+    )

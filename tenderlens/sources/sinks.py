@@ -39,7 +39,14 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], mode: str, ord
 
 def apply_outcomes(docs: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Documents after a download pass: a readable file is descargado, an unreadable one ilegible and kept, a failure error and queued again."""
-    o = outcomes.select("doc_id", F.col("ok").alias("__ok"), F.col("readable").alias("__readable"), F.col("sha256").alias("__sha"), F.col("reason").alias("__reason"), F.col("at").alias("__at"))
+    o = outcomes.select(
+        "doc_id",
+        F.col("ok").alias("__ok"),
+        F.col("readable").alias("__readable"),
+        F.col("sha256").alias("__sha"),
+        F.col("reason").alias("__reason"),
+        F.col("at").alias("__at"),
+    )
     tried = F.col("__ok").isNotNull()
     state = F.when(~tried, F.col("state")).when(~F.col("__ok"), "error").when(F.col("__readable"), "descargado").otherwise("ilegible")
     return (

@@ -57,7 +57,12 @@ def dedupe_versions(stream: DataFrame, lateness: str = "30 days") -> DataFrame:
     return stream.withWatermark("entry_updated", lateness).dropDuplicatesWithinWatermark(KEYS)
 
 
-CURRENT = StructType([StructField("entry_id", StringType()), StructField("entry_updated", TimestampType()), StructField("state", StringType()), StructField("withdrawn", BooleanType())])
+CURRENT = StructType([
+    StructField("entry_id", StringType()),
+    StructField("entry_updated", TimestampType()),
+    StructField("state", StringType()),
+    StructField("withdrawn", BooleanType()),
+])
 HELD = StructType([StructField("entry_updated", TimestampType()), StructField("state", StringType()), StructField("withdrawn", BooleanType())])
 
 
@@ -77,7 +82,12 @@ class CurrentState(StatefulProcessor):
                 if updated is None or (last["entry_updated"], last["state"]) > (pd.Timestamp(updated), state):
                     updated, state = last["entry_updated"].to_pydatetime(), last["state"]
         self.held.update((updated, state, gone))
-        yield pd.DataFrame({"entry_id": [key[0]], "entry_updated": [pd.Timestamp(updated) if updated is not None else pd.NaT], "state": [state], "withdrawn": [gone]})
+        yield pd.DataFrame({
+            "entry_id": [key[0]],
+            "entry_updated": [pd.Timestamp(updated) if updated is not None else pd.NaT],
+            "state": [state],
+            "withdrawn": [gone],
+        })
 
     def close(self) -> None:
         pass
@@ -105,7 +115,10 @@ def late_versions(batch: DataFrame, silver: DataFrame) -> DataFrame:
 
 def spend_stream(calls: DataFrame, lateness: str = "2 days") -> DataFrame:
     """Running calls and cost per company and Madrid day of a stream (alias, called_at, cost)."""
-    return calls.withWatermark("called_at", lateness).groupBy("alias", madrid_day(F.col("called_at")).alias("day")).agg(F.count(F.lit(1)).alias("calls"), F.sum("cost").alias("cost"))
+    return calls.withWatermark("called_at", lateness).groupBy("alias", madrid_day(F.col("called_at")).alias("day")).agg(
+        F.count(F.lit(1)).alias("calls"),
+        F.sum("cost").alias("cost"),
+    )
 
 
 def run_to_end(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> None:

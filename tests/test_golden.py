@@ -18,7 +18,13 @@ NOTICES = "entry_id string, entry_updated timestamp, tie long, cpv array<string>
 @pytest.fixture(scope="module")
 def scenario(spark):
     """Five notices over four days; A won three, of which two have code 72."""
-    rows = [("n1", day("2025-01-01"), 1, ["72000000"], "a"), ("n2", day("2025-01-02"), 1, ["48000000"], "b"), ("n3", day("2025-01-02"), 1, ["30000000"], "c"), ("n4", day("2025-01-03"), 1, ["45000000"], "d"), ("n5", day("2025-01-04"), 1, ["72100000"], "e")]
+    rows = [
+        ("n1", day("2025-01-01"), 1, ["72000000"], "a"),
+        ("n2", day("2025-01-02"), 1, ["48000000"], "b"),
+        ("n3", day("2025-01-02"), 1, ["30000000"], "c"),
+        ("n4", day("2025-01-03"), 1, ["45000000"], "d"),
+        ("n5", day("2025-01-04"), 1, ["72100000"], "e"),
+    ]
     won = [("A", "n1"), ("A", "n2"), ("A", "n3")]
     return spark.createDataFrame(rows, NOTICES), spark.createDataFrame(won, "alias string, entry_id string")
 
@@ -38,7 +44,12 @@ def test_recall_and_volume(spark, scenario):
 
 
 def test_filters_judge_the_first_version_and_wins_any_before_the_cutoff(spark):
-    rows = [("n1", day("2025-01-01"), 1, ["45000000"], "a"), ("n1", day("2025-01-05"), 1, ["72000000"], "a"), ("n2", day("2024-12-31"), 1, ["72000000"], "b"), ("n2", day("2025-01-09"), 1, ["72000000"], "b")]
+    rows = [
+        ("n1", day("2025-01-01"), 1, ["45000000"], "a"),
+        ("n1", day("2025-01-05"), 1, ["72000000"], "a"),
+        ("n2", day("2024-12-31"), 1, ["72000000"], "b"),
+        ("n2", day("2025-01-09"), 1, ["72000000"], "b"),
+    ]
     notices = spark.createDataFrame(rows, NOTICES)
     assert [(r.entry_id, r.cpv) for r in versions.as_published(notices, "2025-01-01", "2025-02-01").collect()] == [("n1", ["45000000"])]
     assert {r.entry_id: r.cpv for r in versions.latest_versions(notices).collect()} == {"n1": ["72000000"], "n2": ["72000000"]}
@@ -68,20 +79,55 @@ def test_code_prefixes(spark, code, prefix):
 
 def test_seed_codes_meet_profile_words(spark):
     text = "# P\n\n## 1. Qué hace\n\nDesarrollo de programación y páginas web; empresa de servicios.\n\n## 2. Busca\n\nSistemas informáticos\n\n## 3. Otros\n\nmadera carpintería\n"
-    profiles = spark.createDataFrame([("A", text)], "alias string, text string").select("alias", codes.profile_terms(codes.useful_sections(F.col("text"))).alias("terms"))
+    profiles = spark.createDataFrame([("A", text)], "alias string, text string").select(
+        "alias",
+        codes.profile_terms(codes.useful_sections(F.col("text"))).alias("terms"),
+    )
     assert set(profiles.first().terms) == {"desarrollo", "programacion", "paginas", "busca", "sistemas", "informaticos"} - {"busca"}
-    rows = [("48000000", "Paquetes de software y sistemas de información"), ("72000000", "Servicios TI: programación"), ("45000000", "Trabajos de construcción"), ("03000000", "Madera"), ("72200001", "Sistemas")]
-    assert sorted(r.code for r in codes.seed_codes(profiles, spark.createDataFrame(rows, "code string, description string")).collect()) == ["48000000", "72000000"]
-
-
-@pytest.mark.parametrize(("text", "value"), [("1.00", 1.0), ("850.000", 850000.0), ("1.234,56", 1234.56), ("0,50", 0.5), ("0.07", 0.07), (" 1 200 ", 1200.0), ("lo que sea", None), ("", None), (None, None), ("1.234.567", 1234567.0), (".500", 0.5)])
+    rows = [
+        ("48000000", "Paquetes de software y sistemas de información"),
+        ("72000000", "Servicios TI: programación"),
+        ("45000000", "Trabajos de construcción"),
+        ("03000000", "Madera"),
+        ("72200001", "Sistemas"),
+    ]
+    assert sorted(r.code for r in codes.seed_codes(
+        profiles,
+        spark.createDataFrame(rows, "code string, description string"),
+    ).collect()) == ["48000000", "72000000"]
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("1.00", 1.0),
+        ("850.000", 850000.0),
+        ("1.234,56", 1234.56),
+        ("0,50", 0.5),
+        ("0.07", 0.07),
+        (" 1 200 ", 1200.0),
+        ("lo que sea", None),
+        ("", None),
+        (None, None),
+        ("1.234.567", 1234567.0),
+        (".500", 0.5),
+    ],
+)
 def test_spanish_numbers(spark, text, value):
     assert spark.createDataFrame([(text,)], "t string").select(spanish_number(F.col("t")).alias("v")).first().v == value
 
 
 def test_text_functions(spark):
     df = spark.createDataFrame([("  Économía ñandú \n x ", 1234.5, "2026-09-04T13:09:10.007+02:00", "Sí")], "t string, n double, d string, f string")
-    row = df.select(strip_accents(F.col("t")).alias("a"), collapse(F.col("t")).alias("b"), euros(F.col("n"), 2).alias("c"), instant(F.col("d")).alias("d"), flag(F.col("f")).alias("e"), first_words(F.lit("uno dos tres"), 9).alias("g"), madrid_day(F.lit("2026-09-28 22:30:00").cast("timestamp")).alias("h")).first()
+    row = df.select(
+        strip_accents(F.col("t")).alias("a"),
+        collapse(F.col("t")).alias("b"),
+        euros(F.col("n"), 2).alias("c"),
+        instant(F.col("d")).alias("d"),
+        flag(F.col("f")).alias("e"),
+        first_words(F.lit("uno dos tres"), 9).alias("g"),
+        madrid_day(F.lit("2026-09-28 22:30:00").cast("timestamp")).alias("h"),
+    ).first()
     assert row.a == "  economia nandu \n x " and row.b == "Économía ñandú x" and row.c == "1.234,50 €" and row.d == day("2026-09-04T11:09:10.007000") and row.e and row.g == "uno dos…" and row.h == dt.date(2026, 9, 29)
 
 
@@ -97,9 +143,27 @@ def test_natural_persons(spark):
 
 
 def test_discard_reasons_in_order(spark):
-    rows = [("1", "x", 9, 9, True, True), ("U1", "x", 9, 9, True, False), ("A1", "Obras U.T.E. Norte", 9, 9, True, False), ("A2", "COMPUTER SA", 9, 9, True, False), ("A3", "x", 9, 9, False, False), ("A4", "x", 7, 7, True, False), ("A5", "x", 10, 5, True, False), ("A6", "x", 10, 6, True, False)]
+    rows = [
+        ("1", "x", 9, 9, True, True),
+        ("U1", "x", 9, 9, True, False),
+        ("A1", "Obras U.T.E. Norte", 9, 9, True, False),
+        ("A2", "COMPUTER SA", 9, 9, True, False),
+        ("A3", "x", 9, 9, False, False),
+        ("A4", "x", 7, 7, True, False),
+        ("A5", "x", 10, 5, True, False),
+        ("A6", "x", 10, 6, True, False),
+    ]
     df = spark.createDataFrame(rows, "winner string, name string, awards long, it_awards long, always_sme boolean, person boolean")
-    assert [r.reason for r in cohort.discarded(df, F.col("person")).collect()] == ["natural person", "joint venture", "joint venture", None, "not always an SME", "too few awards", "not mostly IT", None]
+    assert [r.reason for r in cohort.discarded(df, F.col("person")).collect()] == [
+        "natural person",
+        "joint venture",
+        "joint venture",
+        None,
+        "not always an SME",
+        "too few awards",
+        "not mostly IT",
+        None,
+    ]
 
 
 def test_draws_do_not_depend_on_row_order(spark):
@@ -109,11 +173,22 @@ def test_draws_do_not_depend_on_row_order(spark):
 
 
 def pages(spark, *texts):
-    return spark.createDataFrame([("d", i, t + " " + "relleno " * 8 if t is not None else "") for i, t in enumerate(texts, 1)], "doc_id string, page_no int, text string")
+    return spark.createDataFrame(
+        [("d", i, t + " " + "relleno " * 8 if t is not None else "") for i, t in enumerate(texts, 1)],
+        "doc_id string, page_no int, text string",
+    )
 
 
 def test_window_around_the_best_page(spark):
-    p = pages(spark, "Índice ..... 1 ..... 2 ..... 3 Solvencia económica", "técnica", "técnica", "nada", "Solvencia ECONÓMICA: volumen anual de negocios de 100.000 €", "nada")
+    p = pages(
+        spark,
+        "Índice ..... 1 ..... 2 ..... 3 Solvencia económica",
+        "técnica",
+        "técnica",
+        "nada",
+        "Solvencia ECONÓMICA: volumen anual de negocios de 100.000 €",
+        "nada",
+    )
     assert [r.page_no for r in evidence.anchor_window(evidence.score_pages(p)).collect()] == [5]
     assert [(r.page_no, r.route) for r in evidence.locate(p).collect()] == [(5, "solvencia")]
     assert [(r.page_no, r.route) for r in evidence.locate(pages(spark, "nada", "Cuadro resumen del contrato")).collect()] == [(2, "anexos")]
@@ -133,7 +208,15 @@ def test_annex_pages_need_a_figure(spark):
 
 def test_quotes_must_stand_on_the_page_sent(spark):
     p = spark.createDataFrame([("d", 1, "El «volumen»  anual – mínimo es de 100.000 €"), ("d", 2, "otra página")], "doc_id string, page_no int, text string")
-    cases = [("volumen_negocios", "1", "volumen» anual - mínimo es"), ("otra_cosa", "1", "volumen» anual"), ("remite", "dos", "volumen» anual"), ("remite", "2", "otra página"), ("remite", "1", "volumen"), ("remite", "1", "v" * 401), ("remite", "1", "volumen anual mínimo es")]
+    cases = [
+        ("volumen_negocios", "1", "volumen» anual - mínimo es"),
+        ("otra_cosa", "1", "volumen» anual"),
+        ("remite", "dos", "volumen» anual"),
+        ("remite", "2", "otra página"),
+        ("remite", "1", "volumen"),
+        ("remite", "1", "v" * 401),
+        ("remite", "1", "volumen anual mínimo es"),
+    ]
     reqs = spark.createDataFrame([("d", k, n, q) for k, n, q in cases], "doc_id string, kind string, page string, quote string")
     out = {(r.kind, r.page, r.quote): r.rejected for r in evidence.verify_quotes(reqs, p.where("page_no = 1"), p).collect()}
     assert [out[c] for c in cases] == [None, "unknown type", "no page", "page not sent", "quote too short", "quote too long", "quote not on page"]
@@ -148,7 +231,12 @@ def test_answers_bare_fenced_and_in_prose(spark):
     for c in "xyz":
         assert {(r.ref, r.decision, r.reason) for r in parsed.where(F.col("call_id") == c).collect()} == {(1, "si", "a"), (9, "duda", "c")}
     expected = spark.createDataFrame([("A", i, c, i) for c in "xw" for i in (1, 2)], "alias string, entry_id long, call_id string, ref long")
-    assert sorted((r.call_id, r.ref, r.decision) for r in triage.triage_rows(expected, parsed).collect()) == [("w", 1, "revisar"), ("w", 2, "revisar"), ("x", 1, "si"), ("x", 2, "revisar")]
+    assert sorted((r.call_id, r.ref, r.decision) for r in triage.triage_rows(expected, parsed).collect()) == [
+        ("w", 1, "revisar"),
+        ("w", 2, "revisar"),
+        ("x", 1, "si"),
+        ("x", 2, "revisar"),
+    ]
     health = {r.call_id: (r.missing, r.invented, r.unreadable) for r in triage.triage_health(expected, responses, parsed.where("call_id in ('x', 'w')")).collect()}
     assert health == {"x": (1, 1, False), "w": (2, 0, True)}
 
@@ -158,23 +246,47 @@ REQ = "alias string, entry_id long, kind string, demand string, quote string, pa
 
 def test_rules_disqualify_on_turnover_only(spark):
     companies = spark.createDataFrame([("A", 500.0, "r", "ISO 9001 y ENS")], "alias string, turnover double, turnover_source string, profile string")
-    rows = [("A", 1, "volumen_negocios", "", "", 1, 600.0), ("A", 2, "volumen_negocios", "", "", 1, 400.0), ("A", 3, "certificaciones", "iso/iec 9001", "", 1, None), ("A", 4, "certificaciones", "ISO 27001", "", 1, None), ("A", 5, "no_se_exige", "", "", 1, None), ("A", 5, "volumen_negocios", "", "", 1, None), ("A", 6, "raro", "", "", 1, None)]
+    rows = [
+        ("A", 1, "volumen_negocios", "", "", 1, 600.0),
+        ("A", 2, "volumen_negocios", "", "", 1, 400.0),
+        ("A", 3, "certificaciones", "iso/iec 9001", "", 1, None),
+        ("A", 4, "certificaciones", "ISO 27001", "", 1, None),
+        ("A", 5, "no_se_exige", "", "", 1, None),
+        ("A", 5, "volumen_negocios", "", "", 1, None),
+        ("A", 6, "raro", "", "", 1, None),
+    ]
     judged = rules.evaluate_requirements(spark.createDataFrame(rows, REQ), companies)
     pairs = spark.createDataFrame([("A", i) for i in range(1, 7)], "alias string, entry_id long")
-    assert {r.entry_id: r.verdict for r in rules.verdict(pairs, judged).collect()} == {1: "no_apta", 2: "apta", 3: "apta", 4: "revisar", 5: "revisar", 6: "revisar"}
+    assert {r.entry_id: r.verdict for r in rules.verdict(pairs, judged).collect()} == {
+        1: "no_apta",
+        2: "apta",
+        3: "apta",
+        4: "revisar",
+        5: "revisar",
+        6: "revisar",
+    }
 
 
 def test_client_forms(spark):
     form = [("Empresa A", "a@b.es", "x" * 30, "850.000", "1,00"), ("", "mal", "corto", "nada", "21"), ("B!", "a@b.es", "x" * 30, "", "-1")]
     df = spark.createDataFrame(form, "alias string, correo string, que_hace string, cifra_negocio string, tope_diario_eur string")
     got = [r.errors for r in rules.validate_clients(df).collect()]
-    assert got[0] == {} and set(got[1]) == {"alias", "correo", "que_hace", "cifra_negocio", "tope_diario_eur"} and got[2] == {"alias": "not a name", "tope_diario_eur": "negative"}
+    assert got[0] == {} and set(got[1]) == {
+        "alias",
+        "correo",
+        "que_hace",
+        "cifra_negocio",
+        "tope_diario_eur",
+    } and got[2] == {"alias": "not a name", "tope_diario_eur": "negative"}
     table = lambda t: spark.range(1).select(rules.turnover_from_profile(F.lit(f"| Cifra anual de negocio | {t} |")).alias("v")).first().v
     assert table("Entre 600.000 € y 1.500.000 €") == 600000 and table("No publicada") is None
 
 
 def test_triage_metrics(spark):
-    t = spark.createDataFrame([("A", "t1", "duda", 1), ("A", "t2", "no", 1), ("A", "t3", "si", 1), ("A", "t4", "no", 1)], "alias string, entry_id string, decision string, call_id long")
+    t = spark.createDataFrame(
+        [("A", "t1", "duda", 1), ("A", "t2", "no", 1), ("A", "t3", "si", 1), ("A", "t4", "no", 1)],
+        "alias string, entry_id string, decision string, call_id long",
+    )
     won = spark.createDataFrame([("A", "t1"), ("A", "t2"), ("A", "never triaged")], "alias string, entry_id string")
     assert metrics.triage_recall(won, t).first().value == 0.5
     universe = spark.createDataFrame([(4, 2)], "dossiers long, days long")
@@ -213,7 +325,10 @@ def test_budget_stops_at_the_first_failure(spark):
 
 def test_costs(spark):
     prices = spark.createDataFrame([("m", 5.0, 25.0)], "model string, price_in double, price_out double")
-    calls = spark.createDataFrame([("m", 1000, 100, 200, 50, False, 1.0), ("m", 1000, 100, 200, 50, True, 1.0), ("x", 1, 1, 1, 1, False, 1.0)], "model string, tokens_in long, cache_write long, cache_read long, tokens_out long, batch boolean, fx double")
+    calls = spark.createDataFrame(
+        [("m", 1000, 100, 200, 50, False, 1.0), ("m", 1000, 100, 200, 50, True, 1.0), ("x", 1, 1, 1, 1, False, 1.0)],
+        "model string, tokens_in long, cache_write long, cache_read long, tokens_out long, batch boolean, fx double",
+    )
     out = costs.call_cost(calls, prices).collect()
     full = (1000 * 5 + 100 * 5 * 1.25 + 200 * 5 * 0.1 + 50 * 25) / 1e6
     got = sorted((r.cost for r in out if r.error is None), reverse=True)
@@ -227,9 +342,15 @@ def test_costs(spark):
 
 
 def test_checks(spark):
-    profiles = spark.createDataFrame([("A", "texto", None), ("B", "texto", "x")], "alias string, text string, sha256 string").withColumn("sha256", F.when(F.col("alias") == "B", F.col("sha256")).otherwise(F.sha2("text", 256)))
+    profiles = spark.createDataFrame([("A", "texto", None), ("B", "texto", "x")], "alias string, text string, sha256 string").withColumn(
+        "sha256",
+        F.when(F.col("alias") == "B", F.col("sha256")).otherwise(F.sha2("text", 256)),
+    )
     assert [r.alias for r in checks.changed_profiles(profiles).collect()] == ["B"]
-    runs = spark.createDataFrame([(1, day("2025-01-01 00:00:00"), None, "x"), (2, day("2025-01-01 11:00:00"), None, "x")], "id int, started_at timestamp, ended_at timestamp, state string")
+    runs = spark.createDataFrame(
+        [(1, day("2025-01-01 00:00:00"), None, "x"), (2, day("2025-01-01 11:00:00"), None, "x")],
+        "id int, started_at timestamp, ended_at timestamp, state string",
+    )
     now = F.lit("2025-01-01 12:00:00").cast("timestamp")
     assert [r.id for r in checks.stale_runs(runs, now).collect()] == [1] and [r.state for r in checks.close_stale(runs, now).orderBy("id").collect()] == ["error", "x"]
 
@@ -248,8 +369,44 @@ def test_character_references_equal_the_standard_library(spark):
 
     from tenderlens.functions.markup import unescape
 
-    bits = ["&amp;", "&#243;", "&ntilde;", "&#x41;", "&#x1F600;", "&#0;", "&#128;", "&#129;", "&#55296;", "&#1114112;", "&#9999999999999999999;", "&#x0;", "&notit;", "&not", "&copy"]
-    bits += ["& ", "&&", "&;", "&#;", "&#x;", "&#xg", "a", "ñ", "&Aacute", "&lt;b&gt;", "&amp;lt;", "&#13;", "&#11;", "&#65534;", "&#x1FFFF;", "&unknown;", "&#38;amp;", "&#00065;", "&ltx"]
+    bits = [
+        "&amp;",
+        "&#243;",
+        "&ntilde;",
+        "&#x41;",
+        "&#x1F600;",
+        "&#0;",
+        "&#128;",
+        "&#129;",
+        "&#55296;",
+        "&#1114112;",
+        "&#9999999999999999999;",
+        "&#x0;",
+        "&notit;",
+        "&not",
+        "&copy",
+    ]
+    bits += [
+        "& ",
+        "&&",
+        "&;",
+        "&#;",
+        "&#x;",
+        "&#xg",
+        "a",
+        "ñ",
+        "&Aacute",
+        "&lt;b&gt;",
+        "&amp;lt;",
+        "&#13;",
+        "&#11;",
+        "&#65534;",
+        "&#x1FFFF;",
+        "&unknown;",
+        "&#38;amp;",
+        "&#00065;",
+        "&ltx",
+    ]
     rng = random.Random(1)
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 6))) for _ in range(800)] + [f"&{n}" for n in html5] + [None, ""]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", unescape(F.col("t")).alias("u"))
@@ -260,7 +417,9 @@ def test_character_references_equal_the_standard_library(spark):
 def test_vocabulary_without_rows_is_an_error(spark, tmp_path):
     from tenderlens.sources.reference_data import read_cpv_vocabulary
 
-    (tmp_path / "v.gc").write_text('<Row><Value ColumnRef="code"><SimpleValue>03000000</SimpleValue></Value><Value ColumnRef="nombre"><SimpleValue>Agricultura &amp; ma&iacute;z</SimpleValue></Value></Row>')
+    (tmp_path / "v.gc").write_text(
+        '<Row><Value ColumnRef="code"><SimpleValue>03000000</SimpleValue></Value><Value ColumnRef="nombre"><SimpleValue>Agricultura &amp; ma&iacute;z</SimpleValue></Value></Row>',
+    )
     assert [tuple(r) for r in read_cpv_vocabulary(spark, str(tmp_path / "v.gc")).collect()] == [("03000000", "Agricultura & maíz")]
     (tmp_path / "none.gc").write_text("<CodeList/>")
     with pytest.raises(ValueError):

@@ -37,7 +37,10 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     assert got == table(list(relation.columns), relation.fetchall())
 
 
-@pytest.mark.parametrize("name", ["f1_company_prefixes", "c4_seed_codes", "m4b_paired_bootstrap", "e10_verify_quotes", "j2_won_by", "k4_company_spend", "e3_locate", "p1_parse_notices"])
+@pytest.mark.parametrize(
+    "name",
+    ["f1_company_prefixes", "c4_seed_codes", "m4b_paired_bootstrap", "e10_verify_quotes", "j2_won_by", "k4_company_spend", "e3_locate", "m1_filter_recall", "p1_parse_notices"],
+)
 def test_plan_has_no_nested_loops(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -78,7 +78,12 @@ def test_dedupe_and_spend(spark, tmp_path):
     stream = stream_of(spark, tmp_path, [rows, rows], "entry_id string, entry_updated timestamp")
     ingest.run_to_end(ingest.dedupe_versions(stream), lambda df, _: out.extend(r.entry_id for r in df.collect()), str(tmp_path / "cp"), "append")
     assert sorted(out) == ["m", "n"]
-    calls = stream_of(spark, tmp_path / "s", [[("A", at, 0.5), ("A", at, 0.25)], [("A", at - dt.timedelta(hours=2), 1.0)]], "alias string, called_at timestamp, cost double")
+    calls = stream_of(
+        spark,
+        tmp_path / "s",
+        [[("A", at, 0.5), ("A", at, 0.25)], [("A", at - dt.timedelta(hours=2), 1.0)]],
+        "alias string, called_at timestamp, cost double",
+    )
     last = {}
     ingest.run_to_end(ingest.spend_stream(calls), lambda df, _: last.update({(r.alias, r.day): r.cost for r in df.collect()}), str(tmp_path / "cp2"))
     assert last == {("A", dt.date(2026, 9, 29)): 0.75, ("A", dt.date(2026, 9, 28)): 1.0}
@@ -88,7 +93,11 @@ def test_current_state_in_any_order(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = "entry_id string, entry_updated timestamp, state string, tombstone boolean"
     day = lambda d: dt.datetime(2026, 9, d)
-    batches = [[("a", day(5), "PUB", False), ("b", None, None, True)], [("a", day(3), "PRE", False), ("b", day(9), "PUB", False)], [("a", day(6), "ADJ", False)]]
+    batches = [
+        [("a", day(5), "PUB", False), ("b", None, None, True)],
+        [("a", day(3), "PRE", False), ("b", day(9), "PUB", False)],
+        [("a", day(6), "ADJ", False)],
+    ]
     state = {}
     stream = ingest.current_state_stream(stream_of(spark, tmp_path, batches, schema))
     try:
@@ -102,7 +111,10 @@ def test_current_state_in_any_order(spark, tmp_path):
     assert state == {"a": (day(6), "ADJ", False), "b": (day(9), "PUB", True)}
 
 
-@pytest.mark.parametrize(("before", "complete", "cursor", "warning"), [(None, True, 4, False), (None, False, 2, False), (1, False, 1, True), (1, True, 4, False), (9, True, 9, False)])
+@pytest.mark.parametrize(
+    ("before", "complete", "cursor", "warning"),
+    [(None, True, 4, False), (None, False, 2, False), (1, False, 1, True), (1, True, 4, False), (9, True, 9, False)],
+)
 def test_cursor(spark, before, complete, cursor, warning):
     day = lambda d: dt.datetime(2026, 9, d)
     read = spark.createDataFrame([(day(2),), (day(4),), (None,)], "entry_updated timestamp")
@@ -147,7 +159,11 @@ def test_upsert_twice_is_once(spark):
 def test_reference_files(spark, tmp_path):
     from tenderlens.sources import manifest, reference_data
 
-    write(tmp_path / "v", "cpv.gc", '<Row><Value ColumnRef="code">\n<SimpleValue>72000000</SimpleValue></Value><Value ColumnRef="nombre"><SimpleValue>Servicios &quot;TI&quot;</SimpleValue></Value></Row><Row><Value ColumnRef="nombre"><SimpleValue>x</SimpleValue></Value></Row>')
+    write(
+        tmp_path / "v",
+        "cpv.gc",
+        '<Row><Value ColumnRef="code">\n<SimpleValue>72000000</SimpleValue></Value><Value ColumnRef="nombre"><SimpleValue>Servicios &quot;TI&quot;</SimpleValue></Value></Row><Row><Value ColumnRef="nombre"><SimpleValue>x</SimpleValue></Value></Row>',
+    )
     assert [tuple(r) for r in reference_data.read_cpv_vocabulary(spark, str(tmp_path / "v")).collect()] == [("72000000", 'Servicios "TI"')]
     write(tmp_path / "f", "a.md", "- Empresa: Empresa A\n\n| código | d |\n|---|---|\n| 72000000 | x |\n| `30000000` | y |\n| total | z |\n")
     write(tmp_path / "f", "b.md", "- Empresa: todas\n| 48000000 | x |\n")
