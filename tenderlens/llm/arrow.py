@@ -45,7 +45,10 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], ddl: str, prepare:
         for batch in batches:
             for rows in pieces(batch):
                 arrays = make(rows.column(n).cast(pa.string()), rows)
-                yield pa.RecordBatch.from_arrays([*rows.columns[:n], *(a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, list(out)[n:], strict=True))], schema=out)
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns[:n], *(a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, list(out)[n:], strict=True))],
+                    schema=out,
+                )
 
     return source.mapInArrow(run, schema)
 
@@ -63,7 +66,10 @@ def emit_rows(df: DataFrame, text: str, keep: Sequence[str], ddl: str, prepare:
             for rows in pieces(batch):
                 arrays = make(rows.column(n).cast(pa.string()), rows)
                 if len(arrays[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(a, f.type) if isinstance(a, np.ndarray) else a.cast(f.type) for a, f in zip(arrays, out, strict=True)], schema=out)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(a, f.type) if isinstance(a, np.ndarray) else a.cast(f.type) for a, f in zip(arrays, out, strict=True)],
+                        schema=out,
+                    )
 
     return source.mapInArrow(run, schema)
 

@@ -200,7 +200,14 @@ def reported(words: Words, first: np.ndarray, last: np.ndarray, items: list[set[
     bad = (n_hit > 0) & (share * n_hit >= n_words)
     ids = [sorted(x - {None}) for x in items]
     digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]
-    out = [pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digest), pa.array(bad), pa.array(ids, pa.list_(pa.string()))]
+    out = [
+        pa.array(n_words),
+        pa.array(n_hit),
+        pa.array([len(x) for x in items], pa.int64()),
+        pa.array(digest),
+        pa.array(bad),
+        pa.array(ids, pa.list_(pa.string())),
+    ]
     if clean:
         changed = [without(words, r, hit, longest, bool(bad[r])) if n_hit[r] else None for r in range(len(ids))]
         out.append(pc.if_else(pa.array(n_hit > 0), pa.array(changed, pa.string()), texts))

@@ -43,12 +43,20 @@ from .arrow import map_texts
 # Element names of the HTML standard by their role.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split(),
+)
+CLOSES_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split(),
+)
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table select html body article section div".split())
-NOT_ARTICLE = frozenset("head script style noscript template textarea title iframe object svg canvas nav header footer aside form button select option input label dialog menu".split())
-NOT_ARTICLE_NAMES = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login menu nav navbar navigation newsletter notice notices pagination popup promo promotion related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
+NOT_ARTICLE = frozenset(
+    "head script style noscript template textarea title iframe object svg canvas nav header footer aside form button select option input label dialog menu".split(),
+)
+NOT_ARTICLE_NAMES = frozenset(
+    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login menu nav navbar navigation newsletter notice notices pagination popup promo promotion related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split(),
+)
 CONTAINERS = frozenset("html body article center div main section table".split())
 ARTICLE_NAMES = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())

@@ -223,7 +223,12 @@ def labelled_nodes(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     signed = written(map_texts(docs, text, [id_col], "node binary, n_grams long, bands array<long>", sign))
     members = signed.select(F.col(id_col), "node")
-    classes = signed.groupBy("node").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    classes = signed.groupBy("node").agg(
+        F.min(id_col).alias("rep"),
+        F.count(F.lit(1)).alias("weight"),
+        F.first("n_grams").alias("n_grams"),
+        F.first("bands").alias("bands"),
+    )
     classes = written(classes)
 
     blocks = checkpointed(candidate_blocks(classes).join(classes.drop("bands"), "node"))
@@ -255,7 +260,12 @@ def jaccard_join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **
     """(id_col, class_id, n_links, n_copies) for every row of docs; options are those of labelled_nodes()."""
     members, merged = labelled_nodes(docs, text, id_col, **options)
     heads = merged.groupBy("label").agg(F.min("rep").alias("class_id"))
-    merged = merged.join(heads, "label").select("node", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("weight").alias("n_copies"))
+    merged = merged.join(heads, "label").select(
+        "node",
+        "class_id",
+        (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.col("weight").alias("n_copies"),
+    )
     return members.join(merged, "node").select(id_col, "class_id", "n_links", "n_copies")
 
 

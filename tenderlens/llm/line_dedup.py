@@ -218,7 +218,11 @@ def line_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", leas
 
     left = cut(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("body")).join(gone, "doc"))
     left = (left if with_text else left.drop("kept_text")).dropDuplicates(["doc", "whole"])
-    rows = signed.select(F.col(id_col), "digest", "whole", F.size("lines").alias("n_lines")).join(firsts.select("digest", F.col("doc").alias("first")), "digest", "left")
+    rows = signed.select(F.col(id_col), "digest", "whole", F.size("lines").alias("n_lines")).join(
+        firsts.select("digest", F.col("doc").alias("first")),
+        "digest",
+        "left",
+    )
     rows = rows.join(left, (F.col(id_col) == F.col("doc")) & (rows["whole"] == left["whole"]), "left").drop(left["whole"])
     copy = F.coalesce(F.col(id_col) > F.col("first"), F.col(id_col).isNull() & F.col("first").isNotNull()) & (F.col("n_lines") > 0)
     return rows.select(
@@ -240,11 +244,23 @@ def cut(texts: DataFrame) -> DataFrame:
             for body, digest, gone in zip(bodies.to_pylist(), column(batch, "digest").to_pylist(), column(batch, "gone").to_pylist(), strict=True):
                 lines, lost = lines_of(body), set(gone)
                 kept = "\n".join(x for i, x in enumerate(lines) if i not in lost)
-                out.append((signature([line_hash(x) for x in lines]) == digest, hashlib.sha256((body or "").encode()).digest(), len(lost), hashlib.sha256(kept.encode()).hexdigest(), kept))
+                out.append((
+                    signature([line_hash(x) for x in lines]) == digest,
+                    hashlib.sha256((body or "").encode()).digest(),
+                    len(lost),
+                    hashlib.sha256(kept.encode()).hexdigest(),
+                    kept,
+                ))
             kinds = (pa.bool_(), pa.binary(), pa.int64(), pa.string(), pa.string())
             return [pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
 
         return make
 
-    made = map_texts(texts, "body", ["doc", "digest", "gone", "n_partners"], "same boolean, whole binary, cut long, cut_sha256 string, kept_text string", prepare)
+    made = map_texts(
+        texts,
+        "body",
+        ["doc", "digest", "gone", "n_partners"],
+        "same boolean, whole binary, cut long, cut_sha256 string, kept_text string",
+        prepare,
+    )
     return made.where("same").drop("same", "digest", "gone")

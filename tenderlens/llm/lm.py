@@ -265,7 +265,10 @@ def word_counts(rows: DataFrame) -> DataFrame:
         for h, s, c in parts:
             for i in range(0, len(h), 100_000):
                 j = i + 100_000
-                yield pa.RecordBatch.from_arrays([pa.array(h[i:j].view(np.int64)), pa.array(s[i:j].astype(np.int8)), pa.array(c[i:j].astype(np.int64))], ["word", "suffix", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[i:j].view(np.int64)), pa.array(s[i:j].astype(np.int8)), pa.array(c[i:j].astype(np.int64))],
+                    ["word", "suffix", "n"],
+                )
 
     return rows.mapInArrow(run, "word long, suffix byte, n long").groupBy("word").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"))
 
@@ -327,7 +330,11 @@ def step(rows: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, bias: np.
 
     def total(table: pa.Table) -> pa.Table:
         sums = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in table["moved"])
-        return pa.table({"block": table["block"].slice(0, 1), "part": table["part"].slice(0, 1), "moved": pa.array([sums.astype(np.float32).tobytes()], pa.binary())})
+        return pa.table({
+            "block": table["block"].slice(0, 1),
+            "part": table["part"].slice(0, 1),
+            "moved": pa.array([sums.astype(np.float32).tobytes()], pa.binary()),
+        })
 
     kind = "block int, part int, moved binary"
     parts = rows.mapInArrow(run, kind).withColumn("part", F.pmod("part", F.lit(fan)))
@@ -425,7 +432,11 @@ def lm_scores(docs: DataFrame, text: str = "text", id_col: str = "doc_id", mod:
     partial = written(partial_scores(docs, model, text, id_col))
     # rows with equal words share a key; one of them sends its words
     once = partial.where(F.size("rest") > 0).groupBy("key").agg(F.first(F.struct("rest", "rest_n")).alias("w"))
-    pairs = once.select("key", F.explode(F.arrays_zip("w.rest", "w.rest_n")).alias("w")).select("key", F.col("w.rest").alias("word"), F.col("w.rest_n").alias("times"))
+    pairs = once.select("key", F.explode(F.arrays_zip("w.rest", "w.rest_n")).alias("w")).select(
+        "key",
+        F.col("w.rest").alias("word"),
+        F.col("w.rest_n").alias("times"),
+    )
     rare = pairs.join(counts.select("word", "n"), "word", "left")
     seen = F.coalesce("n", F.lit(0))
     rare = rare.groupBy("key").agg(

@@ -40,7 +40,12 @@ def source_targets(sizes: DataFrame, weight: Column, max_rate: int = 3) -> DataF
     The windows run over one row per source, not over documents.
     """
     ordinal = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    capped = sizes.withColumn("__mix_ordinal", ordinal).select("source", "source_size", weight.alias("__mix_w"), (F.col("source_size") * max_rate).alias("__mix_cap"))
+    capped = sizes.withColumn("__mix_ordinal", ordinal).select(
+        "source",
+        "source_size",
+        weight.alias("__mix_w"),
+        (F.col("source_size") * max_rate).alias("__mix_cap"),
+    )
     by_ratio = Window.orderBy(F.col("__mix_cap") / F.col("__mix_w"), F.col("source").asc_nulls_last())
     whole = Window.partitionBy()
     total, weights = F.sum("source_size").over(whole), F.sum("__mix_w").over(whole)

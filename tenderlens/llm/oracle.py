@@ -58,4 +58,10 @@ e AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER B
 SELECT d.doc_id, len(d.l) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(e.n_items, 0) AS n_items, coalesce(e.items_sha256, {NO_HASH}) AS items_sha256, coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.l) AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN e USING (doc_id)
 """
 
-ORACLES = {"op2_substring_dedup": SUBSTRING_DEDUP, "op3_mixing": MIXING, "op7_exact_topk": TOP_K, "op8_ngram_jaccard_join": JACCARD, "op9_decontamination": DECONTAMINATION}
+ORACLES = {
+    "op2_substring_dedup": SUBSTRING_DEDUP,
+    "op3_mixing": MIXING,
+    "op7_exact_topk": TOP_K,
+    "op8_ngram_jaccard_join": JACCARD,
+    "op9_decontamination": DECONTAMINATION,
+}

@@ -73,4 +73,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id", 5).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_mixing, op4_sharding, op5_line_dedup, op6_html_extraction, op7_exact_topk, op8_ngram_jaccard_join, op9_decontamination, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_lm_scoring,
+    op2_substring_dedup,
+    op3_mixing,
+    op4_sharding,
+    op5_line_dedup,
+    op6_html_extraction,
+    op7_exact_topk,
+    op8_ngram_jaccard_join,
+    op9_decontamination,
+    op10_toxicity,
+)}

@@ -53,7 +53,10 @@ def assign_shards(docs: DataFrame, shards: int = 40, text: str = "text", id_col:
 
     measured names columns that already hold size and checksum, so that texts need not be shuffled.
     """
-    rows = docs.drop("size", "text_crc32", "shard", "slot").withColumns({"size": F.col(measured[0]), "text_crc32": F.col(measured[1])} if measured else {"size": payload_size(text), "text_crc32": text_crc32(text)})
+    rows = docs.drop("size", "text_crc32", "shard", "slot").withColumns({
+        "size": F.col(measured[0]),
+        "text_crc32": F.col(measured[1]),
+    } if measured else {"size": payload_size(text), "text_crc32": text_crc32(text)})
     rows = rows.withColumn("__shard_hash", F.xxhash64(F.lit(seed), F.col(id_col).cast("string")))
     rows = rows.withColumn("__shard_source", F.col(source))
     strata = checkpointed(docs.groupBy(F.col(source).alias("__shard_key")).agg(F.count(F.lit(1)).alias("__shard_rows")))

@@ -89,7 +89,12 @@ def sign(docs: DataFrame, text: str, id_col: str, k: int, m: int) -> DataFrame:
             fresh[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
             grams, row = grams[fresh], row[fresh]
             digest = [hashlib.sha256(b" ".join((t or "").encode().split())).digest() for t in texts.to_pylist()]
-            return [pa.array(words.counts, pa.int64()), pa.array(digest, pa.binary()), pa.array(text_keys(words).view(np.int64)), lists(grams.view(np.int64), np.searchsorted(row, np.arange(len(texts) + 1)))]
+            return [
+                pa.array(words.counts, pa.int64()),
+                pa.array(digest, pa.binary()),
+                pa.array(text_keys(words).view(np.int64)),
+                lists(grams.view(np.int64), np.searchsorted(row, np.arange(len(texts) + 1))),
+            ]
 
         return make
 
@@ -123,7 +128,16 @@ def repeated_paths(texts: DataFrame, k: int, m: int) -> DataFrame:
             keys = text_keys(words).view(np.int64)
             whole = batched(words.hashes, at, end)
             second = batched(mix(words.hashes ^ SECOND), at, end)
-            return [docs[row], keys[row], (at - words.bounds[row]).astype(np.int32), whole, second, nodes[at].view(np.int64), nodes[end - k + 1].view(np.int64), lists(windows[places].view(np.int64), bounds)]
+            return [
+                docs[row],
+                keys[row],
+                (at - words.bounds[row]).astype(np.int32),
+                whole,
+                second,
+                nodes[at].view(np.int64),
+                nodes[end - k + 1].view(np.int64),
+                lists(windows[places].view(np.int64), bounds),
+            ]
 
         return make
 
@@ -175,7 +189,17 @@ def removals(docs: DataFrame, marked: DataFrame, text: str, id_col: str, k: int,
         F.min(F.struct("doc", "text_key", "at")).alias("first"), F.max("doc").alias("high"), F.first("head").alias("head"), F.first("tail").alias("tail"), F.first("windows").alias("windows")
     )
     source = [F.col("first.doc").alias("low"), F.col("first.text_key").alias("low_key"), F.col("first.at").alias("source_at")]
-    distinct = distinct.select(F.xxhash64("path", "check").alias("number"), "path", "check", *source, "high", "head", "tail", F.size("windows").alias("n"), "windows")
+    distinct = distinct.select(
+        F.xxhash64("path", "check").alias("number"),
+        "path",
+        "check",
+        *source,
+        "high",
+        "head",
+        "tail",
+        F.size("windows").alias("n"),
+        "windows",
+    )
     distinct, distinct_at = written_at(distinct)
     places, places_at = written_at(paths.select("doc", "text_key", "at", "path", "check"))
     discard(spark, paths_at)
@@ -251,7 +275,15 @@ def cut(texts: DataFrame, k: int) -> DataFrame:
                 repeats = [{"at": a, "n_words": c - 1 + k, "source": d, "source_at": e} for a, c, d, e in spans]
                 out.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), len(stretches), int(stretches.max(initial=0)), repeats, kept.decode()))
             removed, digest, n_spans, longest, repeats, kept = (list(x) for x in zip(*out, strict=True))
-            return [pa.array(same), pa.array(removed, pa.int64()), pa.array(digest), pa.array(n_spans, pa.int32()), pa.array(longest, pa.int32()), pa.array(repeats, kind), pa.array(kept)]
+            return [
+                pa.array(same),
+                pa.array(removed, pa.int64()),
+                pa.array(digest),
+                pa.array(n_spans, pa.int32()),
+                pa.array(longest, pa.int32()),
+                pa.array(repeats, kind),
+                pa.array(kept),
+            ]
 
         return make
 
@@ -277,7 +309,11 @@ def substring_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     left = (left if with_text else left.drop("kept_text")).dropDuplicates(["doc", "text_key"])
     first = signed.groupBy("digest").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = written(first)  # a text with many copies can be split in a join of two plain tables
-    rows = signed.select(F.col(id_col), "n_words", "digest", "text_key").join(first, "digest", "left").join(left, (F.col(id_col) == F.col("doc")) & (signed["text_key"] == left["text_key"]), "left").drop(left["text_key"])
+    rows = signed.select(F.col(id_col), "n_words", "digest", "text_key").join(first, "digest", "left").join(
+        left,
+        (F.col(id_col) == F.col("doc")) & (signed["text_key"] == left["text_key"]),
+        "left",
+    ).drop(left["text_key"])
     whole = F.coalesce(F.col(id_col) > F.col("first"), F.lit(False)) & (F.col("n_words") >= k)  # an equal text has a smaller id
     none = F.lit(hashlib.sha256(b"").hexdigest())
     out = rows.select(

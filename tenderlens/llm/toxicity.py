@@ -196,7 +196,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
                 words, number, _ = parsed(column(piece, TEXT).cast(pa.string()))
                 seen, toxic = feature_counts(words, number, label)
                 used = np.flatnonzero(seen)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(seen[used], len(label))), pa.array(np.append(toxic[used], float(label.sum())))], ["feature", "seen", "toxic"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.append(used, -1)), pa.array(np.append(seen[used], len(label))), pa.array(np.append(toxic[used], float(label.sum())))],
+                    ["feature", "seen", "toxic"],
+                )
 
     counts = rows.mapInArrow(count, "feature long, seen double, toxic double").groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
     counts = counts.toArrow()  # 2 ** BITS rows at most
@@ -265,7 +268,12 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: list[s
             total = np.where(np.diff(ranges) > 0, np.clip(-np.expm1(none), 0, 1), 0.0)
             bad = np.flatnonzero(p >= locate)
             bounds = np.searchsorted(bad, ranges)
-            return [pa.array(total), pa.array((total >= 0.5).astype(np.int32)), lists(np.array(located(texts, words, number, bad, ranges), object), bounds, pa.string()), lists(p[bad], bounds)]
+            return [
+                pa.array(total),
+                pa.array((total >= 0.5).astype(np.int32)),
+                lists(np.array(located(texts, words, number, bad, ranges), object), bounds, pa.string()),
+                lists(p[bad], bounds),
+            ]
 
         return make
 

@@ -37,4 +37,20 @@ def clashing(df):
     """df with extra columns named like those that operators make or use inside."""
     from pyspark.sql import functions as F
 
-    return df.withColumns({c: F.lit("kept") for c in ("size", "score", "node", "shard", "slot", "target", "copies", "n_words", "contaminated", "predicted", "digest", "label", "doc", "body", "gram")})
+    return df.withColumns({c: F.lit("kept") for c in (
+        "size",
+        "score",
+        "node",
+        "shard",
+        "slot",
+        "target",
+        "copies",
+        "n_words",
+        "contaminated",
+        "predicted",
+        "digest",
+        "label",
+        "doc",
+        "body",
+        "gram",
+    )})

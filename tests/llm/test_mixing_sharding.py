@@ -78,7 +78,13 @@ def test_shard_order_is_that_of_fractional_ranks(spark):
 
 def placed_by_force(rows, hashes, shards):
     """(row number) -> (shard, slot): ranks by plain sorting, one global order of exact fractions, one cut."""
-    key = lambda i: (hashes[i], rows[i][0] is not None, rows[i][0] or 0, zlib.crc32((rows[i][1] or "").encode()), len((rows[i][1] or "").encode()))
+    key = lambda i: (
+        hashes[i],
+        rows[i][0] is not None,
+        rows[i][0] or 0,
+        zlib.crc32((rows[i][1] or "").encode()),
+        len((rows[i][1] or "").encode()),
+    )
     by_source = {}
     for i in sorted(range(len(rows)), key=key):
         by_source.setdefault(rows[i][3], []).append(i)

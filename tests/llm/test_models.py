@@ -17,7 +17,14 @@ def test_lm_base_and_counts_equal_brute_force(spark, monkeypatch):
     held = [zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 10 == 0 for r in rows]
     c = Counter(x for t, h in zip(tokens, held, strict=True) if not h for x in t)
     n, v = sum(c.values()), len(c)
-    want = Counter((r[0], h, len(t), sum(c[x] > 0 for x in t), n, round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t), 6)) for r, t, h in zip(rows, tokens, held, strict=True))
+    want = Counter((
+        r[0],
+        h,
+        len(t),
+        sum(c[x] > 0 for x in t),
+        n,
+        round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t), 6),
+    ) for r, t, h in zip(rows, tokens, held, strict=True))
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
     assert all(r.score < 0 for r in out)
 
@@ -45,7 +52,10 @@ def plain_model(texts, counts, rows):
     for text in texts:
         parts = [w for w in words(fold(text))]
         hashes = [int(h) for h in lm.words_of(pa.array([" ".join(parts)]), lm.SPACE_SEPARATED, fold=True).hashes] + [int(lm.END)]
-        ends = [int(lm.words_of(pa.array([w.encode()[-2:].decode("latin1")]), lm.SPACE_SEPARATED).hashes[0]) % lm.SUFFIX_CLASSES for w in parts] + [lm.END_CLASS]
+        ends = [int(lm.words_of(
+            pa.array([w.encode()[-2:].decode("latin1")]),
+            lm.SPACE_SEPARATED,
+        ).hashes[0]) % lm.SUFFIX_CLASSES for w in parts] + [lm.END_CLASS]
         unit = [rank[h] if rank.get(h, units) < units else units + e for h, e in zip(hashes, ends)]
         for i, (h, e) in enumerate(zip(hashes, ends)):
             one, two, three = (unit[i - k] if i >= k else units + lm.SUFFIX_CLASSES for k in (1, 2, 3))
@@ -144,7 +154,11 @@ def test_toxicity_learns_from_document_labels_and_finds_the_sentence(spark):
     rows, labels = labelled()
     odd = [(1000 + i, *r[1:]) for i, r in enumerate(odd_documents())]
     docs = clashing(spark.createDataFrame(rows + odd, SCHEMA))
-    out = {r.doc_id: r for r in toxicity.toxicity(docs, spark.createDataFrame(labels + [(None, 1), (3, None)], "doc_id long, toxic int"), keep=["doc_id", "text"]).collect()}
+    out = {r.doc_id: r for r in toxicity.toxicity(
+        docs,
+        spark.createDataFrame(labels + [(None, 1), (3, None)], "doc_id long, toxic int"),
+        keep=["doc_id", "text"],
+    ).collect()}
     assert len(out) == len(rows) + len(odd)
     test = [(i, t) for i, t in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum(out[i].predicted == t for i, t in test) >= 0.97 * len(test)

@@ -26,7 +26,15 @@ def test_top_k_equals_brute_force(spark, monkeypatch, small):
         monkeypatch.setattr(topk, "RESOLVED", 1)
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=11).astype(np.float32).tolist()) for i in range(400)]
-    rows += [(i, [0.5] * 11) for i in range(400, 470)] + [(470, None), (500, [None] * 11), (550, [float("nan")] + [0.1] * 10), (600, [float("inf")] * 11), (None, [0.1] * 11), (650, [0.25] * 4), (651, [1.0] * 4)]
+    rows += [(i, [0.5] * 11) for i in range(400, 470)] + [
+        (470, None),
+        (500, [None] * 11),
+        (550, [float("nan")] + [0.1] * 10),
+        (600, [float("inf")] * 11),
+        (None, [0.1] * 11),
+        (650, [0.25] * 4),
+        (651, [1.0] * 4),
+    ]
     out = topk.top_k(clashing(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), F.col("vec_id") % 50 == 0).collect()
     assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in out) == best_by_force(rows)
 
@@ -69,7 +77,17 @@ def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect() == []
 
 
-ITEMS = [("a", prose(50, 40)), ("b", prose(51, 13)), ("c", "Two Words"), ("d", None), ("e", "  "), ("f", prose(50, 20) + " " + prose(52, 9)), ("a", prose(53, 15)), (None, prose(54, 20)), ("g", "the the the the the the the the the the the the the the the")]
+ITEMS = [
+    ("a", prose(50, 40)),
+    ("b", prose(51, 13)),
+    ("c", "Two Words"),
+    ("d", None),
+    ("e", "  "),
+    ("f", prose(50, 20) + " " + prose(52, 9)),
+    ("a", prose(53, 15)),
+    (None, prose(54, 20)),
+    ("g", "the the the the the the the the the the the the the the the"),
+]
 
 
 def hits_by_force(rows, items, k=13):
@@ -99,14 +117,23 @@ def contaminated_rows():
     item = ITEMS[0][1]
     rows = odd_documents()
     rows += [(900 + i, f"{prose(900 + i, 30 * i)}, {' '.join(item.split()[i : i + 13 + i]).upper()}! {prose(950 + i, 20)}", "en", "a", 1) for i in range(10)]
-    return rows + [(920, "these two words here", "en", "a", 1), (921, "the " * 40, "en", "a", 1), (922, prose(54, 20), "en", "a", 1), (923, prose(53, 15), "en", "a", 1)]
+    return rows + [
+        (920, "these two words here", "en", "a", 1),
+        (921, "the " * 40, "en", "a", 1),
+        (922, prose(54, 20), "en", "a", 1),
+        (923, prose(53, 15), "en", "a", 1),
+    ]
 
 
 @pytest.mark.parametrize("max_words", [200_000, 400, 60])
 def test_decontamination_equals_brute_force(spark, max_words):
     """Also when the benchmark has too many words for one automaton."""
     rows = contaminated_rows()
-    out = decontamination.decontaminate(clashing(spark.createDataFrame(rows, SCHEMA)), spark.createDataFrame(ITEMS, "item_id string, text string"), max_words=max_words).collect()
+    out = decontamination.decontaminate(
+        clashing(spark.createDataFrame(rows, SCHEMA)),
+        spark.createDataFrame(ITEMS, "item_id string, text string"),
+        max_words=max_words,
+    ).collect()
     assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out) == hits_by_force(rows, ITEMS)
     for r in out:
         assert (r.clean_text == r.text) if not r.n_hit else (not r.contaminated or len(ALNUM.findall(fold(r.clean_text))) <= r.n_words - r.n_hit + 1)
@@ -117,7 +144,11 @@ def test_items_without_id_contaminate(spark, max_words):
     """As in the query's SQL: they mark words and count as one item, whose id is in no hash."""
     items = [*ITEMS, (None, prose(55, 15)), (None, None)]
     rows = [*contaminated_rows(), (930, f"{prose(54, 20)} {prose(55, 15)}", "en", "a", 1), (931, f"{prose(54, 20)} {ITEMS[1][1]}", "en", "a", 1)]
-    found = decontamination.decontaminate(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id string, text string"), max_words=max_words).collect()
+    found = decontamination.decontaminate(
+        spark.createDataFrame(rows, SCHEMA),
+        spark.createDataFrame(items, "item_id string, text string"),
+        max_words=max_words,
+    ).collect()
     out = {r.doc_id: r for r in found}
     none, b = hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"b").hexdigest()
     got = {i: (out[i].n_words, out[i].n_hit, out[i].n_items, out[i].items_sha256, out[i].item_ids, out[i].contaminated) for i in (922, 930, 931)}
@@ -140,11 +171,23 @@ def test_decontamination_of_and_by_nothing(spark):
 
 
 PAGES = [
-    ("<html><head><title>T</title></head><body><nav><a>Home</a></nav><article><h1>Head &amp; line</h1><p><b>First,\n  part.<br><p>Second &#233; one.</article><footer>&copy;</footer></body></html>", "Head & line\nFirst, part.\nSecond é one."),
-    ("<body><header>Site</header><div class='cookie-notice'>We use cookies, yes, we do.</div><main><h1>T</h1><p>One, two.</p><form><p>Your name</p></form><section class='comments'><p>A reader, with a long comment, says so.</p></section></main><aside>side</aside></body>", "T\nOne, two."),
-    ("<div id=page><div class=menu><ul><li><a>x</a><li><a>y</a></ul></div><div class=story><h2>Title</h2><p>A long sentence, with commas. And more text here.</p><p>ok</p><div class=ad>Buy, now, this.</div></div><div class=sidebar><p>Other, things.</p></div></div>", "Title\nA long sentence, with commas. And more text here.\nok"),
+    (
+        "<html><head><title>T</title></head><body><nav><a>Home</a></nav><article><h1>Head &amp; line</h1><p><b>First,\n  part.<br><p>Second &#233; one.</article><footer>&copy;</footer></body></html>",
+        "Head & line\nFirst, part.\nSecond é one.",
+    ),
+    (
+        "<body><header>Site</header><div class='cookie-notice'>We use cookies, yes, we do.</div><main><h1>T</h1><p>One, two.</p><form><p>Your name</p></form><section class='comments'><p>A reader, with a long comment, says so.</p></section></main><aside>side</aside></body>",
+        "T\nOne, two.",
+    ),
+    (
+        "<div id=page><div class=menu><ul><li><a>x</a><li><a>y</a></ul></div><div class=story><h2>Title</h2><p>A long sentence, with commas. And more text here.</p><p>ok</p><div class=ad>Buy, now, this.</div></div><div class=sidebar><p>Other, things.</p></div></div>",
+        "Title\nA long sentence, with commas. And more text here.\nok",
+    ),
     ("<article><p>a &lt;b&gt; &amp;amp; c</p><script>var t='</p>';</script><style>p{}</style><!-- <p>no</p> --><p>d e</p></article>", "a <b> &amp; c\nd e"),
-    ("<body><div class='content with-sidebar'><article><div class='article-header'><h1>H</h1></div><p>Some, text.</p></article></div></body>", "H\nSome, text."),
+    (
+        "<body><div class='content with-sidebar'><article><div class='article-header'><h1>H</h1></div><p>Some, text.</p></article></div></body>",
+        "H\nSome, text.",
+    ),
     ("", ""), (None, ""), ("plain text only", "plain text only"), ("<<<>>> <p", "<<<>>> <p"), ("<article><p>unclosed", "unclosed"), ("</p></div><article>x</article>", "x"),
 ]
 
@@ -161,7 +204,10 @@ WHOLE_ARTICLES = [
     (f"<body><nav>Menu</nav><article><h1>Title</h1><p class=lead>A lead.</p><div class=body><p>{LONG}</p></div></article></body>", f"Title\nA lead.\n{LONG}"),
     (f"<main><h1>Title</h1><article><div class=body><p>{LONG}</p></div></article></main>", f"Title\n{LONG}"),
     (f"<div class=page><div class=a><p>{LONG}</p></div><div class=a><p>{LONG[:300]}</p></div></div>", f"{LONG}\n{LONG[:300]}"),
-    (f"<article><h2 id=notice>Notice</h2><p>{LONG}</p><section id=related-work><h2>Related work</h2><p>Others, too.</p></section></article>", f"Notice\n{LONG}\nRelated work\nOthers, too."),
+    (
+        f"<article><h2 id=notice>Notice</h2><p>{LONG}</p><section id=related-work><h2>Related work</h2><p>Others, too.</p></section></article>",
+        f"Notice\n{LONG}\nRelated work\nOthers, too.",
+    ),
     (f"<body><article><p>{LONG}</p><div id=comments><p>First, ha.</p></div><div class=related-posts><p>More, here.</p></div></article></body>", LONG),
 ]
 
@@ -181,7 +227,12 @@ def planted_pages(n=300):
         links = "".join(f"<li><a href=/{j}>{prose(rng.randrange(999), 2)}</a></li>" for j in range(rng.randint(4, 9)))
         body = [prose(rng.randrange(9999), 5)] + [say(rng.randint(3, 7)) for _ in range(rng.randint(3, 6))] + [say(1)]
         story = f"<h2>{body[0]}</h2>" + "".join(f"<p>{x}</p>" for x in body[1:])
-        parts = [f"<div class=a{i}><ul>{links}</ul></div>", f"<div class=b{i}>{story}</div>", f"<div class=c{i}><ul>{links}</ul></div>", f"<div class=d{i}>{prose(rng.randrange(999), 3)}</div>"]
+        parts = [
+            f"<div class=a{i}><ul>{links}</ul></div>",
+            f"<div class=b{i}>{story}</div>",
+            f"<div class=c{i}><ul>{links}</ul></div>",
+            f"<div class=d{i}>{prose(rng.randrange(999), 3)}</div>",
+        ]
         rest = parts[:1] + parts[2:]
         rng.shuffle(rest)
         at = rng.randint(0, 3)

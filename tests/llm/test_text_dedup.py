@@ -33,7 +33,13 @@ def removed_by_windows(rows, k=13):
 
 def test_substring_dedup_equals_brute_force(spark):
     rows = odd_documents()
-    rows += [(300 + i, prose(300 + i, 10) + " " + prose(8, 60 + i) + " " + prose(400 + i, 12), "en", "a", 1) for i in range(12)]  # a shared passage of growing length
+    rows += [(
+        300 + i,
+        prose(300 + i, 10) + " " + prose(8, 60 + i) + " " + prose(400 + i, 12),
+        "en",
+        "a",
+        1,
+    ) for i in range(12)]  # a shared passage of growing length
     rows += [(400, " ".join(["again"] * 40), "en", "a", 1), (401, " ".join(["again"] * 17), "en", "a", 1)]  # one window, many times
     out = substring_dedup.substring_dedup(documents(spark, rows)).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out) == removed_by_windows(rows)
@@ -140,7 +146,18 @@ def test_keep_one_of_each_class(spark):
 def test_keep_one_of_classes_with_null_and_repeated_ids(spark):
     """One row of each class, also where ids are null or stand for several texts."""
     base, null_only = near_group(3, 30), near_group(4, 31)
-    rows = [(1, base[0]), (None, base[1]), (None, base[2]), *((None, t) for t in null_only), (None, null_only[0]), (7, prose(32, 60)), (7, base[0]), (8, prose(33, 60)), (8, prose(32, 60)), (None, prose(34, 60))]
+    rows = [
+        (1, base[0]),
+        (None, base[1]),
+        (None, base[2]),
+        *((None, t) for t in null_only),
+        (None, null_only[0]),
+        (7, prose(32, 60)),
+        (7, base[0]),
+        (8, prose(33, 60)),
+        (8, prose(32, 60)),
+        (None, prose(34, 60)),
+    ]
     rows = [(i, t, "en", "a", 1) for i, t in rows]
     out = jaccard.keep_one(documents(spark, rows)).collect()
     assert Counter(r.doc_id for r in out) == Counter([1, None, 7, 8, None])
@@ -211,7 +228,17 @@ def lines_gone_by_all_pairs(rows):
 def test_line_dedup_aligns_with_every_earlier_holder(spark):
     """Lines that cross in the pair with their first holder, or that it repeats, align with a later holder."""
     a, b, c, d = (prose(620 + i, 6) for i in range(4))
-    rows = [(i, "\n".join(x), "en", "a", 1) for i, x in enumerate([[a, "p", b], [b, "q", a], [c, "r", c], [b, "s", a, "t", c], [d, "", c, "", d], ["u", c, "v", c, "w"], ["x", d, "", c], [a, b], ["y", b, a, "z"]])]
+    rows = [(i, "\n".join(x), "en", "a", 1) for i, x in enumerate([
+        [a, "p", b],
+        [b, "q", a],
+        [c, "r", c],
+        [b, "s", a, "t", c],
+        [d, "", c, "", d],
+        ["u", c, "v", c, "w"],
+        ["x", d, "", c],
+        [a, b],
+        ["y", b, a, "z"],
+    ])]
     pool = [prose(640 + i, 4) for i in range(8)]
     rng = random.Random(4)
     rows += [(20 + i, "\n".join([rng.choice([*pool, f"own {i} {j}", ""]) for j in range(9)] + [f"own {i}"]), "en", "a", 1) for i in range(40)]
