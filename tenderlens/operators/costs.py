@@ -15,7 +15,7 @@ DEFAULT_RESERVE = 0.15
 
 def call_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """calls (model, tokens_in, cache_write, cache_read, tokens_out, batch, fx) with `cost`; an unknown model gives `error`."""
-    rows = calls.join(F.broadcast(prices.select("model", "price_in", "price_out")), "model", "left")
+    rows = calls.join(prices.select("model", "price_in", "price_out"), "model", "left")
     usd = (F.col("tokens_in") * F.col("price_in") + F.col("cache_write") * F.col("price_in") * CACHE_WRITE + F.col("cache_read") * F.col("price_in") * CACHE_READ + F.col("tokens_out") * F.col("price_out")) / MILLION
     cost = usd * F.when(F.col("batch"), BATCH).otherwise(1.0) * F.col("fx")
     return rows.withColumns({"cost": F.round(cost, 6), "error": F.when(F.col("price_in").isNull(), "unknown model")}).drop("price_in", "price_out")

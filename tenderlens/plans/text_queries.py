@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalise_quote
 from ..operators import evidence, metrics, profile, reports, rules, silver, triage, versions
+from ..operators.profile import PATTERNS as REAL
 from ..sources import feed
 from .registry import query
 from .views import FIRST, LAST, PATTERNS, Views
@@ -21,12 +22,21 @@ def _hit(pattern: str) -> str:
 # The page is trimmed of white space before its length counts; RE2's \s lacks U+000B.
 _TEXT = r"length(regexp_replace(text, '^[\s\x0B]+|[\s\x0B]+$', '', 'g')) > 50"
 _CORE = ("volumen_negocios", "trabajos_similares", "clasificacion")
-_SCORE = (
-    f"greatest(0, CASE WHEN {_hit(PATTERNS['section'])} THEN 3 ELSE 0 END + CASE WHEN {_hit(PATTERNS['figure'])} THEN 1 ELSE 0 END"
-    + "".join(f" + CASE WHEN {_hit(p)} THEN {2 if k in _CORE else 1} ELSE 0 END" for k, p in _REQ.items())
-    + r" + CASE WHEN len(regexp_extract_all(text, '\.{5,}')) >= 3 THEN -3 ELSE 0 END)"
-)
-_SCORED = f"SELECT doc_id, page_no, {_SCORE} AS score, CASE WHEN {_hit(PATTERNS['annexes'])} THEN 1 ELSE 0 END AS annex FROM pages_ WHERE {_TEXT}"
+
+
+def _score(patterns: dict) -> str:
+    """SQL of page_score."""
+    hits = [f"CASE WHEN {_hit(patterns['section'])} THEN 3 ELSE 0 END", f"CASE WHEN {_hit(patterns['figure'])} THEN 1 ELSE 0 END"]
+    hits += [f"CASE WHEN {_hit(p)} THEN {2 if k in _CORE else 1} ELSE 0 END" for k, p in patterns["requirements"].items()]
+    return f"greatest(0, {' + '.join(hits)}" + r" + CASE WHEN len(regexp_extract_all(text, '\.{5,}')) >= 3 THEN -3 ELSE 0 END)"
+
+
+def _scored(patterns: dict, pages: str) -> str:
+    return f"SELECT doc_id, page_no, {_score(patterns)} AS score, CASE WHEN {_hit(patterns['annexes'])} THEN 1 ELSE 0 END AS annex FROM {pages} WHERE {_TEXT}"
+
+
+_SCORE = _score(PATTERNS)
+_SCORED = _scored(PATTERNS, "pages_")
 
 
 def _window(scored: str, cap: int = 6) -> str:
@@ -53,19 +63,36 @@ def e2_anchor_window(v: Views) -> DataFrame:
     return evidence.anchor_window(evidence.score_pages(v.pages, PATTERNS).select("doc_id", "page_no", "score"))
 
 
-_WEAK = f"SELECT doc_id, page_no, annex AS score FROM ({_SCORED}) w WHERE doc_id IN (SELECT doc_id FROM ({_SCORED}) w2 GROUP BY doc_id HAVING max(score) = 0)"
-_HITS = f"SELECT *, 'solvencia' AS route FROM ({_window(_SCORED)}) a UNION ALL SELECT *, 'anexos' FROM ({_window(_WEAK)}) b"
-_LOCATED = (
-    f"SELECT doc_id, page_no, score, route FROM ({_HITS}) h UNION ALL SELECT doc_id, NULL, 0, CASE "
-    f"WHEN bool_or({_TEXT}) THEN 'no_localizada' ELSE 'no_localizada: sin texto' END FROM pages_ "
-    f"WHERE doc_id NOT IN (SELECT doc_id FROM ({_HITS}) h2) GROUP BY doc_id"
-)
+def _locating(patterns: dict, pages: str) -> str:
+    """SQL of locate."""
+    scored = _scored(patterns, pages)
+    weak = f"SELECT doc_id, page_no, annex AS score FROM ({scored}) w WHERE doc_id IN (SELECT doc_id FROM ({scored}) w2 GROUP BY doc_id HAVING max(score) = 0)"
+    hits = f"SELECT *, 'solvencia' AS route FROM ({_window(scored)}) a UNION ALL SELECT *, 'anexos' FROM ({_window(weak)}) b"
+    return (
+        f"SELECT doc_id, page_no, score, route FROM ({hits}) h UNION ALL SELECT doc_id, NULL, 0, CASE "
+        f"WHEN bool_or({_TEXT}) THEN 'no_localizada' ELSE 'no_localizada: sin texto' END FROM {pages} "
+        f"WHERE doc_id NOT IN (SELECT doc_id FROM ({hits}) h2) GROUP BY doc_id"
+    )
+
+
+_LOCATED = _locating(PATTERNS, "pages_")
 
 
 def _located(v: Views) -> DataFrame:
     return evidence.locate(v.pages, PATTERNS)
 
 
+@query("clause_pages", f"SELECT doc_id, page_no, score FROM ({_scored(REAL, 'clause_pages')}) x")
+def e1_score_pages_of_clauses(v: Views) -> DataFrame:
+    """The patterns for real tender documents, on pages that got such clauses."""
+    return evidence.score_pages(v.clause_pages).select("doc_id", "page_no", "score")
+
+
+@query("clause_pages", f"SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, score, route FROM ({_locating(REAL, 'clause_pages')}) l")
+def e3_locate_clauses(v: Views) -> DataFrame:
+    return evidence.locate(v.clause_pages)
+
+
 @query("pages_", f"SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, score, route FROM ({_LOCATED}) l")
 def e3_locate(v: Views) -> DataFrame:
     return _located(v)
@@ -130,6 +157,13 @@ def e9_normalise_quote(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", F.md5(normalise_quote(F.col("text"), compatibility=False)).alias("digest"))
 
 
+@query("", f"SELECT doc_id, md5({_normal(chr(39).join(('text || ', ' fin 2 ABC 1/4 Å ...', '')))}) AS digest FROM documents")
+def u1_normalise_compatible_forms(v: Views) -> DataFrame:
+    """Ligatures, raised and full-width characters and the like count as what they are made of."""
+    text = F.concat("text", F.lit(" ﬁn ² ＡＢＣ 1／4 Å …"))
+    return v.table("documents").select("doc_id", F.md5(normalise_quote(text)).alias("digest"))
+
+
 _SENT = "SELECT doc_id, page_no, text FROM pages_ WHERE page_no % 7 > 0"
 _VERIFIED = (
     "SELECT q.doc_id, q.page, q.kind, q.quote, q.amount, q.demand, CASE WHEN q.kind = 'otro' THEN 'unknown type' WHEN p.page_no IS NULL THEN 'page not sent' "

@@ -34,6 +34,16 @@ PATTERNS = {
 }
 
 
+# Clauses in the words that such documents use.
+CLAUSES = (
+    " Solvencia económica: volumen anual de negocios de 250.000,00 euros.",
+    " Clasificación empresarial: grupo V, subgrupo 2.",
+    " Certificado ISO 9001 y Esquema Nacional de Seguridad; véase el anexo II.",
+    " Cuadro resumen ......... 3 ......... 4 ......... 5",
+    " Adscripción de medios y habilitación profesional.",
+)
+
+
 def prefix_a() -> tuple[str, ...]:
     return ("72", "48")
 
@@ -157,6 +167,13 @@ class Views:
         rows = self.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "text"))
         return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("page_no"), "text")
 
+    @cached_property
+    def clause_pages(self) -> DataFrame:
+        """Pages, most of them with a clause as tender documents have them."""
+        kind = (F.col("doc_id") + F.col("page_no")) % (len(CLAUSES) + 2)
+        clause = F.coalesce(F.get(F.array(*map(F.lit, CLAUSES)), kind.cast("int")), F.lit(""))
+        return self.pages.select("doc_id", "page_no", F.when(F.col("doc_id") % 5 > 0, F.concat("text", clause)).otherwise(F.col("text")).alias("text"))
+
     @cached_property
     def quotes(self) -> DataFrame:
         """Every item's opening as a quote against each document page that its id points at, and the page's own opening; half of them spoilt."""
@@ -258,6 +275,12 @@ SQL_VIEWS: dict[str, tuple[str, str]] = {
         "SELECT doc_id, unnest(range(1, len(l) + 1)) AS page_no, unnest(l) AS text FROM (SELECT doc_id, string_split(text, "
         "chr(10)) AS l FROM documents) d"
     )),
+    "clause_pages": (
+        "pages_",
+        "SELECT doc_id, page_no, CASE WHEN doc_id % 5 > 0 THEN text || coalesce(["
+        + ", ".join(f"'{c}'" for c in CLAUSES)
+        + f"][(doc_id + page_no) % {len(CLAUSES) + 2} + 1], '') ELSE text END AS text FROM pages_",
+    ),
     "quotes": (
         "pages_",
         "SELECT doc_id, page_no AS page, CASE WHEN page_no % 2 = 0 THEN q ELSE 'x' || q || 'x' END AS quote, " + _KINDS + (
