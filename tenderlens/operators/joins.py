@@ -17,8 +17,12 @@ def won_by(companies: DataFrame, awards: DataFrame, notices: DataFrame, first: s
 
 
 def not_yet_triaged(current: DataFrame, triage: DataFrame, companies: DataFrame) -> DataFrame:
-    """(alias, current columns): dossiers a company has not triaged in any version; `companies` pairs (alias, entry_id) say which it looks at."""
-    return companies.join(triage.select("alias", "entry_id").distinct(), ["alias", "entry_id"], "left_anti").join(current, "entry_id")
+    """(alias, current columns): dossiers a company has not triaged in any version; `companies` pairs (alias, entry_id) say which it looks at.
+
+    Dossiers come first, so that what current leaves out is not compared with triage.
+    """
+    rows = companies.select("alias", "entry_id").join(current, "entry_id").select("alias", *current.columns)
+    return rows.join(triage.select("alias", "entry_id").distinct(), ["alias", "entry_id"], "left_anti").select("alias", *current.columns)
 
 
 def pending_for_config(sample: DataFrame, triage: DataFrame, keys: list[str]) -> DataFrame:
