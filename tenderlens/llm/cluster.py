@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,11 +13,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which the driver and all executors share; without that setting there is none to use."""
+    """The folder of spark.checkpoint.dir, which the driver and all executors share; only local mode may do without that setting."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tenderlens-")  # one process is the whole cluster
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
