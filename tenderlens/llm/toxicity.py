@@ -4,7 +4,10 @@ A document is a bag of sentences (runs between . ! ? and line ends).  A
 sentence's probability is logistic in the sum of weights of its distinct
 words, where a word has a hashed weight of its own and one for each of several
 prefixes; a document's is the noisy-or of its sentences', so labels of
-documents teach which sentences offend.  Only the text enters a score.
+documents teach which sentences offend.  Sentences without any telling word are a
+text's background: together they count like the logarithm of their number of plain
+sentences, so that clean texts do not grow toxic with their length.  Only the text
+enters a score.
 
 Training reads at most `max_rows` labelled rows of either label, the smallest
 by a hash of their id, weighted back to the labels' true shares.  Tasks count
@@ -99,8 +102,15 @@ def telling(seen: np.ndarray, toxic: np.ndarray, share: float, least_z: float) -
     return (toxic - expected) / np.sqrt(expected * (1 - share) + 0.5) >= least_z
 
 
-def reduced(words: Words, number: np.ndarray, ranges: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per row its count of sentences without a chosen feature, then for the others (sentence, feature) pairs and both's row bounds.
+def background(n: np.ndarray) -> np.ndarray:
+    """How many plain sentences n sentences without a telling word count for."""
+    return np.log1p(n)
+
+
+def reduced(
+    words: Words, number: np.ndarray, ranges: np.ndarray, chosen: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per row its number of sentences without a chosen feature; of the others (sentence, feature) pairs, their row bounds, and their number.
 
     Sentences count from 0 in each row; features are places in `chosen`.
     """
@@ -120,8 +130,20 @@ def reduced(words: Words, number: np.ndarray, ranges: np.ndarray, chosen: np.nda
     return np.diff(ranges) - n_active, local - first[pair_row], feature, bounds, n_active
 
 
-def descend(labels: np.ndarray, weights: np.ndarray, plain: np.ndarray, sentence: np.ndarray, feature: np.ndarray, row: np.ndarray, k: int, epochs: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
-    """Weights of the k features and the bias, by AdaGrad on the noisy-or likelihood; row: of each numbered sentence, plain: sentences without a feature."""
+def descend(
+    labels: np.ndarray,
+    weights: np.ndarray,
+    plain: np.ndarray,
+    sentence: np.ndarray,
+    feature: np.ndarray,
+    row: np.ndarray,
+    k: int,
+    epochs: int,
+    rate: float,
+    decay: float,
+) -> tuple[np.ndarray, float]:
+    """Weights of the k features and the bias, by AdaGrad on the noisy-or likelihood; row: of each sentence that has a feature, plain: how many others a row has."""
+    plain = background(plain)
     w, bias, seen, seen_bias = np.zeros(k), START_BIAS, np.full(k, 1e-2), 1e-2
     scale = weights * len(labels) / max(weights.sum(), 1e-9)
     for _ in range(epochs if len(row) or plain.any() else 0):
@@ -130,9 +152,9 @@ def descend(labels: np.ndarray, weights: np.ndarray, plain: np.ndarray, sentence
         total = np.minimum(np.bincount(row, none, len(labels)) + plain * none_plain, -1e-9)
         up = np.where(labels > 0, np.exp(total) / -np.expm1(total), -1.0) * scale  # (1 - P) / P for toxic rows
         slope = -np.expm1(none) * up[row]
-        slope_bias = slope.sum() + (up * plain).sum() * -np.expm1(none_plain)
         grad = np.bincount(feature, slope[sentence], k) - decay * w
         seen += grad**2
+        slope_bias = slope.sum() + (up * plain).sum() * -np.expm1(none_plain)
         seen_bias += slope_bias**2
         w += rate * grad / np.sqrt(seen)
         bias += rate * slope_bias / np.sqrt(seen_bias)
@@ -262,10 +284,15 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: list[s
             texts = texts.fill_null("")
             words = words_of(pc.utf8_lower(texts), ALPHANUMERIC)
             number, ranges = sentences_of(words)
-            value = w[features(words)].sum(0) if len(words.hashes) else np.zeros(0)
             at = distinct(words, number)
-            p, none = noisy_or(np.bincount(number[at], value[at], int(ranges[-1])) + w[-1], ranges)
-            total = np.where(np.diff(ranges) > 0, np.clip(-np.expm1(none), 0, 1), 0.0)
+            own = w[features(words)[:, at]]
+            n = int(ranges[-1])
+            telling_words = np.bincount(number[at], (own != 0).any(0), n)
+            z = np.where(telling_words > 0, np.bincount(number[at], own.sum(0), n) + w[-1], -np.inf)
+            p, none = noisy_or(z, ranges)
+            inactive = np.concatenate([[0], np.cumsum(telling_words == 0)])
+            none = none - background(np.diff(inactive[ranges])) * np.logaddexp(0, w[-1])
+            total = np.clip(-np.expm1(none), 0, 1)
             bad = np.flatnonzero(p >= locate)
             bounds = np.searchsorted(bad, ranges)
             return [

@@ -206,9 +206,13 @@ def test_toxicity_training_over_tasks_equals_plain_descent(spark):
     for _ in range(7):
         grad, grad_bias = {f: -0.1 * w[f] for f in own}, 0.0
         for bag, label in zip(bags, y, strict=True):
+            n_plain = math.log1p(sum(not s for s in bag))  # the background
+            bag = [s for s in bag if s]
             p = [1 / (1 + math.exp(-bias - sum(w[f] for f in s))) for s in bag]
-            none = min(sum(math.log(1 - x) for x in p), -1e-9)
+            p_plain = 1 / (1 + math.exp(-bias))
+            none = min(sum(math.log(1 - x) for x in p) + n_plain * math.log(1 - p_plain), -1e-9)
             up = math.exp(none) / (1 - math.exp(none)) if label else -1.0
+            grad_bias += n_plain * p_plain * up
             for s, x in zip(bag, p, strict=True):
                 grad_bias += x * up
                 for f in s:
@@ -239,6 +243,15 @@ def test_toxicity_scores_equal_brute_force(spark):
         assert r.score == pytest.approx(-math.expm1(lost), abs=1e-6) and r.predicted == int(r.score >= 0.5)
 
 
+def test_toxicity_of_clean_texts_does_not_grow_with_length(spark):
+    rows, labels = labelled(400)
+    weights = toxicity.train(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    clean = ". ".join(prose(50_000 + i, 8) for i in range(6000))
+    docs = spark.createDataFrame([(1, clean, "en", "a", 1), (2, f"{clean}. you utter moron", "en", "a", 1)], SCHEMA)
+    out = {r.doc_id: r for r in toxicity.score(docs, weights).collect()}
+    assert out[1].predicted == 0 and out[1].score < 0.1 and out[2].predicted == 1 and len(out[2].offending) == 1
+
+
 def test_toxicity_filter_keeps_columns(spark):
     rows, labels = labelled(120)
     docs = clashing(spark.createDataFrame(rows, SCHEMA))
