@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 #: References that the HTML standard also knows without a final semicolon, longest first.
 UNTERMINATED = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 #: Numbers 128 to 159 stand for the characters of windows-1252, where it has one.
-WINDOWS = [bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)]
-
-
+WINDOWS = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0))
+#: Looked for most, so they come first in the table.
+USUAL = "amp; lt; gt; quot; apos; nbsp; aacute; eacute; iacute; oacute; uacute; ntilde;".split()
 #: All references in one constant text, found by searching it: a map of so many would be built anew for every reference.
-TABLE = "\x01" + "\x01".join(f"{n}\x02{v}" for n, v in html5.items()) + "\x01"
-USUAL = {n: html5[n] for n in ("amp;", "lt;", "gt;", "quot;", "apos;", "nbsp;", "aacute;", "eacute;", "iacute;", "oacute;", "uacute;", "ntilde;")}
+TABLE = "\x01" + "\x01".join(f"{n}\x02{html5[n]}" for n in dict.fromkeys([*USUAL, *html5])) + "\x01"
+LONGEST = max(map(len, html5.values()))
+SPACE = " \t\n\x0b\f\r"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -30,15 +31,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _known(name: Column) -> Column:
     """Characters of a named reference; null if there is none of that name."""
-    usual = F.coalesce(*(F.when(name == n, v) for n, v in USUAL.items()))
     key = F.concat(F.lit("\x01"), name, F.lit("\x02"))
-    found = F.when((name != "") & F.contains(F.lit(TABLE), key), F.substring_index(F.split_part(F.lit(TABLE), key, F.lit(2)), "\x01", 1))
-    return F.coalesce(usual, found)
+
+    def meaning(at: Column) -> Column:
+        value = F.substr(F.lit(TABLE), at + F.length(name) + 2, F.lit(LONGEST + 1))
+        return F.when(at > 0, F.substring_index(value, "\x01", 1))
+
+    return let(F.position(key, F.lit(TABLE)), meaning)
 
 
 def _character(n: Column) -> Column:
     """The character of that code point as browsers read it: nothing for controls and non-characters, U+FFFD for what is no character."""
-    windows = F.element_at(F.array(*(F.lit(c) for c in WINDOWS)), (n - 0x7F).cast("int"))
+    windows = F.substr(F.lit(WINDOWS), (n - 0x7F).cast("int"), F.lit(1))
     plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
     control = n.between(1, 8) | n.between(14, 31) | n.isin(11, 127)
     no_character = n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
@@ -96,14 +100,15 @@ def first_block(c: Column, name: str) -> Column:
 
 
 def elements(c: Column) -> Column:
-    """Start tags as (name without prefix, text), texts trimmed and undone; end tags have no name."""
+    """Start tags as (name without prefix, text), texts trimmed and undone; end tags are left out first."""
 
     def element(part: Column) -> Column:
-        name = F.substring_index(F.split(part, r"[\s/>]", 2)[0], ":", -1)
-        text = F.regexp_replace(F.substr(part, F.locate(">", part) + 1), r"^\s+|\s+$", "")
+        name = F.substring_index(F.regexp_extract(part, r"^[^\s/>]*", 0), ":", -1)
+        text = F.btrim(F.substr(part, F.locate(">", part) + 1), F.lit(SPACE))
         return F.struct(name.alias("name"), unescape(text).alias("text"))
 
-    return F.filter(F.transform(F.split(c, "<"), element), lambda e: (e["name"] != "") & (e["text"] != ""))
+    starts = F.filter(F.split(c, "<"), lambda part: ~F.startswith(part, F.lit("/")))
+    return F.filter(F.transform(starts, element), lambda e: (e["name"] != "") & (e["text"] != ""))
 
 
 def first_text(found: Column, name: str) -> Column:
