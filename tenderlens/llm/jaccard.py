@@ -4,8 +4,8 @@ Texts are sets of hashed word n-grams (a shorter text is one n-gram).  Equal
 sets form a class, handled once.  Bands of MinHash rows, sized for the wanted
 recall at the threshold, are shuffled on their hashes; every bucket links its
 classes to its smallest one, so a bucket of n classes makes n links, not n * n.
-Connected classes form a block of candidates, in which all pairs are compared
-on the full sets: matrix products over the shared n-grams of two tiles at a time,
+Connected classes form a block of candidates, in which all pairs of like size are
+compared on the full sets: matrix products over the shared n-grams of two tiles at a time,
 tiles being bounded in rows and n-grams.  Hence a pair is lost only if no chain
 of shared buckets joins it, and links are counted without being listed.
 
@@ -20,17 +20,19 @@ reads only the id and the text, so further columns, whatever their names, change
 nothing; keep_one() keeps all of them and uses __node, __rep, __place, __id and
 __body inside.
 
-All pairs of a block are compared, so a link is lost only where no chain of
-buckets joins two texts; in return work grows with the square of a block.
+All pairs of a block whose sizes allow the threshold are compared, so a link is
+lost only where no chain of buckets joins two texts; in return work grows with the
+square of the sets of like size in a block.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import emit_rows, lists, map_texts
@@ -190,19 +192,40 @@ def candidate_blocks(classes: DataFrame) -> DataFrame:
     return components(edges)
 
 
-def tiles(blocks: DataFrame) -> DataFrame:
-    """Rows (node, label, ...) dealt to groups: small blocks share a group, large ones are cut into tiles that meet in pairs."""
+def tiles(blocks: DataFrame, threshold: float) -> DataFrame:
+    """Rows (node, label, ...) dealt to groups: small blocks share a group, large ones are cut into tiles that meet in pairs.
+
+    A large block is cut by levels of size first, a level being so wide that sets two levels apart are
+    too unlike in size to pass; hence only tiles of the same or of adjacent levels meet.
+    """
     sizes = blocks.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("g"))
-    sizes = sizes.select("label", F.greatest(F.ceil(F.col("n") / TILE_ROWS), F.ceil(F.col("g") / TILE_NGRAMS)).cast("int").alias("k"))
+    tiled = F.greatest(F.ceil(F.col("n") / TILE_ROWS), F.ceil(F.col("g") / TILE_NGRAMS)).cast("int")
+    large = sizes.select("label", (tiled > 1).alias("large"))
     total = blocks.agg(F.count(F.lit(1)), F.sum("n_grams")).first()
     bins = max(1, (total[0] or 0) // TILE_ROWS, (total[1] or 0) // TILE_NGRAMS) * 2
-    rows = blocks.join(sizes, "label").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    rows = rows.withColumn("other", other)
-    low, high = F.least("tile", "other"), F.greatest("tile", "other")
-    side = F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2)
-    block = F.concat_ws(":", F.hex("label"), low, high)
-    group = F.when(F.col("k") == 1, F.pmod(F.xxhash64("label"), F.lit(bins)).cast("string")).otherwise(block)
+    # a hair wider than the threshold asks for, against rounding; at thresholds near 1 or 0 still whole levels
+    width = max(-math.log(max(threshold, 1e-9)), 1e-3) * (1 + 1e-6)
+    level = F.when(F.col("large"), F.floor(F.log(F.greatest("n_grams", F.lit(1)).cast("double")) / width)).otherwise(0).cast("int")
+    rows = blocks.join(large, "label").withColumn("level", level)
+    levels = rows.groupBy("label", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("g")).select("label", "level", tiled.alias("k"))
+    above = levels.select("label", (F.col("level") - 1).alias("level"), F.col("k").alias("k_above"))
+    below = levels.select("label", (F.col("level") + 1).alias("level"), F.col("k").alias("k_below"))
+    dealt = levels.join(above, ["label", "level"], "left").join(below, ["label", "level"], "left")
+    rows = rows.join(dealt, ["label", "level"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+
+    def meet(step: int, k: str) -> Column:
+        """The tiles of the level that many steps away."""
+        last = F.coalesce(k, F.lit(0)) - 1
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda t: F.struct((F.col("level") + step).alias("level"), t.alias("tile"))))
+
+    none = F.array().cast("array<struct<level:int,tile:int>>")
+    others = F.concat(*(F.coalesce(meet(step, k), none) for step, k in ((-1, "k_below"), (0, "k"), (1, "k_above"))))
+    own = F.struct("level", "tile")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(others))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    block = F.concat_ws(":", F.hex("label"), low["level"], low["tile"], high["level"], high["tile"])
+    group = F.when(F.col("large"), block).otherwise(F.pmod(F.xxhash64("label"), F.lit(bins)).cast("string"))
     return rows.select("node", "weight", block.alias("block"), side.alias("side"), group.alias("group"))
 
 
@@ -232,7 +255,7 @@ def labelled_nodes(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     classes = written(classes)
 
     blocks = checkpointed(candidate_blocks(classes).join(classes.drop("bands"), "node"))
-    dealt = tiles(blocks)
+    dealt = tiles(blocks, threshold)
     wanted = blocks.select("rep", F.col("node").alias("wanted"))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__body")).join(wanted, F.col("__id").eqNullSafe(F.col("rep")))
 

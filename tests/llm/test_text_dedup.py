@@ -133,6 +133,19 @@ def test_jaccard_tiles_count_every_pair_once(spark, monkeypatch):
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in out) == links_by_sets(rows)
 
 
+def test_jaccard_tiles_of_a_chain_of_growing_texts(spark, monkeypatch):
+    """Prefixes of one text, each near its neighbours in size only: tiles of like size meet, no link is lost, the longest never meet the shortest."""
+    monkeypatch.setattr(jaccard, "TILE_ROWS", 7)
+    base, made = prose(11, 600).split(), []
+    whole = jaccard.tiles
+    monkeypatch.setattr(jaccard, "tiles", lambda *a: made.append(whole(*a)) or made[-1])
+    rows = [(i, " ".join(base[: int(30 * 1.06**i)]), "en", "a", 1) for i in range(50)]
+    out = jaccard.jaccard_join(documents(spark, rows)).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in out) == links_by_sets(rows)
+    steps = {int(high) - int(low) for low, high in (r.block.split(":")[1:4:2] for r in made[0].collect())}
+    assert steps == {0, 1}
+
+
 def test_keep_one_of_each_class(spark):
     rows = odd_documents()
     docs = documents(spark, rows)
