@@ -58,10 +58,23 @@ e AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER B
 SELECT d.doc_id, len(d.l) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(e.n_items, 0) AS n_items, coalesce(e.items_sha256, {NO_HASH}) AS items_sha256, coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.l) AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN e USING (doc_id)
 """
 
+SUFFIX_DEDUP = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, a, md5(substr(x, CAST(2 * a + 1 AS BIGINT), 200)) AS g FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS a FROM d WHERE n >= 100) y),
+r AS (SELECT doc_id, a FROM (SELECT doc_id, a, row_number() OVER (PARTITION BY g ORDER BY doc_id, a) AS k FROM w) y WHERE k > 1),
+s AS (SELECT doc_id, a, coalesce(a > lag(a) OVER (PARTITION BY doc_id ORDER BY a) + 100, true) AS fresh FROM r),
+i AS (SELECT doc_id, a, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY a) AS k FROM s),
+e AS (SELECT doc_id, k, min(a) AS a, max(a) + 100 AS b FROM i GROUP BY doc_id, k),
+m AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM e GROUP BY doc_id),
+j AS (SELECT d.doc_id, d.n, d.x, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, list_concat([0], coalesce(ends, [])) AS froms, list_concat(coalesce(starts, []), [d.n]) AS tos FROM d LEFT JOIN m USING (doc_id))
+SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(array_to_string(list_transform(range(1, len(froms) + 1), lambda q: substr(x, CAST(2 * froms[q] + 1 AS BIGINT), CAST(2 * (tos[q] - froms[q]) AS BIGINT))), ''))) AS kept_sha256 FROM j
+"""
+
 ORACLES = {
     "op2_substring_dedup": SUBSTRING_DEDUP,
     "op3_mixing": MIXING,
     "op7_exact_topk": TOP_K,
     "op8_ngram_jaccard_join": JACCARD,
     "op9_decontamination": DECONTAMINATION,
+    "op13_suffix_dedup": SUFFIX_DEDUP,
 }

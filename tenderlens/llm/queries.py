@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, jaccard, line_dedup, lm, mixing, sharding, substring_dedup, topk, toxicity
+from . import (
+    decontamination,
+    html_extraction,
+    jaccard,
+    line_dedup,
+    lm,
+    mixing,
+    periodic_runs,
+    sharding,
+    spelling_variants,
+    substring_dedup,
+    suffix_dedup,
+    topk,
+    toxicity,
+)
 from .oracle import ORACLES  # noqa: F401  (the entry module reads it here)
 
 
@@ -73,6 +87,48 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id", 5).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of six letters or more that occur five times, with the form and the root of each; one run in 199 loses a letter first."""
+    counts = spelling_variants.word_counts(_table(spark, sf_dir, "documents"), id_col="doc_id")
+    return spelling_variants.spelling_variants(counts).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth text, by its id's checksum, turns periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    g, n = F.floor(h / 10), F.size("words")
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    periodic = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + F.pmod(i - F.col("a"), F.col("p"))).cast("int"))))
+    chosen = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"))
+    chosen = chosen.withColumns({"a": F.when(n > 0, a), "p": F.when(n > 0, p)})
+    return chosen.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(F.array_join(periodic, " ")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, and digests of them and of what is left without repetitions."""
+    found = periodic_runs.periodic_runs(planted(_table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of every document without 100-byte strings that start earlier."""
+    left = suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_lm_scoring,
     op2_substring_dedup,
@@ -84,4 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op8_ngram_jaccard_join,
     op9_decontamination,
     op10_toxicity,
+    op11_spelling_variants,
+    op12_periodic_runs,
+    op13_suffix_dedup,
 )}
