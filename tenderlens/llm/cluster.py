@@ -29,11 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
 _tables: list[str] = []
 
 
-def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+def written_at(df: DataFrame, compression: str = "snappy") -> tuple[DataFrame, str]:
     """df, written once as Parquet into the shared folder and read back, and where; shuffle files that led to it may go."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark).rstrip('/')}/tenderlens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     del df
     _tables.append(path)
     drop_shuffles(spark)

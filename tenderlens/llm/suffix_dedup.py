@@ -267,14 +267,11 @@ def common_prefix(data: np.ndarray, array: np.ndarray, depth: int) -> np.ndarray
     return np.minimum(out, depth)
 
 
-JUDGED = "number binary, inner long, outer long, lead long"
+JUDGED = "number binary, inner long, outer long"
 
 
 def judge(table: pa.Table, width: int) -> pa.Table:
-    """Per string (number, scope, body, first and last coordinate): masks of its windows that repeat an earlier one, at the first and at later coordinates.
-
-    lead tells whether any window is earlier elsewhere, by number of such windows.
-    """
+    """Per string (number, scope, body, first and last coordinate): masks of its windows that repeat an earlier one, at the first and at later coordinates."""
     bodies = table["body"].combine_chunks().cast(pa.large_binary())
     n = len(bodies)
     offsets = np.frombuffer(bodies.buffers()[1], np.int64)[bodies.offset : bodies.offset + n + 1]
@@ -284,7 +281,7 @@ def judge(table: pa.Table, width: int) -> pa.Table:
     data[np.arange(len(raw)) + np.repeat(np.arange(n), np.diff(offsets))] = raw
     starts = offsets[:-1] + np.arange(n)
     array = suffix_array(data, width)
-    owner = np.searchsorted(starts, array, "right") - 1
+    owner = np.repeat(np.arange(n), np.diff(offsets) + 1)[array]
     shift = array - starts[owner]
     whole = shift + width <= np.diff(offsets)[owner]  # a window, not a string's rest
     array, owner, shift = array[whole], owner[whole], shift[whole]
@@ -292,18 +289,20 @@ def judge(table: pa.Table, width: int) -> pa.Table:
     key, at, scope = (table[c].to_numpy() for c in ("key", "at", "scope"))
     later = table["repeated"].to_numpy(zero_copy_only=False)
     fresh = common_prefix(data, array, width) < width
-    kind = np.cumsum(fresh)
-    order = np.lexsort((at[owner] + shift, key[owner], doc[owner], scope[owner], kind))
-    kind, owner, shift = kind[order], owner[order], shift[order]
-    earliest = np.ones(len(kind), bool)
-    earliest[1:] = (kind[1:] != kind[:-1]) | (scope[owner][1:] != scope[owner][:-1])
+    several = ~fresh | np.append(~fresh[1:], False)  # the others are alone in their class
+    kind, many, place = np.cumsum(fresh)[several], owner[several], at[owner[several]] + shift[several]
+    order = np.lexsort((place, key[many], doc[many], scope[many], kind))
+    kind, within = kind[order], scope[many][order]
+    first = np.ones(len(kind), bool)
+    first[1:] = (kind[1:] != kind[:-1]) | (within[1:] != within[:-1])
+    earliest = np.ones(len(owner), bool)
+    earliest[np.flatnonzero(several)[order]] = first
     bit = np.uint64(1) << shift.astype(np.uint64)
     inner, outer = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     np.bitwise_or.at(inner, owner[~earliest], bit[~earliest])
     # a class with a string of several coordinates has later ones, whichever of its strings is earliest
     np.bitwise_or.at(outer, owner[later[owner]], bit[later[owner]])
-    lead = np.bincount(owner[~earliest], minlength=n)
-    return pa.table([table["number"], pa.array(inner.view(np.int64)), pa.array(outer.view(np.int64)), pa.array(lead)], ["number", "inner", "outer", "lead"])
+    return pa.table([table["number"], pa.array(inner.view(np.int64)), pa.array(outer.view(np.int64))], ["number", "inner", "outer"])
 
 
 def judged(strings: DataFrame, width: int) -> DataFrame:
@@ -339,7 +338,7 @@ def taken_apart(strings: DataFrame, width: int) -> DataFrame:
         discard(spark, at)
     one = single.groupBy("number").agg(F.first("scope").alias("scope"), F.first("gram").alias("gram"), F.first("body").alias("body"), F.min("first").alias("first"), ((F.count(F.lit(1)) > 1) | F.max("repeated")).alias("repeated"))
     one, one_at = written_at(one)
-    result = judged(one, width).where("inner <> 0 or outer <> 0").select("number", "inner", "outer")
+    result = judged(one, width).where("inner <> 0 or outer <> 0")
     result = result.join(one.select("number", F.col("first").alias("earliest")), "number")
     back = single.select("number", "of", "i", "first", "repeated").join(result, "number")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))
@@ -358,11 +357,11 @@ def repeats(texts: DataFrame, width: int, gram: int, hot: int) -> DataFrame:
     found = occurrences(texts, width, gram)
     scope = F.when(F.col("doc").isNull(), F.col("key")).otherwise(F.lit(0).cast("long"))  # a row without an id only meets itself
     number = F.unhex(F.md5(F.concat(scope.cast("string").cast("binary"), F.lit(b" "), F.col("body"))))
-    found, found_at = written_at(found.select("doc", "key", "at", "gram", "body", scope.alias("scope"), number.alias("number")))
-    strings, strings_at = written_at(merged(found))
+    found, found_at = written_at(found.select("doc", "key", "at", "gram", "body", scope.alias("scope"), number.alias("number")), "zstd")
+    strings, strings_at = written_at(merged(found), "zstd")
     crowded, crowded_at = written_at(strings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("gram"))
     few = strings.join(crowded, "gram", "left_anti")
-    result = judged(few, width).select("number", "inner", "outer")
+    result = judged(few, width)
     if crowded.limit(1).count():
         result = result.unionByName(taken_apart(strings.join(crowded, "gram"), width))
     result = result.where("inner <> 0 or outer <> 0").join(strings.select("number", "first"), "number")
