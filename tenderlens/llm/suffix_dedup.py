@@ -123,7 +123,7 @@ def candidates(signed: DataFrame) -> DataFrame:
     firsts, firsts_at = written_at(firsts.drop("digest"))
     grams = firsts.where("not lone").select("doc", "key", F.explode("grams").alias("gram"))
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    both = grams.join(shared, "gram").unionByName(firsts.select("doc", "key", F.explode("again").alias("gram")))
+    both = grams.join(shared.hint("shuffle_hash"), "gram").unionByName(firsts.select("doc", "key", F.explode("again").alias("gram")))
     out = written(both.groupBy("doc", "key").agg(F.collect_set("gram").alias("grams")))
     discard(signed.sparkSession, firsts_at)
     return out
@@ -369,7 +369,7 @@ def repeats(texts: DataFrame, width: int, gram: int, hot: int) -> DataFrame:
     for at in (strings_at, crowded_at):
         discard(spark, at)
     is_first = F.struct("doc", "key", "at").eqNullSafe(F.col("first"))
-    hits = found.select("doc", "key", "at", "number").join(result, "number").select("doc", "key", F.struct("at", F.when(is_first, F.col("inner")).otherwise(F.col("outer")).alias("mask")).alias("mark"))
+    hits = found.select("doc", "key", "at", "number").join(result.hint("shuffle_hash"), "number").select("doc", "key", F.struct("at", F.when(is_first, F.col("inner")).otherwise(F.col("outer")).alias("mask")).alias("mark"))
     out = written(hits.where("mark.mask <> 0").groupBy("doc", "key").agg(F.collect_list("mark").alias("marks")))
     for at in (found_at, result_at):
         discard(spark, at)
@@ -428,7 +428,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wi
     discard(docs.sparkSession, signed_at)
 
     def joined(other: DataFrame, how: str) -> DataFrame:
-        return rows.join(other, F.col("doc").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), how).drop("of", "of_key")
+        return rows.join(other.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), how).drop("of", "of_key")
 
     marks = repeats(joined(wanted.withColumnsRenamed({"doc": "of", "key": "of_key"}), "inner"), width, gram, hot)
     discard(docs.sparkSession, wanted_at)

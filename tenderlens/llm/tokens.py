@@ -180,10 +180,12 @@ def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.empty(n, np.uint64)
     step = 1 << 17
+    up, down = _PowerTable.upto(min(n, step) + k)
     for i in range(0, n, step):
         j = min(n, i + step)
-        at = np.arange(j - i)
-        out[i:j] = range_hashes(hashes[i : j + k - 1], at, at + k)
+        total = np.zeros(j - i + k, np.uint64)
+        np.cumsum(hashes[i : j + k - 1] * up[: j - i + k - 1], out=total[1:])
+        out[i:j] = mix((total[k:] - total[:-k]) * down[: j - i] + np.uint64(k))
     return out
 
 
