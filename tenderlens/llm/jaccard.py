@@ -244,26 +244,36 @@ def labelled_nodes(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
         return make
 
-    signed = written(map_texts(docs, text, [id_col], "node binary, n_grams long, bands array<long>", sign))
-    members = signed.select(F.col(id_col), "node")
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows_ = docs.select(F.col(id_col).alias("__id"), F.xxhash64(body).alias("__key"), body.alias("__body"))
+    signed = written(map_texts(rows_, "__body", ["__id", "__key"], "node binary, n_grams long, bands array<long>", sign))
+    members = signed.select(F.col("__id").alias(id_col), "node")
+    # a class's text is that of one row: the smallest id's, told from other rows of that id (or of none) by a hash of the text
+    own = F.struct(F.col("__id").isNull().alias("none"), "__id", "__key")
     classes = signed.groupBy("node").agg(
-        F.min(id_col).alias("rep"),
+        F.min(own).alias("own"),
         F.count(F.lit(1)).alias("weight"),
         F.first("n_grams").alias("n_grams"),
         F.first("bands").alias("bands"),
     )
-    classes = written(classes)
+    classes = written(classes.select("node", F.col("own.__id").alias("rep"), F.col("own.__key").alias("rep_key"), "weight", "n_grams", "bands"))
 
     blocks = checkpointed(candidate_blocks(classes).join(classes.drop("bands"), "node"))
     dealt = tiles(blocks, threshold)
-    wanted = blocks.select("rep", F.col("node").alias("wanted"))
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__body")).join(wanted, F.col("__id").eqNullSafe(F.col("rep")))
+    wanted = blocks.select("rep", "rep_key", F.col("node").alias("wanted"))
+    texts = rows_.join(wanted, F.col("__id").eqNullSafe(F.col("rep")) & (F.col("__key") == F.col("rep_key")))
 
     def sets():
+        done: set[bytes] = set()  # rows that share id and text meet in one task, which needs one of them
+
         def make(texts: pa.Array, batch: pa.RecordBatch) -> list:
             grams, bounds = ngram_sets(words_of(texts, SPACE_SEPARATED), n)
             keys = digests(grams, bounds)
-            same = [i for i, k in enumerate(batch.column(0).to_pylist()) if k == keys[i]]
+            same = []
+            for i, k in enumerate(batch.column(0).to_pylist()):
+                if k == keys[i] and k not in done:
+                    done.add(k)
+                    same.append(i)
             chosen = pa.array(same, pa.int64())
             return [pa.array(keys, pa.binary()).take(chosen), lists(grams.view(np.int64), bounds).take(chosen)]
 

@@ -178,6 +178,23 @@ def test_keep_one_of_classes_with_null_and_repeated_ids(spark):
     assert sorted(r.text in null_only for r in out if r.doc_id is None) == [False, True]
 
 
+def test_texts_of_rows_without_an_id_are_fetched_once(spark, monkeypatch):
+    """A third of the ids is null: each class fetches one row's text, not those of all rows without an id."""
+    groups = [near_group(3, 900 + g, 40) for g in range(30)]
+    rows = [(None if (g + i) % 3 == 0 else 10 * g + i, t, "en", "a", 1) for g, texts in enumerate(groups) for i, t in enumerate(texts)]
+    rows += [(None, texts[0], "en", "a", 1) for texts in groups[:10]]
+    fetched, emit = [], jaccard.emit_rows
+
+    def counted(df, *rest):
+        fetched.append(df.count())
+        return emit(df, *rest)
+
+    monkeypatch.setattr(jaccard, "emit_rows", counted)
+    out = jaccard.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in out) == links_by_sets(rows)
+    assert sum(fetched) <= 2 * len(rows)
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_join(spark.createDataFrame([], SCHEMA)).collect() == []
 
