@@ -14,11 +14,14 @@ The article is where the content paths lie: the outermost article or main elemen
 that holds more than half of their text, or else the deepest container that holds
 all of it.  It decides ties: paths that lie wholly outside it count half, and a
 shorter block inside it (headline, lead, a one-word paragraph) is smoothed with the
-mean score of the article's content, so that only the prior can keep it out.  The
-text is all blocks whose paths pass then.
-
-Elements that never hold article text by definition (nav, footer, form, script,
-...) are no blocks at all.  Character references are decoded once, white space
+mean score of the article's content, so that only the prior can keep it out.  Where
+no such element is found, a short block has to stand between two content blocks of
+its own container, or be a heading before one.  The text is all blocks whose paths
+pass then.
+
+Elements that never hold article text by definition (nav, footer, script, ...), and
+hidden ones, are no blocks at all; forms are not, unless they wrap the page, that is,
+hold more than half of its text.  Character references are decoded once, white space
 inside a block becomes one space, blocks are joined by one line end, nothing is
 cut by length.
 
@@ -52,7 +55,7 @@ CLOSES_P = frozenset(
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table select html body article section div".split())
 NOT_ARTICLE = frozenset(
-    "head script style noscript template textarea title iframe object svg canvas nav header footer aside form button select option input label dialog menu".split(),
+    "head script style noscript template textarea title iframe object svg canvas nav header footer aside button select option input label dialog menu".split(),
 )
 NOT_ARTICLE_NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login menu nav navbar navigation newsletter notice notices pagination popup promo promotion related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split(),
@@ -65,17 +68,27 @@ AGAINST, OUTSIDE = 16.0, 2.0
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
 class Block:
-    """A block's text, the path of its tags, the containers and articles (by number) that hold it, and whether names speak against it."""
+    """A block's text, the path of its tags, the containers, articles and forms (by number) that hold it, whether names speak against it and whether it is a heading."""
+
+    __slots__ = ("path", "holders", "articles", "forms", "text", "against", "heading")
+
+    def __init__(self, path: str, holders: tuple[int, ...], articles: tuple[int, ...], forms: tuple[int, ...], text: str, against: bool, heading: bool) -> None:
+        self.path, self.holders, self.articles, self.forms, self.text, self.against, self.heading = path, holders, articles, forms, text, against, heading
 
-    __slots__ = ("path", "holders", "articles", "text", "against")
 
-    def __init__(self, path: str, holders: tuple[int, ...], articles: tuple[int, ...], text: str, against: bool) -> None:
-        self.path, self.holders, self.articles, self.text, self.against = path, holders, articles, text, against
+def hidden(attributes: str) -> bool:
+    """Whether an element with these attributes is not shown."""
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and NO_DISPLAY.search(value)):
+            return True
+    return False
 
 
 def named(attributes: str) -> tuple[str, set[str], set[str], set[str]]:
@@ -108,7 +121,8 @@ def blocks(page: str) -> list[Block]:
             own = [s for s in stack if s[0] not in INLINE]
             against = bool(stack) and stack[-1][6]
             path = (own[-1][1] if own else "") + ("!" if against else "")
-            out.append(Block(path, tuple(s[2] for s in own if s[0] in CONTAINERS), tuple(s[2] for s in own if s[5]), text, against))
+            forms = tuple(s[2] for s in own if s[0] == "form")
+            out.append(Block(path, tuple(s[2] for s in own if s[0] in CONTAINERS), tuple(s[2] for s in own if s[5]), forms, text, against, bool(own) and own[-1][0] in HEADINGS))
 
     def close(upto: int) -> None:
         if any(s[0] not in INLINE for s in stack[upto:]) or (stack and (stack[-1][3] or stack[-1][6])):
@@ -153,7 +167,7 @@ def blocks(page: str) -> list[Block]:
         names = words if tag in HEADINGS else words | ids
         above = stack[-1] if stack else ("", "", 0, False, False, False, False)
         article = tag in ARTICLE_NAMES or "main" in words | id_words
-        excluded = above[3] or (tag in NOT_ARTICLE and not (tag == "header" and above[4])) or bool(HIDDEN.search(m[3]))
+        excluded = above[3] or (tag in NOT_ARTICLE and not (tag == "header" and above[4])) or hidden(m[3])
         against = NOT_ARTICLE_NAMES - ({"header"} if above[4] else set())
         against = above[6] or (bool(names & against) and not article_root(tag))
         if tag not in INLINE or excluded and not above[3] or against and not above[6]:
@@ -224,16 +238,45 @@ def article_of(found: list[Block], content: list[Block]) -> list[Block]:
     return [b for b in found if max(holders) in b.holders] if holders else found
 
 
+def outside_forms(found: list[Block]) -> list[Block]:
+    """Blocks in no form, or only in forms that wrap the page."""
+    weight: dict[int, int] = {}
+    for b in found:
+        for number in b.forms:
+            weight[number] = weight.get(number, 0) + len(b.text)
+    half = sum(len(b.text) for b in found) / 2
+    return [b for b in found if all(weight[number] > half for number in b.forms)]
+
+
+def among(found: list[Block], content: list[Block]) -> list[Block]:
+    """Blocks between two of content in one container, and headings before one."""
+    is_content = set(map(id, content))
+    inner = [b.holders[-1] if b.holders else 0 for b in found]
+    last: dict[int, int] = {}
+    for i, b in enumerate(found):
+        if id(b) in is_content:
+            for number in (0, *b.holders):
+                last[number] = i
+    out, begun = [], set()
+    for i, b in enumerate(found):
+        if last.get(inner[i], -1) > i and (b.heading or inner[i] in begun):
+            out.append(b)
+        if id(b) in is_content:
+            begun.update((0, *b.holders))
+    return out
+
+
 def main_text(page: str | None, share: float = 0.5) -> str:
     """The text of the article's blocks whose path is content by itself or smoothed with the article's mean."""
-    found = blocks(page or "")
+    found = outside_forms(blocks(page or ""))
     fused = path_scores(found)
     paths = content_paths(found, fused, share)
     content = [b for b in found if b.path in paths]
     if not content:
         return ""
     inside = article_of(found, content)
-    held, own = set(map(id, inside)), {b.path for b in inside}
+    own = {b.path for b in inside}
+    held = set(map(id, inside if any(b.articles for b in inside) else among(found, content)))
     fused = {p: s if p in own else s / OUTSIDE for p, s in fused.items()}
     paths = content_paths(found, fused, share)
     mean = sum(fused[b.path] for b in content) / len(content)

@@ -208,6 +208,11 @@ WHOLE_ARTICLES = [
         f"<article><h2 id=notice>Notice</h2><p>{LONG}</p><section id=related-work><h2>Related work</h2><p>Others, too.</p></section></article>",
         f"Notice\n{LONG}\nRelated work\nOthers, too.",
     ),
+    (f"<body><nav>Menu</nav><article title='The hidden truth'><h1>Title</h1><p data-note='a hidden gem'>{LONG}</p><p hidden>Not, shown.</p><p style='color:red; display : none'>Nor, this.</p></article></body>", f"Title\n{LONG}"),
+    (f"<body><form id=aspnetForm><label>Find</label><div id=main><h1>Title</h1><p>{LONG}</p></div><form><p>Your name, please.</p></form></form></body>", f"Title\n{LONG}"),
+    (f"<body><div class=top><a>Home</a> <a>News</a></div><div class=c1><h2>Title</h2><p>{LONG}</p></div><div class=c2>Copyright 2020, all rights.</div></body>", f"Title\n{LONG}"),
+    (f"<body><div class=c1><p>{LONG}</p><p class=x>Well.</p><p>{LONG}</p></div></body>", f"{LONG}\nWell.\n{LONG}"),
+    (f"<article><h1>Title</h1>{'<p>' + LONG + '</p>' * 1}{''.join('<p>' + LONG + '</p>' for _ in range(300))}</article>", "\n".join(["Title"] + [LONG] * 301)),
     (f"<body><article><p>{LONG}</p><div id=comments><p>First, ha.</p></div><div class=related-posts><p>More, here.</p></div></article></body>", LONG),
 ]
 
