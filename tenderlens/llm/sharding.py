@@ -64,7 +64,10 @@ def assign_shards(docs: DataFrame, shards: int = 40, text: str = "text", id_col:
     bucket = max(least_bucket, int(total**0.5))
     rows = rows.join(broadcast_within(strata, MAX_BROADCAST_SOURCES), F.col("__shard_source").eqNullSafe(F.col("__shard_key"))).drop("__shard_key")
     unit = (F.shiftrightunsigned(F.col("__shard_hash").bitwiseXOR(F.lit(-(2**63))), 11)).cast("double") / float(2**53)
-    rows = rows.withColumn("__shard_bucket", F.floor(unit * F.ceil(F.col("__shard_rows") / bucket)))
+    # rows without an id have one hash: the order puts their checksums next, so do the buckets
+    parts, lone = F.ceil(F.col("__shard_rows") / bucket), F.xxhash64(F.lit(seed), F.lit(None).cast("string"))
+    within = F.when(F.col("__shard_hash") < lone, 0).when((F.col("__shard_hash") > lone) | F.col(id_col).isNotNull(), parts + 1).otherwise(1 + F.floor(F.col("text_crc32") / float(2**32) * parts))
+    rows = rows.withColumn("__shard_bucket", F.floor(unit * parts) * (parts + 2) + within)
     ties = ["__shard_hash", id_col, "text_crc32", "size"]
     rows = _numbered(rows, ["__shard_source"], ties, "__shard_rank")
     fraction = (2 * F.col("__shard_rank") + 1) / (2.0 * F.col("__shard_rows"))

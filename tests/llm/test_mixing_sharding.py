@@ -4,7 +4,7 @@ from fractions import Fraction
 
 import pytest
 from tenderlens.llm import mixing, sharding
-from tests.llm.common import SCHEMA, clashing, odd_documents, words
+from tests.llm.common import SCHEMA, clashing, odd_documents, prose, words
 
 
 def water_level(sizes):
@@ -107,5 +107,22 @@ def test_sharding_equals_brute_force(spark, shards, least_bucket):
     assert {r.n: (r.shard, r.slot) for r in out} == placed_by_force(rows, hashes, shards)
 
 
+def test_rows_without_an_id_fall_into_many_buckets(spark, monkeypatch):
+    """A third of the rows has no id; no bucket holds more than a few of them, and the order is that of plain sorting."""
+    rows = [(None if i % 3 else i, prose(i, 5), "en", "a", 1) for i in range(400)]
+    frame = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], SCHEMA + ", n int")
+    hashes = {r.n: r.h for r in frame.selectExpr("n", "xxhash64(42, cast(doc_id as string)) as h").collect()}
+    seen, numbered = [], sharding._numbered
+
+    def watched(rows, group, order, first):
+        seen.append(max(r["count"] for r in rows.groupBy(*group, "__shard_bucket").count().collect()))
+        return numbered(rows, group, order, first)
+
+    monkeypatch.setattr(sharding, "_numbered", watched)
+    out = sharding.assign_shards(frame, shards=7, least_bucket=10).collect()
+    assert {r.n: (r.shard, r.slot) for r in out} == placed_by_force(rows, hashes, 7)
+    assert max(seen) <= 50
+
+
 def test_sharding_an_empty_table(spark):
     assert sharding.assign_shards(spark.createDataFrame([], SCHEMA)).collect() == []
