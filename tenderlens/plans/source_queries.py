@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import feed, reference_data
-from ..streaming import ingest
+from ..streaming import ingest, version_table
 from ..streaming.replay import replay_stages, scratch
 from .registry import query
 from .text_queries import _feed
-from .views import Views
+from .views import FIRST, LAST, Views
 
 
 def _escaped(c: Column) -> Column:
@@ -114,6 +114,42 @@ def st1_ingest_stream(v: Views) -> DataFrame:
     return good.union(bad)
 
 
+@query(
+    "versions",
+    "SELECT entry_id, min(entry_updated) AS first_updated, max(entry_updated) AS last_updated, arg_min(winner, (entry_updated, tie)) AS first_winner, "
+    "arg_max(winner, (entry_updated, tie)) AS last_winner FROM versions GROUP BY 1",
+)
+def st5_version_state(v: Views) -> DataFrame:
+    """Versions come in four batches, the last of which brings all of the first again; the state is what the batches' changes add up to."""
+    at = scratch(v.spark)
+    rows = v.versions.withColumn("part", F.pmod(F.xxhash64("entry_id", "tie"), F.lit(3)))
+    for number in range(4):
+        batch = rows.where(F.col("part") == number % 3).drop("part")
+        fresh = version_table.append_batch(batch, f"{at}/versions", ["entry_id", "entry_updated", "tie"], version_table.batch_tag(at, number))
+        changes = version_table.update_state(fresh, f"{at}/state", version_table.batch_tag(at, number))
+    state = version_table.read_state(v.spark, f"{at}/state", changes.schema)
+    return state.select(
+        "entry_id",
+        F.col("first.entry_updated").alias("first_updated"),
+        F.col("last.entry_updated").alias("last_updated"),
+        F.col("first.winner").alias("first_winner"),
+        F.col("last.winner").alias("last_winner"),
+    )
+
+
+@query(
+    "versions",
+    f"SELECT entry_id FROM (SELECT entry_id, min(entry_updated) AS a FROM versions WHERE entry_updated >= TIMESTAMP '{FIRST}' GROUP BY 1) b "
+    f"WHERE a < TIMESTAMP '{LAST}' AND entry_id IN (SELECT entry_id FROM versions WHERE entry_updated < TIMESTAMP '{FIRST}')",
+)
+def q10_moved_by_backfill(v: Views) -> DataFrame:
+    """The months before the period are loaded last: that batch's changes name the dossiers that leave the period."""
+    at, first = scratch(v.spark), F.lit(FIRST).cast("timestamp")
+    for number, batch in enumerate((v.versions.where(F.col("entry_updated") >= first), v.versions.where(F.col("entry_updated") < first))):
+        changes = version_table.update_state(batch, f"{at}/state", version_table.batch_tag(at, number))
+    return version_table.moved_out(changes, FIRST, LAST)
+
+
 @query("versions", "SELECT DISTINCT entry_id, entry_updated FROM versions")
 def st2_dedupe_versions(v: Views) -> DataFrame:
     """Every version comes in one of two batches, and a third batch brings all of them again."""

@@ -576,8 +576,12 @@ def b1_certifications(v: Views) -> DataFrame:
 # -- feed -------------------------------------------------------------------
 
 
-def _feed(v: Views) -> DataFrame:
-    """A feed page per customer, its orders as entries, made by Spark from the tables."""
+def _feed(v: Views, damaged: bool = False) -> DataFrame:
+    """A feed page per customer, its orders as entries, made by Spark from the tables; damaged: of 17 entries one nests wrongly and one does not end."""
+    ends = F.lit("</cac:ProcurementProjectLot></entry>")
+    if damaged:
+        part = F.col("o_orderkey") % 17
+        ends = F.when(part == 0, "</cac:ProcurementProject></entry>").when(part == 1, "</cac:ProcurementProjectLot>").otherwise(ends)
     date = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+01:00'")
     code = F.concat(F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lit("000000"))
     xml = F.concat(
@@ -586,8 +590,8 @@ def _feed(v: Views) -> DataFrame:
             "</cbc-place-ext:ContractFolderStatusCode><cac:ProcurementProject><cbc:TaxExclusiveAmount currencyID=\"EUR\">",
         ), F.col("o_totalprice").cast("decimal(14,2)").cast("string"),
         F.lit("</cbc:TaxExclusiveAmount><cbc:ItemClassificationCode>"), code, F.lit(
-            "</cbc:ItemClassificationCode></cac:ProcurementProject><cac:ProcurementProjectLot><cbc:ID>1</cbc:ID><cbc:ItemClassificationCode>99000000</cbc:ItemClassificationCode></cac:ProcurementProjectLot></entry>",
-        ),
+            "</cbc:ItemClassificationCode></cac:ProcurementProject><cac:ProcurementProjectLot><cbc:ID>1</cbc:ID><cbc:ItemClassificationCode>99000000</cbc:ItemClassificationCode>",
+        ), ends,
     )
     rows = v.table("orders").select(F.col("o_custkey").alias("file"), F.struct("o_orderkey", xml.alias("x")).alias("e"))
     pages = rows.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["x"]), "\n").alias("body"))
@@ -662,9 +666,14 @@ def p3_explode_lots(v: Views) -> DataFrame:
     return silver.explode_lots(_parsed(v), ["entry_id"]).select("entry_id", "number", F.array_join("cpv", ",").alias("code"))
 
 
-@query("", "SELECT CAST(o_orderkey AS VARCHAR) AS entry_id, 'unreadable date: ayer' AS reason FROM orders WHERE o_orderkey % 13 = 0")
+@query(
+    "",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS entry_id, CASE WHEN o_orderkey % 17 < 2 THEN 'malformed XML' ELSE 'unreadable date: ayer' END AS reason "
+    "FROM orders WHERE o_orderkey % 13 = 0 OR o_orderkey % 17 < 2",
+)
 def p8_quarantine_split(v: Views) -> DataFrame:
-    return silver.quarantine_split(_parsed(v))[1].select("entry_id", "reason")
+    parsed = silver.parse_notices(feed.entries_of(_feed(v, damaged=True)))
+    return silver.quarantine_split(parsed)[1].select("entry_id", "reason")
 
 
 @query(

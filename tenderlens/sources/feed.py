@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.markup import attribute, blocks
+from ..functions.markup import attribute
 
 MAX_MEMBER_BYTES = 200 * 1024 * 1024
 
@@ -17,12 +17,16 @@ def read_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def entries_of(pages: DataFrame) -> DataFrame:
-    """(file, position, xml): every entry, positions from 0; what follows an entry's end is no part of it."""
-    return pages.select("file", F.posexplode(whole_entries()).alias("position", "xml"))
+    """(file, position, xml): every entry that begins, positions from 0; what follows an entry's end is no part of it."""
+    return pages.select("file", F.posexplode(begun_entries(F.col("body"))).alias("position", "xml"))
 
 
-def whole_entries() -> Column:
-    return F.transform(blocks(F.col("body"), "entry"), lambda x: F.concat(F.lit("<entry>"), x, F.lit("</entry>")))
+def begun_entries(body: Column) -> Column:
+    """Entries up to their end tags; one without an end tag goes on to the next entry and is left to quarantine_split()."""
+    end = "</entry>"
+    parts = F.filter(F.split(body, "<entry>"), lambda _, i: i > 0)
+    ended = lambda x: F.concat(F.substring_index(x, end, 1), F.lit(end))
+    return F.transform(parts, lambda x: F.concat(F.lit("<entry>"), F.when(F.contains(x, F.lit(end)), ended(x)).otherwise(x)))
 
 
 def read_feed_entries(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -59,7 +63,7 @@ def read_monthly_archive(spark: SparkSession, folder: str, months: list[str]) ->
     """(month, member, position, xml) of unpacked archives folder/month=YYYY-MM/*.atom; partition pruning reads the wanted months."""
     pages = spark.read.option("basePath", folder).text([f"{folder}/month={m}" for m in months], wholetext=True)
     pages = pages.select("month", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("value").alias("body"))
-    return pages.select("month", F.col("file").alias("member"), F.posexplode(whole_entries()).alias("position", "xml"))
+    return pages.select("month", F.col("file").alias("member"), F.posexplode(begun_entries(F.col("body"))).alias("position", "xml"))
 
 
 def fetch_original(entries: DataFrame, pointers: DataFrame, keys: list[str]) -> DataFrame:

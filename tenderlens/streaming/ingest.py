@@ -1,7 +1,7 @@
 """The notice feed as a stream: ingest, deduplication, current state, cursor, spend.
 
-Batches are merged by key in foreachBatch, so a batch that runs again after a
-restart adds nothing.  Late versions are stored whatever their date: no
+Batches are merged by key in foreachBatch into tables in hash buckets (version_table.py),
+so a batch that runs again after a restart adds nothing.  Late versions are stored whatever their date: no
 watermark drops rows on the way to the version table.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType,
 from ..functions.text import madrid_day
 from ..operators.silver import parse_notices, quarantine_split
 from ..sources.feed import entries_of
+from .version_table import append_batch, batch_tag, update_state
 
 KEYS = ["entry_id", "entry_updated"]
 
@@ -28,32 +29,26 @@ def feed_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -
     return spark.readStream.format("text").options(**options).load(folder).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
 
 
-def append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends rows whose keys the Parquet table at path does not hold yet."""
-    spark = batch.sparkSession
-    fresh = batch.dropDuplicates(keys)
-    try:
-        known = spark.read.parquet(path).select(*keys)
-    except Exception as e:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = None
-    (fresh if known is None else fresh.join(known, keys, "left_anti")).write.mode("append").parquet(path)
+def ingest_stream(spark: SparkSession, folder: str, silver: str, quarantine: str, checkpoint: str, files_per_batch: int = 1000, state: str | None = None) -> StreamingQuery:
+    """Pages to versions and quarantined entries, each version once across restarts; with `state`, first and last versions are kept there too."""
 
-
-def ingest_stream(spark: SparkSession, folder: str, silver: str, quarantine: str, checkpoint: str, files_per_batch: int = 1000) -> StreamingQuery:
-    """Pages to versions and quarantined entries, each version once across restarts."""
-
-    def merge(pages: DataFrame, _: int) -> None:
-        good, bad = quarantine_split(parse_notices(entries_of(pages)))
-        append_new(good.drop("xml"), silver, KEYS)
-        append_new(bad, quarantine, ["file", "position"])
+    def merge(pages: DataFrame, number: int) -> None:
+        tag = batch_tag(checkpoint, number)
+        parsed = parse_notices(entries_of(pages)).persist()  # parsed once for both tables
+        try:
+            good, bad = quarantine_split(parsed)
+            fresh = append_batch(good.drop("xml"), silver, KEYS, tag)
+            if state is not None:
+                update_state(fresh, state, tag)
+            append_batch(bad, quarantine, ["file", "position"], tag)
+        finally:
+            parsed.unpersist()
 
     return feed_stream(spark, folder, files_per_batch).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def dedupe_versions(stream: DataFrame, lateness: str = "30 days") -> DataFrame:
-    """Each version once within the lateness; beyond it append_new() still refuses a second copy."""
+    """Each version once within the lateness; beyond it append_batch() still refuses a second copy."""
     return stream.withWatermark("entry_updated", lateness).dropDuplicatesWithinWatermark(KEYS)
 
 

@@ -64,6 +64,106 @@ def test_ingest_is_idempotent_across_restarts(spark, tmp_path):
     assert [(r.entry_id, r.reason) for r in spark.read.parquet(bad_at).collect()] == [("n2", "unreadable date: ayer")]
 
 
+def test_malformed_entries_are_quarantined_and_stop_nothing(spark, tmp_path):
+    good = ENTRY.format(id="n1", updated="2026-09-04T10:00:00+02:00").replace("&amp; más", "&ntilde; &amp; & más")
+    wrong = ENTRY.format(id="n2", updated="2026-09-04T10:00:00+02:00").replace("</cbc:Name>", "</cbc:Nombre>", 1)
+    endless = ENTRY.format(id="n3", updated="2026-09-04T10:00:00+02:00").replace("</entry>", "")
+    nameless = "<entry><id><updated>2026-09-04T10:00:00+02:00</updated></entry>"
+    write(tmp_path / "in", "p.atom", f"<feed>{good}{wrong}{endless}{nameless}{good.replace('n1', 'n4')}{endless.replace('n3', 'n5')}</feed>")
+    parsed = silver.parse_notices(feed.read_feed_entries(spark, str(tmp_path / "in")))
+    fine, bad = silver.quarantine_split(parsed)
+    assert sorted(r.entry_id for r in fine.collect()) == ["n1", "n4"]
+    assert [(r.position, r.entry_id, r.reason) for r in bad.orderBy("position").collect()] == [
+        (1, "n2", "malformed XML"), (2, "n3", "malformed XML"), (3, "(sin id)", "malformed XML"), (5, "n5", "malformed XML"),
+    ]
+    assert all(r.xml.startswith("<entry>") for r in bad.collect())
+
+
+VERSION = "entry_id string, entry_updated timestamp, state string"
+
+
+def version_batches(n=4, each=40):
+    import random
+
+    rng = random.Random(5)
+    return [[(f"e{rng.randrange(25)}", dt.datetime(2026, 1, 1 + rng.randrange(28)), rng.choice("ABC")) for _ in range(each)] for _ in range(n)]
+
+
+def test_state_of_batches_equals_all_versions(spark, tmp_path):
+    from tenderlens.operators import versions
+    from tenderlens.streaming import version_table as vt
+
+    seen, state, before = {}, str(tmp_path / "state"), {}
+    for number, rows in enumerate(version_batches()):
+        fresh = vt.append_batch(spark.createDataFrame(rows, VERSION), str(tmp_path / "v"), ["entry_id", "entry_updated"], vt.batch_tag("s", number), buckets=8)
+        got = [tuple(r) for r in fresh.collect()]
+        assert len({r[:2] for r in got}) == len(got) and not {r[:2] for r in got} & set(seen)
+        seen |= {r[:2]: r for r in got}
+        changes = vt.update_state(fresh, state, vt.batch_tag("s", number), buckets=8)
+        ends = {}
+        for e, at, _ in seen.values():
+            low, high = ends.get(e, (at, at))
+            ends[e] = (min(low, at), max(high, at))
+        assert {(r.entry_id, r.first_before, r.last_before, r.first.entry_updated, r.last.entry_updated) for r in changes.collect()} == {
+            (e, *before.get(e, (None, None)), *span) for e, span in ends.items() if span != before.get(e)
+        }
+        assert sorted(r.entry_id for r in vt.moved_out(changes, "2026-01-10", "2026-02-01").collect()) == sorted(
+            e for e, (low, _) in before.items() if low >= dt.datetime(2026, 1, 10) > ends[e][0]
+        )
+        before = ends
+    whole = spark.createDataFrame(list(seen.values()), VERSION)
+    held = vt.read_state(spark, state, changes.schema)
+    tied = whole.withColumn("tie", F.lit(0))
+    rows = lambda df: sorted(tuple(r) for r in df.select("entry_id", "entry_updated", "state").collect())
+    assert rows(vt.latest_of(held)) == rows(versions.latest_versions(tied))
+    assert rows(vt.published_of(held, "2026-01-03", "2026-01-20")) == rows(versions.as_published(tied, "2026-01-03", "2026-01-20"))
+
+
+def test_batches_read_only_their_buckets(spark, tmp_path):
+    from tenderlens.streaming import version_table as vt
+
+    path, keys = str(tmp_path / "v"), ["entry_id", "entry_updated"]
+    for number, rows in enumerate(version_batches(2, 200)):
+        fresh = vt.append_batch(spark.createDataFrame(rows, VERSION), path, keys, vt.batch_tag("s", number), buckets=8)
+    one = spark.createDataFrame([("e1", dt.datetime(2027, 1, 1), "A")], VERSION).withColumn("bucket", vt.bucket_of("entry_id", 8))
+    held = vt.earlier(spark, path, fresh.schema, vt.touched(one), "other")
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert {r.bucket for r in held.select("bucket").distinct().collect()} == set(vt.touched(one))
+    assert len(held.inputFiles()) > len(held.select("batch").distinct().collect())  # the whole table has more files than are read
+
+
+def test_a_batch_that_crashed_ends_as_if_it_had_not(spark, tmp_path, monkeypatch):
+    from tenderlens.streaming import version_table as vt
+
+    first, second = version_batches(2)
+    path, keys, tag = str(tmp_path / "v"), ["entry_id", "entry_updated"], vt.batch_tag("s", 1)
+    vt.append_batch(spark.createDataFrame(first, VERSION), path, keys, vt.batch_tag("s", 0))
+    once = sorted(map(tuple, vt.append_batch(spark.createDataFrame(second, VERSION), path, keys, tag).collect()))
+    whole = sorted(map(tuple, spark.read.parquet(path).collect()))
+    assert sorted(map(tuple, vt.append_batch(spark.createDataFrame(second, VERSION), path, keys, tag).collect())) == once
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == whole
+
+    source, out = tmp_path / "in", [str(tmp_path / x) for x in ("silver", "bad", "cp", "state")]
+    run = lambda: ingest.ingest_stream(spark, str(source), *out[:3], state=out[3]).awaitTermination()
+    write(source, "1.atom", page(("n1", "2026-09-04T10:00:00+02:00"), ("n2", "ayer")))
+    real = ingest.update_state
+
+    def crash(*_, **__):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(ingest, "update_state", crash)  # after the versions, before the state
+    with pytest.raises(Exception, match="executor lost"):
+        run()
+    monkeypatch.setattr(ingest, "update_state", real)
+    run()
+    write(source, "2.atom", page(("n1", "2026-09-04T10:00:00+02:00"), ("n1", "2026-09-05T10:00:00+02:00")))
+    run()
+    assert sorted(str(r.entry_updated) for r in spark.read.parquet(out[0]).collect()) == ["2026-09-04 08:00:00", "2026-09-05 08:00:00"]
+    assert [r.entry_id for r in spark.read.parquet(out[1]).collect()] == ["n2"]
+    assert spark.read.parquet(out[3]).count() == 2
+
+
 def stream_of(spark, tmp_path, batches, schema):
     folder = tmp_path / "changes"
     for i, rows in enumerate(batches):
