@@ -40,12 +40,23 @@ def draw(seed: str, *ids: str) -> Column:
     return F.md5(F.concat(*(F.col(i).cast("string") for i in ids), F.lit(seed)))
 
 
-def draw_companies(eligible: DataFrame, seed: str, dev: int = 2, test: int = 5) -> DataFrame:
-    """(winner, role, alias): the first dev by draw for development, the next test for testing, lettered in that order."""
+LEAST_TEST = 3
+
+
+def draw_companies(eligible: DataFrame, seed: str, dev: int = 2, test: int = 5, least: int = LEAST_TEST) -> DataFrame:
+    """(winner, role, alias): the first dev by draw for development, the next test for testing, lettered in that order.
+
+    Running the result raises an error where fewer than `least` companies are left for testing.
+    """
     chosen = eligible.select("winner", F.md5(F.concat(F.lit(seed), F.col("winner").cast("string"))).alias("d")).orderBy("d", "winner").limit(dev + test)
     rank = F.row_number().over(Window.orderBy("d", "winner"))  # over dev + test rows
     role = F.when(F.col("r") <= dev, "desarrollo").otherwise("test")
-    return chosen.withColumn("r", rank).select("winner", role.alias("role"), F.concat(F.lit("Empresa "), F.char(F.lit(64) + F.col("r"))).alias("alias"))
+    drawn = chosen.withColumn("r", rank).select("winner", role.alias("role"), F.concat(F.lit("Empresa "), F.char(F.lit(64) + F.col("r"))).alias("alias"))
+    # dev + test rows in one, so that an empty draw raises too
+    whole = drawn.agg(F.collect_list(F.struct("winner", "role", "alias")).alias("x"))
+    tested = F.greatest(F.size("x") - dev, F.lit(0))
+    too_few = F.raise_error(F.concat(F.lit(f"fewer than {least} test companies: "), tested.cast("string")))
+    return whole.select(F.explode(F.when(tested >= least, F.col("x")).otherwise(too_few.cast(whole.schema["x"].dataType))).alias("x")).select("x.*")
 
 
 def stratified_sample(dossiers: DataFrame, won: DataFrame, companies: DataFrame, k: int, seed: str) -> DataFrame:

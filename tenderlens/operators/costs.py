@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order_statistics import order_statistics, percentile
 from ..functions.text import madrid_day
 from .joins import distinct_calls
 
@@ -40,7 +41,7 @@ def company_spend(triage: DataFrame, readings: DataFrame, calls: DataFrame) -> D
 def reading_reserve(requirements: DataFrame, calls: DataFrame, default: float = DEFAULT_RESERVE) -> DataFrame:
     """One row: the continuous 90th percentile of a reading's cost over its distinct calls."""
     per = requirements.select("doc_id", "call_id").distinct().join(calls.select("call_id", "cost"), "call_id").groupBy("doc_id").agg(F.sum("cost").alias("c"))
-    return per.agg(F.round(F.coalesce(F.percentile("c", 0.9), F.lit(default)), 6).alias("reserve"))
+    return order_statistics(per, {"p90": ("c", percentile(0.9))}).select(F.round(F.coalesce("p90", F.lit(default)), 6).alias("reserve"))
 
 
 def over_budget(calls: DataFrame, planned: Column, cap: Column) -> DataFrame:

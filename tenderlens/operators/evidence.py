@@ -110,21 +110,26 @@ def pages_to_prompt(pages: DataFrame, located: DataFrame) -> DataFrame:
 
 
 def verify_quotes(requirements: DataFrame, sent: DataFrame, pages: DataFrame, types: tuple[str, ...] = TYPES, compatibility: bool = True) -> DataFrame:
-    """requirements with `rejected`: the first reason a quote proves nothing, null if it stands. Rejected rows stay."""
+    """requirements with `rejected`: the first reason a quote proves nothing, null if it stands. Rejected rows stay.
+
+    Pages are normalised before they meet their quotes: once each, however many quotes they have.
+    """
     rows = requirements.withColumn("__page", F.col("page").try_cast("int"))
     keys = [rows["doc_id"] == F.col("__d"), rows["__page"] == F.col("__p")]
     given = sent.select(F.col("doc_id").alias("__d"), F.col("page_no").alias("__p")).distinct()
-    texts = given.join(pages.select(F.col("doc_id").alias("__d"), F.col("page_no").alias("__p"), "text"), ["__d", "__p"])
+    quoted = rows.select(F.col("doc_id").alias("__d"), F.col("__page").alias("__p")).distinct()  # other pages need no normalising
+    texts = pages.select(F.col("doc_id").alias("__d"), F.col("page_no").alias("__p"), "text").join(given.join(quoted, ["__d", "__p"]), ["__d", "__p"])
+    texts = texts.select("__d", "__p", normalise_quote(F.col("text"), compatibility).alias("__text"))
     quote = normalise_quote(F.col("quote"), compatibility)
     reason = (
         F.when(~F.coalesce(F.col("kind").isin(*types), F.lit(False)), "unknown type")
         .when(F.col("__page").isNull(), "no page")
-        .when(F.col("text").isNull(), "page not sent")
+        .when(F.col("__text").isNull(), "page not sent")
         .when(F.length(quote) < SHORTEST_QUOTE, "quote too short")
         .when(F.length("quote") > LONGEST_QUOTE, "quote too long")
-        .when(~normalise_quote(F.col("text"), compatibility).contains(quote), "quote not on page")
+        .when(~F.col("__text").contains(quote), "quote not on page")
     )
-    return rows.join(texts, keys, "left").withColumn("rejected", reason).drop("__d", "__p", "__page", "text")
+    return rows.join(texts, keys, "left").withColumn("rejected", reason).drop("__d", "__p", "__page", "__text")
 
 
 def json_object(body: Column) -> Column:
@@ -165,15 +170,31 @@ def retry_message(rejected: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.concat(F.lit("Requisitos rechazados:\n"), F.col("lines")).alias("message"))
 
 
-def reading_rows(located: DataFrame, verified: DataFrame, hopped: DataFrame) -> DataFrame:
-    """Per document: route (+anexo after a hop), pages read, state, and how many requirements stand."""
+MOST_ATTEMPTS = 2
+
+
+def attempts(responses: DataFrame) -> DataFrame:
+    """(doc_id, attempts): calls of a document's readings (doc_id, reading_pass, attempt), the second pass's on top of the first's."""
+    return responses.groupBy("doc_id", "reading_pass").agg(F.max("attempt").alias("n")).groupBy("doc_id").agg(F.sum("n").cast("int").alias("attempts"))
+
+
+def second_attempts(verified: DataFrame, unreadable: DataFrame) -> DataFrame:
+    """(doc_id): documents whose first answer is asked for again: unreadable ones, and those with a rejected quote."""
+    return unreadable.select("doc_id").union(verified.where("rejected is not null").select("doc_id")).distinct()
+
+
+def reading_rows(located: DataFrame, verified: DataFrame, hopped: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+    """Per document: route (+anexo after a hop), pages read, state, how many requirements stand, and with attempts() of its calls (0 where none was made) their number."""
     pages = located.groupBy("doc_id").agg(F.min("route").alias("route"), F.array_sort(F.collect_set("page_no")).alias("pages"))
     more = hopped.groupBy("doc_id").agg(F.collect_set("page_no").alias("more"))
     counts = verified.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("rejected").isNull()).alias("verified"))
     rows = pages.join(more, "doc_id", "left").join(counts, "doc_id", "left").na.fill(0, ["total", "verified"])
     state = F.when(F.col("route").startswith("no_localizada: "), "ilegible").when(F.col("route").startswith("no_localizada"), "sin_localizar").when(F.col("total") == 0, "ilegible_respuesta").otherwise("leido")
+    if tried is not None:
+        rows = rows.join(tried.select("doc_id", "attempts"), "doc_id", "left").na.fill(0, ["attempts"])
     return rows.select(
         "doc_id",
+        *(["attempts"] if tried is not None else []),
         F.when(F.col("more").isNotNull(), F.concat("route", F.lit("+anexo"))).otherwise(F.col("route")).alias("route"),
         F.array_sort(F.array_union("pages", F.coalesce("more", F.array().cast("array<int>")))).alias("pages"),
         state.alias("state"),

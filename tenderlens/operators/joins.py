@@ -70,6 +70,11 @@ def lineage(notices: DataFrame, staging: DataFrame, files: DataFrame) -> DataFra
     return notices.join(staging, "staging_id", "left").join(files, "file_id", "left")
 
 
+def lineage_of_runs(notices: DataFrame, staging: DataFrame, files: DataFrame, runs: DataFrame) -> DataFrame:
+    """lineage() with the run that loaded the file; files name their run."""
+    return lineage(notices, staging, files).join(runs, "run_id", "left")
+
+
 def orphans(lines: DataFrame) -> DataFrame:
     return lines.where("file_id is null or sha256 is null")
 

@@ -82,26 +82,42 @@ def paired_indicators(won: DataFrame, triage: DataFrame, passing: DataFrame, var
     """Per won and triaged contract 0 or 1 for the agent and for each baseline, in one row."""
     rows = won.select("alias", "entry_id").join(triage.select("alias", "entry_id", in_list().cast("int").alias("agent")), ["alias", "entry_id"])
     for v in variants:
-        own = passing.where((F.col("variant") == v)).select("alias", "entry_id", F.lit(1).alias(v)).distinct()
-        rows = rows.join(own, ["alias", "entry_id"], "left").na.fill(0, [v])
+        # a filter without a company holds for all
+        own = passing.where(F.col("variant") == v).select("alias", "entry_id").distinct()
+        mine = own.where("alias is not null").withColumn("__mine", F.lit(1))
+        all_ = own.where("alias is null").select("entry_id", F.lit(1).alias("__all"))
+        rows = rows.join(mine, ["alias", "entry_id"], "left").join(all_, "entry_id", "left")
+        rows = rows.withColumn(v, F.coalesce("__mine", "__all", F.lit(0))).drop("__mine", "__all")
     return rows
 
 
 BLOCK = 50
 
 
+DRAWS = 4  # eight hexadecimal digits each, of one digest
+
+
 def paired_bootstrap(
     indicators: DataFrame, a: str, b: str, seed: str, resamples: int = RESAMPLES, keys: tuple[str, ...] = ("alias",)
 ) -> DataFrame:
-    """Per key: n, difference of recalls, and its 95 % interval over paired resamples.
+    """Per key: n, difference of recalls, and its 95 % interval over paired resamples."""
+    return paired_bootstraps(indicators, a, [b], seed, resamples, keys).drop("rival")
+
+
+def paired_bootstraps(
+    indicators: DataFrame, a: str, rivals: list[str], seed: str, resamples: int = RESAMPLES, keys: tuple[str, ...] = ("alias",)
+) -> DataFrame:
+    """Per key and rival: n, difference of recalls, and its 95 % interval over paired resamples.
 
-    Slot i of resample r takes row md5(seed|r|i) mod n of a key's rows in order of entry_id, so both
-    indicators come from the same contract.  A key's differences (one small number per contract won)
-    travel as one array to blocks of resamples, which are dealt over the cluster; no slot is shuffled.
+    Slot i of resample r takes row (the i mod 4-th 8 digits of md5(seed|r|i div 4)) mod n of a key's rows in order
+    of entry_id, for the agent and all rivals, so all indicators come from the same contract.  A key's
+    differences (a few small numbers per contract won) travel as arrays to blocks of resamples, which are
+    dealt over the cluster; no slot is shuffled.
     """
-    pair = F.struct("entry_id", (F.col(a) - F.col(b)).alias("d"))
-    held = indicators.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("x"))
-    held = held.select(*keys, F.transform("x", lambda e: e["d"].cast("tinyint")).alias("d"), F.size("x").alias("n"))
+    order = F.struct("entry_id", *((F.col(a) - F.col(b)).cast("tinyint").alias(f"d{k}") for k, b in enumerate(rivals)))
+    held = indicators.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("x"), F.count(F.lit(1)).alias("n"))
+    arrays = [f"d{k}" for k in range(len(rivals))]
+    held = held.select(*keys, "n", *(F.col(f"x.{d}").alias(d) for d in arrays))
     blocks = -(-resamples // BLOCK)
     parts = int(indicators.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(parts, *keys, "block")
@@ -109,18 +125,25 @@ def paired_bootstrap(
     drawn = dealt.withColumn("r", F.explode(F.sequence(F.col("block") * BLOCK, last)))
     start = F.concat(F.lit(f"{seed}|"), F.col("r").cast("string"), F.lit("|"))
 
-    def slot(i: Column) -> Column:
-        return (F.conv(F.substring(F.md5(F.concat(start, i.cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")).cast("int")
+    def four(j: Column) -> Column:
+        digest = F.md5(F.concat(start, j.cast("string")))
+        return F.transform(F.array(*(F.substring(digest, 8 * q + 1, 8) for q in range(DRAWS))), lambda x: (F.conv(x, 16, 10).cast("long") % F.col("n")).cast("int"))
+
+    slots = F.slice(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / DRAWS)), four)), F.lit(1), F.col("n").cast("int"))
+    drawn = drawn.withColumn("slots", slots)
 
-    s = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0), lambda acc, i: acc + F.get("d", slot(i)).cast("int"))
-    sums = drawn.select(*keys, "r", s.alias("s"))
+    def total(d: str, places: Column | None = None) -> Column:
+        return F.aggregate(d if places is None else places, F.lit(0), lambda acc, x: acc + (x if places is None else F.get(d, x)).cast("int"))
+
+    sums = drawn.select(*keys, "r", *(total(d, F.col("slots")).alias(d) for d in arrays))
     low, high = int(0.025 * resamples), min(int(0.975 * resamples), resamples - 1)
-    ends = sums.groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("s"))  # `resamples` numbers a key
-    ends = ends.select(*keys, F.get("s", F.lit(low)).alias("low"), F.get("s", F.lit(high)).alias("high"))
-    total = F.aggregate("d", F.lit(0), lambda acc, x: acc + x.cast("int"))
-    sizes = held.select(*keys, F.col("n").cast("long").alias("n"), total.alias("total"))
-    mean = lambda c: ratio(F.col(c), F.col("n"))
-    return sizes.join(ends, list(keys)).select(*keys, "n", mean("total").alias("difference"), mean("low").alias("low"), mean("high").alias("high"))
+    ends = sums.groupBy(*keys).agg(*(F.array_sort(F.collect_list(d)).alias(d) for d in arrays))  # `resamples` numbers a key and rival
+    ends = ends.select(*keys, *(F.struct(F.get(d, F.lit(low)).alias("low"), F.get(d, F.lit(high)).alias("high")).alias(d) for d in arrays))
+    sizes = held.select(*keys, "n", *(total(d).alias(f"t{d}") for d in arrays))
+    each = F.array(*(F.struct(F.lit(b).alias("rival"), F.col(f"td{k}").alias("total"), F.col(f"d{k}.low").alias("low"), F.col(f"d{k}.high").alias("high")) for k, b in enumerate(rivals)))
+    rows = sizes.join(ends, list(keys)).select(*keys, "n", F.explode(each).alias("e")).select(*keys, "n", "e.*")
+    mean = lambda c: ratio(F.col(c), F.col("n")).alias(c if c != "total" else "difference")
+    return rows.select(*keys, "rival", "n", mean("total"), mean("low"), mean("high"))
 
 
 def verdict_of_interval(rows: DataFrame) -> DataFrame:
@@ -128,6 +151,12 @@ def verdict_of_interval(rows: DataFrame) -> DataFrame:
     return rows.withColumn("verdict", v)
 
 
+def verdict_by_key(verdicts: DataFrame, keys: tuple[str, ...] = ("alias",)) -> DataFrame:
+    """Per key what all its rivals agree on, else inconclusive, and how many there are."""
+    agreed = F.when(F.count_distinct("verdict") == 1, F.min("verdict")).otherwise("no concluyente").alias("verdict")
+    return verdicts.groupBy(*keys).agg(agreed, F.count(F.lit(1)).alias("rivals"))
+
+
 def overall_verdict(verdicts: DataFrame) -> DataFrame:
     """One row: what all rivals agree on, else inconclusive."""
     return verdicts.agg(
@@ -151,6 +180,14 @@ def work_per_hit(rows: DataFrame, days: int = PERIOD_DAYS) -> DataFrame:
     return rows.withColumn("reviews_per_hit", F.round(F.try_divide(F.col("volume") * days, F.nullif(F.col("recall") * F.col("contracts"), F.lit(0.0))), 2))
 
 
+def rival_volumes(recall: DataFrame, volume: DataFrame) -> DataFrame:
+    """filter_recall() rows (alias, variant, value, seen) with the variant's volume: the company's own, or that of a filter for all."""
+    named = volume.select(F.col("variant").alias("__v"), F.col("alias").alias("__of"), F.col("value").alias("volume"))
+    own = recall.join(named.where("__of is not null"), (F.col("variant") == F.col("__v")) & (F.col("alias") == F.col("__of")))
+    same = recall.join(F.broadcast(named.where("__of is null")), F.col("variant") == F.col("__v"))  # a row for each filter that holds for all
+    return own.unionByName(same).drop("__v", "__of")
+
+
 def recall_at_equal_volume(rows: DataFrame) -> DataFrame:
     """The rival's recall if it could only show as many notices as the agent."""
     share = F.least(F.lit(1.0), F.try_divide(F.col("agent_volume"), F.col("rival_volume")))

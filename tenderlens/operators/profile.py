@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order_statistics import order_statistics, percentile
 from ..functions.text import UNICODE
 from .versions import as_published
 
@@ -143,26 +144,21 @@ def document_profile(pages: DataFrame, patterns: dict = PATTERNS, least: int = L
 
 
 def corpus_profile(profiles: DataFrame) -> DataFrame:
-    """One row over document profiles; p90 of pages is the element int(0.9 n) - 1 of the sorted list, found on counts per page number."""
+    """One row over document profiles; p90 of pages is the element int(0.9 n) - 1 of the sorted list."""
     n = F.count(F.lit(1))
     whole = profiles.agg(
         n.alias("documents"),
-        F.percentile("pages", 0.5).alias("pages_median"),
         F.max("pages").alias("pages_max"),
         rate(F.count_if("scanned"), n).alias("pct_scanned"),
         rate(F.count_if("form"), n).alias("pct_forms"),
         rate(F.count_if(F.col("section_page").isNotNull()), n).alias("pct_located"),
         rate(F.count_if("figure_near"), n).alias("pct_figure"),
         rate(F.count_if("defers_near"), n).alias("pct_defers"),
-        F.percentile("pages_to_read", 0.5).alias("to_read_median"),
-        F.percentile("chars", 0.5).alias("chars_median"),
     )
-    counts = profiles.groupBy("pages").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.orderBy("pages"))  # one row per distinct page count
-    total = F.sum("c").over(Window.partitionBy())
-    placed = counts.withColumns({"upto": upto, "place": F.greatest(F.lit(1), F.floor(total * 0.9))})
-    p90 = placed.where("upto >= place").agg(F.min("pages").alias("pages_p90"))
-    return whole.join(F.broadcast(p90))
+    medians = {f"{name}_median": (c, percentile(0.5)) for name, c in (("pages", "pages"), ("to_read", "pages_to_read"), ("chars", "chars"))}
+    p90 = F.greatest(F.lit(1), F.floor(F.col("n") * 0.9)) - 1
+    placed = order_statistics(profiles, medians | {"pages_p90": ("pages", p90)}).withColumn("pages_p90", F.col("pages_p90").cast("long"))
+    return whole.join(F.broadcast(placed))  # one row each
 
 
 def requirement_frequency(profiles: DataFrame, kinds: list[str]) -> DataFrame:
@@ -191,3 +187,27 @@ def catalog_counts(tables: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.union(p)
     return out
+
+
+def dashboard_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(section, item, n) of versions, awards, docs, companies, triage, readings, requirements and cards: one aggregate a table."""
+    one = F.lit(1)
+
+    def counted(table: str, section: str, **items: Column) -> DataFrame:
+        sums = tables[table].agg(*(c.alias(k) for k, c in items.items()))
+        pairs = F.array(*(F.struct(F.lit(k.replace("_", " ")).alias("item"), F.col(k).cast("long").alias("n")) for k in items))
+        return sums.select(F.lit(section).alias("section"), F.explode(pairs).alias("x")).select("section", "x.*")
+
+    verdicts = tables["cards"].groupBy("verdict").agg(F.count(one).alias("n")).select(F.lit("cards").alias("section"), F.col("verdict").alias("item"), "n")
+    parts = [
+        counted("versions", "data", versions=F.count(one), dossiers=F.count_distinct("entry_id")),
+        counted("awards", "data", awards=F.count(one)),
+        counted("docs", "data", documents_downloaded=F.count_if(F.col("state") == "descargado")),
+        counted("companies", "data", companies=F.count(one)),
+        counted("triage", "triage", decisions=F.count(one), dossiers_seen=F.count_distinct("entry_id"), companies_served=F.count_distinct("alias")),
+        counted("readings", "readings", documents_read=F.count_if(F.col("state") == "leido")),
+        counted("requirements", "readings", requirements_verified=F.count_if(F.col("rejected").isNull()), requirements=F.count(one)),
+    ]
+    for part in parts:
+        verdicts = verdicts.unionByName(part)
+    return verdicts

@@ -178,12 +178,18 @@ _LINEAGE = (
 )
 
 
-@query("", f"SELECT sha256, count(*) AS n FROM ({_LINEAGE}) x GROUP BY sha256")
+@query(
+    "",
+    f"SELECT x.sha256, r.state, count(*) AS n FROM ({_LINEAGE}) x LEFT JOIN (SELECT o_orderkey AS file_id, o_custkey AS run_id FROM orders) f ON f.file_id = x.file_id "
+    "LEFT JOIN (SELECT c_custkey AS run_id, CASE WHEN c_acctbal < 0 THEN 'error' ELSE 'ok' END AS state FROM customer WHERE c_nationkey <> 5) r ON r.run_id = f.run_id GROUP BY 1, 2",
+)
 def j9_lineage(v: Views) -> DataFrame:
+    """Order lines back to their order as file, and to the order's customer as the run that loaded it; runs of one nation are lost."""
     staging = v.table("orders").where("o_orderkey % 50 <> 7").select(F.col("o_orderkey").alias("staging_id"), F.col("o_orderkey").alias("file_id"))
-    files = v.table("orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_orderpriority").alias("sha256"))
-    lines = joins.lineage(v.table("lineitem").select(F.col("l_orderkey").alias("staging_id")), staging, files)
-    return lines.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"))
+    files = v.table("orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_orderpriority").alias("sha256"), F.col("o_custkey").alias("run_id"))
+    runs = v.table("customer").where("c_nationkey <> 5").select(F.col("c_custkey").alias("run_id"), F.when(F.col("c_acctbal") < 0, "error").otherwise("ok").alias("state"))
+    lines = joins.lineage_of_runs(v.table("lineitem").select(F.col("l_orderkey").alias("staging_id")), staging, files, runs)
+    return lines.groupBy("sha256", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("", f"SELECT entry_id, position FROM ({_LINEAGE}) x WHERE sha256 IS NULL")
@@ -738,14 +744,14 @@ def m2a_triage_volume(v: Views) -> DataFrame:
 
 _INDICATORS = (
     "SELECT w.alias, w.entry_id, CAST(t.decision IN ('si', 'duda') AS INTEGER) AS agent, "
-    "CAST(b.entry_id IS NOT NULL AS INTEGER) AS B FROM won w JOIN triage t ON t.alias = w.alias "
-    "AND t.entry_id = w.entry_id LEFT JOIN (SELECT alias, entry_id FROM passing WHERE variant = 'B') b "
+    "CAST(a.entry_id IS NOT NULL AS INTEGER) AS A, CAST(b.entry_id IS NOT NULL AS INTEGER) AS B FROM won w JOIN triage t ON t.alias = w.alias "
+    "AND t.entry_id = w.entry_id LEFT JOIN (SELECT DISTINCT entry_id FROM passing WHERE variant = 'A') a ON a.entry_id = w.entry_id LEFT JOIN (SELECT alias, entry_id FROM passing WHERE variant = 'B') b "
     "ON b.alias = w.alias AND b.entry_id = w.entry_id"
 )
 
 
 def _indicators(v: Views) -> DataFrame:
-    return metrics.paired_indicators(_won(v), v.triage, _passing(v), ["B"])
+    return metrics.paired_indicators(_won(v), v.triage, _passing(v), ["A", "B"])
 
 
 @query("won triage passing", _INDICATORS)
@@ -753,7 +759,7 @@ def m3i_paired_indicators(v: Views) -> DataFrame:
     return _indicators(v)
 
 
-_SLOT = f"CAST('0x' || substr(md5('{SEED}|' || CAST(r AS VARCHAR) || '|' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT)"
+_SLOT = f"CAST('0x' || substr(md5('{SEED}|' || CAST(r AS VARCHAR) || '|' || CAST(i // 4 AS VARCHAR)), 8 * (i % 4) + 1, 8) AS BIGINT)"
 _BOOT = (
     "SELECT alias, n, round(CAST(list_sum(d) AS DOUBLE) / n, 4) AS difference, round(CAST(s[51] AS DOUBLE) / n, 4) AS low, round(CAST(s[1951] AS DOUBLE) / n, 4) AS high FROM ("
     "SELECT alias, any_value(n) AS n, any_value(d) AS d, list_sort(list(s)) AS s FROM ("
@@ -763,30 +769,33 @@ _BOOT = (
 )
 
 
-def _boot(v: Views) -> DataFrame:
-    return metrics.paired_bootstrap(_indicators(v), "agent", "B", SEED)
+def _boots(v: Views) -> DataFrame:
+    """The agent against both filters."""
+    return metrics.paired_bootstraps(_indicators(v), "agent", ["A", "B"], SEED)
+
 
+_BOOTS = f"SELECT 'A' AS rival, * FROM ({_BOOT.replace('agent - B', 'agent - A')}) x UNION ALL SELECT 'B', * FROM ({_BOOT}) y"
 
-@query("won triage passing", _BOOT)
+
+@query("won triage passing", _BOOTS)
 def m4b_paired_bootstrap(v: Views) -> DataFrame:
-    return _boot(v)
+    return _boots(v)
 
 
-_VERDICT = f"SELECT alias, CASE WHEN low > 0 THEN 'sostenida' WHEN high < 0 THEN 'refutada' ELSE 'no concluyente' END AS verdict FROM ({_BOOT}) b"
+_VERDICT = f"SELECT alias, rival, CASE WHEN low > 0 THEN 'sostenida' WHEN high < 0 THEN 'refutada' ELSE 'no concluyente' END AS verdict FROM ({_BOOTS}) b"
 
 
 @query("won triage passing", _VERDICT)
 def m5v_verdict_of_interval(v: Views) -> DataFrame:
-    return metrics.verdict_of_interval(_boot(v)).select("alias", "verdict")
+    return metrics.verdict_of_interval(_boots(v)).select("alias", "rival", "verdict")
 
 
 @query(
     "won triage passing",
-    f"SELECT CASE WHEN count(DISTINCT verdict) = 1 THEN min(verdict) ELSE 'no concluyente' END AS verdict, "
-    f"count(*) AS rivals FROM ({_VERDICT}) x",
+    f"SELECT alias, CASE WHEN count(DISTINCT verdict) = 1 THEN min(verdict) ELSE 'no concluyente' END AS verdict, count(*) AS rivals FROM ({_VERDICT}) x GROUP BY alias",
 )
 def m5v_overall_verdict(v: Views) -> DataFrame:
-    return metrics.overall_verdict(metrics.verdict_of_interval(_boot(v)))
+    return metrics.verdict_by_key(metrics.verdict_of_interval(_boots(v)))
 
 
 @query(
@@ -824,15 +833,15 @@ def m9_work_per_hit(v: Views) -> DataFrame:
 
 @query(
     "triage won universe passing",
-    f"SELECT a.alias, round(r.value * least(1.0, a.value / b.value), 4) AS equal_volume_recall FROM ({_TVOLUME}) a "
-    f"JOIN ({_RECALL}) r ON r.alias = a.alias AND r.variant = 'B' JOIN ({_VOLUME}) b ON b.alias = a.alias "
-    f"AND b.variant = 'B'",
+    f"SELECT a.alias, r.variant AS rival, round(r.value * least(1.0, a.value / b.value), 4) AS equal_volume_recall FROM ({_TVOLUME}) a "
+    f"JOIN ({_RECALL}) r ON r.alias = a.alias JOIN ({_VOLUME}) b ON b.variant = r.variant AND coalesce(b.alias, a.alias) = a.alias",
 )
 def m10_recall_at_equal_volume(v: Views) -> DataFrame:
-    agent = metrics.triage_volume(v.triage, _won(v), _universe(v)).select("alias", F.col("value").alias("agent_volume"))
-    recall = metrics.filter_recall(_won(v), _passing(v), ["A", "B"]).where("variant = 'B'").select("alias", F.col("value").alias("rival_recall"))
-    volume = metrics.filter_volume(_passing(v), _universe(v)).where("variant = 'B'").select("alias", F.col("value").alias("rival_volume"))
-    return metrics.recall_at_equal_volume(agent.join(recall, "alias").join(volume, "alias")).select("alias", "equal_volume_recall")
+    won, passing, universe = _won(v), _passing(v), _universe(v)
+    agent = metrics.triage_volume(v.triage, won, universe).select("alias", F.col("value").alias("agent_volume"))
+    rivals = metrics.rival_volumes(metrics.filter_recall(won, passing, ["A", "B"]), metrics.filter_volume(passing, universe))
+    rivals = rivals.select("alias", F.col("variant").alias("rival"), F.col("value").alias("rival_recall"), F.col("volume").alias("rival_volume"))
+    return metrics.recall_at_equal_volume(agent.join(rivals, "alias")).select("alias", "rival", "equal_volume_recall")
 
 
 _RIVAL_WORK = (
@@ -848,15 +857,9 @@ _RIVAL_WORK = (
 )
 def m9v_efficiency_verdict(v: Views) -> DataFrame:
     won, passing = _won(v), _passing(v)
-    recall = metrics.filter_recall(won, passing, ["A", "B"]).select("variant", "alias", F.col("seen").alias("recall"), F.lit(1).alias("contracts"))
-    volume = metrics.filter_volume(passing, _universe(v)).select("variant", F.col("alias").alias("of"), F.col("value").alias("volume"))
-    # the filter that is the same for all has one volume, under no alias
-    own = recall.join(
-        volume.where("of is not null"),
-        [recall["variant"] == volume["variant"], recall["alias"] == volume["of"]],
-    ).select("alias", "recall", "contracts", "volume")
-    same = recall.join(volume.where("of is null").drop("of"), "variant").select("alias", "recall", "contracts", "volume")
-    rivals = metrics.work_per_hit(own.union(same)).select("alias", F.col("reviews_per_hit").alias("rival"))
+    rivals = metrics.rival_volumes(metrics.filter_recall(won, passing, ["A", "B"]), metrics.filter_volume(passing, _universe(v)))
+    rivals = rivals.select("alias", F.col("seen").alias("recall"), F.lit(1).alias("contracts"), "volume")
+    rivals = metrics.work_per_hit(rivals).select("alias", F.col("reviews_per_hit").alias("rival"))
     return metrics.efficiency_verdict(_work(v).select("alias", F.col("reviews_per_hit").alias("agent")).join(rivals, "alias"))
 
 
@@ -1033,6 +1036,18 @@ def q6_stale_runs(v: Views) -> DataFrame:
     return checks.stale_runs(runs, F.lit("2024-01-20 12:00:00").cast("timestamp")).select("event_id")
 
 
+@query(
+    "",
+    "SELECT event_id, CASE WHEN o AND ts < TIMESTAMP '2024-01-20 10:00:00' THEN 'error' WHEN o THEN 'running' ELSE 'ok' END AS state, "
+    "CASE WHEN NOT o THEN CAST(ts AS TIMESTAMP) WHEN ts < TIMESTAMP '2024-01-20 10:00:00' THEN TIMESTAMP '2024-01-20 12:00:00' END AS ended_at "
+    "FROM (SELECT event_id, ts, event_type <> 'click' AS o FROM events) x",
+)
+def q6_close_stale(v: Views) -> DataFrame:
+    at, clicked = F.col("ts").cast("timestamp"), F.col("event_type") == "click"
+    runs = v.table("events").select("event_id", at.alias("started_at"), F.when(clicked, at).alias("ended_at"), F.when(clicked, "ok").otherwise("running").alias("state"))
+    return checks.close_stale(runs, F.lit("2024-01-20 12:00:00").cast("timestamp")).select("event_id", "state", "ended_at")
+
+
 @query("universe", "SELECT dossiers, dossiers - 1 AS published FROM universe")
 def q7_universe_drift(v: Views) -> DataFrame:
     u = _universe(v)

@@ -108,7 +108,7 @@ def st1_ingest_stream(v: Views) -> DataFrame:
     for part in (0, 1, 2):
         own = pages.where((F.col("part") == part) | (F.col("part") == 0) & F.lit(part == 2))
         own.select("body").write.text(f"{at}/in/{part}")
-        ingest.ingest_stream(v.spark, f"{at}/in", f"{at}/silver", f"{at}/bad", f"{at}/state").awaitTermination()
+        ingest.ingest_stream(v.spark, f"{at}/in", f"{at}/silver", f"{at}/bad", f"{at}/state", buckets=8).awaitTermination()
     good = v.spark.read.parquet(f"{at}/silver").select("entry_id", "entry_updated", F.lit(None).cast("string").alias("reason"))
     bad = v.spark.read.parquet(f"{at}/bad").select("entry_id", F.lit(None).cast("timestamp").alias("entry_updated"), "reason").distinct()
     return good.union(bad)
@@ -125,8 +125,8 @@ def st5_version_state(v: Views) -> DataFrame:
     rows = v.versions.withColumn("part", F.pmod(F.xxhash64("entry_id", "tie"), F.lit(3)))
     for number in range(4):
         batch = rows.where(F.col("part") == number % 3).drop("part")
-        fresh = version_table.append_batch(batch, f"{at}/versions", ["entry_id", "entry_updated", "tie"], version_table.batch_tag(at, number))
-        changes = version_table.update_state(fresh, f"{at}/state", version_table.batch_tag(at, number))
+        fresh = version_table.append_batch(batch, f"{at}/versions", ["entry_id", "entry_updated", "tie"], version_table.batch_tag(at, number), buckets=8)
+        changes = version_table.update_state(fresh, f"{at}/state", version_table.batch_tag(at, number), buckets=8)
     state = version_table.read_state(v.spark, f"{at}/state", changes.schema)
     return state.select(
         "entry_id",
@@ -146,7 +146,7 @@ def q10_moved_by_backfill(v: Views) -> DataFrame:
     """The months before the period are loaded last: that batch's changes name the dossiers that leave the period."""
     at, first = scratch(v.spark), F.lit(FIRST).cast("timestamp")
     for number, batch in enumerate((v.versions.where(F.col("entry_updated") >= first), v.versions.where(F.col("entry_updated") < first))):
-        changes = version_table.update_state(batch, f"{at}/state", version_table.batch_tag(at, number))
+        changes = version_table.update_state(batch, f"{at}/state", version_table.batch_tag(at, number), buckets=8)
     return version_table.moved_out(changes, FIRST, LAST)
 
 

@@ -246,18 +246,46 @@ def _hopped(v: Views, located: DataFrame) -> DataFrame:
     return evidence.locate_annex(v.pages, annexes, located.where("page_no is not null"), PATTERNS, word="the")
 
 
-@query(
-    "quotes pages_",
-    "SELECT l.doc_id, CASE WHEN h.more IS NOT NULL THEN l.route || '+anexo' ELSE l.route END AS route, array_to_string(list_sort(list_distinct(list_concat(l.pages, coalesce(h.more, [])))), ',') AS pages, "
+_READINGS = (
+    "SELECT l.doc_id, CAST(CASE WHEN len(l.pages) > 0 THEN 1 + CASE WHEN coalesce(r.total, 0) > coalesce(r.verified, 0) THEN 1 ELSE 0 END ELSE 0 END + CASE WHEN h.more IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS attempts, "
+    "CASE WHEN h.more IS NOT NULL THEN l.route || '+anexo' ELSE l.route END AS route, array_to_string(list_sort(list_distinct(list_concat(l.pages, coalesce(h.more, [])))), ',') AS pages, "
     "CASE WHEN l.route = 'no_localizada: sin texto' THEN 'ilegible' WHEN l.route = 'no_localizada' THEN 'sin_localizar' WHEN coalesce(r.total, 0) = 0 THEN 'ilegible_respuesta' ELSE 'leido' END AS state, "
     f"coalesce(r.total, 0) AS total, coalesce(r.verified, 0) AS verified FROM (SELECT doc_id, min(route) AS route, coalesce(list(page_no) FILTER (page_no IS NOT NULL), []) AS pages FROM ({_LOCATED}) x GROUP BY doc_id) l "
     f"LEFT JOIN (SELECT doc_id, list(page_no) AS more FROM ({_HOPPED}) o GROUP BY doc_id) h USING (doc_id) "
-    f"LEFT JOIN (SELECT doc_id, count(*) AS total, count(*) FILTER (rejected IS NULL) AS verified FROM ({_VERIFIED}) y GROUP BY doc_id) r USING (doc_id)",
+    f"LEFT JOIN (SELECT doc_id, count(*) AS total, count(*) FILTER (rejected IS NULL) AS verified FROM ({_VERIFIED}) y GROUP BY doc_id) r USING (doc_id)"
 )
+
+
+def _readings(v: Views) -> DataFrame:
+    """Readings of located documents: one call each, a second where a quote was rejected, one more for an annex."""
+    located, verified = _located(v), _verified(v)
+    hopped = _hopped(v, located)
+    asked = located.where("page_no is not null").select("doc_id").distinct()
+    again = evidence.second_attempts(verified, verified.select("doc_id").limit(0)).join(asked, "doc_id", "left_semi")
+    call = lambda df, reading_pass, attempt: df.select("doc_id", F.lit(reading_pass).alias("reading_pass"), F.lit(attempt).alias("attempt"))
+    calls = call(asked, 1, 1).union(call(again, 1, 2)).union(call(hopped.select("doc_id").distinct(), 2, 1))
+    return evidence.reading_rows(located, verified, hopped, evidence.attempts(calls))
+
+
+@query("quotes pages_", _READINGS)
 def e13_reading_rows(v: Views) -> DataFrame:
-    located = _located(v)
-    rows = evidence.reading_rows(located, _verified(v), _hopped(v, located))
-    return rows.select("doc_id", "route", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "state", "total", "verified")
+    rows = _readings(v)
+    return rows.select("doc_id", "attempts", "route", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "state", "total", "verified")
+
+
+@query(
+    "versions awards docs companies triage cards quotes pages_",
+    "SELECT 'data' AS section, 'versions' AS item, count(*) AS n FROM versions UNION ALL SELECT 'data', 'dossiers', count(DISTINCT entry_id) FROM versions UNION ALL "
+    "SELECT 'data', 'awards', count(*) FROM awards UNION ALL SELECT 'data', 'documents downloaded', count(*) FROM docs WHERE state = 'descargado' UNION ALL "
+    "SELECT 'data', 'companies', count(*) FROM companies UNION ALL SELECT 'triage', 'decisions', count(*) FROM triage UNION ALL "
+    "SELECT 'triage', 'dossiers seen', count(DISTINCT entry_id) FROM triage UNION ALL SELECT 'triage', 'companies served', count(DISTINCT alias) FROM triage UNION ALL "
+    f"SELECT 'readings', 'documents read', count(*) FROM ({_READINGS}) l WHERE state = 'leido' UNION ALL "
+    f"SELECT 'readings', 'requirements verified', count(*) FILTER (rejected IS NULL) FROM ({_VERIFIED}) r UNION ALL SELECT 'readings', 'requirements', count(*) FROM ({_VERIFIED}) r UNION ALL "
+    "SELECT 'cards', verdict, count(*) FROM cards GROUP BY verdict",
+)
+def a11_dashboard_counts(v: Views) -> DataFrame:
+    tables = {name: getattr(v, name) for name in ("versions", "awards", "docs", "companies", "triage", "cards")}
+    return profile.dashboard_counts(tables | {"readings": _readings(v), "requirements": _verified(v)})
 
 
 _PASS = "SELECT doc_id, CAST(page AS VARCHAR) AS page, kind, quote, {0} AS reading_pass FROM quotes"

@@ -18,7 +18,7 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType,
 from ..functions.text import madrid_day
 from ..operators.silver import parse_notices, quarantine_split
 from ..sources.feed import entries_of
-from .version_table import append_batch, batch_tag, update_state
+from .version_table import BUCKETS, append_batch, batch_tag, update_state
 
 KEYS = ["entry_id", "entry_updated"]
 
@@ -29,7 +29,7 @@ def feed_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -
     return spark.readStream.format("text").options(**options).load(folder).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
 
 
-def ingest_stream(spark: SparkSession, folder: str, silver: str, quarantine: str, checkpoint: str, files_per_batch: int = 1000, state: str | None = None) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, folder: str, silver: str, quarantine: str, checkpoint: str, files_per_batch: int = 1000, state: str | None = None, buckets: int = BUCKETS) -> StreamingQuery:
     """Pages to versions and quarantined entries, each version once across restarts; with `state`, first and last versions are kept there too."""
 
     def merge(pages: DataFrame, number: int) -> None:
@@ -37,10 +37,10 @@ def ingest_stream(spark: SparkSession, folder: str, silver: str, quarantine: str
         parsed = parse_notices(entries_of(pages)).persist()  # parsed once for both tables
         try:
             good, bad = quarantine_split(parsed)
-            fresh = append_batch(good.drop("xml"), silver, KEYS, tag)
+            fresh = append_batch(good.drop("xml"), silver, KEYS, tag, buckets)
             if state is not None:
-                update_state(fresh, state, tag)
-            append_batch(bad, quarantine, ["file", "position"], tag)
+                update_state(fresh, state, tag, buckets)
+            append_batch(bad, quarantine, ["file", "position"], tag, buckets)
         finally:
             parsed.unpersist()
 

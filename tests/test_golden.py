@@ -172,6 +172,70 @@ def test_draws_do_not_depend_on_row_order(spark):
     assert draw(rows) == draw(rows[::-1]) and [x[1] for x in sorted(draw(rows), key=lambda x: x[2])] == ["desarrollo"] * 2 + ["test"] * 5
 
 
+def test_a_draw_needs_three_test_companies(spark):
+    few = lambda n: cohort.draw_companies(spark.createDataFrame([(f"A{i}",) for i in range(n)], "winner string"), "s")
+    assert few(5).count() == 5
+    for n in (0, 2, 4):
+        with pytest.raises(Exception, match=f"fewer than 3 test companies: {max(0, n - 2)}"):
+            few(n).collect()
+
+
+@pytest.mark.parametrize("kind", ["few", "ties", "spread", "one", "empty"])
+def test_order_statistics_equal_sorting(spark, kind):
+    import random
+
+    import numpy as np
+    from tenderlens.functions.order_statistics import order_statistics, percentile
+
+    rng = random.Random(kind)
+    values = {
+        "few": [3, 1, 2, None], "ties": [rng.choice([1.5, 2.5, 2.5, 9.0]) for _ in range(301)], "one": [7.0], "empty": [],
+        "spread": [rng.choice([-1, 1]) * 10 ** rng.uniform(-12, 12) for _ in range(5000)],
+    }[kind]
+    df = spark.createDataFrame([(None if x is None else float(x), 5 - i % 3) for i, x in enumerate(values)], "x double, y int")
+    p90 = F.greatest(F.lit(1), F.floor(F.col("n") * 0.9)) - 1
+    got = order_statistics(df, {"median": ("x", percentile(0.5)), "p97": ("x", percentile(0.97)), "element": ("x", p90), "y": ("y", percentile(0.1))})
+    assert "percentile(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    row, known = got.first(), sorted(x for x in values if x is not None)
+    if not known:
+        assert row.asDict() == {"median": None, "p97": None, "element": None, "y": None}
+        return
+    assert row.median == pytest.approx(float(np.quantile(known, 0.5)), rel=1e-12) and row.p97 == pytest.approx(float(np.quantile(known, 0.97)), rel=1e-12)
+    assert row.element == known[max(1, int(0.9 * len(known))) - 1]
+
+
+def test_rivals_share_their_draws_and_filters_for_all_count(spark):
+    rows = [("A", f"e{i}", i % 2, int(i % 3 == 0), 1) for i in range(40)] + [("B", f"e{i}", 1, 1, 0) for i in range(7)]
+    df = spark.createDataFrame(rows, "alias string, entry_id string, agent int, r1 int, r2 int")
+    both = {(r.alias, r.rival): r[2:] for r in metrics.paired_bootstraps(df, "agent", ["r1", "r2"], "s", resamples=200).collect()}
+    for rival in ("r1", "r2"):
+        for r in metrics.paired_bootstrap(df, "agent", rival, "s", resamples=200).collect():
+            assert both[r.alias, rival] == r[1:]
+    won = spark.createDataFrame([("A", "e1"), ("A", "e2"), ("B", "e1")], "alias string, entry_id string")
+    triaged = won.withColumn("decision", F.lit("si"))
+    passing = spark.createDataFrame([("A", None, "e1"), ("B", "A", "e2")], "variant string, alias string, entry_id string")
+    found = metrics.paired_indicators(won, triaged, passing, ["A", "B"]).collect()
+    assert sorted((r.alias, r.entry_id, r.A, r.B) for r in found) == [("A", "e1", 1, 0), ("A", "e2", 0, 1), ("B", "e1", 1, 0)]
+
+
+def test_attempts_of_readings(spark):
+    calls = spark.createDataFrame([("d1", 1, 1), ("d1", 1, 2), ("d1", 2, 1), ("d2", 1, 1)], "doc_id string, reading_pass int, attempt int")
+    assert {r.doc_id: r.attempts for r in evidence.attempts(calls).collect()} == {"d1": 3, "d2": 1}
+    verified = spark.createDataFrame([("d1", "no page"), ("d2", None)], "doc_id string, rejected string")
+    unreadable = spark.createDataFrame([("d3",)], "doc_id string")
+    assert sorted(r.doc_id for r in evidence.second_attempts(verified, unreadable).collect()) == ["d1", "d3"]
+
+
+def test_quotes_of_one_page_share_its_normalised_text(spark):
+    quotes = spark.createDataFrame([("d", "1", "volumen_negocios", f"cita larga número {i}") for i in range(5)], "doc_id string, page string, kind string, quote string")
+    text = spark.createDataFrame([("d", 1, "  cita \n larga  número 3 "), ("d", 2, "otra")], "doc_id string, page_no int, text string")
+    out = evidence.verify_quotes(quotes, text, text, compatibility=False)
+    assert [r.quote[-1] for r in out.collect() if r.rejected is None] == ["3"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Join LeftOuter")
+    assert "__text" in above and "text#" not in above.replace("__text#", "") and below
+
+
 def pages(spark, *texts):
     return spark.createDataFrame(
         [("d", i, t + " " + "relleno " * 8 if t is not None else "") for i, t in enumerate(texts, 1)],
