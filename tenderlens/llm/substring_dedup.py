@@ -13,11 +13,10 @@ of different texts fall to the same m-gram.
 3. Repeated paths are compacted: where exactly one of them ends and one begins at
    a node (two joined counts) and both stand side by side in their first document,
    they are one chain, known by the source coordinate at which it begins.
-4. Joins carry chains back to every document that holds one of their paths.  What
-   follows one chain word by word is one span, from (document, word) to (first
-   document, word); a path is joined by two 64-bit hashes of its words, so its
-   words at both coordinates agree.  Spans are what is removed from later
-   documents, and what is reported.
+4. Joins carry paths, with their chains, back to every document that holds one; a
+   path is joined by two 64-bit hashes of its words.  Later documents lose all
+   their windows.  Chains decide which of these paths are reported as one span, from
+   (document, word) to (first document, word), not what is removed.
 5. A path's first document may still hold single edges that another path has from
    an earlier document; these are found by the window's 64-bit hash alone (among
    10**9 different windows two agree with odds of about 0.03).
