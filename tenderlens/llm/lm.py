@@ -18,7 +18,8 @@ come from `ROUNDS` distributed updates; in each, every task takes gradient steps
 over its share of the texts (every training text serves in exactly one round)
 from the weights broadcast to it, and row-wise averages weighted by
 observations, formed in two grouped levels, are the next weights.  A task takes
-at least `TEXT_PER_WEIGHT` bytes of text for each byte of weights it may send.
+at least `TEXT_PER_WEIGHT` bytes of text for each byte of weights it may send, and
+one input partition or more, so scores depend on how the input is partitioned.
 
 Scoring: frequent words (at most `head` of them) are broadcast with their
 counts; counts of all other words meet the documents that hold them in a join.
