@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import feed, reference_data
 from ..streaming import ingest, version_table
-from ..streaming.replay import replay_stages, scratch
+from ..streaming.replay import replay_stages, rocksdb_state, scratch
 from .registry import query
 from .text_queries import _feed
 from .views import FIRST, LAST, Views
@@ -169,8 +169,6 @@ def st2_dedupe_versions(v: Views) -> DataFrame:
 )
 def st3_current_state_stream(v: Views) -> DataFrame:
     """Orders as versions of their customer's dossier, in three batches out of order; tombstones, for customers in debt, come first."""
-    conf = v.spark.conf
-    conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     versions = v.table("orders").select(
         F.col("o_custkey").cast("string").alias("entry_id"), F.col("o_orderdate").cast("timestamp").alias("entry_updated"), F.col("o_orderstatus").alias("state"),
         F.lit(False).alias("tombstone"), (F.col("o_orderkey") % 3).cast("int").alias("part"),
@@ -184,7 +182,8 @@ def st3_current_state_stream(v: Views) -> DataFrame:
         F.lit(True).alias("tombstone"),
         F.lit(0).alias("part"),
     )
-    out = replay_stages(versions.union(gone), F.col("part"), 3, lambda s: ingest.current_state_stream(s.drop("part")), "update")
+    with rocksdb_state(v.spark):
+        out = replay_stages(versions.union(gone), F.col("part"), 3, lambda s: ingest.current_state_stream(s.drop("part")), "update")
     last = out.groupBy("entry_id").agg(F.max_by(F.struct("entry_updated", "state", "withdrawn"), "batch").alias("s"))
     return last.select(F.col("entry_id").cast("long").alias("k"), "s.entry_updated", "s.state", "s.withdrawn")
 

@@ -211,6 +211,16 @@ def test_current_state_in_any_order(spark, tmp_path):
     assert state == {"a": (day(6), "ADJ", False), "b": (day(9), "PUB", True)}
 
 
+def test_state_setting_is_put_back(spark):
+    from tenderlens.streaming.replay import PROVIDER, rocksdb_state
+
+    before = spark.conf.get(PROVIDER, None)
+    with pytest.raises(ZeroDivisionError), rocksdb_state(spark):
+        assert "RocksDB" in spark.conf.get(PROVIDER)
+        raise ZeroDivisionError
+    assert spark.conf.get(PROVIDER, None) == before
+
+
 @pytest.mark.parametrize(
     ("before", "complete", "cursor", "warning"),
     [(None, True, 4, False), (None, False, 2, False), (1, False, 1, True), (1, True, 4, False), (9, True, 9, False)],
