@@ -10,13 +10,15 @@ of different texts fall to the same m-gram.
 2. Only those paths are kept.  Equal paths collapse into one, with its first
    source coordinate (document, word); the distinct ones give their edges, and a
    grouping finds the smallest document of each edge.
-3. Repeated paths are compacted: where exactly one of them ends and one begins at
-   a node (two joined counts) and both stand side by side in their first document,
-   they are one chain, known by the source coordinate at which it begins.
-4. Joins carry paths, with their chains, back to every document that holds one; a
-   path is joined by two 64-bit hashes of its words.  Later documents lose all
-   their windows.  Chains decide which of these paths are reported as one span, from
-   (document, word) to (first document, word), not what is removed.
+3. Repeated paths are compacted: where every occurrence of one is followed by the
+   same other path, and every occurrence of that one preceded by the first, both
+   are one chain.  Joins link such neighbours, and joins that triple their
+   reach lead each path to the first one of its chain.  All paths of a chain occur in the
+   same places, so that from here on only its first path is looked up: the chain's
+   first source coordinate and its length stand for all its windows.
+4. Where a chain occurs in a later document, its whole span goes, and is listed
+   with the source coordinate.  SHA-256 digests of the span's words, taken anew from
+   both texts at both coordinates, have to agree; a span whose digest differs stays.
 5. A path's first document may still hold single edges that another path has from
    an earlier document; these are found by the window's 64-bit hash alone (among
    10**9 different windows two agree with odds of about 0.03).
@@ -37,7 +39,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import column, emit_rows, lists, map_texts
@@ -100,11 +102,11 @@ def sign(docs: DataFrame, text: str, id_col: str, k: int, m: int) -> DataFrame:
     return map_texts(docs, text, [id_col], "n_words long, digest binary, text_key long, grams array<long>", prepare)
 
 
-PATHS = "doc long, text_key long, at int, path long, check long, head long, tail long, windows array<long>"
+PATHS = "doc long, text_key long, at int, path long, check long, before long, after long, windows array<long>"
 
 
 def repeated_paths(texts: DataFrame, k: int, m: int) -> DataFrame:
-    """Of (doc, body, grams): the paths whose m-gram is in grams, with their edges and end nodes."""
+    """Of (doc, body, grams): the paths whose m-gram is in grams, with their edges and the paths right before and after (0: none of these)."""
 
     def prepare():
         def make(bodies: pa.Array, batch: pa.RecordBatch) -> list:
@@ -122,19 +124,19 @@ def repeated_paths(texts: DataFrame, k: int, m: int) -> DataFrame:
             windows = window_hashes(words.hashes, k)
             bounds = np.concatenate([[0], np.cumsum(n)])
             places = np.repeat(at - bounds[:-1], n) + np.arange(bounds[-1])
-            nodes = window_hashes(words.hashes, k - 1)
             docs = column(batch, "doc").to_numpy(zero_copy_only=False)
             keys = text_keys(words).view(np.int64)
             whole = batched(words.hashes, at, end)
             second = batched(mix(words.hashes ^ SECOND), at, end)
+            side_by_side = (row[1:] == row[:-1]) & (at[1:] == at[:-1] + n[:-1])
             return [
                 docs[row],
                 keys[row],
                 (at - words.bounds[row]).astype(np.int32),
                 whole,
                 second,
-                nodes[at].view(np.int64),
-                nodes[end - k + 1].view(np.int64),
+                np.append(0, np.where(side_by_side, whole[:-1], 0)),
+                np.append(np.where(side_by_side, whole[1:], 0), 0),
                 lists(windows[places].view(np.int64), bounds),
             ]
 
@@ -152,17 +154,38 @@ def batched(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out.view(np.int64)
 
 
-def compact(repeated: DataFrame) -> DataFrame:
-    """repeated paths with chain_at: where the nonbranching chain that they are part of begins in their first document."""
-    whole = repeated.where("low < high")  # others hold only single repeated edges
-    ends = whole.groupBy(F.col("tail").alias("node")).agg(F.count(F.lit(1)).alias("into"))
-    starts = whole.groupBy(F.col("head").alias("node")).agg(F.count(F.lit(1)).alias("out"))
-    inner = ends.where("into = 1").join(starts.where("out = 1"), "node").select(F.col("node").alias("head"), F.lit(True).alias("through"))
-    marked = repeated.join(inner, "head", "left")
-    source = Window.partitionBy("low", "low_key").orderBy("source_at")  # the paths of one document
-    goes_on = F.coalesce(F.col("through") & (F.lag(F.col("source_at") + F.col("n")).over(source) == F.col("source_at")), F.lit(False))
-    begins = F.when(~goes_on, F.col("source_at"))
-    return marked.withColumn("begins", begins).withColumn("chain_at", F.max("begins").over(source)).drop("begins", "through")
+def compact(distinct: DataFrame) -> DataFrame:
+    """(number, head, ahead) of the repeated paths: the path that its chain begins with, and the chain's windows before it.
+
+    In each round a path's pointer goes on twice by the way of the path that it points
+    at, so that a chain of 3**r paths takes r rounds.  A chain cannot be a cycle, as
+    its last occurrence in a text has to end.
+    """
+    whole = distinct.where("low < high")  # others hold only single repeated edges
+    goes_on = whole.where("after <> 0").select(F.col("path").alias("before"), F.col("after").alias("path"), F.col("number").alias("previous"), F.col("n").alias("by"))
+    linked = whole.select("number", "path", "before").join(goes_on, ["path", "before"], "left")
+    is_head = F.col("previous").isNull()
+    way = linked.select("number", F.coalesce("previous", "number").alias("head"), F.coalesce("by", F.lit(0)).alias("ahead"), is_head.alias("settled"))
+    way, way_at = written_at(way)
+    while not way.where("not settled").isEmpty():
+        on = way.select(F.col("number").alias("head"), F.col("head").alias("beyond"), F.col("ahead").alias("more"), F.col("settled").alias("ends"))
+        further = way.where("not settled")
+        for _ in range(2):
+            further = further.join(on, "head").select("number", F.col("beyond").alias("head"), (F.col("ahead") + F.col("more")).alias("ahead"), F.col("ends").alias("settled"))
+        (way, further_at), done_at = written_at(way.where("settled").unionByName(further)), way_at
+        discard(distinct.sparkSession, done_at)
+        way_at = further_at
+    return way.drop("settled")
+
+
+def chains_of(distinct: DataFrame, way: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Per chain: its first path, first source coordinate, last document, windows, and places of edges with an earlier document."""
+    paths = distinct.join(earlier, "number", "left").where("low < high or inner is not null").join(way, "number", "left")
+    head, ahead = F.coalesce("head", "number"), F.coalesce("ahead", F.lit(0))
+    first = F.when(F.col("number") == head, F.struct("path", "check", "low", "low_key", "source_at", "high"))
+    inner = F.transform("inner", lambda i: i + ahead)
+    chains = paths.groupBy(head.alias("chain")).agg(F.max(first).alias("first"), F.max(ahead + F.col("n")).alias("n"), F.flatten(F.collect_list(inner)).alias("inner"))
+    return chains.select("first.*", "n", "inner")
 
 
 def marked_grams(signed: DataFrame, id_col: str) -> DataFrame:
@@ -173,19 +196,21 @@ def marked_grams(signed: DataFrame, id_col: str) -> DataFrame:
     return grams.join(shared, "gram").groupBy("doc").agg(F.collect_list("gram").alias("grams"))
 
 
-HELD = "doc long, text_key long, followed array<struct<source: long, chain_at: int, shift: int, at: int, n: int>>, windows array<int>"
+FOLLOWED = "array<struct<source: long, source_key: long, source_at: int, at: int, n: int>>"
+HELD = f"doc long, text_key long, followed {FOLLOWED}, windows array<int>, asked array<struct<at: int, n: int>>"
 
 
 def removals(docs: DataFrame, marked: DataFrame, text: str, id_col: str, k: int, m: int) -> DataFrame:
-    """HELD: of each text the stretches of chains that it shares with their first document, and single windows to remove.
+    """HELD: of each text the chains that it shares with an earlier document, single windows to remove, and the chains it is the source of.
 
     Tables that only lead to the next one are deleted once that is written.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("body")).join(marked, "doc")
     paths, paths_at = written_at(repeated_paths(texts, k, m))
+    only = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(c)
     distinct = paths.groupBy("path", "check").agg(
-        F.min(F.struct("doc", "text_key", "at")).alias("first"), F.max("doc").alias("high"), F.first("head").alias("head"), F.first("tail").alias("tail"), F.first("windows").alias("windows")
+        F.min(F.struct("doc", "text_key", "at")).alias("first"), F.max("doc").alias("high"), only("before"), only("after"), F.first("windows").alias("windows")
     )
     source = [F.col("first.doc").alias("low"), F.col("first.text_key").alias("low_key"), F.col("first.at").alias("source_at")]
     distinct = distinct.select(
@@ -194,8 +219,8 @@ def removals(docs: DataFrame, marked: DataFrame, text: str, id_col: str, k: int,
         "check",
         *source,
         "high",
-        "head",
-        "tail",
+        "before",
+        "after",
         F.size("windows").alias("n"),
         "windows",
     )
@@ -203,20 +228,22 @@ def removals(docs: DataFrame, marked: DataFrame, text: str, id_col: str, k: int,
     places, places_at = written_at(paths.select("doc", "text_key", "at", "path", "check"))
     discard(spark, paths_at)
     earlier, earlier_at = written_at(earlier_edges(distinct))
-    repeated = distinct.drop("windows").join(earlier, "number", "left").where("low < high or inner is not null").drop("number")
-    repeated, repeated_at = written_at(compact(repeated).drop("head", "tail", "low_key", "high"))
+    way = compact(distinct)
+    chains, chains_at = written_at(chains_of(distinct.drop("windows", "before", "after"), way, earlier))
     for at in (distinct_at, earlier_at):
         discard(spark, at)
-    hits = places.join(repeated, ["path", "check"])
+    hits = places.join(chains, ["path", "check"])
     # later documents lose what they share with the chain's first one; that one loses what starts in an earlier document by way of another path
     later = F.col("doc") > F.col("low")
-    shift = (F.col("at") - F.col("source_at")).alias("shift")
-    followed = F.when(later, F.struct(F.col("low").alias("source"), "chain_at", shift, "at", "n"))
+    followed = F.when(later, F.struct(F.col("low").alias("source"), F.col("low_key").alias("source_key"), "source_at", "at", "n"))
     inside = F.when(~later, F.transform("inner", lambda i: F.col("at") + i))
-    hits = hits.select("doc", "text_key", followed.alias("followed"), inside.alias("inside")).where("followed is not null or inside is not null")
-    grouped = hits.groupBy("doc", "text_key").agg(F.collect_list("followed").alias("followed"), F.flatten(F.collect_list("inside")).alias("windows"))
+    hits = hits.select("doc", "text_key", followed.alias("followed"), inside.alias("inside")).where("followed is not null or size(inside) > 0")
+    asked = chains.where("low < high").select(F.col("low").alias("doc"), F.col("low_key").alias("text_key"), F.struct(F.col("source_at").alias("at"), "n").alias("asked"))
+    grouped = hits.unionByName(asked, allowMissingColumns=True).groupBy("doc", "text_key").agg(
+        F.collect_list("followed").alias("followed"), F.flatten(F.collect_list("inside")).alias("windows"), F.collect_list("asked").alias("asked")
+    )
     out = written(grouped)
-    for at in (places_at, repeated_at):
+    for at in (places_at, chains_at):
         discard(spark, at)
     return out
 
@@ -232,70 +259,87 @@ def earlier_edges(distinct: DataFrame) -> DataFrame:
     return later.groupBy("number").agg(F.collect_list("i").alias("inner"))
 
 
-def spans_of(followed: list[dict]) -> list[tuple[int, int, int, int]]:
-    """(at, windows, source, source at) of each run that follows one chain without a gap."""
-    out: list[tuple[int, int, int, int]] = []
-    last = None
-    for x in sorted(followed, key=lambda x: (x["source"], x["chain_at"], x["shift"], x["at"])):
-        way = (x["source"], x["chain_at"], x["shift"])
-        if last == (way, x["at"]):
-            at, n, source, source_at = out[-1]
-            out[-1] = (at, n + x["n"], source, source_at)
-        else:
-            out.append((x["at"], x["n"], x["source"], x["at"] - x["shift"]))
-        last = (way, x["at"] + x["n"])
-    return sorted(out)
-
-
 REPEATS = "array<struct<at: long, n_words: long, source: long, source_at: long>>"
+SPANS = "array<struct<at: long, n_words: long, source: long, source_key: long, source_at: long, digest: binary>>"
 
 
 def cut(texts: DataFrame, k: int) -> DataFrame:
-    """Of (doc, body, HELD): what is left of each text whose words have that key, and the spans that it repeats."""
-    ddl = f"same boolean, n_removed long, kept_sha256 string, n_spans int, longest_span int, repeats {REPEATS}, kept_text string"
-    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("at", "n_words", "source", "source_at")]))
+    """Of (doc, body, HELD): what is left of each text whose words have that key, the spans that it repeats, and digests of what others repeat."""
+    answers = "array<struct<at: long, n_words: long, digest: binary>>"
+    ddl = f"same boolean, n_removed long, kept_sha256 string, n_spans int, longest_span int, spans {SPANS}, answers {answers}, kept_text string"
+    told = pa.list_(pa.struct([("at", pa.int64()), ("n_words", pa.int64()), ("digest", pa.binary())]))
+    kind = pa.list_(pa.struct([*((c, pa.int64()) for c in ("at", "n_words", "source", "source_key", "source_at")), ("digest", pa.binary())]))
 
     def prepare():
         def make(bodies: pa.Array, batch: pa.RecordBatch) -> list[pa.Array]:
             words = words_of(bodies, SPACE_SEPARATED)
             same = text_keys(words).view(np.int64) == column(batch, "text_key").to_numpy(zero_copy_only=False)
-            followed, windows, out = column(batch, "followed").to_pylist(), column(batch, "windows").to_pylist(), []
+            followed, windows, asked, out = *(column(batch, c).to_pylist() for c in ("followed", "windows", "asked")), []
             for i, body in enumerate(bodies.to_pylist()):
                 n = int(words.counts[i])
-                spans = spans_of(followed[i]) if same[i] else []
+                spans = sorted(followed[i], key=lambda x: x["at"]) if same[i] else []
                 single = np.array(windows[i] if same[i] else [], np.int64)
-                first = np.concatenate([np.array([x[0] for x in spans], np.int64), single])
-                end = np.concatenate([np.array([x[0] + x[1] - 1 + k for x in spans], np.int64), single + k])
+                first = np.concatenate([np.array([x["at"] for x in spans], np.int64), single])
+                end = np.concatenate([np.array([x["at"] + x["n"] - 1 + k for x in spans], np.int64), single + k])
                 gone = np.cumsum(np.bincount(first, minlength=n + 1)[:n] - np.bincount(end, minlength=n + 1)[:n]) > 0
                 edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
                 stretches = np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
                 own = (body or "").encode().split()
+                digest = lambda x: hashlib.sha256(b" ".join(own[x["at"] : x["at"] + x["n"] - 1 + k])).digest()  # noqa: E731, B023
                 kept = b" ".join(own[j] for j in np.flatnonzero(~gone).tolist())
-                repeats = [{"at": a, "n_words": c - 1 + k, "source": d, "source_at": e} for a, c, d, e in spans]
-                out.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), len(stretches), int(stretches.max(initial=0)), repeats, kept.decode()))
-            removed, digest, n_spans, longest, repeats, kept = (list(x) for x in zip(*out, strict=True))
+                repeats = [{**x, "n_words": x["n"] - 1 + k, "digest": digest(x)} for x in spans]
+                answers = [{"at": x["at"], "n_words": x["n"] - 1 + k, "digest": digest(x)} for x in asked[i]] if same[i] else []
+                out.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), len(stretches), int(stretches.max(initial=0)), repeats, answers, kept.decode()))
+            removed, sha, n_spans, longest, repeats, answers, kept = (list(x) for x in zip(*out, strict=True))
             return [
                 pa.array(same),
                 pa.array(removed, pa.int64()),
-                pa.array(digest),
+                pa.array(sha),
                 pa.array(n_spans, pa.int32()),
                 pa.array(longest, pa.int32()),
                 pa.array(repeats, kind),
+                pa.array(answers, told),
                 pa.array(kept),
             ]
 
         return make
 
-    return map_texts(texts, "body", ["doc", "text_key", "followed", "windows"], ddl, prepare).where("same").drop("windows", "followed", "same")
+    held = ["doc", "text_key", "followed", "windows", "asked"]
+    return map_texts(texts, "body", held, ddl, prepare).where("same").drop("windows", "followed", "asked", "same").dropDuplicates(["doc", "text_key"])
+
+
+SOURCE = ["source", "source_key", "source_at", "n_words"]
+
+
+def differing(left: DataFrame) -> DataFrame:
+    """(doc, text_key, at) of the spans whose words are not those at their source coordinates; empty unless path hashes met by chance."""
+    claims = left.select("doc", "text_key", F.inline("spans"))
+    answers = left.select(F.col("doc").alias("source"), F.col("text_key").alias("source_key"), F.inline("answers")).withColumnRenamed("at", "source_at")
+    both = claims.select(*SOURCE, "digest", F.lit(0).alias("told")).unionByName(answers.withColumn("told", F.lit(1)))
+    bad = both.groupBy(*SOURCE).agg(F.min("digest").alias("least"), F.max("digest").alias("most"), F.max("told").alias("told")).where("least <> most or told = 0")
+    bad = written(bad.select(*SOURCE))
+    return claims.join(bad, SOURCE).join(answers, SOURCE, "left").where(~claims["digest"].eqNullSafe(answers["digest"])).select("doc", "text_key", "at")
+
+
+def cut_verified(texts: DataFrame, gone: DataFrame, k: int, with_text: bool) -> DataFrame:
+    """cut() of the texts, without the spans that differ from their source."""
+    left = lambda held: cut(texts.join(held, "doc"), k).drop(*([] if with_text else ["kept_text"]))
+    found = written(left(gone))
+    wrong = written(differing(found).groupBy("doc", "text_key").agg(F.collect_set("at").alias("wrong")))
+    if wrong.isEmpty():
+        return found
+    agreeing = F.filter("followed", lambda x: ~F.array_contains("wrong", x["at"].cast("long")))
+    again = left(gone.join(wrong, ["doc", "text_key"]).withColumn("followed", agreeing).drop("wrong"))
+    return found.join(wrong, ["doc", "text_key"], "left_anti").unionByName(again)
 
 
 def substring_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 13, m: int = 4, with_text: bool = True) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256 (of kept words joined by one space), the spans removed, and kept_text.
 
     n_spans and longest_span (words) count removed stretches; repeats lists the
-    spans that follow one chain of the source's without a branch: the same n_words
-    stand at `at` here and at `source_at` in document `source`.  A row whose words
-    are all those of an earlier document is one stretch and lists no repeats.
+    verified occurrences of chains: the same n_words stand at `at` here and at
+    `source_at` in document `source`.  A row whose words are all those of an earlier
+    document is one stretch and lists no repeats.
     """
     full, full_at = written_at(sign(docs, text, id_col, k, m))
     marked, marked_at = written_at(marked_grams(full, id_col))
@@ -303,9 +347,10 @@ def substring_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     discard(docs.sparkSession, full_at)
     gone = removals(docs, marked, text, id_col, k, m)
     discard(docs.sparkSession, marked_at)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("body")).join(gone, "doc")
-    left = cut(texts, k).withColumnsRenamed({"n_removed": "cut"}).withColumnRenamed("kept_sha256", "cut_sha256")
-    left = (left if with_text else left.drop("kept_text")).dropDuplicates(["doc", "text_key"])
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("body"))
+    left = cut_verified(texts, gone, k, with_text).withColumnsRenamed({"n_removed": "cut"}).withColumnRenamed("kept_sha256", "cut_sha256")
+    listed = F.transform("spans", lambda x: F.struct(*(x[c].alias(c) for c in ("at", "n_words", "source", "source_at"))))
+    left = left.withColumn("repeats", listed).drop("spans", "answers")
     first = signed.groupBy("digest").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = written(first)  # a text with many copies can be split in a join of two plain tables
     rows = signed.select(F.col(id_col), "n_words", "digest", "text_key").join(first, "digest", "left").join(

@@ -54,20 +54,51 @@ def test_compaction_makes_one_span_of_a_passage(spark, monkeypatch):
     """A passage of 300 words that three documents share is one span with its source; without compaction it falls into its paths."""
     passage = prose(70, 300)
     rows = [(i, f"{prose(700 + i, 20 + i)} {passage} {prose(800 + i, 15)}", "en", "a", 1) for i in range(3)]
+    expected = removed_by_windows(rows)
 
-    def repeats():
+    def found():
         out = substring_dedup.substring_dedup(documents(spark, rows)).collect()
-        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out) == removed_by_windows(rows)
-        return {r.doc_id: [tuple(x) for x in r.repeats] for r in out}
+        return Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out), {r.doc_id: [tuple(x) for x in r.repeats] for r in out}
 
-    found = repeats()
-    assert found[0] == [] and len(found[1]) == len(found[2]) == 1
+    result, repeats = found()
+    assert result == expected and repeats[0] == [] and len(repeats[1]) == len(repeats[2]) == 1
     for doc in (1, 2):  # paths that run beyond the passage's ends differ, so their windows are found one by one
-        (at, n, source, source_at), = found[doc]
+        (at, n, source, source_at), = repeats[doc]
         assert source == 0 and at - source_at == doc and 280 <= n <= 300
     plain = substring_dedup.compact
-    monkeypatch.setattr(substring_dedup, "compact", lambda repeated: plain(repeated).withColumn("chain_at", F.col("source_at")))
-    assert len(repeats()[1]) > 10
+    alone = lambda distinct: distinct.select("number", F.col("number").alias("head"), F.lit(0).alias("ahead"))
+    monkeypatch.setattr(substring_dedup, "compact", alone)
+    result, repeats = found()
+    assert result == expected and len(repeats[1]) > 10
+    # chains decide the removals: shorter ones remove less, and longer ones differ from the words of their source
+    for shift in (-60, 400):
+        monkeypatch.setattr(substring_dedup, "compact", lambda distinct, shift=shift: plain(distinct).withColumn("ahead", F.when(F.col("head") == F.col("number"), 0).otherwise(F.col("ahead") + shift)))
+        assert found()[0] != expected
+
+
+def test_pointers_lead_to_the_first_path_of_a_chain(spark):
+    """Chains of 1 to 37 paths; a path that differing paths follow or precede ends or begins one."""
+    rows, expected, number = [], {}, 0
+    for length in (1, 2, 3, 8, 9, 37):
+        for i in range(length):
+            number += 1
+            rows.append((number, number, number - 1 if i else None, number + 1 if i + 1 < length else 0, i % 3 + 1, 1, 2))
+            expected[number] = (number - i, sum(j % 3 + 1 for j in range(i)))
+    rows += [(900, 900, 0, 901, 5, 1, 2), (901, 901, None, 0, 5, 1, 2), (902, 902, 0, 903, 5, 1, 1), (903, 903, 902, 0, 5, 1, 2)]
+    expected |= {900: (900, 0), 901: (901, 0), 903: (903, 0)}  # 902 is no repeated path
+    distinct = spark.createDataFrame(rows, "number long, path long, before long, after long, n int, low long, high long")
+    assert {r.number: (r.head, r.ahead) for r in substring_dedup.compact(distinct).collect()} == expected
+
+
+def test_spans_that_differ_from_their_source_stay(spark, monkeypatch):
+    """With path hashes of no use, whatever is removed still has the words of its source."""
+    monkeypatch.setattr(substring_dedup, "batched", lambda values, starts, ends: (ends - starts).astype("int64") % 2 + 1)
+    rows = [(i, f"{prose(740 + i // 2, 60)} {prose(760 + i, 10 + i)}", "en", "a", 1) for i in range(6)]
+    texts = {r[0]: words(r[1]) for r in rows}
+    true = {r[0]: r[2] for r in removed_by_windows(rows)}
+    for r in substring_dedup.substring_dedup(documents(spark, rows)).collect():
+        assert r.n_removed <= true[r.doc_id]
+        assert all(texts[r.doc_id][x.at : x.at + x.n_words] == texts[x.source][x.source_at : x.source_at + x.n_words] for x in r.repeats)
 
 
 def test_chains_end_where_paths_branch(spark):
@@ -77,7 +108,8 @@ def test_chains_end_where_paths_branch(spark):
     rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
     out = {r.doc_id: r for r in substring_dedup.substring_dedup(documents(spark, rows)).collect()}
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out.values()) == removed_by_windows(rows)
-    assert [x.source for x in out[1].repeats] == [0] and {x.source for x in out[3].repeats} == {0, 1} and out[3].n_spans == 1
+    assert {x.source for x in out[1].repeats} == {0} and len(out[1].repeats) <= 2  # the path at the start of texts 0 and 1 is no others'
+    assert {x.source for x in out[3].repeats} == {0, 1} and out[3].n_spans == 1
 
 
 def test_substring_dedup_of_nothing(spark):
