@@ -17,9 +17,10 @@ Training: word counts come from all training texts through a shuffle.  Weights
 come from `ROUNDS` distributed updates; in each, every task takes gradient steps
 over its share of the texts (every training text serves in exactly one round)
 from the weights broadcast to it, and row-wise averages weighted by
-observations, formed in two grouped levels, are the next weights.  A task takes
-at least `TEXT_PER_WEIGHT` bytes of text for each byte of weights it may send, and
-one input partition or more, so scores depend on how the input is partitioned.
+observations, formed in two grouped levels, are the next weights.  Texts are dealt
+to tasks by a hash of id and text and read in its order; how many tasks there are
+follows from the token count, about `TEXT_PER_WEIGHT` bytes of text for each byte of
+weights that one may send.  So scores do not depend on how the input is partitioned.
 
 Scoring: frequent words (at most `head` of them) are broadcast with their
 counts; counts of all other words meet the documents that hold them in a join.
@@ -330,6 +331,7 @@ def step(rows: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, bias: np.
             yield pa.RecordBatch.from_arrays(columns, ["block", "part", "moved"])
 
     def total(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")  # sums of floats depend on the order
         sums = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in table["moved"])
         return pa.table({
             "block": table["block"].slice(0, 1),
@@ -338,8 +340,8 @@ def step(rows: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, bias: np.
         })
 
     kind = "block int, part int, moved binary"
-    parts = rows.mapInArrow(run, kind).withColumn("part", F.pmod("part", F.lit(fan)))
-    parts = parts.groupBy("block", "part").applyInArrow(total, kind).groupBy("block").applyInArrow(total, kind)
+    parts = rows.mapInArrow(run, kind).groupBy("block", F.pmod("part", F.lit(fan))).applyInArrow(lambda _, table: total(table), kind)
+    parts = parts.groupBy("block").applyInArrow(total, kind)
     out = weights.copy()
     for block, _, moved in parts.toLocalIterator():  # the weights, MOST_ROWS * CLASSES numbers at most, by partitions
         table = np.frombuffer(bytes(moved), np.float32).reshape(BLOCK, CLASSES + 1)
@@ -374,13 +376,14 @@ def train(docs: DataFrame, counts: DataFrame, text: str, id_col: str, mod: int,
         words[SINGLES + s[i]] -= 1
     bias = np.log((tokens + 1) / (tokens + 1).sum()).astype(np.float32)
     weights = np.zeros((vocabulary.rows, CLASSES), np.float32)
-    rows, partitions = training(docs, id_col, text, mod), docs.rdd.getNumPartitions()
+    rows = training(docs, id_col, text, mod)
+    rows = rows.select(*rows.columns, F.xxhash64(*rows.columns).alias("place"))
     bytes_read = total * 6  # a word and its separator
-    tasks = int(max(1, min(partitions, bytes_read // (TEXT_PER_WEIGHT * weights.nbytes))))
+    tasks = int(max(1, bytes_read // (TEXT_PER_WEIGHT * weights.nbytes)))
     known = vocabulary.head()
     for k in range(ROUNDS):
-        share = rows.where(F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == k)
-        weights = step(share.coalesce(tasks), known, weights, bias, max(1, int(tasks**0.5)))
+        share = rows.where(F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == k).repartition(tasks, "place").sortWithinPartitions("place", "id")
+        weights = step(share, known, weights, bias, max(1, int(tasks**0.5)))
     return Model(vocabulary, weights, bias, total, distinct, tokens, words)
 
 

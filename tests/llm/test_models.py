@@ -38,6 +38,18 @@ def test_lm_learns_what_follows_what(spark):
     assert out and all(r.score > r.base_score + 2 for r in out)
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """Nine training tasks, whether the rows come in one partition, in eight, or the other way round."""
+    monkeypatch.setattr(lm, "TEXT_PER_WEIGHT", 0.005)
+    rows = [*odd_documents(), *((1000 + i, prose(1000 + i, 60), "en", "a", 1) for i in range(200))]
+    found = []
+    for n, order in ((1, rows), (8, rows), (3, rows[::-1])):
+        docs = spark.createDataFrame(order, SCHEMA).repartition(n)
+        found.append(sorted((r.doc_id or 0, r.n_tokens, round(r.base_score, 6), round(r.score, 4)) for r in lm.lm_scores(docs).collect()))
+    assert found[0] == found[1] == found[2]
+    assert any(abs(score - base) > 0.5 for _, _, base, score in found[0])
+
+
 def mixed(x):
     """The 64-bit finaliser, in plain integers."""
     x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
