@@ -18,9 +18,10 @@ come from `ROUNDS` distributed updates; in each, every task takes gradient steps
 over its share of the texts (every training text serves in exactly one round)
 from the weights broadcast to it, and row-wise averages weighted by
 observations, formed in two grouped levels, are the next weights.  Texts are dealt
-to tasks by a hash of id and text and read in its order; how many tasks there are
+to groups by a hash of id and text and read in its order; how many groups there are
 follows from the token count, about `TEXT_PER_WEIGHT` bytes of text for each byte of
-weights that one may send.  So scores do not depend on how the input is partitioned.
+weights that one may send.  Such a group sends its weights once, whatever partition it
+is in, so scores do not depend on how the input or the shuffle is partitioned.
 
 Scoring: frequent words (at most `head` of them) are broadcast with their
 counts; counts of all other words meet the documents that hold them in a join.
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import TEXT, lists, map_texts, pieces
+from .arrow import TEXT, column, lists, map_texts, pieces
 from .cluster import written
 from .tokens import SPACE_SEPARATED, Words, mix, row_hashes, suffix_hashes, words_of
 
@@ -302,24 +303,27 @@ def frequent(counts: DataFrame, head: int) -> list[np.ndarray]:
     return [h.view(np.uint64), s.astype(np.int64), c]
 
 
-def step(rows: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, bias: np.ndarray, fan: int) -> np.ndarray:
-    """Weights after every task's own gradient steps over its texts, averaged row by row."""
-    shared = rows.sparkSession.sparkContext.broadcast((vocabulary, weights, bias))
+class Share:
+    """A group's own weights, moved by `CHUNK` tokens at a time wherever its rows are cut into pieces."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, start, bias = shared.value
-        own, seen = start.copy(), np.zeros(len(start), np.float32)
-        p = np.exp(bias)
-        scale = (p * (1 - p) + 1e-4).astype(np.float32)
-        some = 0
-        for batch in batches:
-            for piece in pieces(batch):
-                tokens = Tokens(piece.column(1).cast(pa.string()))
-                rank = vocabulary.find(tokens.hashes)
-                features, classes = vocabulary.features(tokens, rank), vocabulary.classes(tokens, rank)
-                some = int(tokens.hashes[0] % np.uint64(1 << 30)) if len(classes) else some
-                for i in range(0, len(classes), CHUNK):
-                    learn(own, bias, seen, features[:, i : i + CHUNK], classes[i : i + CHUNK], scale)
+    def __init__(self, start: np.ndarray, bias: np.ndarray, scale: np.ndarray) -> None:
+        self.start, self.bias, self.scale = start, bias, scale
+        self.own, self.seen = start.copy(), np.zeros(len(start), np.float32)
+        self.features, self.classes = np.zeros((KINDS, 0), np.int64), np.zeros(0, np.int64)
+
+    def take(self, features: np.ndarray, classes: np.ndarray, whole: bool = True) -> None:
+        """Steps over what is held and these tokens; with `whole`, what fills no chunk waits."""
+        features, classes = np.concatenate([self.features, features], axis=1), np.concatenate([self.classes, classes])
+        end = len(classes) // CHUNK * CHUNK if whole else len(classes)
+        for i in range(0, end, CHUNK):
+            at = slice(i, min(i + CHUNK, end))
+            learn(self.own, self.bias, self.seen, features[:, at], classes[at], self.scale)
+        self.features, self.classes = features[:, end:].copy(), classes[end:].copy()
+
+    def moved(self, group: int) -> Iterator[pa.RecordBatch]:
+        """Per block of weight rows that the group has seen, moves times observations, and observations."""
+        self.take(self.features[:, :0], self.classes[:0], whole=False)
+        own, start, seen = self.own, self.start, self.seen
         used = np.flatnonzero(seen.reshape(-1, BLOCK).any(1)).tolist()
         for i in range(0, len(used), 64):
             part = used[i : i + 64]
@@ -327,9 +331,37 @@ def step(rows: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, bias: np.
             for b in part:
                 at = slice(b * BLOCK, (b + 1) * BLOCK)
                 packed.append(np.column_stack([(own[at] - start[at]) * seen[at, None], seen[at]]).astype(np.float32).tobytes())
-            columns = [pa.array(part, pa.int32()), pa.array([some] * len(part), pa.int32()), pa.array(packed, pa.binary())]
+            columns = [pa.array(part, pa.int32()), pa.array([group] * len(part), pa.int32()), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["block", "part", "moved"])
 
+
+def step(rows: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, bias: np.ndarray, fan: int) -> np.ndarray:
+    """Weights after every group's own gradient steps over its texts, averaged row by row.
+
+    A partition holds whole groups, one after the other, and sends weights once for each.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((vocabulary, weights, bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, start, bias = shared.value
+        p = np.exp(bias)
+        scale = (p * (1 - p) + 1e-4).astype(np.float32)
+        group, share = -1, None
+        for batch in batches:
+            groups = column(batch, "group").to_numpy()
+            cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), len(groups)]
+            for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+                if to > at and groups[at] != group:
+                    if share is not None:
+                        yield from share.moved(group)
+                    group, share = int(groups[at]), Share(start, bias, scale)
+                for piece in pieces(batch.slice(at, to - at)):
+                    tokens = Tokens(column(piece, TEXT).cast(pa.string()))
+                    rank = vocabulary.find(tokens.hashes)
+                    share.take(vocabulary.features(tokens, rank), vocabulary.classes(tokens, rank))
+        if share is not None:
+            yield from share.moved(group)
+
     def total(table: pa.Table) -> pa.Table:
         table = table.sort_by("part")  # sums of floats depend on the order
         sums = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in table["moved"])
@@ -380,10 +412,11 @@ def train(docs: DataFrame, counts: DataFrame, text: str, id_col: str, mod: int,
     rows = rows.select(*rows.columns, F.xxhash64(*rows.columns).alias("place"))
     bytes_read = total * 6  # a word and its separator
     tasks = int(max(1, bytes_read // (TEXT_PER_WEIGHT * weights.nbytes)))
+    rows = rows.withColumn("group", F.pmod("place", F.lit(tasks)).cast("int"))
     known = vocabulary.head()
     for k in range(ROUNDS):
-        share = rows.where(F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == k).repartition(tasks, "place").sortWithinPartitions("place", "id")
-        weights = step(share, known, weights, bias, max(1, int(tasks**0.5)))
+        share = rows.where(F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == k).repartitionById(tasks, "group")
+        weights = step(share.sortWithinPartitions("group", "place", "id"), known, weights, bias, max(1, int(tasks**0.5)))
     return Model(vocabulary, weights, bias, total, distinct, tokens, words)
 
 
