@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .profile import rate
 
@@ -146,6 +152,51 @@ def paired_bootstraps(
     return rows.select(*keys, "rival", "n", mean("total"), mean("low"), mean("high"))
 
 
+def poisson_quantiles(n: int, u: np.ndarray) -> np.ndarray:
+    """For each u the least j at which the Poisson distribution of mean n reaches u; the table has about 20 roots of n entries."""
+    first = max(0, int(n - 10 * math.sqrt(n) - 10))
+    j = np.arange(first, int(n + 10 * math.sqrt(n) + 30))
+    logs = first * math.log(n) - n - math.lgamma(first + 1) + np.append(0.0, np.cumsum(math.log(n) - np.log(j[1:])))
+    return first + np.searchsorted(np.cumsum(np.exp(logs)), u)
+
+
+def poisson_bootstraps(
+    indicators: DataFrame, a: str, rivals: list[str], seed: str, resamples: int = RESAMPLES, keys: tuple[str, ...] = ("alias",)
+) -> DataFrame:
+    """paired_bootstraps() for keys of any size: n, difference of recalls, and its 95 % interval over Poisson resamples.
+
+    A contract enters a resample Poisson(1) times, so the contracts of a key with the same differences enter it
+    Poisson(their number) times together.  Only these numbers are shuffled: 3 to the power of rivals rows a key at
+    most, however many contracts it has.  The draw is the quantile at the first 8 digits of
+    md5(seed|key|r|differences); a resample that draws nothing is left out.  Indicators are 0 or 1.
+    """
+    moves = [f"d{k}" for k in range(len(rivals))]
+    apart = indicators.select(*keys, *((F.col(a) - F.col(b)).cast("int").alias(d) for b, d in zip(rivals, moves, strict=True)))
+    counts = apart.groupBy(*keys, *moves).agg(F.count(F.lit(1)).alias("n"))
+
+    def intervals(rows: pd.DataFrame) -> pd.DataFrame:
+        of = [rows[k].iloc[0] for k in keys]
+        d, n = rows[moves].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+        drawn = np.zeros((len(n), resamples), np.int64)
+        for i, own in enumerate(d):
+            kind = ",".join(map(str, own))
+            digests = (hashlib.md5("|".join([seed, *map(str, of), str(r), kind]).encode()).hexdigest() for r in range(resamples))
+            drawn[i] = poisson_quantiles(int(n[i]), np.array([(int(x[:8], 16) + 0.5) / (1 << 32) for x in digests]))
+        size = drawn.sum(0)
+        kept = size > 0
+        m = int(kept.sum())
+        out = []
+        for k, b in enumerate(rivals):
+            found = np.sort((d[:, k] @ drawn)[kept] / size[kept])
+            ends = [found[m * 25 // 1000], found[min(m * 975 // 1000, m - 1)]] if m else [None, None]
+            out.append([*of, b, int(n.sum()), float(d[:, k] @ n) / float(n.sum()), *ends])
+        return pd.DataFrame(out, columns=[*keys, "rival", "n", "difference", "low", "high"])
+
+    schema = StructType([counts.schema[k] for k in keys]).add("rival", "string").add("n", "long").add("difference", "double").add("low", "double").add("high", "double")
+    rows = counts.groupBy(*keys).applyInPandas(intervals, schema)
+    return rows.select(*keys, "rival", "n", *(F.round(c, 4).alias(c) for c in ("difference", "low", "high")))
+
+
 def verdict_of_interval(rows: DataFrame) -> DataFrame:
     v = F.when(F.col("low").isNull() | F.col("high").isNull(), "sin datos").when(F.col("low") > 0, "sostenida").when(F.col("high") < 0, "refutada").otherwise("no concluyente")
     return rows.withColumn("verdict", v)

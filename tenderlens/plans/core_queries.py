@@ -783,6 +783,28 @@ def m4b_paired_bootstrap(v: Views) -> DataFrame:
     return _boots(v)
 
 
+_POISSON = (
+    "SELECT alias, e.rival, n, round(e.t / CAST(n AS DOUBLE), 4) AS difference, round(e.s[m * 25 // 1000 + 1], 4) AS low, "
+    "round(e.s[least(m * 975 // 1000, m - 1) + 1], 4) AS high FROM ("
+    "WITH c AS (SELECT alias, agent - A AS a, agent - B AS b, count(*) AS n FROM (" + _INDICATORS + ") i GROUP BY ALL), "
+    "p AS (SELECT n, j, sum(exp(j * ln(n) - n - lgamma(j + 1))) OVER (PARTITION BY n ORDER BY j) AS cdf FROM ("
+    "SELECT n, unnest(range(0, CAST(n + 10 * sqrt(n) + 30 AS BIGINT))) AS j FROM (SELECT DISTINCT n FROM c) x) y), "
+    "q AS (SELECT n, j, lag(cdf, 1, CAST(-1 AS DOUBLE)) OVER (PARTITION BY n ORDER BY j) AS after FROM p), "
+    "u AS (SELECT *, (CAST('0x' || substr(md5('" + SEED + "|' || alias || '|' || r || '|' || a || ',' || b), 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / 4294967296 AS u "
+    "FROM (SELECT *, unnest(range(0, 2000)) AS r FROM c) x), "
+    "s AS (SELECT alias, r, sum(j) AS k, sum(j * u.a) AS sa, sum(j * u.b) AS sb FROM u ASOF JOIN q ON u.n = q.n AND u.u > q.after GROUP BY alias, r) "
+    "SELECT alias, t.n, m, unnest([{'rival': 'A', 't': t.a, 's': x.a}, {'rival': 'B', 't': t.b, 's': x.b}]) AS e FROM ("
+    "SELECT alias, count(*) AS m, list_sort(list(CAST(sa AS DOUBLE) / k)) AS a, list_sort(list(CAST(sb AS DOUBLE) / k)) AS b FROM s WHERE k > 0 GROUP BY alias) x "
+    "JOIN (SELECT alias, CAST(sum(n) AS BIGINT) AS n, sum(n * a) AS a, sum(n * b) AS b FROM c GROUP BY alias) t USING (alias)) f"
+)
+
+
+@query("won triage passing", _POISSON)
+def m4b_poisson_bootstrap(v: Views) -> DataFrame:
+    """The agent against both filters, by counts alone."""
+    return metrics.poisson_bootstraps(_indicators(v), "agent", ["A", "B"], SEED)
+
+
 _VERDICT = f"SELECT alias, rival, CASE WHEN low > 0 THEN 'sostenida' WHEN high < 0 THEN 'refutada' ELSE 'no concluyente' END AS verdict FROM ({_BOOTS}) b"
 
 

@@ -1,7 +1,9 @@
 """Small hand-made tables with known answers."""
 
 import datetime as dt
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tenderlens.functions.text import collapse, euros, first_words, flag, instant, madrid_day, normalise_quote, spanish_number, strip_accents
@@ -15,6 +17,41 @@ def day(s):
 NOTICES = "entry_id string, entry_updated timestamp, tie long, cpv array<string>, object string"
 
 
+def test_poisson_quantiles_are_those_of_summed_terms():
+    u = np.array([1e-9, 0.01, 0.3679, 0.5, 0.9, 0.999999])
+    for n in (1, 2, 7, 40, 130):
+        term, cdf = math.exp(-n), [math.exp(-n)]
+        for j in range(1, 400):
+            term *= n / j
+            cdf.append(cdf[-1] + term)
+        assert metrics.poisson_quantiles(n, u).tolist() == [next(j for j, c in enumerate(cdf) if c >= x) for x in u]
+    big = metrics.poisson_quantiles(10**9, np.array([0.025, 0.5, 0.975]))
+    assert abs(big - (10**9 + np.array([-1.96, 0, 1.96]) * 10**4.5)).max() < 100
+
+
+def test_poisson_intervals_agree_with_exact_resampling(spark):
+    """Two companies of 1,500 and 600 contracts: both methods' ends within Monte-Carlo error, whatever the partitions."""
+    n = F.when(F.col("id") < 1500, "x").otherwise("y")
+    bit = lambda salt, of: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(10)) < of).cast("int")
+    rows = spark.range(2100).select(n.alias("alias"), F.col("id").alias("entry_id"), bit(1, 7).alias("agent"), bit(2, 5).alias("r1"), bit(3, 7).alias("r2"))
+    exact = {(r.alias, r.rival): r for r in metrics.paired_bootstraps(rows, "agent", ["r1", "r2"], "s", 1000).collect()}
+    found = {(r.alias, r.rival): r for r in metrics.poisson_bootstraps(rows, "agent", ["r1", "r2"], "s", 1000).collect()}
+    assert found == {(r.alias, r.rival): r for r in metrics.poisson_bootstraps(rows.repartition(7), "agent", ["r1", "r2"], "s", 1000).collect()}
+    assert found.keys() == exact.keys() and len(found) == 4
+    for k, e in exact.items():
+        p, error = found[k], 0.75 / math.sqrt(e.n)
+        assert (p.n, p.difference) == (e.n, e.difference) and p.low < p.difference < p.high
+        assert abs(p.low - e.low) < 0.35 * error and abs(p.high - e.high) < 0.35 * error
+
+
+def test_poisson_interval_of_few_contracts(spark):
+    """Two equal contracts: empty resamples are left out, all others agree; no contract, no row."""
+    rows = spark.createDataFrame([("x", 1, 1, 0), ("x", 2, 1, 0)], "alias string, entry_id long, agent int, r int")
+    found = metrics.poisson_bootstraps(rows, "agent", ["r"], "s", 100)
+    assert found.collect() == [("x", "r", 2, 1.0, 1.0, 1.0)]
+    assert metrics.poisson_bootstraps(rows.where("false"), "agent", ["r"], "s", 100).count() == 0
+
+
 @pytest.fixture(scope="module")
 def scenario(spark):
     """Five notices over four days; A won three, of which two have code 72."""
