@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.manifest import newest
@@ -25,6 +25,37 @@ def not_yet_triaged(current: DataFrame, triage: DataFrame, companies: DataFrame)
     return rows.join(triage.select("alias", "entry_id").distinct(), ["alias", "entry_id"], "left_anti").select("alias", *current.columns)
 
 
+def ranked_in_scope(current: DataFrame, scope: str, order: list[Column]) -> DataFrame:
+    """current with `rank`, from 1, among the dossiers of equal `scope`."""
+    return current.where(F.col(scope).isNotNull()).withColumn("rank", F.row_number().over(Window.partitionBy(scope).orderBy(*order)))
+
+
+def seen_in_scope(ranked: DataFrame, triage: DataFrame, scopes: DataFrame, scope: str) -> DataFrame:
+    """scopes (alias, scope) with `seen`: the ranks of what the company has triaged there.
+
+    not_yet_triaged() for companies that look at all dossiers of a scope: what is left of a scope is told by
+    what was triaged of it, so no pairs of companies and dossiers are built.
+    """
+    own = scopes.select("alias", scope)
+    mine = triage.select("alias", "entry_id").join(own.distinct(), "alias").join(ranked.select("entry_id", scope, "rank"), ["entry_id", scope])
+    seen = mine.groupBy("alias", scope).agg(F.collect_set("rank").alias("seen"))
+    return own.join(seen, ["alias", scope], "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<int>")))
+
+
+def unseen_ranks(limit: int) -> Column:
+    """The first `limit` ranks that are not in `seen`."""
+    return F.slice(F.array_except(F.sequence(F.lit(1), F.size("seen") + limit), F.col("seen")), 1, limit)
+
+
+def pending_of_scopes(current: DataFrame, triage: DataFrame, scopes: DataFrame, scope: str) -> DataFrame:
+    """Per alias: how many dossiers of its scopes it has not triaged, and the first of them by id."""
+    ranked = ranked_in_scope(current.select("entry_id", scope), scope, [F.asc("entry_id")])
+    sizes = ranked.groupBy(scope).agg(F.max("rank").alias("n"))
+    rows = seen_in_scope(ranked, triage, scopes, scope).join(sizes, scope).withColumn("pending", (F.col("n") - F.size("seen")).cast("long")).where("pending > 0")
+    rows = rows.select("alias", scope, "pending", F.get(unseen_ranks(1), F.lit(0)).alias("rank"))
+    return rows.join(ranked, [scope, "rank"]).groupBy("alias").agg(F.sum("pending").alias("pending"), F.min("entry_id").alias("first_entry"))
+
+
 def pending_for_config(sample: DataFrame, triage: DataFrame, keys: list[str]) -> DataFrame:
     """Sample rows without a triage of the same configuration."""
     return sample.join(triage.select(*keys).distinct(), keys, "left_anti")

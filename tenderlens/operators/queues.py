@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.manifest import newest
 from .filters import is_it, open_notices
-from .joins import not_yet_triaged, readable_candidates
+from .joins import not_yet_triaged, ranked_in_scope, readable_candidates, seen_in_scope, unseen_ranks
 
 
 def placed(rows: DataFrame, keys: list[str], order: list[Column], limit: int | None = None) -> DataFrame:
@@ -22,6 +22,18 @@ def triage_queue(current: DataFrame, triage: DataFrame, pairs: DataFrame, today:
     return placed(rows, ["alias"], [F.col("deadline").asc_nulls_last(), F.col("entry_id").asc()], limit)
 
 
+def scope_queue(current: DataFrame, triage: DataFrame, scopes: DataFrame, scope: str, today: Column, limit: int = 400) -> DataFrame:
+    """triage_queue() for companies that look at all dossiers of a scope (alias, scope).
+
+    A scope is put in order once, and a company takes the first places it has not triaged: `limit` rows for each of its
+    scopes, however many dossiers and companies meet in it.
+    """
+    order = [F.col("deadline").asc_nulls_last(), F.col("entry_id").asc()]
+    ranked = ranked_in_scope(open_notices(current, today), scope, order)
+    free = seen_in_scope(ranked, triage, scopes, scope).select("alias", scope, F.explode(unseen_ranks(limit)).alias("rank"))
+    return placed(free.join(ranked, [scope, "rank"]).drop("rank"), ["alias"], order, limit)
+
+
 def reading_queue(triage: DataFrame, docs: DataFrame, cards: DataFrame, current: DataFrame, limit: int | None = None) -> DataFrame:
     rows = readable_candidates(triage, docs, cards).join(current.select("entry_id", "deadline"), "entry_id")
     return placed(rows, ["alias"], [F.col("deadline").asc_nulls_last(), F.col("entry_id").asc()], limit)
