@@ -61,23 +61,25 @@ def _code(number: Column) -> Column:
     return let(digits, lambda d: F.when(d == "", F.lit(0)).when(F.length(d) <= 10, F.when(hexadecimal, F.conv(d, 16, 10)).otherwise(d).cast("long")))
 
 
-def _decoded(part: Column) -> Column:
+def _decoded(part: Column, lenient: bool) -> Column:
     """What stands after an ampersand, with the reference at its start resolved; the ampersand comes back where there is none."""
+    end = ";?" if lenient else ";"
 
     def resolved(head: str, meaning: Callable[[Column], Column]) -> Column:
         """null unless that pattern begins the part and means something."""
         return let(F.regexp_extract(part, head, 0), lambda h: F.when(h != "", F.concat(meaning(h), F.substr(part, F.length(h) + 1))))
 
-    number = resolved(r"^#([0-9]+|[xX][0-9a-fA-F]+);?", lambda h: let(_code(h), _character))
-    name = resolved(r"^[^\t\n\f <&#;]{1,32};?", _known)
-    return F.coalesce(number, name, resolved(f"^(?:{UNTERMINATED})", _known), F.concat(F.lit("&"), part))
+    number = resolved(rf"^#([0-9]+|[xX][0-9a-fA-F]+){end}", lambda h: let(_code(h), _character))
+    name = resolved(rf"^[^\t\n\f <&#;]{{1,32}}{end}", _known)
+    begun = [resolved(f"^(?:{UNTERMINATED})", _known)] if lenient else []
+    return F.coalesce(number, name, *begun, F.concat(F.lit("&"), part))
 
 
-def unescape(c: Column) -> Column:
-    """All named and numeric character references undone, once, as browsers read them."""
+def unescape(c: Column, lenient: bool = True) -> Column:
+    """All named and numeric character references undone, once, as browsers read them; not lenient: only those that end in a semicolon."""
 
     def undone(text: Column) -> Column:
-        parts = F.transform(F.split(text, "&"), lambda x, i: F.when(i == 0, x).otherwise(_decoded(x)))
+        parts = F.transform(F.split(text, "&"), lambda x, i: F.when(i == 0, x).otherwise(_decoded(x, lenient)))
         return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
 
     return let(c, undone)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tenderlens.functions.text import collapse, euros, first_words, flag, instant, madrid_day, normalise_quote, spanish_number, strip_accents
-from tenderlens.operators import checks, codes, cohort, costs, evidence, filters, joins, metrics, privacy, profile, queues, rules, triage, versions
+from tenderlens.operators import checks, codes, cohort, costs, evidence, filters, joins, metrics, privacy, profile, queues, reports, rules, triage, versions
 
 
 def day(s):
@@ -515,6 +515,26 @@ def test_character_references_equal_the_standard_library(spark):
     assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pages_with_cut_references_equal_their_sql(spark, tmp_path):
+    """References without a final semicolon stay as they are in p10 and p6, as in their SQL."""
+    import duckdb
+    from tenderlens.plans import ORACLES, QUERIES
+
+    texts = ["ver&amp</h1>&amp;&copy", "&#39 &#39; &quot&quot;", "&amp;copy; &am & &amp;amp;", "<p>a&lt b&middot;</p>"]
+    spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("p10_unescape_entities", "p6_solvency_text"):
+        got = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]}) x").fetchall())
+
+
+def test_equal_example_quotes_give_the_first_page(spark):
+    rows = [(1, p, "volumen_negocios", 5.0, "igual", None) for p in ("10", "9", "3", "11")]
+    df = spark.createDataFrame(rows, "doc_id long, page string, kind string, amount double, quote string, rejected string").repartition(4, "page")
+    assert [r.page for r in reports.example_requirement(df).collect()] == ["3"]
+
+
 def test_vocabulary_without_rows_is_an_error(spark, tmp_path):
     from tenderlens.sources.reference_data import read_cpv_vocabulary
 
