@@ -94,6 +94,8 @@ def s11_profiles(v: Views) -> DataFrame:
 
 # -- streams -----------------------------------------------------------------
 
+PAGES_IN_FILE = 500  # a file of the feed is read as one text, so it must not grow with the table
+
 
 @query(
     "",
@@ -107,7 +109,7 @@ def st1_ingest_stream(v: Views) -> DataFrame:
     pages = _feed(v).select("body", (F.col("file").cast("long") % 3).alias("part"))
     for part in (0, 1, 2):
         own = pages.where((F.col("part") == part) | (F.col("part") == 0) & F.lit(part == 2))
-        own.select("body").write.text(f"{at}/in/{part}")
+        own.select("body").write.option("maxRecordsPerFile", PAGES_IN_FILE).text(f"{at}/in/{part}")
         ingest.ingest_stream(v.spark, f"{at}/in", f"{at}/silver", f"{at}/bad", f"{at}/state", buckets=8).awaitTermination()
     good = v.spark.read.parquet(f"{at}/silver").select("entry_id", "entry_updated", F.lit(None).cast("string").alias("reason"))
     bad = v.spark.read.parquet(f"{at}/bad").select("entry_id", F.lit(None).cast("timestamp").alias("entry_updated"), "reason").distinct()

@@ -1,9 +1,11 @@
 """Queries whose work has to follow their input: no step of theirs makes rows for every pair of company and dossier."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 from tenderlens.operators import filters, joins, metrics, queues
-from tenderlens.plans import QUERIES
+from tenderlens.plans import QUERIES, source_queries
 
 COMPANIES, DOSSIERS = 100, 3000
 
@@ -91,3 +93,21 @@ def test_resamples_of_large_keys_come_in_blocks(spark, monkeypatch):
     whole = sorted(metrics.paired_bootstraps(rows, "agent", ["r"], "s", 500).collect())
     monkeypatch.setattr(metrics, "SLOTS", 70 * 700)
     assert sorted(metrics.paired_bootstraps(rows, "agent", ["r"], "s", 500).collect()) == whole
+
+
+def test_files_of_the_feed_are_bounded(spark, sf_dir, tmp_path, monkeypatch):
+    """A file is read as one text: it holds no more pages on larger tables."""
+    monkeypatch.setattr(source_queries, "PAGES_IN_FILE", 20)
+    monkeypatch.setattr(source_queries, "scratch", lambda spark: str(tmp_path / "at"))
+    assert QUERIES["st1_ingest_stream"](spark, sf_dir).count() > 1000
+    files = list(Path(tmp_path / "at" / "in").rglob("part-*"))
+    assert files and max(f.read_text().count("<feed>") for f in files) <= 20
+
+
+def test_current_state_needs_no_python(spark):
+    """The state of a dossier is kept by Spark's own aggregates."""
+    from tenderlens.streaming.ingest import current_state_stream
+
+    rows = spark.createDataFrame([], "entry_id string, entry_updated timestamp, state string, tombstone boolean")
+    plan = current_state_stream(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
