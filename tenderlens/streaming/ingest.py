@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -34,7 +35,7 @@ def ingest_stream(spark: SparkSession, folder: str, silver: str, quarantine: str
 
     def merge(pages: DataFrame, number: int) -> None:
         tag = batch_tag(checkpoint, number)
-        parsed = parse_notices(entries_of(pages)).persist()  # parsed once for both tables
+        parsed = parse_notices(entries_of(pages)).persist(StorageLevel.DISK_ONLY)  # parsed once for both tables, and no memory is held by it
         try:
             good, bad = quarantine_split(parsed)
             fresh = append_batch(good.drop("xml"), silver, KEYS, tag, buckets)
@@ -89,8 +90,13 @@ class CurrentState(StatefulProcessor):
 
 
 def current_state_stream(changes: DataFrame) -> DataFrame:
-    """Of a stream (entry_id, entry_updated, state, tombstone): the dossier's state after each batch that touches it. Needs the RocksDB state store."""
-    return changes.groupBy("entry_id").transformWithStateInPandas(CurrentState(), outputStructType=CURRENT, outputMode="Update", timeMode="None")
+    """Of a stream (entry_id, entry_updated, state, tombstone): the dossier's state after each batch that touches it.
+
+    What CurrentState keeps of a dossier is a maximum and a flag, so Spark's own aggregates hold it and no row goes to Python.
+    """
+    version = F.when(~F.col("tombstone"), F.struct("entry_updated", "state"))
+    held = changes.groupBy("entry_id").agg(F.max(version).alias("v"), F.coalesce(F.bool_or("tombstone"), F.lit(False)).alias("withdrawn"))
+    return held.select("entry_id", "v.entry_updated", "v.state", "withdrawn")
 
 
 def advance_cursor(read: DataFrame, cursor: DataFrame, complete: bool) -> DataFrame:
