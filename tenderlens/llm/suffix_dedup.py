@@ -9,9 +9,11 @@ bytes, of which few can repeat, so the arrays are built over what can:
    the corpus (of texts that are equal only the first counts) can repeat.
 2. Consecutive windows of one anchor are cut out as strings of at most 64 windows.
    Equal strings are one, with their first and last source coordinate (document,
-   text, byte).  An anchor with more than `hot` different strings, as at the ends of
-   a passage that many documents quote, is taken apart: its strings' windows are
-   counted by hash and only those that recur go on, each as a string of its own.
+   text, byte).  Strings of an anchor with more than `hot` different ones, as at the
+   ends of a passage that many documents quote, are cut into parts of 16 windows by
+   the anchor's place in them.  All windows of a part share a core of 85 bytes; only
+   parts whose core recurs go on, equal ones as one, and where more than `hot`
+   different ones share a core these are cut again, with longer cores.
 3. Strings are dealt by anchor to groups of about a megabyte, each of which gets its
    suffix array.  Only suffixes smaller than their successors are sorted directly;
    scanning the buckets of first bytes upwards then induces the others: each suffix
@@ -38,16 +40,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .arrow import column, emit_rows, lists, map_texts
-from .cluster import discard, written, written_at
+from .arrow import TEXT, column, emit_rows, lists, map_texts, pieces
+from .cluster import discard, settled, written, written_at
 from .tokens import _RANDOM, mix, text_buffer, window_hashes
 
 STRETCH = 4 << 20
 GROUP_BYTES = 1 << 20
 MASK = 64
+PARTS = 4
 END = 0xFF  # in no UTF-8 text
 
 
@@ -322,33 +327,113 @@ def merged(occurred: DataFrame) -> DataFrame:
     return out.withColumn("repeated", F.col("first") != F.col("last")).drop("last")
 
 
-def taken_apart(strings: DataFrame, width: int) -> DataFrame:
-    """JUDGED of the strings of hot anchors: their windows that recur, judged as strings of their own."""
-    spark = strings.sparkSession
-    windows = F.transform(F.sequence(F.lit(1), F.octet_length("body") - (width - 1)), lambda i: F.xxhash64("scope", F.substring("body", i, width)))
-    hashed, hashed_at = written_at(strings.select("number", F.posexplode(windows).alias("i", "gram"), "repeated"))
-    again = hashed.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max("repeated").alias("repeated")).where("n > 1 or repeated").select("gram")
-    again, again_at = written_at(again)
-    recurring = hashed.select("number", "i", "gram").join(again, "gram").join(strings.select("number", "scope", "body", "first", "repeated"), "number")
-    body = F.substring("body", F.col("i") + 1, F.lit(width))
-    first = F.struct(F.col("first.doc").alias("doc"), F.col("first.key").alias("key"), (F.col("first.at") + F.col("i")).alias("at"))
-    single = recurring.select(F.md5(F.concat(F.col("scope").cast("string").cast("binary"), body)).cast("binary").alias("number"), F.col("number").alias("of"), "i", "scope", "gram", body.alias("body"), first.alias("first"), "repeated")
-    single, single_at = written_at(single)
-    for at in (hashed_at, again_at):
-        discard(spark, at)
-    one = single.groupBy("number").agg(F.first("scope").alias("scope"), F.first("gram").alias("gram"), F.first("body").alias("body"), F.min("first").alias("first"), ((F.count(F.lit(1)) > 1) | F.max("repeated")).alias("repeated"))
-    one, one_at = written_at(one)
-    result = judged(one, width).where("inner <> 0 or outer <> 0")
-    result = result.join(one.select("number", F.col("first").alias("earliest")), "number")
-    back = single.select("number", "of", "i", "first", "repeated").join(result, "number")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))
-    # this place repeats if the window is an earlier one elsewhere, or if another string has it from an earlier coordinate
-    inner = F.when((F.col("inner") != 0) | (F.col("first") != F.col("earliest")), bit).otherwise(F.lit(0).cast("long"))
-    outer = F.when(F.col("repeated"), bit).otherwise(F.lit(0).cast("long"))
-    out = written(back.groupBy(F.col("of").alias("number")).agg(F.bit_or(inner).alias("inner"), F.bit_or(outer).alias("outer")))
-    for at in (single_at, one_at):
-        discard(spark, at)
-    return out
+PART = "of binary, i long, n long, range long, core long, body binary, first struct<doc: long, key: long, at: long>, scope long"
+
+
+def parts_of(strings: DataFrame, width: int, gram: int, most: int) -> DataFrame:
+    """PART: each string's windows in parts of at most `most` neighbours that have their anchor at about the same place.
+
+    A part's range is the anchor's place in its windows, in steps of `most`; core is the first of the width - most + 1 bytes that
+    all windows of the range share.  Both follow from a window's own bytes, so equal windows fall into parts of equal range and core.
+    """
+    keep = ["number", "first", "scope"]
+    out = to_arrow_schema(StructType.fromDDL(PART))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in pieces(batch):
+                bodies = rows.column(len(keep)).cast(pa.large_binary())
+                offsets = np.frombuffer(bodies.buffers()[1], np.int64)[bodies.offset : bodies.offset + len(bodies) + 1]
+                data = np.frombuffer(bodies.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+                offsets = offsets - offsets[0]
+                at, row, anchor, hashes = anchored(data, offsets, width, gram)
+                # a string has one anchor; where its gram stands several times, a window goes by the first one in it
+                own = np.zeros(len(offsets) - 1, np.uint64)
+                own[row] = anchor
+                standing = np.flatnonzero(hashes == np.repeat(own, np.diff(offsets))[: len(hashes)])
+                place = standing[np.searchsorted(standing, at)]
+                step = (place - at) // most
+                fresh = np.ones(len(at), bool)
+                fresh[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1]) | (step[1:] != step[:-1])
+                begin = np.flatnonzero(fresh)
+                n = np.diff(np.append(begin, len(at)))
+                size = n + width - 1
+                ends = np.concatenate([[0], np.cumsum(size)])
+                bytes_at = np.repeat(at[begin] - ends[:-1], size) + np.arange(ends[-1])
+                body = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[bytes_at])])
+                taken = rows.take(pa.array(row[begin]))
+                core = place[begin] - step[begin] * most - at[begin]
+                numbers = [pa.array(x, pa.int64()) for x in (at[begin] - offsets[row[begin]], n, step[begin], core)]
+                yield pa.RecordBatch.from_arrays([taken.column(0), *numbers, body.cast(pa.binary()), taken.column(1), taken.column(2)], schema=out)
+
+    return strings.select(*keep, F.col("body").alias(TEXT)).mapInArrow(run, PART)
+
+
+def halved(strings: DataFrame, width: int, gram: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """parts_of() strings with their numbers, and the different parts whose core is in several of them, as strings of their own."""
+    scope = F.col("scope").cast("string").cast("binary")
+    level = F.lit(f" {most} ").cast("binary")
+    rows = parts_of(strings, width, gram, most).select(
+        "of", "i", "n", "scope", "body",
+        F.xxhash64("scope", F.lit(most), "range", F.substring("body", F.col("core").cast("int") + 1, F.lit(width - most + 1))).alias("gram"),
+        F.unhex(F.md5(F.concat(scope, level, F.col("range").cast("string").cast("binary"), F.lit(b" "), F.col("body")))).alias("number"),
+        F.struct(F.col("first.doc").alias("doc"), F.col("first.key").alias("key"), (F.col("first.at") + F.col("i")).alias("at")).alias("first"),
+    )
+    rows, rows_at = written_at(rows, "zstd")
+    several = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    shared, shared_at = written_at(rows.join(several, "gram"), "zstd")  # what stands alone repeats nothing
+    discard(strings.sparkSession, rows_at)
+    one = shared.groupBy("number").agg(F.first("scope").alias("scope"), F.first("gram").alias("gram"), F.first("body").alias("body"), F.min("first").alias("first"))
+    one = written(one.withColumn("repeated", F.lit(False)))
+    return shared.select("number", "of", "i", "n", "first"), one
+
+
+def lowest_bits(n: Column) -> Column:
+    """A mask of n bits, 1 to MASK."""
+    return F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (F.lit(MASK) - n).cast("int"))
+
+
+def crowded_in(strings: DataFrame, hot: int) -> DataFrame:
+    """(gram): anchors of more than `hot` different strings."""
+    return strings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("gram")
+
+
+def judged_by_parts(strings: DataFrame, width: int, gram: int, hot: int) -> DataFrame:
+    """JUDGED of all strings: those of crowded anchors by their parts, which go on to smaller ones while their cores are crowded."""
+    few, levels, most = [], [], MASK
+    now = strings
+    while most > 1:
+        crowded = written(crowded_in(now, hot))
+        if not crowded.limit(1).count():
+            break
+        most //= PARTS
+        few.append(now.join(crowded, "gram", "left_anti"))
+        many = now.join(crowded, "gram")
+        rows, one = halved(many, width, gram, most)
+        levels.append((many, rows, one))
+        now = one
+    if most > 1:
+        few.append(now)  # a single window is its core: none of them is in two different parts
+    result = few[0]
+    for other in few[1:]:
+        result = result.unionByName(other)
+    result = judged(result, width)
+    if not levels:
+        return result
+    result = written(result.where("inner <> 0 or outer <> 0"))
+    of_parts = result.select("number", "inner")
+    for many, rows, one in reversed(levels):
+        whole = lowest_bits(F.col("n"))
+        known = one.select("number", F.col("first").alias("earliest")).join(of_parts, "number", "left")
+        # a part repeats what its earliest place repeats, and as a whole where it is not that place
+        inner = F.when(F.col("first").eqNullSafe(F.col("earliest")), F.coalesce("inner", F.lit(0).cast("long"))).otherwise(whole)
+        back = rows.join(known, "number").select("of", F.call_function("shiftleft", inner, F.col("i").cast("int")).alias("inner"))
+        back = written(back.groupBy(F.col("of").alias("number")).agg(F.bit_or("inner").alias("inner")))
+        of_parts = of_parts.unionByName(back)
+    many = levels[0][0]
+    outer = many.select("number", F.when(F.col("repeated"), lowest_bits(F.octet_length("body") - (width - 1))).otherwise(F.lit(0).cast("long")).alias("outer"))
+    hot_ones = outer.join(back, "number", "left").select("number", F.coalesce("inner", F.lit(0).cast("long")).alias("inner"), "outer")
+    return result.unionByName(hot_ones)
 
 
 def repeats(texts: DataFrame, width: int, gram: int, hot: int) -> DataFrame:
@@ -359,15 +444,8 @@ def repeats(texts: DataFrame, width: int, gram: int, hot: int) -> DataFrame:
     number = F.unhex(F.md5(F.concat(scope.cast("string").cast("binary"), F.lit(b" "), F.col("body"))))
     found, found_at = written_at(found.select("doc", "key", "at", "gram", "body", scope.alias("scope"), number.alias("number")), "zstd")
     strings, strings_at = written_at(merged(found), "zstd")
-    crowded, crowded_at = written_at(strings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("gram"))
-    few = strings.join(crowded, "gram", "left_anti")
-    result = judged(few, width)
-    if crowded.limit(1).count():
-        result = result.unionByName(taken_apart(strings.join(crowded, "gram"), width))
-    result = result.where("inner <> 0 or outer <> 0").join(strings.select("number", "first"), "number")
-    result, result_at = written_at(result)
-    for at in (strings_at, crowded_at):
-        discard(spark, at)
+    result, result_at = settled(spark, lambda: judged_by_parts(strings, width, gram, hot).where("inner <> 0 or outer <> 0").join(strings.select("number", "first"), "number"))
+    discard(spark, strings_at)
     is_first = F.struct("doc", "key", "at").eqNullSafe(F.col("first"))
     hits = found.select("doc", "key", "at", "number").join(result.hint("shuffle_hash"), "number").select("doc", "key", F.struct("at", F.when(is_first, F.col("inner")).otherwise(F.col("outer")).alias("mask")).alias("mark"))
     out = written(hits.where("mark.mask <> 0").groupBy("doc", "key").agg(F.collect_list("mark").alias("marks")))

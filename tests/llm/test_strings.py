@@ -235,6 +235,23 @@ def test_suffix_dedup_equals_brute_force(spark, hot):
     assert all(sum(s.n for s in r.spans) == r.n_removed and len(r.kept) == r.n_bytes - r.n_removed for r in out)
 
 
+def test_crowded_anchors_go_on_in_parts_not_windows(spark):
+    """Strings around one passage with ends of their own: few rows a string, and after the first cut only what may still repeat."""
+    passage = prose(50, 60)
+    texts = spark.createDataFrame([(i, i, f"{prose(500 + i, 12)} {passage} {prose(600 + i, 12)}") for i in range(40)], "doc long, key long, body string")
+    grams = spark.createDataFrame([(i, [int(h) for h in np.unique(suffix_dedup.anchored(*tokens.text_buffer(pa.array([r.body])), 100, 32)[2]).view(np.int64)]) for i, r in enumerate(texts.collect())], "doc long, grams array<long>")
+    found = suffix_dedup.occurrences(texts.join(grams, "doc"), 100, 32)
+    strings = found.select("gram", F.lit(0).cast("long").alias("scope"), "body", "doc", "key", "at", F.unhex(F.md5("body")).alias("number"))
+    strings = suffix_dedup.written(suffix_dedup.merged(strings))
+    crowded = strings.join(suffix_dedup.crowded_in(strings, 2), "gram")
+    windows = crowded.agg(F.sum(F.octet_length("body") - 99)).first()[0]
+    rows, one = suffix_dedup.halved(crowded, 100, 32, 16)
+    assert 0 < rows.count() < suffix_dedup.parts_of(crowded, 100, 32, 16).count() < windows / 6
+    assert one.count() == rows.select("number").distinct().count()
+    bits = spark.range(1, 65).select("id", suffix_dedup.lowest_bits(F.col("id")).alias("m")).collect()
+    assert all(r.m % 2**64 == 2**r.id - 1 for r in bits)
+
+
 def test_suffix_dedup_without_anchors_and_in_stretches(spark, monkeypatch):
     empty = spark.createDataFrame([], SCHEMA)
     assert suffix_dedup.suffix_dedup(empty).collect() == []
