@@ -78,7 +78,7 @@ def stratified_sample(dossiers: DataFrame, won: DataFrame, companies: DataFrame,
     depth = F.lit(k) + F.coalesce("n", F.lit(0))  # as many ranks as a company's own wins can push it down to
     wanted = companies.select("alias").join(wins, "alias", "left").select("alias", F.explode(F.sequence(F.lit(1).cast("long"), depth)).alias("r"))
     pairs = wanted.join(common, "r")
-    rest = pairs.join(won.select("alias", "entry_id"), ["alias", "entry_id"], "left_anti")
+    rest = pairs.join(won.select("alias", "entry_id"), ["entry_id", "alias"], "left_anti")
     rest = rest.withColumn("n", F.row_number().over(Window.partitionBy("alias").orderBy("r"))).where(F.col("n") <= k)
     return won.select("alias", "entry_id", F.lit(True).alias("won")).unionByName(rest.select("alias", "entry_id", F.lit(False).alias("won")))
 

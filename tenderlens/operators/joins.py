@@ -22,7 +22,7 @@ def not_yet_triaged(current: DataFrame, triage: DataFrame, companies: DataFrame)
     Dossiers come first, so that what current leaves out is not compared with triage.
     """
     rows = companies.select("alias", "entry_id").join(current, "entry_id").select("alias", *current.columns)
-    return rows.join(triage.select("alias", "entry_id").distinct(), ["alias", "entry_id"], "left_anti").select("alias", *current.columns)
+    return rows.join(triage.select("alias", "entry_id").distinct(), ["entry_id", "alias"], "left_anti").select("alias", *current.columns)
 
 
 def ranked_in_scope(current: DataFrame, scope: str, order: list[Column]) -> DataFrame:
@@ -67,7 +67,7 @@ def readable_candidates(triage: DataFrame, docs: DataFrame, cards: DataFrame) ->
     passed = triage.where(F.col("decision").isin("si", "duda"))
     return passed.join(ready, "entry_id", "left_semi").join(
         cards.select("alias", "entry_id").distinct(),
-        ["alias", "entry_id"],
+        ["entry_id", "alias"],
         "left_anti",
     ).select("alias", "entry_id", "decision").distinct()
 
@@ -78,7 +78,7 @@ def evaluation_candidates(triage: DataFrame, docs: DataFrame, readings: DataFram
     read = readings.where(F.col("prompt") == prompt).select("alias", "entry_id").distinct()
     wins = won.select("alias", "entry_id", F.lit(True).alias("__won"))
     rows = triage.where(F.col("decision").isin("si", "duda")).select("alias", "entry_id").distinct()
-    rows = rows.join(ready, "entry_id", "left_semi").join(read, ["alias", "entry_id"], "left_anti").join(wins, ["alias", "entry_id"], "left")
+    rows = rows.join(ready, "entry_id", "left_semi").join(read, ["entry_id", "alias"], "left_anti").join(wins, ["entry_id", "alias"], "left")
     return rows.select("alias", "entry_id", F.coalesce("__won", F.lit(False)).alias("won"))
 
 
@@ -90,7 +90,7 @@ def document_for_dossier(docs: DataFrame) -> DataFrame:
 def missed_awards(triage: DataFrame, won: DataFrame, notices: DataFrame) -> DataFrame:
     """(alias, entry_id, object, reason) of dossiers won by a company and triaged `no` by it."""
     refused = triage.where("decision = 'no'").select("alias", "entry_id", "reason")
-    return won.join(refused, ["alias", "entry_id"]).join(
+    return won.join(refused, ["entry_id", "alias"]).join(
         as_published(notices).select("entry_id", "object"),
         "entry_id",
     ).select("alias", "entry_id", "object", "reason")

@@ -76,7 +76,7 @@ def triage_health(expected: DataFrame, responses: DataFrame, decisions: DataFram
 
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """(alias, same, border, flip) of two variants' decisions on the same notices; si against no is a flip."""
-    both = a.select("alias", "entry_id", F.col("decision").alias("x")).join(b.select("alias", "entry_id", F.col("decision").alias("y")), ["alias", "entry_id"])
+    both = a.select("alias", "entry_id", F.col("decision").alias("x")).join(b.select("alias", "entry_id", F.col("decision").alias("y")), ["entry_id", "alias"])
     flip = F.array_sort(F.array("x", "y")) == F.array(F.lit("no"), F.lit("si"))
     return both.groupBy("alias").agg(
         F.count_if(F.col("x") == F.col("y")).alias("same"),

@@ -1,10 +1,11 @@
 """Queries whose work has to follow their input: no step of theirs makes rows for every pair of company and dossier."""
 
+import re
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
-from tenderlens.operators import filters, joins, metrics, queues
+from tenderlens.operators import costs, filters, joins, metrics, queues, reports
 from tenderlens.plans import QUERIES, source_queries
 
 COMPANIES, DOSSIERS = 100, 3000
@@ -130,3 +131,11 @@ def test_entries_are_split_once(spark, sf_dir, name):
 def test_reading_queue_carries_deadlines_only(spark, sf_dir):
     plan = QUERIES["w2_reading_queue"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "AS deadline#" in plan and "AS object#" not in plan and "AS sme#" not in plan
+
+
+@pytest.mark.parametrize("name", ["m6x_blind_precision", "m1a_triage_recall", "m12_agreement"])
+def test_pairs_are_sorted_by_dossier(spark, sf_dir, name):
+    """Names of companies begin alike, so that sorting pairs by name first compares whole rows."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join \w+, \(\(entry_id#\d+L = entry_id#\d+L\) AND \(alias", plan)
+    assert not re.search(r"Join \w+, \(\(alias#\d+ = alias#\d+\) AND \(entry_id", plan)
