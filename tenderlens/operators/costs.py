@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.order_statistics import order_statistics, percentile
 from ..functions.text import madrid_day
-from .joins import distinct_calls
 
 # What cached tokens and batches cost relative to plain input.
 CACHE_WRITE, CACHE_READ, BATCH, MILLION = 1.25, 0.10, 0.50, 1_000_000
@@ -34,7 +33,13 @@ def spend_by_day(calls: DataFrame) -> DataFrame:
 
 def company_spend(triage: DataFrame, readings: DataFrame, calls: DataFrame) -> DataFrame:
     """Per company and Madrid day: distinct calls of triage and reading, and their cost."""
-    rows = distinct_calls(triage, readings).join(calls.select("call_id", "called_at", "cost"), "call_id")
+    return spend_of_calls(triage.select("alias", "call_id").union(readings.select("alias", "call_id")), calls)
+
+
+def spend_of_calls(spent: DataFrame, calls: DataFrame) -> DataFrame:
+    """company_spend() of (alias, call_id) pairs, any number of times each."""
+    once = spent.select("alias", "call_id").where("call_id is not null").distinct()
+    rows = once.join(calls.select("call_id", "called_at", "cost"), "call_id")
     return rows.groupBy("alias", madrid_day(F.col("called_at")).alias("day")).agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost"), 6).alias("cost"))
 
 

@@ -139,3 +139,9 @@ def test_pairs_are_sorted_by_dossier(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Join \w+, \(\(entry_id#\d+L = entry_id#\d+L\) AND \(alias", plan)
     assert not re.search(r"Join \w+, \(\(alias#\d+ = alias#\d+\) AND \(entry_id", plan)
+
+
+@pytest.mark.parametrize("name", ["k4_company_spend"])
+def test_triage_is_made_once(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(array(l_suppkey") == 1
