@@ -34,7 +34,8 @@ def found(text: str, pattern: str) -> Column:
 
 def is_text(text: str = "text", least: int = LEAST_TEXT) -> Column:
     """Whether a page holds more than that many characters besides outer white space."""
-    return F.length(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")) > least
+    # From the first character that is no white space on, the search ends at the next one far enough from it.
+    return F.col(text).rlike(rf"(?Us)\A\s*+\S.{{{least - 1},}}?\S" if least else r"(?U)\S")
 
 
 def universe(notices: DataFrame, first: str, last: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
-from tenderlens.operators import costs, filters, joins, metrics, queues, reports
+from tenderlens.operators import costs, filters, joins, metrics, profile, queues, reports
 from tenderlens.plans import QUERIES, source_queries
 
 COMPANIES, DOSSIERS = 100, 3000
@@ -179,3 +179,20 @@ def test_cost_of_calls_that_are_not_known(spark):
     calls = spark.createDataFrame([(1, 1.0), (2, 2.0), (2, 4.0)], "call_id int, cost double")
     got = {r.alias: (r.triaged, r.calls, r.cost, r.per_100) for r in metrics.triage_cost(triage, calls).collect()}
     assert got == {"x": (3, 3, 7.0, round(700 / 3, 4)), "y": (2, None, None, None), None: (1, None, None, None)}
+
+
+@pytest.mark.parametrize("name", ["e13_reading_rows", "a11_dashboard_counts"])
+def test_texts_are_scored_once(spark, sf_dir, name):
+    """What several parts of a reading ask for is kept, not worked out from the texts again."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(text" not in plan and "RLIKE" not in plan
+
+
+def test_text_pages_equal_trimmed_lengths(spark):
+    """White space of all kinds around and inside, lengths about the limit, characters of two units, no text."""
+    cores = ["", "a", "a" * 50, "a" * 51, "a" + " " * 48 + "b", "a" + "\n " * 25 + "b", "a" + " " * 200, "😀" * 50, "😀" * 51, "ñ " * 26, "."]
+    texts = [a + c + b for c in cores for a in ("", " \n", " " * 60) for b in ("", "\n", "\u0085　" * 40)] + [None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for least in (0, 1, 2, 50):
+        trimmed = F.length(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")) > least
+        assert rows.select(profile.is_text(least=least).alias("x"), trimmed.alias("y")).where("not (x <=> y)").count() == 0
