@@ -88,6 +88,24 @@ def test_marks_and_counts_equal_passing(spark):
     assert sorted(filters.passing_counts(notices, prefixes).collect()) == sorted(passing.groupBy("alias").count().collect())
 
 
+def test_pairs_are_dealt_over_tasks(spark):
+    """All companies have one filter and all dossiers one list of codes: no task writes out most of the pairs."""
+    notices = spark.range(400).select(F.col("id").alias("entry_id"), F.array(F.lit("72000000")).alias("cpv"))
+    prefixes = spark.range(300).select(F.concat(F.lit("c"), "id").alias("alias"), F.lit("72").alias("prefix"))
+    found = filters.passing_pairs(notices, prefixes, block=50)
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(tasks) == 400 * 300 == found.distinct().count() and max(tasks) < 400 * 300 / 2
+
+
+def test_pairs_in_blocks_equal_passing(spark):
+    """Members without a name, dossiers without codes, a code twice, blocks of one member and of all."""
+    notices = spark.createDataFrame([(1, ["72000000", "48100000"]), (2, ["48"]), (3, []), (4, None), (None, ["48"]), (6, ["48", "48"])], "entry_id long, cpv array<string>")
+    prefixes = spark.createDataFrame([("x", "72"), ("x", "481"), ("y", "48"), ("z", "48"), (None, "48"), ("v", "10")], "alias string, prefix string")
+    rows = lambda df: sorted(map(str, df.select("entry_id", "alias").collect()))
+    for block in (1, 2, 1000):
+        assert rows(filters.passing_pairs(notices, prefixes, block)) == rows(filters.passing(notices, prefixes))
+
+
 def test_resamples_of_large_keys_come_in_blocks(spark, monkeypatch):
     """Sums put together from blocks of resamples give the same ends as all at once."""
     rows = spark.range(900).select(F.when(F.col("id") < 700, "x").otherwise("y").alias("alias"), F.col("id").alias("entry_id"), (F.col("id") % 3 > 0).cast("int").alias("agent"), (F.col("id") % 2).cast("int").alias("r"))
