@@ -5,6 +5,7 @@ Patterns carry (?iu)(?U), because case folding and classes are ASCII-only otherw
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -25,6 +26,16 @@ def strip_accents(c: Column) -> Column:
     return F.translate(F.lower(c), ACCENTED, PLAIN)
 
 
+def folded(c: Column) -> Column:
+    """Text in which plain_words() are searched as they are: lower case, and what (?iu) takes for s and i besides."""
+    return F.lower(F.when(c.rlike("[ſıİ]"), F.translate(c, "ſıİ", "sii")).otherwise(c))
+
+
+def plain_words(pattern: str) -> list[str]:
+    """The words of a pattern that is no more than a choice of words in Latin letters, in lower case; none of any other pattern."""
+    return pattern.lower().split("|") if re.fullmatch(r"[A-Za-zÀ-ÖØ-Þà-öø-þ |]+", pattern) and "" not in pattern.split("|") else []
+
+
 def collapse(c: Column) -> Column:
     """White space runs as one space, trimmed."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -74,6 +85,7 @@ def nfkc(s: pd.Series) -> pd.Series:
 # Characters that quotes may differ in, and what they count as.
 DASHES = "‐‑‒–—"
 QUOTES = {"‘": "'", "’": "'", "“": '"', "”": '"'}
+FOREIGN = r"[^\x00-\x9F\xAE-\u200F]"  # all of these are such characters; most texts have none and need no translating
 
 
 def normalise_quote(c: Column, compatibility: bool = True) -> Column:
@@ -81,4 +93,5 @@ def normalise_quote(c: Column, compatibility: bool = True) -> Column:
     text = F.coalesce(c, F.lit(""))
     text = nfkc(text) if compatibility else text
     source = DASHES + "".join(QUOTES) + " ­"
-    return collapse(F.translate(text, source, "-" * len(DASHES) + "".join(QUOTES.values()) + " "))
+    plain = F.translate(text, source, "-" * len(DASHES) + "".join(QUOTES.values()) + " ")
+    return collapse(F.when(text.rlike(FOREIGN), plain).otherwise(text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import UNICODE, normalise_quote
+from ..functions.text import UNICODE, folded, normalise_quote, plain_words
 from .profile import PATTERNS, found, is_text
 
 WINDOW = 6
@@ -19,17 +19,30 @@ SHORTEST_QUOTE, LONGEST_QUOTE, MOST_REQUIREMENTS = 10, 400, 8
 REFERENCE = r"anexo\s*n?[ºo°.]{0,3}\s*([IVXLC]+|\d{1,2})\b"
 
 
-def page_score(patterns: dict = PATTERNS) -> Column:
-    """What a page promises; an index page costs points, but no page goes below 0."""
+def page_score(patterns: dict = PATTERNS, low: str | None = None) -> Column:
+    """What a page promises; an index page costs points, but no page goes below 0. Of a page's text, or where given also of its folded() column."""
     point = lambda hit, n: F.when(hit, n).otherwise(0)
-    score = point(found("text", patterns["section"]), POINTS["section"]) + point(found("text", patterns["figure"]), POINTS["figure"])
+    score = point(found("text", patterns["section"], low), POINTS["section"]) + point(found("text", patterns["figure"], low), POINTS["figure"])
     for kind, p in patterns["requirements"].items():
-        score = score + point(found("text", p), POINTS["core"] if kind in CORE else POINTS["other"])
+        score = score + point(found("text", p, low), POINTS["core"] if kind in CORE else POINTS["other"])
     return F.greatest(F.lit(0), score + point(F.regexp_count("text", F.lit(LEADERS)) >= LEAST_LEADERS, POINTS["index"]))
 
 
+def low_column(patterns: dict) -> str | None:
+    """The name of the folded() column; None where too few of the patterns are plain words for it to pay."""
+    plain = [p for p in (patterns["section"], patterns["annexes"], *patterns["requirements"].values()) if plain_words(p)]
+    return "__low" if len(plain) > 2 else None
+
+
+def with_low(pages: DataFrame, low: str | None, text: Column) -> DataFrame:
+    """pages with that column where they are text; it is a step of its own, so that all patterns share it."""
+    return pages.withColumn(low, F.when(text, folded(F.col("text")))) if low else pages
+
+
 def score_pages(pages: DataFrame, patterns: dict = PATTERNS) -> DataFrame:
-    return pages.where(is_text()).withColumn("score", page_score(patterns))
+    low = low_column(patterns)
+    rows = with_low(pages.where(is_text()), low, F.lit(True)).withColumn("score", page_score(patterns, low))
+    return rows.drop(low) if low else rows
 
 
 def anchor_window(scores: DataFrame, cap: int = WINDOW) -> DataFrame:
@@ -49,12 +62,13 @@ def locate(pages: DataFrame, patterns: dict = PATTERNS, cap: int = WINDOW) -> Da
     One pass over the texts and one shuffle by document: what a document goes by is decided on its pages' scores.
     """
     doc = Window.partitionBy("doc_id")
-    rows = pages.select(
+    low = low_column(patterns)
+    rows = with_low(pages.select("doc_id", "page_no", "text", is_text().alias("t")), low, F.col("t")).select(
         "doc_id",
         "page_no",
-        is_text().alias("t"),
-        F.when(is_text(), page_score(patterns)).alias("s"),
-        F.when(is_text() & found("text", patterns["annexes"]), 1).otherwise(0).alias("a"),
+        "t",
+        F.when(F.col("t"), page_score(patterns, low)).alias("s"),
+        F.when(F.col("t") & found("text", patterns["annexes"], low), 1).otherwise(0).alias("a"),
     )
     rows = rows.withColumns({"main": F.coalesce(F.max("s").over(doc) > 0, F.lit(False)), "readable": F.bool_or("t").over(doc)})
     score = F.when(~F.col("t"), 0).when(F.col("main"), F.col("s")).otherwise(F.col("a"))
@@ -183,13 +197,27 @@ def second_attempts(verified: DataFrame, unreadable: DataFrame) -> DataFrame:
     return unreadable.select("doc_id").union(verified.where("rejected is not null").select("doc_id")).distinct()
 
 
+def reading_state() -> Column:
+    """The state of a reading, of its route before any hop and its number of requirements."""
+    unread = F.when(F.col("route").startswith("no_localizada: "), "ilegible").when(F.col("route").startswith("no_localizada"), "sin_localizar")
+    return unread.when(F.col("total") == 0, "ilegible_respuesta").otherwise("leido")
+
+
+def counts_of(verified: DataFrame) -> DataFrame:
+    return verified.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("rejected").isNull()).alias("verified"))
+
+
+def reading_states(located: DataFrame, verified: DataFrame) -> DataFrame:
+    """(doc_id, state) as reading_rows() has them: neither annexes nor calls have a say in it, so these need not be found."""
+    routes = located.groupBy("doc_id").agg(F.min("route").alias("route"))
+    return routes.join(counts_of(verified), "doc_id", "left").na.fill(0, ["total"]).select("doc_id", reading_state().alias("state"))
+
+
 def reading_rows(located: DataFrame, verified: DataFrame, hopped: DataFrame, tried: DataFrame | None = None) -> DataFrame:
     """Per document: route (+anexo after a hop), pages read, state, how many requirements stand, and with attempts() of its calls (0 where none was made) their number."""
     pages = located.groupBy("doc_id").agg(F.min("route").alias("route"), F.array_sort(F.collect_set("page_no")).alias("pages"))
     more = hopped.groupBy("doc_id").agg(F.collect_set("page_no").alias("more"))
-    counts = verified.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("rejected").isNull()).alias("verified"))
-    rows = pages.join(more, "doc_id", "left").join(counts, "doc_id", "left").na.fill(0, ["total", "verified"])
-    state = F.when(F.col("route").startswith("no_localizada: "), "ilegible").when(F.col("route").startswith("no_localizada"), "sin_localizar").when(F.col("total") == 0, "ilegible_respuesta").otherwise("leido")
+    rows = pages.join(more, "doc_id", "left").join(counts_of(verified), "doc_id", "left").na.fill(0, ["total", "verified"])
     if tried is not None:
         rows = rows.join(tried.select("doc_id", "attempts"), "doc_id", "left").na.fill(0, ["attempts"])
     return rows.select(
@@ -197,7 +225,7 @@ def reading_rows(located: DataFrame, verified: DataFrame, hopped: DataFrame, tri
         *(["attempts"] if tried is not None else []),
         F.when(F.col("more").isNotNull(), F.concat("route", F.lit("+anexo"))).otherwise(F.col("route")).alias("route"),
         F.array_sort(F.array_union("pages", F.coalesce("more", F.array().cast("array<int>")))).alias("pages"),
-        state.alias("state"),
+        reading_state().alias("state"),
         "total",
         "verified",
     )

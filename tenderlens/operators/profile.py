@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.order_statistics import order_statistics, percentile
-from ..functions.text import UNICODE
+from ..functions.text import UNICODE, plain_words
 from .versions import as_published
 
 # What tells the kinds of requirement, the section, figures, deferrals and check boxes in Spanish tender documents.
@@ -28,8 +30,10 @@ LEAST_TEXT = 50
 PATTERNS = {"requirements": REQUIREMENTS, "section": SECTION, "figure": FIGURE, "defers": DEFERS, "boxes": BOXES, "annexes": ANNEXES}
 
 
-def found(text: str, pattern: str) -> Column:
-    return F.col(text).rlike(UNICODE + pattern)
+def found(text: str, pattern: str, low: str | None = None) -> Column:
+    """Whether the pattern is in the text; with its folded() column, plain words are searched there, which is the same and takes less time."""
+    words = plain_words(pattern) if low else []
+    return reduce(lambda a, b: a | b, (F.col(low).contains(w) for w in words)) if words else F.col(text).rlike(UNICODE + pattern)
 
 
 def is_text(text: str = "text", least: int = LEAST_TEXT) -> Column:

@@ -5,7 +5,8 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
-from tenderlens.operators import costs, filters, joins, metrics, profile, queues, reports
+from tenderlens.functions.text import DASHES, QUOTES, collapse, folded, normalise_quote, plain_words
+from tenderlens.operators import costs, evidence, filters, joins, metrics, profile, queues, reports
 from tenderlens.plans import QUERIES, source_queries
 
 COMPANIES, DOSSIERS = 100, 3000
@@ -214,3 +215,38 @@ def test_text_pages_equal_trimmed_lengths(spark):
     for least in (0, 1, 2, 50):
         trimmed = F.length(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")) > least
         assert rows.select(profile.is_text(least=least).alias("x"), trimmed.alias("y")).where("not (x <=> y)").count() == 0
+
+
+def test_dashboard_looks_for_no_annexes(spark, sf_dir, monkeypatch):
+    """What the dashboard counts does not depend on hops, so that their texts are not scored."""
+
+    def hop(*args, **kwargs):
+        raise AssertionError("annexes are looked for")
+
+    want = sorted(QUERIES["a11_dashboard_counts"](spark, sf_dir).where("item = 'documents read'").collect())
+    read = QUERIES["e13_reading_rows"](spark, sf_dir).where("state = 'leido'").count()
+    assert [r.n for r in want] == [read]
+    monkeypatch.setattr(evidence, "locate_annex", hop)
+    assert sorted(QUERIES["a11_dashboard_counts"](spark, sf_dir).where("item = 'documents read'").collect()) == want
+
+
+def test_plain_words_are_found_as_patterns_are(spark):
+    """All letters that fold to Latin ones, within words of both cases; patterns that are no plain words stay patterns."""
+    assert plain_words("Licensed under|ciónla") == ["licensed under", "ciónla"]
+    assert not any(map(plain_words, (r"ISO\s?\d{4,5}", "a||b", "clasificaci[oó]n", "", "a.b")))
+    letters = [chr(n) for n in range(0x80, 0x2FFF) if not 0xD800 <= n < 0xE000]
+    words = ["sik", "åÿó", "ñßþ", "STILK é", "cióN"]
+    texts = [w[:i] + x + w[i + 1 :] for w in words for i in range(len(w)) for x in letters + [w[i].upper(), w[i].lower()]] + ["İx", "x", "sı", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("low", folded(F.col("text")))
+    for w in [*words, "ss|SIK", "x"]:
+        plain, pattern = (profile.found("text", w, low) for low in ("low", None))
+        assert rows.where(~plain.eqNullSafe(pattern)).collect() == []
+
+
+def test_quotes_without_foreign_characters_are_not_translated(spark):
+    """Every character that quotes may differ in, and those next to them."""
+    texts = [f"a{chr(n)}b  c" for n in [*range(0x80, 0x180), *range(0x2000, 0x2040)]] + ["", " a  b\n", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    source = DASHES + "".join(QUOTES) + "\u00a0\u00ad"
+    always = F.translate(F.coalesce("text", F.lit("")), source, "-" * len(DASHES) + "".join(QUOTES.values()) + " ")
+    assert rows.where(~normalise_quote(F.col("text"), False).eqNullSafe(collapse(always))).collect() == []
