@@ -129,7 +129,7 @@ def st5_version_state(v: Views) -> DataFrame:
         batch = rows.where(F.col("part") == number % 3).drop("part")
         fresh = version_table.append_batch(batch, f"{at}/versions", ["entry_id", "entry_updated", "tie"], version_table.batch_tag(at, number), buckets=8)
         changes = version_table.update_state(fresh, f"{at}/state", version_table.batch_tag(at, number), buckets=8)
-    state = version_table.read_state(v.spark, f"{at}/state", changes.schema)
+    state = version_table.read_state(v.spark, f"{at}/state", version_table.narrowed(changes.schema, ["entry_updated", "tie", "winner"]))
     return state.select(
         "entry_id",
         F.col("first.entry_updated").alias("first_updated"),

@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
 BUCKETS = 64
+SLICES = 4  # a bucket of a batch is worked on by so many tasks at most, and has so many files
 
 
 def batch_tag(stream: str, number: int) -> str:
@@ -53,18 +54,32 @@ def earlier(spark: SparkSession, path: str, schema: StructType, buckets: list[in
     return None if held is None else held.where(F.col("bucket").isin(buckets) & (F.col("batch") != tag))
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows by slices of their buckets: what has the same key stands together, and goes on to be compared, merged and written there."""
+    slice_of = F.pmod(F.shiftright(F.xxhash64(F.col(key).cast("string")), 32), F.lit(SLICES)).cast("int")
+    return rows.withColumn("__slice", slice_of).repartition("bucket", "__slice")
+
+
 def write_batch(rows: DataFrame, path: str, tag: str) -> None:
-    """One file for each bucket of rows, in place of what a run of this batch left before."""
-    out = rows.withColumn("batch", F.lit(tag)).repartition("bucket").write.mode("overwrite")
+    """A few files for each bucket of dealt() rows, in place of what a run of this batch left before."""
+    out = rows.drop("__slice").withColumn("batch", F.lit(tag)).write.mode("overwrite")
     out.option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
 
 
 def append_batch(batch: DataFrame, path: str, keys: list[str], tag: str, buckets: int = BUCKETS) -> DataFrame:
-    """Stores the rows of batch whose keys no other batch has stored, each key once, and returns them."""
+    """Stores the rows of batch whose keys no other batch has stored, each key once, and returns them.
+
+    The rows and the keys stored before are dealt once; they are compared and written where they are then. Keys that hold a null
+    are equal within a batch, but to none stored before.
+    """
     spark, schema = batch.sparkSession, batch.schema
-    fresh = batch.dropDuplicates(keys).withColumn("bucket", bucket_of(keys[0], buckets))
-    known = earlier(spark, path, schema, touched(fresh), tag)
-    write_batch(fresh if known is None else fresh.join(known.select(*keys), keys, "left_anti"), path, tag)
+    rows = batch.withColumns({"bucket": bucket_of(keys[0], buckets), "__known": F.lit(False)})
+    known = earlier(spark, path, schema, touched(rows), tag)
+    if known is not None:
+        rows = rows.unionByName(known.na.drop(subset=keys).select(*keys, "bucket", F.lit(True).alias("__known")), allowMissingColumns=True)
+    same = Window.partitionBy("bucket", "__slice", *keys).orderBy(F.desc("__known"))
+    first = dealt(rows, keys[0]).withColumn("__n", F.row_number().over(same)).where("__n = 1 and not __known")
+    write_batch(first.drop("__n", "__known"), path, tag)
     return stored(spark, path, schema).where(F.col("batch") == tag).drop("bucket", "batch")
 
 
@@ -73,14 +88,6 @@ def _order(version: str, columns: list[str]) -> Column:
     return F.struct(*(F.col(f"{version}.{c}") for c in ("entry_updated", "tie") if c in columns))
 
 
-def first_and_last(versions: DataFrame) -> DataFrame:
-    """(entry_id, first, last): a dossier's earliest and latest version."""
-    others = [c for c in versions.columns if c != "entry_id"]
-    one = versions.select("entry_id", F.struct(*others).alias("v"))
-    order = _order("v", others)
-    return one.groupBy("entry_id").agg(F.min_by("v", order).alias("first"), F.max_by("v", order).alias("last"))
-
-
 def merged(rows: DataFrame) -> DataFrame:
     """(entry_id, first, last) of rows of that kind, any number for each dossier."""
     columns = rows.schema["first"].dataType.fieldNames()
@@ -91,35 +98,52 @@ def update_state(versions: DataFrame, path: str, tag: str, buckets: int = BUCKET
     """Takes new versions into the state at path.
 
     Returns the changes: (entry_id, first, last, first_before, last_before), the instants null for dossiers not seen before.
+    Versions and the log's rows are dealt once; they are merged, compared and written where they are then.
     """
-    spark = versions.sparkSession
-    new = first_and_last(versions).withColumn("bucket", bucket_of("entry_id", buckets))
-    columns = new.schema["first"].dataType.fieldNames()
-    schema = StructType(new.schema.fields[:-1]).add("first_before", "timestamp").add("last_before", "timestamp")
-    held = earlier(spark, path, schema, touched(new), tag)
+    spark, columns = versions.sparkSession, [c for c in versions.columns if c != "entry_id"]
+    rows = versions.select("entry_id", F.struct(*columns).alias("v"), bucket_of("entry_id", buckets).alias("bucket"))
+    kind = rows.schema["v"].dataType
+    schema = StructType([rows.schema["entry_id"]]).add("first", kind).add("last", kind).add("first_before", "timestamp").add("last_before", "timestamp")
+    held = earlier(spark, path, schema, touched(rows), tag)
+    none = F.lit(None).cast(kind)
     if held is None:
-        none = F.lit(None).cast("timestamp")
-        changes = new.withColumns({"first_before": none, "last_before": none})
+        both = rows.withColumns({"f": none, "l": none})
     else:
-        before = merged(held).select("entry_id", F.col("first").alias("f"), F.col("last").alias("l"))
-        both = new.join(before, "entry_id", "left")
-        moved_first = F.col("f").isNull() | (_order("first", columns) < _order("f", columns))
-        moved_last = F.col("l").isNull() | (_order("last", columns) > _order("l", columns))
-        changes = both.where(moved_first | moved_last).select(
-            "entry_id",
-            F.when(moved_first, F.col("first")).otherwise(F.col("f")).alias("first"),
-            F.when(moved_last, F.col("last")).otherwise(F.col("l")).alias("last"),
-            F.col("f.entry_updated").alias("first_before"),
-            F.col("l.entry_updated").alias("last_before"),
-            "bucket",
-        )
+        both = rows.unionByName(held.select("entry_id", "bucket", F.col("first").alias("f"), F.col("last").alias("l")), allowMissingColumns=True)
+    # a null has no place in the order: versions are compared with versions, and rows of the log with rows of the log
+    given = lambda v: F.when(F.col(v).isNotNull(), _order(v, columns))
+    ends = dealt(both, "entry_id").groupBy("bucket", "__slice", "entry_id").agg(
+        F.min_by("v", given("v")).alias("first"),
+        F.max_by("v", given("v")).alias("last"),
+        F.min_by("f", given("f")).alias("f"),
+        F.max_by("l", given("l")).alias("l"),
+    )
+    moved_first = F.col("f").isNull() | (_order("first", columns) < _order("f", columns))
+    moved_last = F.col("l").isNull() | (_order("last", columns) > _order("l", columns))
+    changes = ends.where(F.col("first").isNotNull() & (moved_first | moved_last)).select(
+        "entry_id",
+        F.when(moved_first, F.col("first")).otherwise(F.col("f")).alias("first"),
+        F.when(moved_last, F.col("last")).otherwise(F.col("l")).alias("last"),
+        F.col("f.entry_updated").alias("first_before"),
+        F.col("l.entry_updated").alias("last_before"),
+        "bucket",
+    )
     write_batch(changes, path, tag)
     return stored(spark, path, schema).where(F.col("batch") == tag).drop("bucket", "batch")
 
 
+def narrowed(schema: StructType, fields: list[str]) -> StructType:
+    """The schema of update_state()'s result with no more than those fields of the versions."""
+    kept = StructType([f for f in schema["first"].dataType.fields if f.name in fields])
+    return StructType([schema["entry_id"]]).add("first", kept).add("last", kept)
+
+
 def read_state(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """(entry_id, first, last) of all dossiers; schema is that of update_state()'s result."""
-    return merged(stored(spark, path, schema).select("entry_id", "first", "last"))
+    """(entry_id, first, last) of all dossiers; schema is that of update_state()'s result, or what of it is asked for.
+
+    A dossier has about a row a batch, so that rows are dealt as they are, without the instants that merging compares.
+    """
+    return merged(stored(spark, path, schema).select("entry_id", "first", "last").repartition("entry_id"))
 
 
 def latest_of(state: DataFrame) -> DataFrame:

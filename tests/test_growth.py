@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tenderlens.functions.text import DASHES, QUOTES, collapse, folded, normalise_quote, plain_words
 from tenderlens.operators import costs, evidence, filters, joins, metrics, profile, queues, reports
 from tenderlens.plans import QUERIES, source_queries
+from tenderlens.streaming import version_table
 
 COMPANIES, DOSSIERS = 100, 3000
 
@@ -250,3 +251,37 @@ def test_quotes_without_foreign_characters_are_not_translated(spark):
     source = DASHES + "".join(QUOTES) + "\u00a0\u00ad"
     always = F.translate(F.coalesce("text", F.lit("")), source, "-" * len(DASHES) + "".join(QUOTES.values()) + " ")
     assert rows.where(~normalise_quote(F.col("text"), False).eqNullSafe(collapse(always))).collect() == []
+
+
+def test_batches_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """Rows of a batch and what is stored meet in one shuffle and are written there, a few files a bucket."""
+    plans, real = [], version_table.write_batch
+
+    def seen(rows, path, tag):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        real(rows, path, tag)
+
+    monkeypatch.setattr(version_table, "write_batch", seen)
+    rows = spark.range(4000).select((F.col("id") % 900).alias("entry_id"), F.timestamp_seconds("id").alias("entry_updated"), F.col("id").alias("tie"))
+    for number in range(2):
+        tag = version_table.batch_tag("s", number)
+        fresh = version_table.append_batch(rows.where(F.col("tie") % 3 != number), str(tmp_path / "v"), rows.columns, tag, buckets=8)
+        version_table.update_state(fresh, str(tmp_path / "s"), tag, buckets=8)
+    assert [p.count("Exchange") for p in plans] == [1] * 4
+    for table in ("v", "s"):
+        held = [len(list(d.glob("*.parquet"))) for d in (tmp_path / table).glob("bucket=*/batch=*")]
+        assert len(held) == 16 and max(held) <= version_table.SLICES
+
+
+def test_state_of_nameless_and_undated_versions(spark, tmp_path):
+    """A dossier without an id, versions without an instant, which come before all others, and a state asked for in part."""
+    parts = [[(None, 5, 1, "a"), ("x", None, 1, "b"), ("y", 7, 1, "c")], [(None, 3, 2, "d"), ("x", 4, 2, "e"), ("y", 7, 2, "f"), ("y", 7, 2, "f")]]
+    for number, rows in enumerate(parts):
+        batch = spark.createDataFrame(rows, "entry_id string, s long, tie long, winner string")
+        batch = batch.select("entry_id", F.timestamp_seconds("s").alias("entry_updated"), "tie", "winner")
+        tag = version_table.batch_tag("s", number)
+        fresh = version_table.append_batch(batch, str(tmp_path / "v"), ["entry_id", "entry_updated", "tie"], tag, buckets=8)
+        changes = version_table.update_state(fresh, str(tmp_path / "s"), tag, buckets=8)
+    assert fresh.count() == 3
+    state = version_table.read_state(spark, str(tmp_path / "s"), version_table.narrowed(changes.schema, ["entry_updated", "tie", "winner"]))
+    assert {(r.entry_id, r.first.winner, r.last.winner) for r in state.collect()} == {(None, "d", "a"), ("x", "b", "e"), ("y", "c", "f")}
